@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, simhash_dedup
+from . import line_dedup, media, packing, simhash_dedup
 from .common import table
 
 
@@ -14,12 +14,20 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_report(table(spark, sf_dir, "documents"))
+
+
+def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_report(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.group_report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op7_simhash)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_media, op4_best_fit, op7_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
