@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, media, packing, simhash_dedup
+from . import line_dedup, media, packing, simhash_dedup, warc
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_report(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_report(table(spark, sf_dir, "pages"))
+
+
 def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_report(table(spark, sf_dir, "documents"))
 
@@ -27,8 +31,8 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_media, op4_best_fit, op7_simhash)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_media, op3_warc, op4_best_fit, op7_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.REPORT_SQL}
+    return {"op1_line_dedup": line_dedup.REPORT_SQL, "op3_warc": warc.REPORT_SQL}
