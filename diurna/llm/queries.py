@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, media, packing, simhash_dedup, warc
+from . import langid, line_dedup, media, packing, simhash_dedup, toxicity, warc
 from .common import table
 
 
@@ -26,12 +26,20 @@ def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_report(table(spark, sf_dir, "documents"))
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_report(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.group_report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_media, op3_warc, op4_best_fit, op7_simhash)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_media, op3_warc, op4_best_fit, op5_langid, op6_toxicity, op7_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
