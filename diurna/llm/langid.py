@@ -162,7 +162,10 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
 
 def keep_accepted(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language is accepted, decided beside the row without a join."""
+    """The rows of ``docs`` whose language is accepted, decided beside the row without a join.
+
+    Under a model that learned no language, every text with a letter stays.
+    """
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +173,7 @@ def keep_accepted(docs: DataFrame, model: Model, *, text_col: str = "text") -> D
             keep = []
             for text in batch.column(1).to_pylist():
                 if not model.languages or text is None or not any(map(str.isalpha, text)):
-                    keep.append(False)
+                    keep.append(not model.languages and any(map(str.isalpha, text or "")))
                     continue
                 c = counts(text)
                 p = softmax((c @ model.table / max(1, c.sum()) + model.bias) / model.temperature)

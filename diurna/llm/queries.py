@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, line_dedup, media, packing, simhash_dedup, toxicity, warc
+from . import decontamination, langid, line_dedup, media, packing, pii, simhash_dedup, substring_dedup, toxicity, warc
 from .common import table
 
 
@@ -38,8 +38,32 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.group_report(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.span_report(table(spark, sf_dir, "documents"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeat_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_media, op3_warc, op4_best_fit, op5_langid, op6_toxicity, op7_simhash)}
+    operators = (
+        op1_line_dedup,
+        op2_media,
+        op3_warc,
+        op4_best_fit,
+        op5_langid,
+        op6_toxicity,
+        op7_simhash,
+        op8_decontamination,
+        op9_pii,
+        op10_substring_dedup,
+    )
+    return {f.__name__: f for f in operators}
 
 
 def oracle_sql() -> dict[str, str]:

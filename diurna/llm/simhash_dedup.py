@@ -243,7 +243,7 @@ def components(edges: DataFrame) -> DataFrame:
 #: Largest bucket that one task compares with the first choice of blocks. A larger one is dealt again with
 #: more equal blocks, so that each bucket has few free bits: at most 2 ** 16 fingerprints for two bits of
 #: radius. No bucket is left out.
-MOST = 1 << 14
+MOST = 1 << 16
 #: radius -> (blocks, equal) of the first and of the second deal.
 DEALS = {0: ((1, 1), (1, 1)), 1: ((3, 2), (4, 3)), 2: ((4, 2), (8, 6)), 3: ((6, 3), (8, 5)), 4: ((7, 3), (9, 5)), 5: ((7, 2), (9, 4)), 6: ((8, 2), (10, 4))}
 
