@@ -28,6 +28,8 @@ SAMPLED = (5_000, 200_000)
 #: Documents of that sample that share a hot anchor, and most hot anchors sent to the tasks (8 bytes each).
 HOT, HOTTEST = 6, 200_000
 REMEMBERED = 500_000
+#: The first place of an interval that stands for a whole text.
+COPY = -1
 
 
 class WordHashes(dict):
@@ -294,10 +296,10 @@ def hot_windows(texts: DataFrame, hot: np.ndarray) -> DataFrame:
 
 
 def repeated_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row of ``docs`` as ``doc, text, copy, gone``: intervals of words that repeat an earlier document.
+    """Every row of ``docs`` as ``doc, text, gone``: intervals of words that repeat an earlier document.
 
-    ``gone`` lists (first, last) places, the end exclusive, which may overlap; null for none. ``copy`` says that
-    the whole text stands in a row with a smaller id: then all its windows are repeated, and ``gone`` is null.
+    ``gone`` lists (row, first, last), the end exclusive, which may overlap; null for none. A first place of -1
+    says that the whole text stands in a row with a smaller id: then all its windows are repeated.
 
     Windows of 13 words are compared exactly (hot ones by a 128-bit hash). Texts of fewer words repeat nothing.
     Rows that share an id do not repeat each other; a null id is smaller than any other. A null text has no
@@ -305,53 +307,58 @@ def repeated_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     lowest = F.lit(-(1 << 63)).cast("bigint")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.coalesce(F.col(id_col).cast("bigint"), lowest).alias("doc"), F.col(id_col).isNull().alias("unnamed"), text.alias("text"))
+    base = docs.select(F.coalesce(F.col(id_col).cast("bigint"), lowest).alias("doc"), text.alias("text"))
     base = base.withColumn("row", F.xxhash64("text"))
     hot = hot_anchors(base)
     # Anchors that two documents share; the hot ones are known to be, and are not shuffled.
     found = anchor_rows(base, hot).repartition("anchor")
     group = Window.partitionBy("anchor")
-    shared = found.withColumns({"low": F.min("doc").over(group), "high": F.max("doc").over(group)}).where("low < high").groupBy("doc").agg(F.collect_list("anchor").alias("anchors"))
+    shared = found.withColumns({"low": F.min("doc").over(group), "high": F.max("doc").over(group)}).where("low < high")
     # Whole copies are told by two hashes of the text, before any of their words is compared.
     narrow = base.select("doc", "row", F.xxhash64(F.lit(1), "text").alias("row2"))
     firsts = narrow.groupBy("row", "row2").agg(F.min("doc").alias("first"))
-    copies = narrow.join(firsts, ["row", "row2"]).where("doc > first").select("doc", "row").distinct().withColumn("copy", F.lit(True))
-    dealt = base.repartition("doc")
-    marked = dealt.join(shared, "doc", "left").join(copies, ["doc", "row"], "left")
-    texts = marked.where("copy IS NULL").select("doc", "row", "text", F.coalesce("anchors", F.array().cast("array<bigint>")).alias("shared"))
-    cold = repeated_in_shards(shared_stretches(texts.where(F.size("shared") > 0), hot))
-    ways = cold
+    copies = narrow.join(firsts, ["row", "row2"]).where("doc > first").select("doc", "row").distinct()
+    # All joins with texts are by document alone, so that the texts are shuffled once.
+    marks = shared.select("doc", "anchor", F.lit(None).cast("bigint").alias("copy")).union(copies.select("doc", F.lit(None).cast("bigint"), "row"))
+    marks = marks.groupBy("doc").agg(F.collect_list("anchor").alias("shared"), F.collect_set("copy").alias("copies"))
+    none = F.array().cast("array<bigint>")
+    marked = base.join(marks, "doc", "left").select("doc", "row", "text", F.coalesce("shared", none).alias("shared"), F.coalesce("copies", none).alias("copies"))
+    texts = marked.where(~F.array_contains("copies", F.col("row"))).select("doc", "row", "text", "shared")
+    ways = repeated_in_shards(shared_stretches(texts, hot))
     if len(hot):
         windows = hot_windows(texts, hot)
         least = windows.groupBy("w1", "w2").agg(F.min("doc").alias("least"))
         ways = ways.union(windows.join(least, ["w1", "w2"]).where("doc > least").select("doc", "row", "pos", F.col("pos") + WINDOW))
-    gone = ways.groupBy("doc", "row").agg(F.collect_list(F.struct("first", "last")).alias("gone"))
-    out = dealt.join(copies, ["doc", "row"], "left").join(gone, ["doc", "row"], "left")
-    return out.select(F.when(~F.col("unnamed"), F.col("doc")).alias("doc"), "text", F.coalesce("copy", F.lit(False)).alias("copy"), "gone")
+    ways = ways.union(copies.select("doc", "row", F.lit(COPY).cast("bigint"), F.lit(COPY).cast("bigint")))
+    gone = ways.groupBy("doc").agg(F.collect_list(F.struct("row", "first", "last")).alias("gone"))
+    out = base.join(gone, "doc", "left")
+    own = F.filter("gone", lambda x: x["row"] == F.col("row"))
+    return out.select(F.nullif("doc", lowest).alias("doc"), "text", own.alias("gone"))
 
 
-def kept_words(words: list[bytes], copy: bool, gone: np.ndarray | None) -> list[bytes]:
-    if copy and len(words) >= WINDOW:
-        return []
-    if gone is None or not len(gone):
+def kept_words(words: list[bytes], first: np.ndarray, last: np.ndarray) -> list[bytes]:
+    """The words outside the intervals."""
+    if not len(first) or len(words) < WINDOW:
         return words
+    if first.min() == COPY:
+        return []
     change = np.zeros(len(words) + 1, np.int64)
-    np.add.at(change, gone[:, 0], 1)
-    np.add.at(change, gone[:, 1], -1)
+    np.add.at(change, first, 1)
+    np.add.at(change, last, -1)
     return [words[k] for k in np.flatnonzero(np.cumsum(change[:-1]) == 0).tolist()]
 
 
 def remove_repeats(docs: DataFrame, **options) -> DataFrame:
     """``doc, n_words, n_removed, kept``: the words that are left, joined by one blank."""
-    found = repeated_words(docs, **options).select("doc", "text", "copy", F.col("gone.first").alias("first"), F.col("gone.last").alias("last"))
+    none = F.array().cast("array<bigint>")
+    found = repeated_words(docs, **options).select("doc", "text", *[F.coalesce(f"gone.{c}", none).alias(c) for c in ("first", "last")])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, removed, kept = [], [], []
-            for text, copy, first, last in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
+            for text, first, last in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                 words = words_of(text)
-                gone = None if first.as_py() is None else np.stack([x.values.to_numpy(zero_copy_only=False) for x in (first, last)], axis=1)
-                left = kept_words(words, copy, gone)
+                left = kept_words(words, *(x.values.to_numpy(zero_copy_only=False) for x in (first, last)))
                 total.append(len(words))
                 removed.append(len(words) - len(left))
                 kept.append(b" ".join(left).decode("utf-8", "replace"))
