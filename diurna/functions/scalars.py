@@ -119,7 +119,7 @@ def level_value(text) -> Column:
 
 def safe_name(name) -> Column:
     """A name fit for files: letters, digits, dot, dash and underscore; runs of others become one underscore."""
-    return F.trim(F.lit("_"), F.regexp_replace(F.trim(_c(name)), "[^A-Za-z0-9._-]+", "_"))
+    return F.trim(F.regexp_replace(F.trim(_c(name)), "[^A-Za-z0-9._-]+", "_"), F.lit("_"))
 
 
 #: Documented read failures of a monitor.
