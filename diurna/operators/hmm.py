@@ -30,6 +30,23 @@ def observations(readings: DataFrame, kind: str = "counts", value: str = "activi
     return rows.select("id", "t", x.alias("x"))
 
 
+def scoped(seen: DataFrame, groups: DataFrame, scope: str, samples_per_day: int = 1440) -> tuple[DataFrame, DataFrame]:
+    """Observations and their fitting groups: one model for each "group", for all ("pooled"), for each "subject", or
+    for each "subject_day" of 60 valid rows or more (ids are then id and day)."""
+    if scope == "group":
+        return seen, groups.select("id", "grp")
+    if scope == "pooled":
+        return seen, groups.select("id", F.lit("all").alias("grp"))
+    if scope == "subject":
+        return seen, groups.select("id", F.col("id").cast("string").alias("grp"))
+    if scope != "subject_day":
+        raise ValueError(f"unknown scope {scope}")
+    label = F.concat_ws("/", F.col("id").cast("string"), F.floor(F.col("t") / samples_per_day).cast("string"))
+    rows = seen.join(groups.select("id"), "id").withColumn("id", label)
+    days = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n >= 60").select("id", F.col("id").alias("grp"))
+    return rows, days
+
+
 def _allowed(n: int) -> np.ndarray:
     """States reach their neighbours."""
     return np.abs(np.subtract.outer(np.arange(n), np.arange(n))) <= 1
@@ -187,6 +204,25 @@ def bout_lengths(decoded: DataFrame) -> DataFrame:
     return runs.state_runs(decoded, "state").groupBy("id", "state").agg(F.avg("n").alias("mean_length"), F.stddev_samp("n").alias("sd_length"), F.count(F.lit(1)).alias("n"))
 
 
+def summary(decoded: DataFrame, groups: DataFrame, threshold_sleep: DataFrame | None = None) -> DataFrame:
+    """``grp, sleep_percent, sleep_percent_sd, agreement_percent``: means over subjects (population deviation), and how
+    often the hidden states agree with sleep by threshold."""
+    per = decoded.groupBy("id").agg((100.0 * F.avg(F.col("hmm_sleep").cast("double"))).alias("p"))
+    out = per.join(groups.select("id", "grp"), "id").groupBy("grp").agg(F.avg("p").alias("sleep_percent"), F.stddev_pop("p").alias("sleep_percent_sd"))
+    if threshold_sleep is None:
+        return out.withColumn("agreement_percent", F.lit(None).cast("double"))
+    same = decoded.join(threshold_sleep.where("sleep IS NOT NULL").select("id", "t", "sleep"), ["id", "t"]).join(groups.select("id", "grp"), "id")
+    agree = same.groupBy("grp").agg((100.0 * F.avg((F.col("sleep") == F.col("hmm_sleep")).cast("double"))).alias("agreement_percent"))
+    return out.join(agree, "grp", "left")
+
+
+def section_fractions(decoded: DataFrame, groups: DataFrame, n_states: int = 4, sections: int = 4) -> DataFrame:
+    """``grp, section, state_0 …``: shares in equal parts of the day, subjects first."""
+    part = F.floor(S.zt_minute("t") / (1440 // sections)).cast("int").alias("section")
+    per = decoded.groupBy("id", part).agg(*[F.avg((F.col("state") == k).cast("double")).alias(f"state_{k}") for k in range(n_states)])
+    return per.join(groups.select("id", "grp"), "id").groupBy("grp", "section").agg(*[F.avg(f"state_{k}").alias(f"state_{k}") for k in range(n_states)])
+
+
 def select_states(seen: DataFrame, groups: DataFrame, candidates: list[int], settings: Hmm = Hmm(), folds: int = 5) -> DataFrame:
     """``n_states, fold, ll_per_obs, n, aic, bic``: held-out likelihood over folds of subjects, each one task."""
     fold = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(folds)).cast("int")

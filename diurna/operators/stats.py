@@ -116,3 +116,31 @@ def holm_adjusted(tests: DataFrame, p: str = "p", by: list[str] | None = None) -
     m, rank = F.count(p).over(Window.partitionBy(*keys)), F.row_number().over(order)
     rows = tests.withColumn("__x", F.least(F.lit(1.0), F.col(p) * (m - rank + 1)))
     return rows.withColumn("p_holm", F.max("__x").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__x")
+
+
+def versus_control(values: DataFrame, value: str, family: str = "welch", group: str = "grp", control: str = "control_grp", by: list[str] | None = None) -> DataFrame:
+    """``group, control, by …, n, control_n, statistic, p, p_holm``: each group against its own control, Holm over ``by``.
+
+    Groups are few; their moments come to the driver for the tails, and go back as rows.
+    """
+    keys = [group, *(by or [])]
+    ok = values.where(F.col(value).isNotNull())
+    m = ok.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.var_samp(value).alias("var"))
+    pairs = ok.where(F.col(control).isNotNull()).select(*keys, control).distinct()
+    other = m.select(F.col(group).alias(control), *(by or []), F.col("n").alias("cn"), F.col("mean").alias("cmean"), F.col("var").alias("cvar"))
+    rows = pairs.join(m, keys).join(other, [control, *(by or [])]).where(f"n >= {GROUP_MIN_N} AND cn >= {GROUP_MIN_N} AND var + cvar > 0").collect()
+    out = []
+    for r in rows:
+        t, _, p = M.welch_t(r["n"], r["mean"], r["var"], r["cn"], r["cmean"], r["cvar"])
+        out.append((*[str(r[k]) for k in keys], str(r[control]), r["n"], r["cn"], t, p))
+    schema = ", ".join([f"{k} string" for k in [*keys, control]] + ["n bigint", "control_n bigint", "statistic double", "p double"])
+    return holm_adjusted(values.sparkSession.createDataFrame(out, schema), "p", [group])
+
+
+def stats_sheet(*results: DataFrame) -> DataFrame:
+    """All results as one long sheet, in the order given."""
+    out = None
+    for k, r in enumerate(results):
+        part = r.withColumn("ord", F.lit(k))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -111,8 +111,9 @@ def run(readings: DataFrame, subjects: DataFrame, plan: Plan, step: int = 1, fol
         out |= {"bouts": bouts, "bout_summary": sleep.bout_summary(bouts), "states": states.group_profiles(states.profiles(minutes, max(30, step)), who)}
     if plan.hmm:
         seen = hmm.observations(rows, "binary" if plan.hmm.emission == "categorical" else "counts")
-        models = hmm.train(seen, who, plan.hmm)
-        out |= {"hmm_models": models, "hmm_minutes": hmm.decode(seen, who, models, plan.hmm)}
+        fitted, parts = hmm.scoped(seen, who, plan.hmm.scope, plan.hmm.samples_per_day)
+        models = hmm.train(fitted, parts, plan.hmm)
+        out |= {"hmm_models": models, "hmm_minutes": hmm.decode(fitted, parts, models, plan.hmm)}
     wanted = {k: v for k, v in out.items() if not plan.outputs or k in plan.outputs}
     if folder:
         for name, table in wanted.items():

@@ -167,3 +167,35 @@ def test_settings_round_trip_and_reject_unknown_keys():
         params.Sleep.of({"threshold": 1})
     with pytest.raises(ValueError):
         params.Sleep(threshold_seconds=10)
+
+
+def test_ultradian_amplitude_of_a_planted_rhythm(spark):
+    from diurna.operators import ultradian
+
+    t = np.arange(0, 6 * 1440, 30)
+    x = ((np.sin(2 * np.pi * t / 150) > 0) & (t % 1440 < 720)).astype(int)
+    rows = spark.createDataFrame([("a", "standard", int(m), int(v)) for m, v in zip(t, x)], "id string, state string, t int, asleep int")
+    found = ultradian.surfaces(rows, step=30, bin_minutes=30, lo=2, hi=32, voices=8)
+    series = ultradian.amplitude(found)
+    out = ultradian.amplitude_rhythm(series, 30).first()
+    assert out.period == pytest.approx(24, rel=0.1) and out.fap < 1e-3
+    assert ultradian.chi2_quantile(0.95, 2) == pytest.approx(5.991465, abs=1e-5)
+
+
+def test_panels_repeat_their_reference(spark):
+    from diurna.operators import facets
+
+    rows = [(k, g, z) for k, (g, z) in enumerate([("wt", "ZT2"), ("wt", "ZT14"), ("mut", "ZT2"), ("mut", "ZT14"), ("mut", "none")])]
+    subjects = spark.createDataFrame(rows, "id int, genotype string, pulse string")
+    found = facets.panels(subjects, facets.Facets(("pulse",), ("genotype",), {"pulse": ["ZT2", "ZT14"]}, {"pulse": "none"})).orderBy("panel_ord", "series_ord").collect()
+    assert [(r.panel, r.series, r.is_reference) for r in found] == [("mut", "none", True), ("mut", "ZT2", False), ("mut", "ZT14", False), ("wt", "none", True), ("wt", "ZT2", False), ("wt", "ZT14", False)]
+
+
+def test_scopes_and_controls(spark):
+    seen = spark.createDataFrame([("a", t, 1.0) for t in range(2880)] + [("b", t, 0.0) for t in range(30)], "id string, t int, x double")
+    who = spark.createDataFrame([("a", "g"), ("b", "g")], "id string, grp string")
+    assert {r.grp for r in hmm.scoped(seen, who, "subject_day")[1].collect()} == {"a/0", "a/1"}
+    assert {r.grp for r in hmm.scoped(seen, who, "pooled")[1].collect()} == {"all"}
+    values = spark.createDataFrame([(g, c, float(v)) for g, c, vs in (("t", "c", [5, 6, 7]), ("c", None, [1, 2, 3])) for v in vs], "grp string, control_grp string, v double")
+    out = stats.versus_control(values, "v").collect()
+    assert len(out) == 1 and out[0].p_holm == out[0].p < 0.02
