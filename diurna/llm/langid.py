@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 BUCKETS, WIDTH = 8192, 16
 #: Characters of a text that are hashed at once.
 PIECE = 1 << 18
+#: Steps of stochastic gradient descent, of 16 rows each, whatever the size of the sample.
+STEPS = 1200
 #: Most labelled rows that a fit takes to the driver, over all languages.
 SAMPLE = 2400
 #: Most characters of a text that may be one of these rows. Scoring takes texts of any length, whole.
@@ -57,39 +59,41 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(rows: list[tuple[str, np.ndarray]], *, epochs: int = 12, rate: float = 0.5, seed: int = 7) -> Model:
-    """``rows``: (language, counts). A fifth of them calibrates the temperature and the rejection."""
-    languages = sorted({r[0] for r in rows})
+def fit(labels: list[str], x: np.ndarray, *, steps: int = STEPS, rate: float = 0.5, seed: int = 7) -> Model:
+    """``x``: hashed counts of each labelled row (changed in place). A fifth of the rows, drawn at random,
+    calibrates the temperature and the rejection."""
+    languages = sorted(set(labels))
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(rows))
-    y = np.array([languages.index(rows[k][0]) for k in order])
-    x = np.array([rows[k][1] for k in order], np.float32)
+    order = rng.permutation(len(labels))
+    y = np.array([languages.index(labels[k]) for k in order])
     x /= np.maximum(x.sum(axis=1, keepdims=True), 1)
-    held = len(rows) // 5
+    held = len(labels) // 5
     embed = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
     linear, bias = rng.normal(0, 0.1, (WIDTH, len(languages))).astype(np.float32), np.zeros(len(languages), np.float32)
-    weight = len(rows) / (len(languages) * np.bincount(y, minlength=len(languages)))
-    train = np.arange(held, len(rows))
+    weight = len(labels) / (len(languages) * np.bincount(y, minlength=len(languages)))
+    train = np.arange(held, len(labels))
+    epochs = max(1, -(-steps * 16 // max(1, len(train))))
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs) * 20
         for batch in np.array_split(rng.permutation(train), max(1, len(train) // 16)):
             if not len(batch):
                 continue
-            mean = x[batch] @ embed
+            own = x[order[batch]]
+            mean = own @ embed
             slope = softmax(mean @ linear + bias)
             slope[np.arange(len(batch)), y[batch]] -= 1
             slope *= (weight[y[batch]] / len(batch))[:, None]
             back = slope @ linear.T
             linear -= np.float32(step / 20) * (mean.T @ slope)
             bias -= np.float32(step / 20) * slope.sum(axis=0)
-            embed -= np.float32(step) * (x[batch].T @ back).astype(np.float32)
+            embed -= np.float32(step) * (own.T @ back).astype(np.float32)
     table = embed @ linear
-    logits = x[:held] @ table + bias
+    logits = x[order[:held]] @ table + bias
     temperature, least = 1.0, 0.0
     if held:
-        tried = np.geomspace(0.05, 20, 61)
+        tried = np.geomspace(0.25, 20, 61)
         losses = [-np.log(softmax(logits / t)[np.arange(held), y[:held]] + 1e-12).mean() for t in tried]
         temperature = float(tried[int(np.argmin(losses))])
         p = softmax(logits / temperature)
@@ -121,17 +125,17 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
         for batch in batches:
             found = [counts(t) for t in batch.column(1).to_pylist()]
             where = [np.flatnonzero(c) for c in found]
-            buckets = pa.array([w.tolist() for w in where], pa.list_(pa.int32()))
-            values = pa.array([c[w].tolist() for c, w in zip(found, where)], pa.list_(pa.int32()))
+            # Packed, so that the driver holds no list of numbers for each row.
+            buckets = pa.array([w.astype("<u2").tobytes() for w in where], pa.binary())
+            values = pa.array([c[w].astype("<u4").tobytes() for c, w in zip(found, where)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), buckets, values], ["lang", "buckets", "counts"])
 
     chosen = rows.where(place < chance).select("lang", "text").limit(2 * sample)
-    out = []
-    for lang, buckets, values in chosen.mapInArrow(work, "lang string, buckets array<int>, counts array<int>").collect():
-        dense = np.zeros(BUCKETS, np.float32)
-        dense[buckets] = values
-        out.append((lang, dense))
-    return fit(sorted(out, key=lambda r: (r[0], r[1].tobytes())))
+    packed = sorted((r["lang"], bytes(r["buckets"]), bytes(r["counts"])) for r in chosen.mapInArrow(work, "lang string, buckets binary, counts binary").collect())
+    x = np.zeros((len(packed), BUCKETS), np.float32)
+    for row, (_, buckets, values) in zip(x, packed):
+        row[np.frombuffer(buckets, "<u2")] = np.frombuffer(values, "<u4")
+    return fit([r[0] for r in packed], x)
 
 
 def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
