@@ -23,7 +23,7 @@ COVERED = 13
 #: Share of a window that placeholders may fill.
 SLOTS = 0.5
 #: Distinct window hashes that are sent to the tasks (8 bytes each). Beyond, all windows go into the join.
-SENT = 4_000_000
+SENT = 500_000
 #: Words a worker remembers.
 REMEMBERED = 500_000
 
@@ -152,17 +152,17 @@ def judge(matches: list[dict]) -> tuple[int, bool]:
     for m in matches:
         lines.setdefault(m["pos"] - m["item_pos"], []).append(m)
     for aligned in lines.values():
-        there: dict[str, str] = {}
-        back: dict[str, str] = {}
-        covered: set[int] = set()
-        changed = False
-        for m in sorted(aligned, key=lambda m: m["pos"]):
-            pairs = list(zip(m["item_slots"], m["slots"]))
-            if all(there.get(a, b) == b and back.get(b, a) == a for a, b in pairs) and len(dict(pairs)) == len({b: a for a, b in pairs}):
-                there.update(pairs)
-                back.update((b, a) for a, b in pairs)
-                covered.update(range(m["item_pos"], m["item_pos"] + m["size"]))
-                changed |= any(a != b for a, b in pairs)
+        aligned.sort(key=lambda m: m["pos"])
+        there: dict[str, set[str]] = {}
+        back: dict[str, set[str]] = {}
+        for a, b in ((a, b) for m in aligned for a, b in zip(m["item_slots"], m["slots"])):
+            there.setdefault(a, set()).add(b)
+            back.setdefault(b, set()).add(a)
+        consistent = all(len(x) == 1 for x in (*there.values(), *back.values()))
+        # Where one value stands for two, it is not the item asked again: only what is the same still counts.
+        taken = [m for m in aligned if consistent or m["item_slots"] == m["slots"]]
+        covered = {k for m in taken for k in range(m["item_pos"], m["item_pos"] + m["size"])}
+        changed = any(m["item_slots"] != m["slots"] for m in taken)
         best = max(best, (len(covered), changed))
     return best
 
