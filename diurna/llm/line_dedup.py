@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\x0c\r"
+#: Tasks that the lines of one key are dealt to.
+SALTS = 16
 #: Lines are looked at as an array; a null or empty text is one empty line.
 LINES = "split(coalesce({text}, ''), '\\n', -1)"
 
@@ -36,7 +38,7 @@ def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     is sparse: words that keep all their lines are left out, and so are documents that keep everything.
 
     Rows that share an id are one document: a key they share counts once, and each row gets its own
-    bitmap. A null id is smaller than any other. An empty table gives an empty result; columns besides
+    bitmap. A null id is smaller than any other and does not count as a document. An empty table gives an empty result; columns besides
     the id and the text are not read.
     """
     lines = line_hashes(docs, id_col=id_col, text_col=text_col, min_chars=min_chars)
@@ -44,8 +46,11 @@ def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     in_order = Window.partitionBy("h1", "h2", "doc").orderBy("row", "pos")
     # A hot line spreads over the ranges by document, and each range sends on one row for it.
     holders = ranged.withColumn("nth", F.row_number().over(in_order)).where("nth = 1").groupBy("h1", "h2")
-    common = holders.agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("last")).where((F.col("n") >= min_docs) & F.col("last").isNotNull())
-    lost = ranged.join(common.select("h1", "h2", "last"), ["h1", "h2"]).where(F.coalesce(F.col("doc") < F.col("last"), F.lit(True)))
+    common = holders.agg(F.count("doc").alias("n"), F.max("doc").alias("last")).where((F.col("n") >= min_docs) & F.col("last").isNotNull())
+    # Few keys are common, so each is repeated for every salt, and the lines of a hot one go to as many tasks.
+    spread = common.select("h1", "h2", "last", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = ranged.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
+    lost = salted.join(spread, ["h1", "h2", "salt"]).where(F.coalesce(F.col("doc") < F.col("last"), F.lit(True)))
     words = lost.select("doc", "row", F.expr("cast(pos div 64 as bigint) AS word"), F.expr("shiftleft(1L, pos % 64) AS bit"))
     words = words.groupBy("doc", "row", "word").agg(F.bit_or("bit").alias("bits"))
     return words.groupBy("doc", "row").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("dropped"))
@@ -89,7 +94,7 @@ WITH lines AS (
 ), common AS (
   SELECT key, max(doc_id) AS last FROM lines WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3
 ), marked AS (
-  SELECT l.*, coalesce(l.doc_id < c.last, false) AS lost FROM lines l LEFT JOIN common c USING (key)
+  SELECT l.*, coalesce(l.doc_id < c.last, c.last IS NOT NULL) AS lost FROM lines l LEFT JOIN common c USING (key)
 )
 SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (lost))::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256
