@@ -3,6 +3,7 @@
 Numbers, names and units become typed placeholders, so that a question asked again with other values keeps
 its template. Windows of templates are joined by hash; what joins counts only where the values behind the
 placeholders change consistently: one value of the item for one of the document, and the other way round.
+A second hash, of the tokens as they are, joins windows that are copied, whatever their share of placeholders.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 WINDOW, LEAST = 10, 5
 #: Tokens that consistent windows must cover to count: this many, or all of a shorter item.
 COVERED = 13
-#: Share of a window that placeholders may fill.
+#: Share of a window that placeholders may fill; a fuller one counts only where its tokens are the same.
 SLOTS = 0.5
 #: Distinct window hashes that are sent to the tasks (8 bytes each). Beyond, all windows go into the join.
 SENT = 500_000
@@ -36,6 +37,8 @@ WORD, NUMBER, UNIT, NAME = 0, 1, 2, 4
 ENDS, BARE = 8, 16  # the word ends a sentence; nothing of it is left
 _KIND = {NUMBER: 0x9E3779B97F4A7C15, UNIT: 0xC2B2AE3D27D4EB4F, NAME: 0x165667B19E3779F9}
 _FACTOR = 0x100000001B3
+#: Sets hashes of tokens apart from those of templates.
+_EXACT = np.uint64(0xD6E8FEB86659FD93)
 
 
 class Words(dict):
@@ -102,21 +105,27 @@ def rolling(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def windows(text: str | None, words: Words, lengths: list[int], wanted: np.ndarray | None) -> Iterator[tuple[int, int, str, list[str], list[int], int]]:
-    """(hash, position, template, slot values, slot places, tokens in all) of windows; only ``wanted`` hashes where given."""
+    """(hash, position, template, slot values, slot places, tokens in all) of windows; only ``wanted`` hashes where given.
+
+    Each window is given by its tokens and, unless placeholders fill too much of it, by its template. By tokens,
+    slots are numbers and units only, since names depend on the words around.
+    """
     k, hashes, kinds = template(text, words)
+    slots = np.concatenate(([0], np.cumsum(kinds != WORD)))
     for n in lengths:
-        h = rolling(hashes, n)
-        if not len(h):
+        if len(k) < n:
             continue
-        slots = np.concatenate(([0], np.cumsum(kinds != WORD)))
-        ok = slots[n:] - slots[:-n] <= SLOTS * n
-        if wanted is not None:
-            at = np.minimum(np.searchsorted(wanted, h), max(len(wanted) - 1, 0))
-            ok &= wanted[at] == h if len(wanted) else False
-        for i in np.flatnonzero(ok).tolist():
-            places = [j for j in range(i, i + n) if kinds[j]]
-            parts = [words.texts[k[j]] if not kinds[j] else {NUMBER: "<number>", UNIT: "<unit>", NAME: "<name>"}[int(kinds[j])] for j in range(i, i + n)]
-            yield int(h[i].view(np.int64)), i, " ".join(parts), [words.texts[k[j]] for j in places], places, len(k)
+        few = slots[n:] - slots[:-n] <= SLOTS * n
+        for exact in (False, True):
+            h = rolling(words.hashes[k], n) ^ _EXACT if exact else rolling(hashes, n)
+            ok = np.ones(len(h), bool) if exact else few
+            if wanted is not None:
+                at = np.minimum(np.searchsorted(wanted, h), max(len(wanted) - 1, 0))
+                ok = ok & (wanted[at] == h) if len(wanted) else np.zeros(len(h), bool)
+            for i in np.flatnonzero(ok).tolist():
+                places = [j for j in range(i, i + n) if kinds[j] and not (exact and kinds[j] == NAME)]
+                parts = [words.texts[k[j]] if exact or not kinds[j] else {NUMBER: "<number>", UNIT: "<unit>", NAME: "<name>"}[int(kinds[j])] for j in range(i, i + n)]
+                yield int(h[i].view(np.int64)), i, " ".join(parts), [words.texts[k[j]] for j in places], places, len(k)
 
 
 _SCHEMA = "hash bigint, pos int, template string, slots array<string>, places array<int>, tokens int"

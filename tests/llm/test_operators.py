@@ -262,6 +262,16 @@ def test_leaks_by_brute_force(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in decontamination.contamination_report(docs, items).collect()} == wanted
 
 
+def test_copies_full_of_placeholders(spark):
+    sums, title = "12 + 7 = 19 and 8 + 5 = 13", "Who Wrote The Old Man And The Sea"
+    dense = "Peter Paul Mary Anna Tom Bert Rome Paris 17 18 19 20 Oslo Bern Ulm"
+    rows = [(1, f"We know that {sums} as ever."), (2, f"It is asked. {title} in the end."), (3, f"Here is {dense} at last."), (4, "We know that 12 + 7 = 19 and 8 + 5 = 14 as ever."), (5, f"Here is {dense.replace('Oslo', 'Kiel').replace('Anna', 'Eva')} at last.")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, sums), (2, title), (3, dense)], "item_id bigint, text string")
+    found = {(r.doc_id, r.item_id, r.n_covered, r.reparameterised) for r in decontamination.contamination_report(docs, items).collect()}
+    assert found == {(1, 1, 7, False), (2, 2, 8, False), (3, 3, 15, False)}
+
+
 # Personal data
 
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
