@@ -3,7 +3,8 @@
 Numbers, names and units become typed placeholders, so that a question asked again with other values keeps
 its template. Windows of templates are joined by hash; what joins counts only where the values behind the
 placeholders change consistently: one value of the item for one of the document, and the other way round.
-A second hash, of the tokens as they are, joins windows that are copied, whatever their share of placeholders.
+A second hash depends neither on case nor on sentences: names are plain words in it, and where numbers and
+units fill too much of a window, so are they.
 """
 
 from __future__ import annotations
@@ -55,10 +56,10 @@ class Words(dict):
     def __missing__(self, raw: str) -> int:
         text = _EDGE.sub("", raw)
         flags = ENDS if raw.rstrip("\"')]}»”’*#%$&!")[-1:] in (".", "?", "!", ":", ";", "|", "") or raw.endswith(("!", "?")) else 0
-        low = text.lower()
+        low = text.casefold()
         if not low.strip("_-+$€£"):
             flags |= BARE
-        elif _NUMBER.fullmatch(text) or low in NUMBERS:
+        elif _NUMBER.fullmatch(low) or low in NUMBERS:
             flags |= NUMBER
         elif low in UNITS:
             flags |= UNIT
@@ -73,58 +74,88 @@ class Words(dict):
         return k
 
 
-def template(text: str | None, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers of the words, token hashes and kinds (0 for a plain word); bare punctuation is left out."""
+def template(text: str | None, words: Words) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Numbers of the words and their kinds (0 for a plain word); bare punctuation is left out.
+
+    Kinds come twice where they differ: with line breaks as starts of sentences, and as mere blanks.
+    """
     if len(words) > REMEMBERED:
         words.clear()
-    raw = (text or "").split()
+    raw, first = [], []
+    for line in (text or "").splitlines():
+        first.append(len(raw))
+        raw += line.split()
     k = np.fromiter(map(words.__getitem__, raw), np.int64, len(raw))
     flags = words.flags[k]
     ends = (flags & ENDS) > 0
     opens = np.concatenate(([True], ends[:-1])) if len(k) else ends
+    broken = opens.copy()
+    broken[[i for i in first if i < len(k)]] = True
     here = (flags & BARE) == 0
-    k, flags, opens = k[here], flags[here], opens[here]
+    k, flags, opens, broken = k[here], flags[here], opens[here], broken[here]
     number = (flags & NUMBER) > 0
     unit = ((flags & UNIT) > 0) & (np.concatenate(([False], number[:-1])) if len(k) else number)
-    name = ((flags & NAME) > 0) & ~opens
-    kinds = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, WORD))).astype(np.uint8)
-    hashes = words.hashes[k]
-    for kind, value in _KIND.items():
-        hashes[kinds == kind] = np.uint64(value)
-    return k, hashes, kinds
+    fixed = np.where(number, NUMBER, np.where(unit, UNIT, WORD)).astype(np.uint8)
+    name = ((flags & NAME) > 0) & (fixed == WORD)
+    both = [np.where(name & ~broken, np.uint8(NAME), fixed)]
+    if (name & broken & ~opens).any():
+        both.append(np.where(name & ~opens, np.uint8(NAME), fixed))
+    return k, both
 
 
 def rolling(hashes: np.ndarray, n: int) -> np.ndarray:
     """A hash of each run of ``n`` tokens."""
     if len(hashes) < n:
         return np.zeros(0, np.uint64)
+    mixed = hashes ^ (hashes >> np.uint64(29))
     out = np.full(len(hashes) - n + 1, np.uint64(n))
     for k in range(n):
-        out = out * np.uint64(_FACTOR) + (hashes[k : k + len(out)] ^ (hashes[k : k + len(out)] >> np.uint64(29)))
+        out *= np.uint64(_FACTOR)
+        out += mixed[k : k + len(out)]
     return out
 
 
+def _placed(raw: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    out = raw.copy()
+    for kind, value in _KIND.items():
+        out[kinds == kind] = np.uint64(value)
+    return out
+
+
+def _full(kinds: np.ndarray, n: int) -> np.ndarray:
+    slots = np.concatenate(([0], np.cumsum(kinds != WORD)))
+    return slots[n:] - slots[:-n] > SLOTS * n
+
+
 def windows(text: str | None, words: Words, lengths: list[int], wanted: np.ndarray | None) -> Iterator[tuple[int, int, str, list[str], list[int], int]]:
     """(hash, position, template, slot values, slot places, tokens in all) of windows; only ``wanted`` hashes where given.
 
-    Each window is given by its tokens and, unless placeholders fill too much of it, by its template. By tokens,
-    slots are numbers and units only, since names depend on the words around.
+    Each window comes without placeholders of names (by its tokens, where numbers and units fill too much of it),
+    and with them, where it has some and they do not fill too much.
     """
-    k, hashes, kinds = template(text, words)
-    slots = np.concatenate(([0], np.cumsum(kinds != WORD)))
+    k, both = template(text, words)
+    raw = words.hashes[k]
+    plain = np.where(both[0] == NAME, np.uint8(WORD), both[0])
     for n in lengths:
         if len(k) < n:
             continue
-        few = slots[n:] - slots[:-n] <= SLOTS * n
-        for exact in (False, True):
-            h = rolling(words.hashes[k], n) ^ _EXACT if exact else rolling(hashes, n)
-            ok = np.ones(len(h), bool) if exact else few
+        h, exact = rolling(_placed(raw, plain), n), _full(plain, n)
+        if exact.any():
+            h = np.where(exact, rolling(raw, n) ^ _EXACT, h)
+        forms = [(h, np.ones(len(h), bool), plain, exact)]
+        for kinds in both:
+            named = np.concatenate(([0], np.cumsum(kinds == NAME)))
+            use = (named[n:] > named[:-n]) & ~_full(kinds, n)
+            if use.any():
+                forms.append((rolling(_placed(raw, kinds), n), use, kinds, None))
+        for h, ok, kinds, exact in forms:
             if wanted is not None:
                 at = np.minimum(np.searchsorted(wanted, h), max(len(wanted) - 1, 0))
                 ok = ok & (wanted[at] == h) if len(wanted) else np.zeros(len(h), bool)
             for i in np.flatnonzero(ok).tolist():
-                places = [j for j in range(i, i + n) if kinds[j] and not (exact and kinds[j] == NAME)]
-                parts = [words.texts[k[j]] if exact or not kinds[j] else {NUMBER: "<number>", UNIT: "<unit>", NAME: "<name>"}[int(kinds[j])] for j in range(i, i + n)]
+                places = [j for j in range(i, i + n) if kinds[j]]
+                as_is = exact is not None and exact[i]
+                parts = [words.texts[k[j]] if as_is or not kinds[j] else {NUMBER: "<number>", UNIT: "<unit>", NAME: "<name>"}[int(kinds[j])] for j in range(i, i + n)]
                 yield int(h[i].view(np.int64)), i, " ".join(parts), [words.texts[k[j]] for j in places], places, len(k)
 
 

@@ -272,6 +272,16 @@ def test_copies_full_of_placeholders(spark):
     assert found == {(1, 1, 7, False), (2, 2, 8, False), (3, 3, 15, False)}
 
 
+def test_copies_in_other_case_and_after_headings(spark):
+    german = "Am Abend geht der Hund mit Frau Meyer durch die Straße nach Haus"  # 13 tokens: each of them counts
+    short, asked = "What is the capital of the large country", "When did Anna and Tom leave the old town of Rome for 3 days"
+    rows = [(1, german.upper()), (2, f"ja {german.lower()} ja"), (3, f"Quiz questions\n{short}\nnext"), (4, f"Quiz questions {short}"), (5, f"Some of them\n{asked.replace('Anna', 'Eva')}"), (6, asked.replace("Anna", "Eva").replace("the old", "the\nold").replace("and Tom", "and\nTom"))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, german), (2, short), (3, asked)], "item_id bigint, text string")
+    found = {(r.doc_id, r.item_id, r.n_covered, r.reparameterised) for r in decontamination.contamination_report(docs, items).collect()}
+    assert found == {(1, 1, 13, False), (2, 1, 13, False), (3, 2, 8, False), (4, 2, 8, False), (5, 3, 14, True), (6, 3, 14, True)}
+
+
 # Personal data
 
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
