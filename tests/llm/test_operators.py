@@ -324,6 +324,25 @@ def test_secrets_are_added(spark):
     assert wanted and len(found & wanted) >= 0.9 * len(wanted) and len(found - wanted) <= 0.1 * len(wanted)
 
 
+def test_rare_kinds_are_kept(spark):
+    """One account and one national id in 8000 documents, outside the sample of documents."""
+    rows = [(i, f"mail a{i}@b.co, host 10.0.0.{i % 512}, card {4000 + i} 1111 1111 1111") for i in range(8000)]
+    outside = [r.doc_id for r in spark.range(8000).select(F.col("id").alias("doc_id")).where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / F.lit(1 << 30) > 0.6).limit(2).collect()]
+    extra = {outside[0]: "pay to DE89 3704 0044 0532 0130 00 now", outside[1]: "number 123-45-6789 here"}
+    docs = spark.createDataFrame([(i, extra.get(i, t)) for i, t in rows], "doc_id bigint, text string")
+    found = {r.doc_id: r.spans for r in pii.span_report(docs).where(F.col("doc_id").isin(*extra)).collect()}
+    assert "account:7:34" in found[outside[0]] and found[outside[1]] == "national_id:7:18"
+    alone = spark.createDataFrame([(1, "mail a@b.co"), (2, extra[outside[1]])], "doc_id bigint, text string")
+    assert {r.doc_id: r.spans for r in pii.span_report(alone).collect()}[2] == "national_id:7:18"
+
+
+def test_rejected_spans_block_nothing(spark, monkeypatch):
+    frame = spark.createDataFrame([(1, 1, kind, a, b, base, *[0] * len(pii.FEATURES)) for kind, a, b, base in (("secret", 0, 30, False), ("local_phone", 20, 50, False), ("account", 40, 70, False), ("email", 80, 90, True), ("account", 85, 99, False), ("secret", 92, 120, False))], "doc bigint, row bigint, kind string, start int, stop int, base boolean, " + ", ".join(f"{f} int" for f in pii.FEATURES))
+    monkeypatch.setattr(pii, "candidates", lambda docs, **_: docs)
+    found = pii.spans(frame, pii.Model(1.0, [], {k: 0.5 for k in pii.KINDS})).collect()
+    assert sorted((r.start, r.stop) for r in found) == [(0, 30), (40, 70), (80, 90), (92, 120)]
+
+
 def test_native_operators_run_no_python(spark, docs, capsys):
     for frame in (line_dedup.line_report(docs), pii.span_report(docs)):
         frame.explain()
