@@ -111,13 +111,37 @@ def compare_paired(before: DataFrame, after: DataFrame, value: str, by: str = "g
 
 def holm_adjusted(tests: DataFrame, p: str = "p", by: list[str] | None = None) -> DataFrame:
     """``p_holm``: step-down adjusted p values within ``by``."""
-    keys = by or []
+    if not by:
+        return _holm_over_all(tests, p)
+    keys = by
     order = Window.partitionBy(*keys).orderBy(p)
     m, rank = F.count(p).over(Window.partitionBy(*keys)), F.row_number().over(order)
     rows = tests.withColumn("__x", F.least(F.lit(1.0), F.col(p) * (m - rank + 1)))
     return rows.withColumn("p_holm", F.max("__x").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__x")
 
 
+def _holm_over_all(tests: DataFrame, p: str, buckets: int = 64) -> DataFrame:
+    """The same over all rows without one sorted partition: equal values are counted, ranges of them ranked apart, and
+    each range starts from the count and the maximum of those before it. A null stays null and counts for nothing."""
+    bounds = tests.approxQuantile(p, [k / buckets for k in range(1, buckets)], 0.005)
+    edges = F.array(*[F.lit(x) for x in sorted(set(bounds))]).cast("array<double>")
+    counted = tests.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("__v")).agg(F.count(F.lit(1)).alias("c"))
+    ranged = counted.withColumn("b", F.size(F.filter(edges, lambda x: x < F.col("__v"))))
+    sizes = {r["b"]: r["s"] for r in ranged.groupBy("b").agg(F.sum("c").alias("s")).collect()}
+    first, done = F.lit(0), 0
+    for k, n in sorted(sizes.items()):
+        first, done = F.when(F.col("b") == k, F.lit(done)).otherwise(first), done + n
+    own = Window.partitionBy("b").orderBy("__v")
+    before = F.coalesce(F.sum("c").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    x = ranged.withColumn("x", F.least(F.lit(1.0), F.col("__v") * (F.lit(done) - first - before)))
+    tops = {r["b"]: r["m"] for r in x.groupBy("b").agg(F.max("x").alias("m")).collect()}
+    least, top = F.lit(0.0), 0.0
+    for k, m in sorted(tops.items()):
+        least, top = F.when(F.col("b") == k, F.lit(top)).otherwise(least), max(top, m)
+    adjusted = x.select("__v", F.greatest(least, F.max("x").over(own.rowsBetween(Window.unboundedPreceding, 0))).alias("p_holm"))
+    return tests.join(adjusted, tests[p] == adjusted["__v"], "left").select(*[tests[c] for c in tests.columns], "p_holm")
+
+
 def versus_control(values: DataFrame, value: str, family: str = "welch", group: str = "grp", control: str = "control_grp", by: list[str] | None = None) -> DataFrame:
     """``group, control, by …, n, control_n, statistic, p, p_holm``: each group against its own control, Holm over ``by``.
 

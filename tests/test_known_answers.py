@@ -199,3 +199,16 @@ def test_scopes_and_controls(spark):
     values = spark.createDataFrame([(g, c, float(v)) for g, c, vs in (("t", "c", [5, 6, 7]), ("c", None, [1, 2, 3])) for v in vs], "grp string, control_grp string, v double")
     out = stats.versus_control(values, "v").collect()
     assert len(out) == 1 and out[0].p_holm == out[0].p < 0.02
+
+
+def test_holm_over_all_rows_is_no_single_task(spark):
+    from diurna.operators import stats
+
+    values = [((k * 7919) % 401 + 1) / 90000.0 for k in range(1000)] + [None, None]
+    found = stats.holm_adjusted(spark.createDataFrame(list(enumerate(values)), "id int, p double"))
+    known, top, wanted = sorted((v, i) for i, v in enumerate(values) if v is not None), 0.0, {1000: None, 1001: None}
+    for rank, (v, i) in enumerate(known):
+        top = max(top, min(1.0, v * (len(known) - rank)))
+        wanted[i] = top
+    assert {r.id: r.p_holm for r in found.collect()} == wanted
+    assert "SinglePartition" not in found._jdf.queryExecution().toString()
