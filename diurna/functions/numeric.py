@@ -245,9 +245,11 @@ def mesa(x: np.ndarray, step_hours: float, lo: float, hi: float, order: int | No
     return {"period": float(periods[k]), "strength": float(psd[k]), "order": int(len(a) - 1)}
 
 
-def wavelet_periods(lo: float, hi: float, voices: int = params.CWT_VOICES) -> np.ndarray:
-    n = int(math.ceil((math.log2(hi) - math.floor(math.log2(lo))) * voices)) + 1
-    p = 2.0 ** (math.floor(math.log2(lo)) + np.arange(n) / voices)
+def wavelet_periods(lo: float, hi: float, voices: int = params.CWT_VOICES, per_hour: float = 1.0) -> np.ndarray:
+    """Periods in hours from ``lo`` to ``hi``, whose octaves start at powers of two of samples."""
+    first = math.floor(math.log2(lo * per_hour))
+    n = int(math.ceil((math.log2(hi * per_hour) - first) * voices)) + 1
+    p = 2.0 ** (first + np.arange(n) / voices) / per_hour
     return p[(p >= lo - 1e-9) & (p <= hi + 1e-9)]
 
 
@@ -273,7 +275,7 @@ def wavelet_summary(x: np.ndarray, step: float, lo: float, hi: float, voices: in
     if n < 10 or y.std() == 0:
         return None
     per_hour = 60.0 / step
-    periods = wavelet_periods(lo, hi, voices)
+    periods = wavelet_periods(lo, hi, voices, per_hour)
     power = morlet_power(y, periods * per_hour)
     reach = np.minimum(np.arange(n), n - 1 - np.arange(n)) / per_hour / math.sqrt(2)
     inside = periods[:, None] <= reach[None, :]
@@ -293,8 +295,7 @@ def wavelet_summary(x: np.ndarray, step: float, lo: float, hi: float, voices: in
     else:
         alpha = float(np.clip((y[1:] @ y[:-1]) / max(y @ y, 1e-300), 0, 0.999))
         noise = y.var() * (1 - alpha**2) / (1 + alpha**2 - 2 * alpha * math.cos(2 * math.pi / (period * per_hour)))
-        scale = float(np.exp(-3.0 * (np.pi * 0) ** 2) * period * per_hour * math.sqrt(1 / (6 * math.pi)) / (period * per_hour))
-        strength = float(spectrum[k] / (noise * scale))
+        strength = float(spectrum[k] / (noise * math.sqrt(1 / (6 * math.pi))))
         if method == "ar1":
             strength /= -math.log(0.05)
     return {"period": period, "power": float(spectrum[k]), "strength": strength}

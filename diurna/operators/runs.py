@@ -14,6 +14,11 @@ def by_subject(key: str | list[str] = "id", order: str = "t"):
     return Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(order)
 
 
+def from_the_end(key: str | list[str] = "id", order: str = "t"):
+    """The rows from a subject's last one back to the current one: what follows is read in one pass, as what precedes is."""
+    return Window.partitionBy(*([key] if isinstance(key, str) else key)).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+
+
 def run_ids(df: DataFrame, changed: Column, name: str = "run", key: str | list[str] = "id", order: str = "t") -> DataFrame:
     """Number of the run a row is in: one more at every row where ``changed`` is true."""
     return df.withColumn(name, F.sum(F.coalesce(changed, F.lit(False)).cast("int")).over(by_subject(key, order).rowsBetween(Window.unboundedPreceding, 0)))
@@ -45,9 +50,9 @@ def smoothed(df: DataFrame, value: str, window: int, out: str, **options) -> Dat
 def fill_short_gaps(df: DataFrame, value: str, out: str, *, most: int = 4, key: str = "id", order: str = "t") -> DataFrame:
     """Runs of up to ``most`` missing rows between equal values take that value; edges stay missing."""
     w = by_subject(key, order)
-    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    before, after = w.rowsBetween(Window.unboundedPreceding, 0), from_the_end(key, order)
     runs = run_ids(df, F.col(value).isNull() != F.lag(F.col(value).isNull()).over(w), "__run", key, order)
-    left, right = F.last(value, ignorenulls=True).over(before), F.first(value, ignorenulls=True).over(after)
+    left, right = F.last(value, ignorenulls=True).over(before), F.last(value, ignorenulls=True).over(after)
     size = F.count(F.lit(1)).over(Window.partitionBy(key, "__run"))
     return runs.withColumn(out, F.coalesce(value, F.when((size <= most) & (left == right), left))).drop("__run")
 
@@ -56,13 +61,13 @@ def interpolate(df: DataFrame, value: str, out: str, *, key: str = "id", order:
     """Interior gaps filled along the line between their neighbours, where these are no more than ``most_span`` apart."""
     w = by_subject(key, order)
     at = F.when(F.col(value).isNotNull(), F.col(order))
-    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    before, after = w.rowsBetween(Window.unboundedPreceding, 0), from_the_end(key, order)
     near = df.withColumns(
         {
             "__t0": F.last(at, ignorenulls=True).over(before),
             "__x0": F.last(value, ignorenulls=True).over(before),
-            "__t1": F.first(at, ignorenulls=True).over(after),
-            "__x1": F.first(value, ignorenulls=True).over(after),
+            "__t1": F.last(at, ignorenulls=True).over(after),
+            "__x1": F.last(value, ignorenulls=True).over(after),
         }
     )
     line = F.col("__x0") + (F.col("__x1") - F.col("__x0")) * (F.col(order) - F.col("__t0")) / (F.col("__t1") - F.col("__t0"))

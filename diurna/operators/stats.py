@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tests_math as M
@@ -20,18 +20,33 @@ def moments(values: DataFrame, value: str, group: str = "grp") -> DataFrame:
     return ok.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.var_samp(value).alias("var"))
 
 
+def _ranged(values: DataFrame, column: str, buckets: int) -> DataFrame:
+    """``values`` with the range ``b`` of ``column`` that each row is in, by explicit bounds, so that every branch of a plan
+    and every repeated task agrees on it."""
+    edges = sorted(set(values.approxQuantile(column, [k / buckets for k in range(1, buckets)], 0.005)))
+    bounds = F.array(*[F.lit(x) for x in edges]).cast("array<double>")
+    return values.withColumn("b", F.size(F.filter(bounds, lambda x: x < F.col(column))))
+
+
+def _by_range(numbers: dict[int, float], none: float = 0) -> Column:
+    out = F.lit(none)
+    for k, n in sorted(numbers.items()):
+        out = F.when(F.col("b") == k, F.lit(n)).otherwise(out)
+    return out
+
+
 def ranks(values: DataFrame, value: str, group: str = "grp", buckets: int = 64) -> DataFrame:
     """``grp, n, rank_sum`` and, over all, ``ties``: average ranks without a global sort in one task.
 
     Equal values are counted first; ranges of values are summed apart, and each starts from the sum of those before it.
     """
     ok = values.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(F.col(group).alias("grp"), F.col(value).cast("double").alias("v"))
-    counted = ok.groupBy("v").agg(F.count(F.lit(1)).alias("c")).repartitionByRange(buckets, "v").withColumn("b", F.spark_partition_id())
+    counted = _ranged(ok.groupBy("v").agg(F.count(F.lit(1)).alias("c")), "v", buckets)
+    first, done = {}, 0
+    for r in counted.groupBy("b").agg(F.sum("c").alias("s")).orderBy("b").collect():
+        first[r["b"]], done = done, done + r["s"]
     own = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = counted.groupBy("b").agg(F.sum("c").alias("s"))
-    before = sizes.select("b", F.coalesce(F.sum("s").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
-    placed = counted.withColumn("own", F.coalesce(F.sum("c").over(own), F.lit(0))).join(F.broadcast(before), "b")
-    rank = placed.select("v", "c", (F.col("first") + F.col("own") + (F.col("c") + 1) / 2.0).alias("r"))
+    rank = counted.select("v", "c", (_by_range(first) + F.coalesce(F.sum("c").over(own), F.lit(0)) + (F.col("c") + 1) / 2.0).alias("r"))
     joined = ok.groupBy("grp", "v").agg(F.count(F.lit(1)).alias("k")).join(rank, "v")
     return joined.groupBy("grp").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("r")).alias("rank_sum"), F.sum(F.col("k") * (F.col("c") * F.col("c") - 1)).alias("ties"))
 
@@ -123,22 +138,18 @@ def holm_adjusted(tests: DataFrame, p: str = "p", by: list[str] | None = None) -
 def _holm_over_all(tests: DataFrame, p: str, buckets: int = 64) -> DataFrame:
     """The same over all rows without one sorted partition: equal values are counted, ranges of them ranked apart, and
     each range starts from the count and the maximum of those before it. A null stays null and counts for nothing."""
-    bounds = tests.approxQuantile(p, [k / buckets for k in range(1, buckets)], 0.005)
-    edges = F.array(*[F.lit(x) for x in sorted(set(bounds))]).cast("array<double>")
     counted = tests.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("__v")).agg(F.count(F.lit(1)).alias("c"))
-    ranged = counted.withColumn("b", F.size(F.filter(edges, lambda x: x < F.col("__v"))))
-    sizes = {r["b"]: r["s"] for r in ranged.groupBy("b").agg(F.sum("c").alias("s")).collect()}
-    first, done = F.lit(0), 0
-    for k, n in sorted(sizes.items()):
-        first, done = F.when(F.col("b") == k, F.lit(done)).otherwise(first), done + n
+    ranged = _ranged(counted, "__v", buckets)
+    first, done = {}, 0
+    for r in ranged.groupBy("b").agg(F.sum("c").alias("s")).orderBy("b").collect():
+        first[r["b"]], done = done, done + r["s"]
     own = Window.partitionBy("b").orderBy("__v")
     before = F.coalesce(F.sum("c").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    x = ranged.withColumn("x", F.least(F.lit(1.0), F.col("__v") * (F.lit(done) - first - before)))
-    tops = {r["b"]: r["m"] for r in x.groupBy("b").agg(F.max("x").alias("m")).collect()}
-    least, top = F.lit(0.0), 0.0
-    for k, m in sorted(tops.items()):
-        least, top = F.when(F.col("b") == k, F.lit(top)).otherwise(least), max(top, m)
-    adjusted = x.select("__v", F.greatest(least, F.max("x").over(own.rowsBetween(Window.unboundedPreceding, 0))).alias("p_holm"))
+    x = ranged.withColumn("x", F.least(F.lit(1.0), F.col("__v") * (F.lit(done) - _by_range(first) - before)))
+    least, top = {}, 0.0
+    for r in x.groupBy("b").agg(F.max("x").alias("m")).orderBy("b").collect():
+        least[r["b"]], top = top, max(top, r["m"])
+    adjusted = x.select("__v", F.greatest(_by_range(least, 0.0), F.max("x").over(own.rowsBetween(Window.unboundedPreceding, 0))).alias("p_holm"))
     return tests.join(adjusted, tests[p] == adjusted["__v"], "left").select(*[tests[c] for c in tests.columns], "p_holm")
 
 

@@ -30,8 +30,9 @@ def surfaces(states: DataFrame, step: int = 1, bin_minutes: int = 5, lo: float =
         binned = x[: len(x) // k * k].reshape(-1, k).sum(axis=1)
         if len(binned) < 10 or binned.std() == 0:
             return pd.DataFrame([], columns=["id", "state", "period", "tbin", "power"])
-        periods = N.wavelet_periods(lo, hi, voices)
-        scales = periods * 60.0 / (k * step)
+        per_hour = 60.0 / (k * step)
+        periods = N.wavelet_periods(lo, hi, voices, per_hour)
+        scales = periods * per_hour
         power = N.morlet_power(binned - binned.mean(), scales) / scales[:, None]
         power = power / power.mean()
         first = int(t[0] // (k * step))
