@@ -1,10 +1,12 @@
 """Substring deduplication with compressed FM-indexes.
 
-A repeated window of words contains the same anchor wherever it stands: the smallest hash of its five-word
-runs. Anchors found in one document only cannot be part of a repeat, and most are dropped on that ground.
-Stretches of words around the others are dealt to shards by anchor. A shard indexes its distinct stretches
-(Burrows-Wheeler transform in a wavelet matrix of packed bits), streams them through backward search, and
-reports the intervals where a match of full window length starts in an earlier document too.
+A repeated window of words has the same anchor wherever it stands: the smallest hash of its five-word runs, those
+left aside that a sample shows to be common (a window of common runs only is anchored by its smallest and its
+largest one). Anchors found in one document only cannot be part of a repeat, and are dropped on that ground.
+Stretches of words around the others are collapsed to distinct ones, each with the smallest document that holds it,
+and dealt to shards by anchor. A shard indexes its stretches (Burrows-Wheeler transform in a wavelet matrix of packed
+bits) and streams them through backward search, which gives matching statistics: for every word, the longest match
+that ends there and stands in an earlier document. Matches of a window's length or more are the intervals reported.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW, GRAM = 13, 5
@@ -23,13 +25,17 @@ WINDOW, GRAM = 13, 5
 STRETCH = 64
 #: Words that a shard indexes at once, about.
 SHARD = 300_000
-#: Documents whose anchors are counted to find the hottest: at least and at most, a fiftieth of all in between.
+#: Documents whose runs are counted to find the common ones: at least and at most, a fiftieth of all in between.
 SAMPLED = (5_000, 200_000)
-#: Documents of that sample that share a hot anchor, and most hot anchors sent to the tasks (8 bytes each).
+#: Documents of that sample that share a common run or anchor, and most of them that are sent to the tasks (8 bytes each).
 HOT, HOTTEST = 6, 200_000
+#: Tasks that the occurrences of a stretch with a common anchor are dealt to.
+SALTS = 64
 REMEMBERED = 500_000
-#: The first place of an interval that stands for a whole text.
-COPY = -1
+#: Stretches whose words a task remembers to have sent.
+SENT = 200_000
+#: Null ids come before all others, each a key of its own: the lowest numbers, as many as SPAN.
+LOWEST, SPAN = -(1 << 63), 1 << 40
 
 
 class WordHashes(dict):
@@ -49,20 +55,58 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def anchors(words: list[bytes], cache: WordHashes) -> np.ndarray:
-    """The anchor of the window at each word; fewer words than a window have none."""
+def grams(words: list[bytes], cache: WordHashes) -> np.ndarray:
+    """The hash of the five-word run at each word; fewer words than a window have none."""
     n = len(words)
     if n < WINDOW:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(cache.__getitem__, words), np.uint64, n)
-    grams = np.zeros(n - GRAM + 1, np.uint64)
+    out = np.zeros(n - GRAM + 1, np.uint64)
     for k in range(GRAM):
-        grams = grams * np.uint64(0x100000001B3) + h[k : k + len(grams)]
-    grams = mixed(grams)
-    out = grams[: n - WINDOW + 1].copy()
-    for k in range(1, WINDOW - GRAM + 1):
-        np.minimum(out, grams[k : k + len(out)], out=out)
-    return out
+        out = out * np.uint64(0x100000001B3) + h[k : k + len(out)]
+    return mixed(out)
+
+
+def sliding(x: np.ndarray, best) -> np.ndarray:
+    """``best`` (np.minimum or np.maximum) of the runs in each window."""
+    width, wide = 1, x
+    while 2 * width <= WINDOW - GRAM + 1:
+        wide = best(wide[:-width], wide[width:])
+        width *= 2
+    rest = WINDOW - GRAM + 1 - width
+    return best(wide[:-rest], wide[rest:]) if rest else wide
+
+
+class Common:
+    """A sorted set of hashes; a table of their low bits turns most others away first."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.values = np.sort(values)
+        self.table = np.zeros(1 << 18, bool)
+        self.table[self.values & np.uint64(0x3FFFF)] = True
+
+    def has(self, x: np.ndarray) -> np.ndarray:
+        out = self.table[x & np.uint64(0x3FFFF)]
+        at = np.flatnonzero(out)
+        if len(at):
+            out[at] = self.values[np.minimum(np.searchsorted(self.values, x[at]), len(self.values) - 1)] == x[at]
+        return out
+
+
+NONE = Common(np.zeros(0, np.uint64))
+_LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def anchors(words: list[bytes], cache: WordHashes, common: Common) -> tuple[np.ndarray, np.ndarray]:
+    """The anchor of the window at each word, and whether all its runs are common."""
+    g = grams(words, cache)
+    if not len(g):
+        return g, np.zeros(0, bool)
+    out = sliding(np.where(common.has(g), _LAST, g), np.minimum)
+    full = out == _LAST
+    if full.any():
+        out[full] = mixed(sliding(g, np.minimum)[full] * np.uint64(0x9E3779B97F4A7C15) + sliding(g, np.maximum)[full])
+    return out, full
 
 
 def stretches(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,22 +147,27 @@ class WaveletMatrix:
 
 
 class FmIndex:
-    """Backward search for patterns of up to ``WINDOW`` symbols in texts that each end with symbol 0."""
+    """Backward search for patterns of any length in texts that each end with symbol 0."""
 
     def __init__(self, symbols: np.ndarray, sigma: int) -> None:
-        n = len(symbols)
-        # Suffixes in order of their first 16 symbols: enough for every pattern that is searched.
-        rank, span = symbols.astype(np.int64), 1
-        while span < 16:
-            later = np.zeros(n, np.int64)
-            later[: max(n - span, 0)] = rank[span:] + 1
-            both = rank * (int(later.max()) + 1) + later
+        n, levels = len(symbols), max(1, int(sigma - 1).bit_length())
+        # Suffixes by their first symbols, as many as fit in a number, then by twice as many until they all differ.
+        span = max(1, 60 // (levels + 1))
+        both = np.zeros(n, np.int64)
+        for k in range(span):
+            both <<= levels + 1
+            both[: n - k] += symbols[k:] + 1
+        while True:
             self.order = np.argsort(both, kind="stable")
             ordered = both[self.order]
             rank = np.empty(n, np.int64)
             rank[self.order] = np.cumsum(np.concatenate(([0], ordered[1:] != ordered[:-1])))
+            if span >= n or rank[self.order[-1]] == n - 1:
+                break
+            later = np.zeros(n, np.int64)
+            later[: n - span] = rank[span:] + 1
+            both = rank * (n + 1) + later
             span *= 2
-        levels = max(1, int(sigma - 1).bit_length())
         self.matrix = WaveletMatrix(symbols[self.order - 1], levels)
         every = np.arange(sigma)
         self.first = np.concatenate(([0], np.cumsum(np.bincount(symbols, minlength=sigma))))[:sigma]
@@ -130,16 +179,36 @@ class FmIndex:
         return base + self.matrix.rank(symbol, low), base + self.matrix.rank(symbol, high)
 
 
+class Smallest:
+    """The smallest value of any range, from tables of ranges that double in length."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.tables = [values]
+        while 2 << len(self.tables) - 1 <= len(values):
+            half, last = 1 << len(self.tables) - 1, self.tables[-1]
+            self.tables.append(np.minimum(last[:-half], last[half:]))
+
+    def of(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        out = np.empty(len(low), self.tables[0].dtype)
+        level = np.frexp((high - low).astype(np.float64))[1] - 1
+        for k in np.unique(level).tolist():
+            own = level == k
+            out[own] = np.minimum(self.tables[k][low[own]], self.tables[k][high[own] - (1 << k)])
+        return out
+
+
 class Shard(NamedTuple):
-    """The stretches of some anchors: text, windows and smallest document of each distinct one."""
+    """Distinct stretches: their texts, numbers of windows, and the smallest document that holds each."""
 
     texts: list[bytes]
     sizes: np.ndarray
     docs: np.ndarray
 
 
-def earliest(shard: Shard) -> np.ndarray:
-    """The smallest document that each window of the shard's stretches starts in, stretch after stretch."""
+def matched(shard: Shard) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of the stretches, one after the other: the smallest document that it starts in, and the
+    matching statistic of its last word, that is the length of the longest match that ends there and stands in a
+    smaller document than the stretch's own."""
     parts = [t.split(b" ") for t in shard.texts]
     lengths = np.array([len(p) for p in parts])
     ids: dict[bytes, int] = {}
@@ -148,111 +217,141 @@ def earliest(shard: Shard) -> np.ndarray:
     symbols = np.zeros(int(ends[-1]), np.int64)
     symbols[np.arange(len(flat)) + np.repeat(np.arange(len(parts)), lengths)] = flat
     index = FmIndex(symbols, len(ids) + 1)
-    owner = np.repeat(shard.docs, lengths + 1)
-    # Every window is searched from its last word back; one that stands in a single place needs no more.
-    begin = np.repeat(ends - lengths - 1 - (np.cumsum(shard.sizes) - shard.sizes), shard.sizes) + np.arange(shard.sizes.sum())
-    out = np.repeat(shard.docs, shard.sizes)
-    active = np.arange(len(begin))
-    low, high = np.zeros(len(begin), np.int64), np.full(len(begin), len(symbols), np.int64)
-    for back in range(WINDOW - 1, -1, -1):
-        low, high = index.extend(symbols[begin[active] + back], low, high)
-        several = high - low > 1
-        active, low, high = active[several], low[several], high[several]
-        if not len(active):
-            return out
-    # Intervals of full windows are equal or apart: the smallest document of each one.
-    spots, which = np.unique(low, return_inverse=True)
-    tops = np.zeros(len(spots), np.int64)
-    tops[which] = high
-    cuts = np.stack((spots, tops), axis=1).ravel()
-    in_order = np.append(owner[index.order], np.iinfo(np.int64).max)
-    out[active] = np.minimum.reduceat(in_order, cuts)[::2][which]
-    return out
-
-
-def hot_anchors(docs: DataFrame) -> np.ndarray:
-    """Anchors that a sample's documents share, the most frequent first. They only choose the way, not the result."""
+    known, order = np.unique(shard.docs, return_inverse=True)
+    order = order.astype(np.int32)
+    smallest = Smallest(np.repeat(order, lengths + 1)[index.order])
+    first = np.repeat(ends - lengths - 1, shard.sizes)
+    last = first + WINDOW - 1 + np.arange(len(first)) - np.repeat(np.cumsum(shard.sizes) - shard.sizes, shard.sizes)
+    own = np.repeat(order, shard.sizes)
+    least, length = own.copy(), np.zeros(len(own), np.int64)
+    active = np.arange(len(own))
+    low, high = np.zeros(len(own), np.int64), np.full(len(own), len(symbols), np.int64)
+    back = 0
+    while len(active):
+        low, high = index.extend(symbols[last[active] - back], low, high)
+        found = smallest.of(low, high)
+        more = found < own[active]
+        active, low, high, found = active[more], low[more], high[more], found[more]
+        back += 1
+        length[active] = back
+        if back == WINDOW:
+            least[active] = found
+        inside = last[active] - back >= first[active]
+        active, low, high = active[inside], low[inside], high[inside]
+    return known[least], length
+
+
+def doc_of(key: str | Column) -> Column:
+    """The id that a key stands for."""
+    c = F.col(key) if isinstance(key, str) else key
+    return F.when(c < F.lit(LOWEST + SPAN).cast("bigint"), F.lit(LOWEST).cast("bigint")).otherwise(c)
+
+
+def sample_of(docs: DataFrame) -> DataFrame:
     total = docs.count()
     least, most = SAMPLED
-    place = F.pmod(F.xxhash64("doc"), F.lit(1 << 30)) / F.lit(1 << 30)
-    some = docs.where(place < min(max(least, total // 50), most) / max(1, total))
-    common = anchor_rows(some, np.zeros(0, np.int64)).groupBy("anchor").count().where(F.col("count") >= HOT)
-    return np.sort(np.array([r["anchor"] for r in common.orderBy(F.desc("count"), "anchor").limit(HOTTEST).collect()], np.int64))
-
-
-def among(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
-    if not len(sorted_):
-        return np.zeros(len(values), bool)
-    return sorted_[np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)] == values
+    place = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / F.lit(1 << 30)
+    return docs.where(place < min(max(least, total // 50), most) / max(1, total))
 
 
-def anchor_rows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """``anchor, doc``: the distinct anchors of each row that are not hot."""
+def hash_rows(docs: DataFrame, found) -> DataFrame:
+    """``hash, key``: the distinct hashes that ``found`` gives for each text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
-            found = [np.unique(anchors(words_of(t), cache).view(np.int64)) for t in batch.column(1).to_pylist()]
-            found = [f[~among(f, hot)] for f in found]
-            where = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            values = np.concatenate(found) if found else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(values), batch.column(0).take(pa.array(where))], ["anchor", "doc"])
+            hashes = [np.unique(found(words_of(t), cache)) for t in batch.column(1).to_pylist()]
+            where = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
+            values = np.concatenate(hashes).view(np.int64) if hashes else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(values), batch.column(0).take(pa.array(where))], ["hash", "key"])
+
+    return docs.select("key", "text").mapInArrow(work, "hash bigint, key bigint")
 
-    return docs.select("doc", "text").mapInArrow(work, "anchor bigint, doc bigint")
 
+def frequent(rows: DataFrame) -> Common:
+    """The hashes of HOT documents or more, at most HOTTEST. They only choose anchors and tasks, never the result."""
+    common = rows.groupBy("hash").count().where(F.col("count") >= HOT)
+    return Common(np.array([r["hash"] for r in common.orderBy(F.desc("count"), "hash").limit(HOTTEST).collect()], np.int64).view(np.uint64))
 
-def shared_stretches(texts: DataFrame, hot: np.ndarray) -> DataFrame:
-    """``anchor, doc, row, start, size, content`` around the anchors in ``shared``, those of copies left out."""
+
+def occurrences(texts: DataFrame, common: Common, spread: Common) -> DataFrame:
+    """``anchor, digest, salt, key, row, start, size, content`` of the stretches around shared anchors.
+
+    ``digest`` hashes the words; together with the anchor it stands for them. A task sends the words themselves
+    once, nulls for later occurrences. Stretches with a common anchor are salted.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        cache, sent = WordHashes(), set()
         for batch in batches:
             where, rows = [], []
-            for i, (text, shared) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3))):
-                if shared.as_py() is None:
-                    continue
+            for i, (key, text, shared) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3))):
                 words = words_of(text)
-                found = anchors(words, cache).view(np.int64)
+                found, full = anchors(words, cache, common)
                 if not len(found):
                     continue
                 starts, sizes = stretches(found)
                 values = found[starts]
-                ours = among(values, np.sort(shared.values.to_numpy(zero_copy_only=False))) & ~among(values, hot)
-                for s, n, a in zip(starts[ours].tolist(), sizes[ours].tolist(), values[ours].tolist()):
+                hot = full[starts] & spread.has(values)
+                ours = hot | among(values.view(np.int64), np.sort(shared.values.to_numpy(zero_copy_only=False)))
+                salt = (key ^ key >> 32) % SALTS
+                for s, n, a, h in zip(starts[ours].tolist(), sizes[ours].tolist(), values[ours].view(np.int64).tolist(), hot[ours].tolist()):
+                    content = b" ".join(words[s : s + n + WINDOW - 1])
+                    digest = xxhash.xxh3_64_intdigest(content)
+                    own = (a, digest, salt if h else 0)
+                    if fresh := own not in sent:
+                        if len(sent) >= SENT:
+                            sent.clear()
+                        sent.add(own)
                     where.append(i)
-                    rows.append((a, s, n, b" ".join(words[s : s + n + WINDOW - 1])))
+                    rows.append((*own, s, n, content if fresh else None))
             at = pa.array(where, pa.int64())
-            a, s, n, c = zip(*rows) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), batch.column(0).take(at), batch.column(1).take(at), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.binary())], ["anchor", "doc", "row", "start", "size", "content"])
+            anchors_, digests, salts, starts_, sizes_, contents = zip(*rows) if rows else [[]] * 6
+            columns = [pa.array(anchors_, pa.int64()), pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(salts, pa.int32()), batch.column(0).take(at), batch.column(1).take(at), pa.array(starts_, pa.int32()), pa.array(sizes_, pa.int32()), pa.array(contents, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["anchor", "digest", "salt", "key", "row", "start", "size", "content"])
+
+    return texts.select("key", "row", "text", "shared").mapInArrow(work, "anchor bigint, digest bigint, salt int, key bigint, row bigint, start int, size int, content binary")
+
+
+def among(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    if not len(sorted_):
+        return np.zeros(len(values), bool)
+    return sorted_[np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)] == values
 
-    return texts.select("doc", "row", "text", "shared").mapInArrow(work, "anchor bigint, doc bigint, row bigint, start bigint, size bigint, content binary")
 
+def repeats_in_shards(parts: DataFrame) -> DataFrame:
+    """``anchor, digest, salt, runs``: runs (a, b, earliest) of a stretch's windows that start in the document ``earliest`` already.
 
-def repeated_in_shards(parts: DataFrame) -> DataFrame:
-    """``doc, row, first, last``: intervals of words in windows that start in an earlier document."""
-    dealt = parts.repartition("anchor").sortWithinPartitions("anchor", "content", "doc")
+    ``parts`` has ``anchor, digest, salt, content, size`` and the smallest and the largest document (``low``, ``high``)
+    of every stretch. Runs that tell none of its documents anything are left out, and so are stretches without others.
+    """
+    dealt = parts.repartition("anchor").sortWithinPartitions("anchor", "content")
+    batch_names = ["anchor", "digest", "salt", "content", "size", "low", "high", *[c for c in parts.columns if c in ("row", "start")]]
+    run = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("earliest", pa.int64())]))
 
-    def solve(anchor, docs, rows, starts, sizes, contents) -> pa.RecordBatch:
+    def solve(anchor, digests, salts, contents, sizes, lows, highs, *_) -> pa.RecordBatch:
         texts: dict[tuple, int] = {}
         which = np.fromiter((texts.setdefault(x, len(texts)) for x in zip(anchor, contents)), np.int64, len(contents))
-        docs, starts, sizes = (np.array(x, np.int64) for x in (docs, starts, sizes))
-        lead = np.zeros(len(texts), np.int64)
-        own = np.full(len(texts), np.iinfo(np.int64).max)
-        np.minimum.at(own, which, docs)
-        lead[which] = sizes
-        first = earliest(Shard([c for _, c in texts], lead, own))
-        # The windows of every occurrence, those of a stretch side by side.
-        offsets = np.cumsum(lead) - lead
-        inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        gone = first[np.repeat(offsets[which], sizes) + inner] < np.repeat(docs, sizes)
-        begins = gone & ~np.concatenate(([False], gone[:-1] & (inner[1:] > 0)))
-        ends = gone & ~np.concatenate((gone[1:] & (inner[1:] > 0), [False]))
-        part = np.repeat(np.arange(len(sizes)), sizes)
-        a, b = np.flatnonzero(begins), np.flatnonzero(ends)
-        return pa.RecordBatch.from_arrays([pa.array(docs[part[a]]), pa.array(np.array(rows, np.int64)[part[a]]), pa.array(starts[part[a]] + inner[a]), pa.array(starts[part[b]] + inner[b] + WINDOW)], ["doc", "row", "first", "last"])
+        docs = np.full(len(texts), np.iinfo(np.int64).max)
+        np.minimum.at(docs, which, np.array(lows, np.int64))
+        windows = np.zeros(len(texts), np.int64)
+        windows[which] = sizes
+        earliest, _ = matched(Shard([c for _, c in texts], windows, docs))
+        ends = np.cumsum(windows)
+        change = np.flatnonzero(np.concatenate(([True], (earliest[1:] != earliest[:-1])))) if len(earliest) else np.zeros(0, np.int64)
+        change = np.union1d(change, ends - windows)
+        owner = np.searchsorted(ends, change, "right")
+        stop = np.append(change[1:], len(earliest))
+        runs: list[list] = [[] for _ in texts]
+        for k, a, b, e in zip(owner.tolist(), (change - (ends - windows)[owner]).tolist(), (stop - (ends - windows)[owner]).tolist(), earliest[change].tolist()):
+            runs[k].append({"a": a, "b": b, "earliest": e})
+        out = [[r for r in runs[k] if r["earliest"] < high] for k, high in zip(which.tolist(), highs)]
+        keep = pa.array([bool(x) for x in out], pa.bool_())
+        columns = [pa.array(anchor, pa.int64()), pa.array(digests, pa.int64()), pa.array(salts, pa.int32()), pa.array(out, run)]
+        return pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], ["anchor", "digest", "salt", "runs"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], [], [], [], [], []]
+        held: list[list] = [[] for _ in batch_names]
         words = 0
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
@@ -263,85 +362,67 @@ def repeated_in_shards(parts: DataFrame) -> DataFrame:
                     for h, c in zip(held, columns):
                         h += c[at:i]
                     yield solve(*held)
-                    held, words, at = [[], [], [], [], [], []], 0, i
+                    held, words, at = [[] for _ in batch_names], 0, i
                 words += size + WINDOW
             for h, c in zip(held, columns):
                 h += c[at:]
         if held[0]:
             yield solve(*held)
 
-    return dealt.mapInArrow(work, "doc bigint, row bigint, first bigint, last bigint")
-
-
-def hot_windows(texts: DataFrame, hot: np.ndarray) -> DataFrame:
-    """``w1, w2, doc, row, pos``: a 128-bit hash of each window with a hot anchor."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
-        for batch in batches:
-            where, spots, hashes = [], [], []
-            for i, (text, shared) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3))):
-                if shared.as_py() is None or not len(hot):
-                    continue
-                words = words_of(text)
-                for at in np.flatnonzero(among(anchors(words, cache).view(np.int64), hot)).tolist():
-                    where.append(i)
-                    spots.append(at)
-                    hashes.append(xxhash.xxh3_128_digest(b" ".join(words[at : at + WINDOW])))
-            at = pa.array(where, pa.int64())
-            pair = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), batch.column(0).take(at), batch.column(1).take(at), pa.array(spots, pa.int64())], ["w1", "w2", "doc", "row", "pos"])
-
-    return texts.select("doc", "row", "text", "shared").mapInArrow(work, "w1 bigint, w2 bigint, doc bigint, row bigint, pos bigint")
+    return dealt.select(*batch_names).mapInArrow(work, "anchor bigint, digest bigint, salt int, runs array<struct<a:int,b:int,earliest:bigint>>")
 
 
 def repeated_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of ``docs`` as ``doc, text, gone``: intervals of words that repeat an earlier document.
 
-    ``gone`` lists (row, first, last), the end exclusive, which may overlap; null for none. A first place of -1
-    says that the whole text stands in a row with a smaller id: then all its windows are repeated.
+    ``gone`` lists (row, first, last), the end exclusive, which may overlap; null for none.
 
-    Windows of 13 words are compared exactly (hot ones by a 128-bit hash). Texts of fewer words repeat nothing.
-    Rows that share an id do not repeat each other; a null id is smaller than any other. A null text has no
-    words. Empty tables give empty results; other columns are not read.
+    Every window of 13 words is compared word by word in an index, those of whole copies and of common passages
+    too; only stretches of equal words are one, by a 128-bit hash. Texts of fewer words repeat nothing. Rows that
+    share an id do not repeat each other; a null id is smaller than any other. A null text has no words. Empty
+    tables give empty results; other columns are not read. Ids below -2 ** 63 + 2 ** 40 count as null.
     """
-    lowest = F.lit(-(1 << 63)).cast("bigint")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.coalesce(F.col(id_col).cast("bigint"), lowest).alias("doc"), text.alias("text"))
-    base = base.withColumn("row", F.xxhash64("text"))
-    hot = hot_anchors(base)
-    # Anchors that two documents share; the hot ones are known to be, and are not shuffled.
-    found = anchor_rows(base, hot).repartition("anchor")
-    group = Window.partitionBy("anchor")
-    shared = found.withColumns({"low": F.min("doc").over(group), "high": F.max("doc").over(group)}).where("low < high")
-    # Whole copies are told by two hashes of the text, before any of their words is compared.
-    narrow = base.select("doc", "row", F.xxhash64(F.lit(1), "text").alias("row2"))
-    firsts = narrow.groupBy("row", "row2").agg(F.min("doc").alias("first"))
-    copies = narrow.join(firsts, ["row", "row2"]).where("doc > first").select("doc", "row").distinct()
-    # All joins with texts are by document alone, so that the texts are shuffled once.
-    marks = shared.select("doc", "anchor", F.lit(None).cast("bigint").alias("copy")).union(copies.select("doc", F.lit(None).cast("bigint"), "row"))
-    marks = marks.groupBy("doc").agg(F.collect_list("anchor").alias("shared"), F.collect_set("copy").alias("copies"))
-    none = F.array().cast("array<bigint>")
-    marked = base.join(marks, "doc", "left").select("doc", "row", "text", F.coalesce("shared", none).alias("shared"), F.coalesce("copies", none).alias("copies"))
-    texts = marked.where(~F.array_contains("copies", F.col("row"))).select("doc", "row", "text", "shared")
-    ways = repeated_in_shards(shared_stretches(texts, hot))
-    if len(hot):
-        windows = hot_windows(texts, hot)
-        least = windows.groupBy("w1", "w2").agg(F.min("doc").alias("least"))
-        ways = ways.union(windows.join(least, ["w1", "w2"]).where("doc > least").select("doc", "row", "pos", F.col("pos") + WINDOW))
-    ways = ways.union(copies.select("doc", "row", F.lit(COPY).cast("bigint"), F.lit(COPY).cast("bigint")))
-    gone = ways.groupBy("doc").agg(F.collect_list(F.struct("row", "first", "last")).alias("gone"))
-    out = base.join(gone, "doc", "left")
+    base = docs.select(F.col(id_col).cast("bigint").alias("key"), text.alias("text")).withColumn("row", F.xxhash64("text"))
+    base = base.withColumn("key", F.coalesce("key", F.lit(LOWEST).cast("bigint") + F.pmod("row", F.lit(SPAN))))
+    some = sample_of(base)
+    common = frequent(hash_rows(some, grams))
+    spread = NONE
+    if len(common.values):
+
+        def full(words: list[bytes], cache: WordHashes) -> np.ndarray:
+            found, whole = anchors(words, cache, common)
+            return found[whole]
+
+        spread = frequent(hash_rows(some, full))
+
+    def rare(words: list[bytes], cache: WordHashes) -> np.ndarray:
+        found, whole = anchors(words, cache, common)
+        return found[~(whole & spread.has(found))]
+
+    # Anchors that two documents share; those that a sample shows to be common are known to be, and are not shuffled.
+    found = hash_rows(base, rare).repartition("hash")
+    group = Window.partitionBy("hash")
+    shared = found.withColumns({"low": F.min(doc_of("key")).over(group), "high": F.max(doc_of("key")).over(group)}).where("low < high")
+    marks = shared.groupBy("key").agg(F.collect_list("hash").alias("shared"))
+    # Both joins with texts are by key, so that the texts are shuffled once.
+    texts = base.join(marks, "key", "left").withColumn("shared", F.coalesce("shared", F.array().cast("array<bigint>")))
+    doc, stretch = doc_of("key"), ["anchor", "digest", "salt"]
+    # Both branches read every column of the same rows, so that they share one exchange and one pass over the texts.
+    dealt = occurrences(texts, common, spread).where(" AND ".join(f"{c} IS NOT NULL" for c in (*stretch, "key"))).repartition(*stretch)
+    distinct = dealt.groupBy(*stretch).agg(F.max("content").alias("content"), F.max("size").alias("size"), F.min(doc).alias("low"), F.max(doc).alias("high"), F.min("row").alias("row"), F.min("start").alias("start"))
+    ways = dealt.join(repeats_in_shards(distinct), stretch).select("key", "row", "start", "size", "content", F.explode("runs").alias("x"))
+    ways = ways.where((F.col("x.earliest") < doc) & ((F.col("x.b") <= F.col("size")) | F.col("content").isNull()))
+    ways = ways.select("key", F.struct("row", (F.col("start") + F.col("x.a")).alias("first"), (F.col("start") + F.col("x.b") + WINDOW - 1).alias("last")).alias("x"))
+    gone = ways.groupBy("key").agg(F.collect_list("x").alias("gone"))
     own = F.filter("gone", lambda x: x["row"] == F.col("row"))
-    return out.select(F.nullif("doc", lowest).alias("doc"), "text", own.alias("gone"))
+    return base.join(gone, "key", "left").select(F.nullif(doc, F.lit(LOWEST).cast("bigint")).alias("doc"), "text", own.alias("gone"))
 
 
 def kept_words(words: list[bytes], first: np.ndarray, last: np.ndarray) -> list[bytes]:
     """The words outside the intervals."""
     if not len(first) or len(words) < WINDOW:
         return words
-    if first.min() == COPY:
-        return []
     change = np.zeros(len(words) + 1, np.int64)
     np.add.at(change, first, 1)
     np.add.at(change, last, -1)
@@ -350,7 +431,7 @@ def kept_words(words: list[bytes], first: np.ndarray, last: np.ndarray) -> list[
 
 def remove_repeats(docs: DataFrame, **options) -> DataFrame:
     """``doc, n_words, n_removed, kept``: the words that are left, joined by one blank."""
-    none = F.array().cast("array<bigint>")
+    none = F.array().cast("array<int>")
     found = repeated_words(docs, **options).select("doc", "text", *[F.coalesce(f"gone.{c}", none).alias(c) for c in ("first", "last")])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

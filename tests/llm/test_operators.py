@@ -376,9 +376,10 @@ def test_repeats_by_hand(docs, edge, hot, monkeypatch):
 def test_wavelet_ranks_and_backward_search():
     rng = np.random.default_rng(2)
     symbols = np.append(rng.integers(1, 6, 400), 0)
+    symbols[300:360] = symbols[100:160]
     index = substring_dedup.FmIndex(symbols, 6)
-    for length in (1, 2, 5):
-        for at in rng.integers(0, 390, 20):
+    for length in (1, 2, 5, 40):
+        for at in rng.integers(0, 350, 20):
             pattern = symbols[at : at + length]
             low, high = np.array([0]), np.array([len(symbols)])
             for s in pattern[::-1]:
@@ -386,6 +387,27 @@ def test_wavelet_ranks_and_backward_search():
             assert int(high[0] - low[0]) == sum(np.array_equal(symbols[i : i + length], pattern) for i in range(len(symbols) - length + 1))
 
 
+def test_matching_statistics_by_hand():
+    rng = np.random.default_rng(3)
+    texts = [[b"w%d" % k for k in rng.integers(0, 4, n)] for n in (30, 13, 76, 40)]
+    texts += [texts[0][5:25], texts[2][:60], texts[1]]
+    docs = np.array([5, 7, 7, 2, 9, 1, 3])
+    least, length = substring_dedup.matched(substring_dedup.Shard([b" ".join(t) for t in texts], np.array([len(t) - 12 for t in texts]), docs))
+    held = [{b" ".join(t[i:j]) for i in range(len(t)) for j in range(i + 1, len(t) + 1)} for t in texts]
+    wanted = []
+    for t, doc in zip(texts, docs):
+        for end in range(13, len(t) + 1):
+            longest = max((n for n in range(1, end + 1) if any(b" ".join(t[end - n : end]) in h for h, d in zip(held, docs) if d < doc)), default=0)
+            wanted.append((min(d for h, d in zip(held, docs) if b" ".join(t[end - 13 : end]) in h), longest))
+    assert list(zip(least.tolist(), length.tolist())) == wanted
+
+
+def test_every_repeat_comes_out_of_an_index(docs, monkeypatch):
+    """Without the index, no window of a copy or of a common passage is taken for a repeat either."""
+    monkeypatch.setattr(substring_dedup, "repeats_in_shards", lambda parts: parts.select("anchor", "digest", "salt", F.expr("cast(array() as array<struct<a:int,b:int,earliest:bigint>>) AS runs")))
+    assert substring_dedup.remove_repeats(docs).agg(F.sum("n_removed")).first()[0] == 0
+
+
 # All together
 
 
