@@ -11,6 +11,7 @@ that ends there and stands in an earlier document. Matches of a window's length
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -24,28 +25,19 @@ WINDOW, GRAM = 13, 5
 #: Windows of one stretch at most; longer ones with the same anchor are cut, overlapping by a window less a word.
 STRETCH = 64
 #: Words that a shard indexes at once, about.
-SHARD = 300_000
+SHARD = 100_000
 #: Documents whose runs are counted to find the common ones: at least and at most, a fiftieth of all in between.
 SAMPLED = (5_000, 200_000)
 #: Documents of that sample that share a common run or anchor, and most of them that are sent to the tasks (8 bytes each).
 HOT, HOTTEST = 6, 200_000
 #: Tasks that the occurrences of a stretch with a common anchor are dealt to.
 SALTS = 64
-REMEMBERED = 500_000
 #: Stretches whose words a task remembers to have sent.
 SENT = 200_000
 #: Null ids come before all others, each a key of its own: the lowest numbers, as many as SPAN.
 LOWEST, SPAN = -(1 << 63), 1 << 40
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        out = self[word] = xxhash.xxh64_intdigest(word)
-        return out
-
-
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
@@ -55,15 +47,55 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def grams(words: list[bytes], cache: WordHashes) -> np.ndarray:
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes of a text that are hashed at once; a longer word is hashed whole.
+PIECE = 1 << 20
+_BASE, _INVERSE = 0x100000001B3, pow(0x100000001B3, -1, 1 << 64)
+
+
+@functools.lru_cache(maxsize=2)
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _hashed(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    blank = _BLANK[data]
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True]))))
+    starts, ends = edge[::2], edge[1::2]
+    size = 1 << max(16, int(len(data)).bit_length())
+    so_far = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, size)[: len(data)], out=so_far[1:])
+    # The polynomial of each word's bytes, brought back to its own first byte.
+    return starts, ends, mixed((so_far[ends] - so_far[starts]) * _powers(_INVERSE, size)[starts])
+
+
+def hashed_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of each word of a text. Hashes only choose anchors; words are compared by their bytes."""
+    whole = np.frombuffer(data, np.uint8)
+    if len(whole) <= PIECE:
+        return _hashed(whole)
+    parts, at = [], 0
+    while at < len(whole):
+        stop = at + PIECE
+        while stop < len(whole) and not (found := _BLANK[whole[stop : stop + PIECE]]).any():
+            stop += PIECE
+        stop = stop + int(found.argmax()) if stop < len(whole) else len(whole)
+        starts, ends, hashes = _hashed(whole[at:stop])
+        parts.append((starts + at, ends + at, hashes))
+        at = stop
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def grams(h: np.ndarray) -> np.ndarray:
     """The hash of the five-word run at each word; fewer words than a window have none."""
-    n = len(words)
-    if n < WINDOW:
+    if len(h) < WINDOW:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(cache.__getitem__, words), np.uint64, n)
-    out = np.zeros(n - GRAM + 1, np.uint64)
+    out = np.zeros(len(h) - GRAM + 1, np.uint64)
     for k in range(GRAM):
-        out = out * np.uint64(0x100000001B3) + h[k : k + len(out)]
+        out = out * np.uint64(_BASE) + h[k : k + len(out)]
     return mixed(out)
 
 
@@ -97,9 +129,9 @@ NONE = Common(np.zeros(0, np.uint64))
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def anchors(words: list[bytes], cache: WordHashes, common: Common) -> tuple[np.ndarray, np.ndarray]:
+def anchors(h: np.ndarray, common: Common) -> tuple[np.ndarray, np.ndarray]:
     """The anchor of the window at each word, and whether all its runs are common."""
-    g = grams(words, cache)
+    g = grams(h)
     if not len(g):
         return g, np.zeros(0, bool)
     out = sliding(np.where(common.has(g), _LAST, g), np.minimum)
@@ -158,7 +190,7 @@ class FmIndex:
             both <<= levels + 1
             both[: n - k] += symbols[k:] + 1
         while True:
-            self.order = np.argsort(both, kind="stable")
+            self.order = np.argsort(both)
             ordered = both[self.order]
             rank = np.empty(n, np.int64)
             rank[self.order] = np.cumsum(np.concatenate(([0], ordered[1:] != ordered[:-1])))
@@ -209,7 +241,7 @@ def matched(shard: Shard) -> tuple[np.ndarray, np.ndarray]:
     """For each window of the stretches, one after the other: the smallest document that it starts in, and the
     matching statistic of its last word, that is the length of the longest match that ends there and stands in a
     smaller document than the stretch's own."""
-    parts = [t.split(b" ") for t in shard.texts]
+    parts = [t.split() for t in shard.texts]
     lengths = np.array([len(p) for p in parts])
     ids: dict[bytes, int] = {}
     flat = [ids.setdefault(w, len(ids) + 1) for p in parts for w in p]
@@ -258,9 +290,8 @@ def hash_rows(docs: DataFrame, found) -> DataFrame:
     """``hash, key``: the distinct hashes that ``found`` gives for each text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for batch in batches:
-            hashes = [np.unique(found(words_of(t), cache)) for t in batch.column(1).to_pylist()]
+            hashes = [np.unique(found(hashed_words((t or "").encode("utf-8", "surrogatepass"))[2])) for t in batch.column(1).to_pylist()]
             where = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
             values = np.concatenate(hashes).view(np.int64) if hashes else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(values), batch.column(0).take(pa.array(where))], ["hash", "key"])
@@ -274,43 +305,50 @@ def frequent(rows: DataFrame) -> Common:
     return Common(np.array([r["hash"] for r in common.orderBy(F.desc("count"), "hash").limit(HOTTEST).collect()], np.int64).view(np.uint64))
 
 
-def occurrences(texts: DataFrame, common: Common, spread: Common) -> DataFrame:
-    """``anchor, digest, salt, key, row, start, size, content`` of the stretches around shared anchors.
+STRETCHES = "anchor bigint, digest bigint, salt int, key bigint, row bigint, start int, size int, content binary"
+
 
-    ``digest`` hashes the words; together with the anchor it stands for them. A task sends the words themselves
-    once, nulls for later occurrences. Stretches with a common anchor are salted.
+def occurrences(texts: DataFrame, common: Common, spread: Common, frequent_ones: bool) -> DataFrame:
+    """STRETCHES around shared anchors, either around ``spread`` ones or around the others in each row's ``shared``.
+
+    ``content`` has the bytes from the first to the last word; ``digest`` hashes them, and together with the anchor
+    stands for them. A task sends the bytes once, nulls for later occurrences. The salt is that of the row.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, sent = WordHashes(), set()
+        sent: set[tuple] = set()
         for batch in batches:
             where, rows = [], []
             for i, (key, text, shared) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3))):
-                words = words_of(text)
-                found, full = anchors(words, cache, common)
-                if not len(found):
+                wanted = np.sort(shared.values.to_numpy(zero_copy_only=False))
+                if not frequent_ones and not len(wanted):
+                    continue
+                data = (text or "").encode("utf-8", "surrogatepass")
+                begins, stops, h = hashed_words(data)
+                found, full = anchors(h, common)
+                if not len(found) or frequent_ones and not full.any():
                     continue
                 starts, sizes = stretches(found)
                 values = found[starts]
                 hot = full[starts] & spread.has(values)
-                ours = hot | among(values.view(np.int64), np.sort(shared.values.to_numpy(zero_copy_only=False)))
-                salt = (key ^ key >> 32) % SALTS
-                for s, n, a, h in zip(starts[ours].tolist(), sizes[ours].tolist(), values[ours].view(np.int64).tolist(), hot[ours].tolist()):
-                    content = b" ".join(words[s : s + n + WINDOW - 1])
-                    digest = xxhash.xxh3_64_intdigest(content)
-                    own = (a, digest, salt if h else 0)
-                    if fresh := own not in sent:
+                ours = hot if frequent_ones else among(values.view(np.int64), wanted) & ~hot
+                starts, sizes, salt = starts[ours], sizes[ours], (key ^ key >> 32) % SALTS
+                places = (starts, sizes, begins[starts], stops[starts + sizes + WINDOW - 2], values[ours].view(np.int64))
+                for s, n, b, e, a in zip(*[x.tolist() for x in places]):
+                    content = data[b:e]
+                    own = (a, xxhash.xxh3_64_intdigest(content))
+                    if fresh := (*own, salt if frequent_ones else 0) not in sent:
                         if len(sent) >= SENT:
                             sent.clear()
-                        sent.add(own)
+                        sent.add((*own, salt if frequent_ones else 0))
                     where.append(i)
-                    rows.append((*own, s, n, content if fresh else None))
+                    rows.append((*own, salt, s, n, content if fresh else None))
             at = pa.array(where, pa.int64())
             anchors_, digests, salts, starts_, sizes_, contents = zip(*rows) if rows else [[]] * 6
             columns = [pa.array(anchors_, pa.int64()), pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(salts, pa.int32()), batch.column(0).take(at), batch.column(1).take(at), pa.array(starts_, pa.int32()), pa.array(sizes_, pa.int32()), pa.array(contents, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["anchor", "digest", "salt", "key", "row", "start", "size", "content"])
 
-    return texts.select("key", "row", "text", "shared").mapInArrow(work, "anchor bigint, digest bigint, salt int, key bigint, row bigint, start int, size int, content binary")
+    return texts.select("key", "row", "text", "shared").mapInArrow(work, STRETCHES)
 
 
 def among(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
@@ -319,57 +357,111 @@ def among(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
     return sorted_[np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)] == values
 
 
+def whole_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
+    """Columns of rows sorted by anchor (the first column), in parts of SHARD words about that leave anchors whole.
+    The second column has the number of windows."""
+    held: list[list] = []
+    words = 0
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns]
+        held = held or [[] for _ in columns]
+        at = 0
+        for i, (anchor, size) in enumerate(zip(columns[0], columns[1])):
+            last = columns[0][i - 1] if i else held[0][-1] if held[0] else anchor
+            if words >= SHARD and anchor != last:
+                for h, c in zip(held, columns):
+                    h += c[at:i]
+                yield held
+                held, words, at = [[] for _ in columns], 0, i
+            words += size + WINDOW
+        for h, c in zip(held, columns):
+            h += c[at:]
+    if held and held[0]:
+        yield held
+
+
+def earliest_of(anchor: list, sizes: list, digests: list, contents: list, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The stretch that each row is of, the first window of each stretch, and the earliest document of all windows."""
+    texts: dict[tuple, int] = {}
+    which = np.fromiter((texts.setdefault(x, len(texts)) for x in zip(anchor, digests)), np.int64, len(digests))
+    words: list[bytes] = [b""] * len(texts)
+    for k, content in zip(which.tolist(), contents):
+        if content is not None:
+            words[k] = content
+    own, windows = np.full(len(texts), np.iinfo(np.int64).max), np.zeros(len(texts), np.int64)
+    np.minimum.at(own, which, docs)
+    windows[which] = sizes
+    earliest, _ = matched(Shard(words, windows, own))
+    return which, np.cumsum(windows) - windows, earliest
+
+
+def docs_of(keys: list) -> np.ndarray:
+    out = np.array(keys, np.int64)
+    out[out < LOWEST + SPAN] = LOWEST
+    return out
+
+
 def repeats_in_shards(parts: DataFrame) -> DataFrame:
-    """``anchor, digest, salt, runs``: runs (a, b, earliest) of a stretch's windows that start in the document ``earliest`` already.
+    """``key, x``: (row, first, last) of the words in windows that start in an earlier document.
 
-    ``parts`` has ``anchor, digest, salt, content, size`` and the smallest and the largest document (``low``, ``high``)
-    of every stretch. Runs that tell none of its documents anything are left out, and so are stretches without others.
+    Each shard is a task's share of the anchors: it indexes their distinct stretches and compares every occurrence.
     """
-    dealt = parts.repartition("anchor").sortWithinPartitions("anchor", "content")
-    batch_names = ["anchor", "digest", "salt", "content", "size", "low", "high", *[c for c in parts.columns if c in ("row", "start")]]
+
+    def solve(anchor, sizes, digests, contents, keys, rows, starts) -> pa.RecordBatch:
+        docs, sizes, starts = docs_of(keys), np.array(sizes, np.int64), np.array(starts, np.int64)
+        which, offsets, first = earliest_of(anchor, sizes, digests, contents, docs)
+        # The windows of every occurrence, those of a stretch side by side.
+        inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        gone = first[np.repeat(offsets[which], sizes) + inner] < np.repeat(docs, sizes)
+        begins = gone & ~np.concatenate(([False], gone[:-1] & (inner[1:] > 0)))
+        ends = gone & ~np.concatenate((gone[1:] & (inner[1:] > 0), [False]))
+        part = np.repeat(np.arange(len(sizes)), sizes)
+        a, b = np.flatnonzero(begins), np.flatnonzero(ends)
+        x = pa.StructArray.from_arrays([pa.array(np.array(rows, np.int64)[part[a]]), pa.array((starts[part[a]] + inner[a]).astype(np.int32)), pa.array((starts[part[b]] + inner[b] + WINDOW).astype(np.int32))], ["row", "first", "last"])
+        return pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.int64)[part[a]]), x], ["key", "x"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in whole_anchors(batches):
+            yield solve(*held)
+
+    dealt = parts.repartition("anchor").sortWithinPartitions("anchor", "digest")
+    return dealt.select("anchor", "size", "digest", "content", "key", "row", "start").mapInArrow(work, "key bigint, x struct<row:bigint,first:int,last:int>")
+
+
+def repeats_of_common(parts: DataFrame) -> DataFrame:
+    """The same for stretches with common anchors, which may stand in a third of all documents.
+
+    Occurrences are dealt by salt and aggregated to distinct stretches before these meet by anchor in an index; what
+    it finds (runs of windows with their earliest document) goes back to the occurrences where they lie.
+    """
+    doc, stretch = doc_of("key"), ["anchor", "digest", "salt"]
     run = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("earliest", pa.int64())]))
 
-    def solve(anchor, digests, salts, contents, sizes, lows, highs, *_) -> pa.RecordBatch:
-        texts: dict[tuple, int] = {}
-        which = np.fromiter((texts.setdefault(x, len(texts)) for x in zip(anchor, contents)), np.int64, len(contents))
-        docs = np.full(len(texts), np.iinfo(np.int64).max)
-        np.minimum.at(docs, which, np.array(lows, np.int64))
-        windows = np.zeros(len(texts), np.int64)
-        windows[which] = sizes
-        earliest, _ = matched(Shard([c for _, c in texts], windows, docs))
-        ends = np.cumsum(windows)
-        change = np.flatnonzero(np.concatenate(([True], (earliest[1:] != earliest[:-1])))) if len(earliest) else np.zeros(0, np.int64)
-        change = np.union1d(change, ends - windows)
-        owner = np.searchsorted(ends, change, "right")
+    def solve(anchor, sizes, digests, contents, salts, lows, highs, *_) -> pa.RecordBatch:
+        which, offsets, earliest = earliest_of(anchor, sizes, digests, contents, np.array(lows, np.int64))
+        change = np.union1d(np.flatnonzero(np.concatenate(([True], earliest[1:] != earliest[:-1]))), offsets)
+        owner = np.searchsorted(offsets, change, "right") - 1
         stop = np.append(change[1:], len(earliest))
-        runs: list[list] = [[] for _ in texts]
-        for k, a, b, e in zip(owner.tolist(), (change - (ends - windows)[owner]).tolist(), (stop - (ends - windows)[owner]).tolist(), earliest[change].tolist()):
+        runs: list[list] = [[] for _ in offsets]
+        for k, a, b, e in zip(owner.tolist(), (change - offsets[owner]).tolist(), (stop - offsets[owner]).tolist(), earliest[change].tolist()):
             runs[k].append({"a": a, "b": b, "earliest": e})
         out = [[r for r in runs[k] if r["earliest"] < high] for k, high in zip(which.tolist(), highs)]
         keep = pa.array([bool(x) for x in out], pa.bool_())
         columns = [pa.array(anchor, pa.int64()), pa.array(digests, pa.int64()), pa.array(salts, pa.int32()), pa.array(out, run)]
-        return pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], ["anchor", "digest", "salt", "runs"])
+        return pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], [*stretch, "runs"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[] for _ in batch_names]
-        words = 0
-        for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            at = 0
-            for i, (anchor, size) in enumerate(zip(columns[0], columns[4])):
-                last = columns[0][i - 1] if i else held[0][-1] if held[0] else anchor
-                if words >= SHARD and anchor != last:
-                    for h, c in zip(held, columns):
-                        h += c[at:i]
-                    yield solve(*held)
-                    held, words, at = [[] for _ in batch_names], 0, i
-                words += size + WINDOW
-            for h, c in zip(held, columns):
-                h += c[at:]
-        if held[0]:
+        for held in whole_anchors(batches):
             yield solve(*held)
 
-    return dealt.select(*batch_names).mapInArrow(work, "anchor bigint, digest bigint, salt int, runs array<struct<a:int,b:int,earliest:bigint>>")
+    # Both branches read every column of the same rows, so that they share one exchange and one pass over the texts.
+    dealt = parts.where(" AND ".join(f"{c} IS NOT NULL" for c in (*stretch, "key"))).repartition(*stretch)
+    distinct = dealt.groupBy(*stretch).agg(F.max("content").alias("content"), F.max("size").alias("size"), F.min(doc).alias("low"), F.max(doc).alias("high"), F.min("row").alias("row"), F.min("start").alias("start"))
+    together = distinct.repartition("anchor").sortWithinPartitions("anchor", "digest")
+    index = together.select("anchor", "size", "digest", "content", "salt", "low", "high", "row", "start").mapInArrow(work, "anchor bigint, digest bigint, salt int, runs array<struct<a:int,b:int,earliest:bigint>>")
+    ways = dealt.join(index, stretch).select("key", "row", "start", "size", "content", F.explode("runs").alias("x"))
+    ways = ways.where((F.col("x.earliest") < doc) & ((F.col("x.b") <= F.col("size")) | F.col("content").isNull()))
+    return ways.select("key", F.struct("row", (F.col("start") + F.col("x.a")).alias("first"), (F.col("start") + F.col("x.b") + WINDOW - 1).alias("last")).alias("x"))
 
 
 def repeated_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -390,14 +482,14 @@ def repeated_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     spread = NONE
     if len(common.values):
 
-        def full(words: list[bytes], cache: WordHashes) -> np.ndarray:
-            found, whole = anchors(words, cache, common)
+        def full(h: np.ndarray) -> np.ndarray:
+            found, whole = anchors(h, common)
             return found[whole]
 
         spread = frequent(hash_rows(some, full))
 
-    def rare(words: list[bytes], cache: WordHashes) -> np.ndarray:
-        found, whole = anchors(words, cache, common)
+    def rare(h: np.ndarray) -> np.ndarray:
+        found, whole = anchors(h, common)
         return found[~(whole & spread.has(found))]
 
     # Anchors that two documents share; those that a sample shows to be common are known to be, and are not shuffled.
@@ -407,16 +499,12 @@ def repeated_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     marks = shared.groupBy("key").agg(F.collect_list("hash").alias("shared"))
     # Both joins with texts are by key, so that the texts are shuffled once.
     texts = base.join(marks, "key", "left").withColumn("shared", F.coalesce("shared", F.array().cast("array<bigint>")))
-    doc, stretch = doc_of("key"), ["anchor", "digest", "salt"]
-    # Both branches read every column of the same rows, so that they share one exchange and one pass over the texts.
-    dealt = occurrences(texts, common, spread).where(" AND ".join(f"{c} IS NOT NULL" for c in (*stretch, "key"))).repartition(*stretch)
-    distinct = dealt.groupBy(*stretch).agg(F.max("content").alias("content"), F.max("size").alias("size"), F.min(doc).alias("low"), F.max(doc).alias("high"), F.min("row").alias("row"), F.min("start").alias("start"))
-    ways = dealt.join(repeats_in_shards(distinct), stretch).select("key", "row", "start", "size", "content", F.explode("runs").alias("x"))
-    ways = ways.where((F.col("x.earliest") < doc) & ((F.col("x.b") <= F.col("size")) | F.col("content").isNull()))
-    ways = ways.select("key", F.struct("row", (F.col("start") + F.col("x.a")).alias("first"), (F.col("start") + F.col("x.b") + WINDOW - 1).alias("last")).alias("x"))
+    ways = repeats_in_shards(occurrences(texts, common, spread, False))
+    if len(spread.values):
+        ways = ways.union(repeats_of_common(occurrences(texts, common, spread, True)))
     gone = ways.groupBy("key").agg(F.collect_list("x").alias("gone"))
     own = F.filter("gone", lambda x: x["row"] == F.col("row"))
-    return base.join(gone, "key", "left").select(F.nullif(doc, F.lit(LOWEST).cast("bigint")).alias("doc"), "text", own.alias("gone"))
+    return base.join(gone, "key", "left").select(F.nullif(doc_of("key"), F.lit(LOWEST).cast("bigint")).alias("doc"), "text", own.alias("gone"))
 
 
 def kept_words(words: list[bytes], first: np.ndarray, last: np.ndarray) -> list[bytes]:

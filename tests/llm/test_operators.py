@@ -387,6 +387,15 @@ def test_wavelet_ranks_and_backward_search():
             assert int(high[0] - low[0]) == sum(np.array_equal(symbols[i : i + length], pattern) for i in range(len(symbols) - length + 1))
 
 
+def test_words_are_hashed_alike_wherever_they_stand(monkeypatch):
+    data = b"  ab \tcd\n" + b"x" * 300 + b" ab cd \x0b\x0cab"
+    starts, ends, whole = substring_dedup.hashed_words(data)
+    assert [data[a:b] for a, b in zip(starts, ends)] == data.split() and whole[0] == whole[3] == whole[5] and whole[1] == whole[4] != whole[0]
+    monkeypatch.setattr(substring_dedup, "PIECE", 16)
+    assert all(np.array_equal(x, y) for x, y in zip(substring_dedup.hashed_words(data), (starts, ends, whole)))
+    assert not len(substring_dedup.hashed_words(b"")[0]) and not len(substring_dedup.hashed_words(b" " * 100)[0])
+
+
 def test_matching_statistics_by_hand():
     rng = np.random.default_rng(3)
     texts = [[b"w%d" % k for k in rng.integers(0, 4, n)] for n in (30, 13, 76, 40)]
@@ -404,7 +413,8 @@ def test_matching_statistics_by_hand():
 
 def test_every_repeat_comes_out_of_an_index(docs, monkeypatch):
     """Without the index, no window of a copy or of a common passage is taken for a repeat either."""
-    monkeypatch.setattr(substring_dedup, "repeats_in_shards", lambda parts: parts.select("anchor", "digest", "salt", F.expr("cast(array() as array<struct<a:int,b:int,earliest:bigint>>) AS runs")))
+    monkeypatch.setattr(substring_dedup, "repeats_in_shards", lambda parts: parts.selectExpr("key", "struct(row, start AS first, start AS last) AS x").where("false"))
+    monkeypatch.setattr(substring_dedup, "repeats_of_common", substring_dedup.repeats_in_shards)
     assert substring_dedup.remove_repeats(docs).agg(F.sum("n_removed")).first()[0] == 0
 
 
