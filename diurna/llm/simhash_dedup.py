@@ -5,12 +5,15 @@ agree in all but ``radius`` of any number of blocks). Inside a bucket, bit plane
 fingerprints in each machine word, carry-save counters add up the differing bits of all of them at once,
 and words whose 64 distances all exceed the radius are abandoned. A bucket returns a spanning star of what
 it links, not its pairs; stars are contracted to components by joins.
+
+Fingerprints only nominate near copies: ``drop_near_duplicates`` compares the five-word shingles of the texts.
 """
 
 from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, written
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -38,10 +41,10 @@ def shingles(text: str | None, words: int) -> Iterator[bytes]:
     return map(b" ".join, zip(*(found[k:] for k in range(words))))
 
 
-def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
-    """64 bits, each set where more than half of the shingles' XXH64 values set it; 0 without words."""
+def fingerprint(text: str | None, words: int = 3, seed: int = 42, distinct: bool = False) -> int:
+    """64 bits, each set where more than half of the (distinct) shingles' XXH64 values set it; 0 without words."""
     counts, n, digest = np.zeros((8, 8), np.int64), 0, xxhash.xxh64_intdigest
-    todo = shingles(text, words)
+    todo = iter(set(shingles(text, words))) if distinct else shingles(text, words)
     while piece := list(itertools.islice(todo, PIECE)):
         hashes = np.fromiter((digest(x, seed) for x in piece), np.uint64, len(piece))
         octets = hashes.view(np.uint8).reshape(-1, 8) + _BYTE_BASE
@@ -126,10 +129,20 @@ class _Stars:
         return [(a, self.top(a)) for a in list(self.up)]
 
 
-def link_large(values: np.ndarray, radius: int, stars: _Stars) -> None:
+class Check(NamedTuple):
+    """A second fingerprint of each node, and how far apart linked ones may be."""
+
+    values: np.ndarray
+    radius: int
+
+    def close(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.values[a] ^ self.values[b]) <= self.radius
+
+
+def link_large(values: np.ndarray, radius: int, stars: _Stars, names: np.ndarray, check: Check | None = None) -> None:
     """Breadth-first search in one bucket; lanes already reached leave the planes."""
-    rest, todo = values, []
-    planes = bit_planes(rest)
+    rest, todo = np.arange(len(values)), []
+    planes = bit_planes(values)
     reached = np.zeros(len(rest), bool)
     cursor = 0
     while True:
@@ -141,18 +154,20 @@ def link_large(values: np.ndarray, radius: int, stars: _Stars) -> None:
             reached[cursor] = True
             todo.append(int(rest[cursor]))
         query = todo.pop()
-        near = lanes_of(within(planes, radius, query), len(rest))
+        near = lanes_of(within(planes, radius, int(values[query])), len(rest))
         near = near[~reached[near]]
+        if check is not None:
+            near = near[check.close(rest[near], np.full(len(near), query))]
         reached[near] = True
         for other in rest[near].tolist():
-            stars.link(query, other)
+            stars.link(int(names[query]), int(names[other]))
             todo.append(other)
         if len(rest) > 256 and reached.sum() * 2 > len(rest):
             rest, reached, cursor = rest[~reached], np.zeros(int((~reached).sum()), bool), 0
-            planes = bit_planes(rest)
+            planes = bit_planes(values[rest])
 
 
-def link_small(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int, stars: _Stars) -> None:
+def link_small(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int, stars: _Stars, names: np.ndarray, check: Check | None = None) -> None:
     """Many small buckets: lane by lane against the lane ``step`` places on, 64 to a word."""
     for step in range(1, int(sizes.max(initial=0))):
         wide = sizes > step
@@ -161,12 +176,14 @@ def link_small(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius
         for at in range(0, len(first), CHUNK):
             a = first[at : at + CHUNK]
             hit = a[lanes_of(within(bit_planes(values[a] ^ values[a + step]), radius), len(a))]
-            for x, y in zip(values[hit].tolist(), values[hit + step].tolist()):
+            if check is not None:
+                hit = hit[check.close(hit, hit + step)]
+            for x, y in zip(names[hit].tolist(), names[hit + step].tolist()):
                 stars.link(x, y)
 
 
 def dealt(batches, most: int | None) -> Iterator[tuple[np.ndarray, tuple | None]]:
-    """Rows (t, key, fp) of whole buckets; those of a bucket beyond ``most`` flow on in parts, with its key."""
+    """Rows (t, key, fp and more) of whole buckets; those of a bucket beyond ``most`` flow on in parts, with its key."""
     held, flowing = None, None
     for batch in itertools.chain(batches, (None,)):
         if batch is not None:
@@ -185,30 +202,41 @@ def dealt(batches, most: int | None) -> Iterator[tuple[np.ndarray, tuple | None]
             held = held[:, :0]
 
 
-def link_buckets(nodes: DataFrame, *, radius: int, blocks: int, equal: int, most: int | None) -> DataFrame:
-    """``a``, ``b``: stars of linked fingerprints. Of buckets beyond ``most``, the members with a null ``b`` instead."""
+def bucket_rows(nodes: DataFrame, blocks: int, equal: int) -> DataFrame:
+    """``t, key`` and the columns of ``nodes``: a row for each choice of blocks that have to be equal."""
     signed = [m - (1 << 64) if m >> 63 else m for m in block_masks(blocks, equal)]
     choices = F.array(*[F.struct(F.lit(k).cast("bigint").alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("bigint")).alias("key")) for k, m in enumerate(signed)])
-    rows = nodes.select("fp", F.explode(choices).alias("x")).select("x.t", "x.key", "fp")
-    rows = rows.repartition("t", "key").sortWithinPartitions("t", "key", "fp")
+    return nodes.select(*nodes.columns, F.explode(choices).alias("x")).select("x.t", "x.key", *nodes.columns)
+
+
+def link_buckets(rows: DataFrame, *, radius: int, most: int | None, second: int | None = None) -> DataFrame:
+    """``a``, ``b``: stars of linked nodes. Of buckets beyond ``most``, the members with a null ``b`` instead.
+
+    ``rows`` has ``t, key, fp`` of the members of each bucket, whose name is the fingerprint; with ``second``, also
+    ``fp2`` and ``node``, and nodes link only if their second fingerprints differ in that many bits or fewer too.
+    """
+    more = [] if second is None else ["fp2", "node"]
+    rows = rows.select("t", "key", "fp", *more).repartition("t", "key").sortWithinPartitions("t", "key", "fp")
 
     def work(batches):
         for rows, flowing in dealt(batches, most):
-            t, key, fp = rows
+            t, key, fp = rows[:3]
+            names = fp if second is None else rows[4]
             stars, beyond = _Stars(), [np.zeros(0, np.int64)]
             starts = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (key[1:] != key[:-1]))))
             sizes = np.diff(np.append(starts, len(t)))
-            values = np.ascontiguousarray(fp).view(np.uint64)
+            values, labels = (np.ascontiguousarray(x).view(np.uint64) for x in (fp, names))
+            other = None if second is None else np.ascontiguousarray(rows[3]).view(np.uint64)
             small = sizes <= SMALL
             if flowing == (t[0], key[0]):
-                beyond.append(fp[: sizes[0]])
+                beyond.append(names[: sizes[0]])
                 starts, sizes, small = starts[1:], sizes[1:], small[1:]
-            link_small(values, starts[small], sizes[small], radius, stars)
+            link_small(values, starts[small], sizes[small], radius, stars, labels, None if other is None else Check(other, second))
             for at, n in zip(starts[~small].tolist(), sizes[~small].tolist()):
                 if most is not None and n > most:
-                    beyond.append(fp[at : at + n])
+                    beyond.append(names[at : at + n])
                 else:
-                    link_large(values[at : at + n], radius, stars)
+                    link_large(values[at : at + n], radius, stars, labels[at : at + n], None if other is None else Check(other[at : at + n], second))
             edges = np.array(stars.edges(), np.uint64).reshape(-1, 2).view(np.int64)
             rest = np.concatenate(beyond)
             a = pa.array(np.concatenate([edges[:, 0], rest]))
@@ -218,6 +246,19 @@ def link_buckets(nodes: DataFrame, *, radius: int, blocks: int, equal: int, most
     return rows.mapInArrow(work, "a bigint, b bigint")
 
 
+def parted(rows: DataFrame, most: int) -> DataFrame:
+    """Buckets beyond ``most`` members as pairs of parts, each a bucket of its own; other buckets as they are.
+
+    Members are dealt to parts by hash, and every two parts meet once, so that no link is lost.
+    """
+    sizes = rows.groupBy("t", "key").count().where(F.col("count") > most).select("t", "key", F.ceil(F.col("count") / most).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    big = rows.join(sizes, ["t", "key"], "left").withColumn("own", F.coalesce(own, F.lit(0)))
+    met = big.select("*", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("other"))
+    pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    return met.withColumn("key", F.when(F.col("parts").isNull(), F.col("key")).otherwise(pair)).select(*rows.columns)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node``, ``root`` of every node that has an edge (``a``, ``b``); the root is its component's smallest.
 
@@ -240,52 +281,130 @@ def components(edges: DataFrame) -> DataFrame:
         now = cut(met.select("x.u", F.col("x.m").alias("v")).where("u <> v").distinct())
 
 
-#: Largest bucket that one task compares with the first choice of blocks. A larger one is dealt again with
-#: more equal blocks, so that each bucket has few free bits: at most 2 ** 16 fingerprints for two bits of
-#: radius. No bucket is left out.
+#: Largest bucket that one task compares with the first choice of blocks. A larger one is dealt again with more
+#: equal blocks, and what is still larger in parts that meet in pairs. No bucket is left out.
 MOST = 1 << 16
 #: radius -> (blocks, equal) of the first and of the second deal.
 DEALS = {0: ((1, 1), (1, 1)), 1: ((3, 2), (4, 3)), 2: ((4, 2), (8, 6)), 3: ((6, 3), (8, 5)), 4: ((7, 3), (9, 5)), 5: ((7, 2), (9, 4)), 6: ((8, 2), (10, 4))}
 
 
-def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, most: int = MOST) -> DataFrame:
-    """``doc``, ``row`` (hash of the text), ``fp`` and ``component`` of every row.
+def deals(radius: int) -> tuple[tuple[int, int], tuple[int, int]]:
+    """Any radius leaves two blocks equal of two more than the radius, and four of four more."""
+    return DEALS.get(radius, ((radius + 2, 2), (radius + 4, 4)))
+
+
+def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, most: int = MOST, distinct: bool = False, second: tuple[int, int] | None = None) -> DataFrame:
+    """``doc``, ``row`` (hash of the text), ``fp``, ``root`` and ``component`` of every row.
 
     Rows link when their fingerprints differ in ``radius`` bits or fewer, and the component is the smallest
-    id reachable. Texts without words (null and empty ones too) have fingerprint zero and link like any
+    id reachable; ``root`` names it where no row has an id. With ``second`` = (words, radius), a fingerprint of
+    shingles of so many words must be as close too. ``distinct`` leaves repeated shingles out of the first one.
+    Texts without words (null and empty ones too) have fingerprint zero and link like any
     other. Rows that share an id are nodes of their own; a null id counts as none, so a component of null ids only has none.
     Empty tables give empty results; other columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     marked = docs.select(F.struct(F.col(id_col).alias("doc"), F.xxhash64(text).alias("row")).alias("key"), text.alias("text"))
+    fields = ["fp"] if second is None else ["fp", "fp2"]
 
     def work(batches):
         for batch in batches:
-            values = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.column(0).flatten(), pa.array(values, pa.int64())], ["doc", "row", "fp"])
-
-    prints = cut(marked.mapInArrow(work, "doc bigint, row bigint, fp bigint"))
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc").alias("first")))
-    (blocks, equal), (more_blocks, more_equal) = DEALS[radius]
-    edges = cut(link_buckets(nodes, radius=radius, blocks=blocks, equal=equal, most=most))
-    beyond = edges.where("b IS NULL").select(F.col("a").alias("fp")).distinct()
+            texts = batch.column(1).to_pylist()
+            columns = [[fingerprint(t, words, distinct=distinct) for t in texts]]
+            if second is not None:
+                columns.append([fingerprint(t, second[0]) for t in texts])
+            yield pa.RecordBatch.from_arrays([*batch.column(0).flatten(), *[pa.array(np.array(c, np.uint64).view(np.int64), pa.int64()) for c in columns]], ["doc", "row", *fields])
+
+    prints = cut(marked.mapInArrow(work, "doc bigint, row bigint, " + ", ".join(f"{f} bigint" for f in fields)))
+    node = F.col("fp") if second is None else F.xxhash64(*fields)
+    nodes = cut(prints.groupBy(*fields).agg(F.min("doc").alias("first")).withColumn("node", node))
+    near = None if second is None else second[1]
+    members = nodes.select("fp") if second is None else nodes.select("fp", "fp2", "node")
+    first_deal, second_deal = deals(radius)
+    edges = cut(link_buckets(bucket_rows(members, *first_deal), radius=radius, most=most, second=near))
+    beyond = edges.where("b IS NULL").select(F.col("a").alias("node")).distinct()
     links = edges.where("b IS NOT NULL")
     if not beyond.isEmpty():
-        links = links.union(link_buckets(beyond, radius=radius, blocks=more_blocks, equal=more_equal, most=None))
-    tops = nodes.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+        again = beyond.select(F.col("node").alias("fp")) if second is None else members.join(beyond, "node").select("fp", "fp2", "node")
+        links = links.union(link_buckets(parted(bucket_rows(again, *second_deal), most), radius=radius, most=None, second=near))
+    tops = nodes.join(components(links), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     firsts = tops.groupBy("root").agg(F.min("first").alias("component"))
-    member = tops.join(firsts, "root").select("fp", "component")
-    return prints.join(member, "fp").select("doc", "row", "fp", "component")
+    member = tops.join(firsts, "root").select("node", "root", "component")
+    return prints.withColumn("node", node).join(member, "node").select("doc", "row", "fp", "root", "component")
+
+
+#: Words of a shingle, and the share of shingles that near copies have in common (of all that either has).
+SHINGLE, SIMILAR = 5, 0.8
+#: How near copies are nominated: distinct words within 7 bits, five-word shingles within 18. Texts of similarity 0.8
+#: differ in 4 and 10 bits in the mean.
+NOMINATED = {"words": 1, "distinct": True, "radius": 7, "second": (SHINGLE, 18)}
+#: Tasks that the comparisons with one document are dealt to.
+SALTS = 16
+
+
+def similarity(a: set[bytes], b: set[bytes]) -> float:
+    """Shared shingles over all; two texts without words are the same."""
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, **options) -> DataFrame:
+    """``doc, row`` of the rows that are near copies of one that stays.
+
+    Texts are the same or have ``similar`` of their five-word shingles in common (A-Z in lower case). In each nominated
+    group the smallest id stays and takes its near copies with it, then the smallest of those left, until none is:
+    so every row that goes is verified against one that stays, and no two of a group that stay are near copies.
+    A null id comes after all others.
+    """
+    groups = near_groups(docs, id_col=id_col, text_col=text_col, **{**NOMINATED, **options})
+    rank = F.struct(F.col("doc").isNull().alias("none"), "doc")
+    firsts = cut(groups.groupBy("root", "row").agg(F.min(rank).alias("who"), F.count(F.lit(1)).alias("n")))
+    same = groups.join(firsts.where("n > 1"), ["root", "row"]).where(~F.col("doc").eqNullSafe(F.col("who.doc"))).select("doc", "row")
+    several = firsts.groupBy("root").count().where("count > 1").select("root")
+    keys = firsts.join(several, "root").select("root", "row", "who")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.xxhash64(text).alias("row"), text.alias("text"))
+    own = keys.select("root", F.col("row").alias("__row"), F.col("who.doc").alias("__doc"))
+    held = texts.join(own, texts["doc"].eqNullSafe(own["__doc"]) & (texts["row"] == own["__row"])).select("root", "doc", "row", "text")
+    left, gone = written(held, "near"), [cut(same)]
+
+    def compare(batches):
+        known: tuple = (None, set())
+        for batch in batches:
+            out = []
+            for here, there in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if known[0] != there:
+                    known = (there, set(shingles(there, SHINGLE)))
+                out.append(similarity(set(shingles(here, SHINGLE)), known[1]) >= similar)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], ["x", "text", "close"])
+
+    while not left.isEmpty():
+        # Rows that share id and text are one.
+        heads = left.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "row")).alias("h"))
+        lead = left.join(heads, "root").where(F.col("doc").eqNullSafe(F.col("h.doc")) & (F.col("row") == F.col("h.row")))
+        lead = lead.groupBy("root", "doc", "row").agg(F.min("text").alias("lead"))
+        spread = lead.select(F.col("root").alias("r"), F.col("doc").alias("d"), F.col("row").alias("w"), "lead", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
+        salted = left.withColumn("s", F.pmod("row", F.lit(SALTS)).cast("int"))
+        pairs = salted.join(spread, (salted["root"] == spread["r"]) & (salted["s"] == spread["s"])).where(~(F.col("doc").eqNullSafe(F.col("d")) & (F.col("row") == F.col("w"))))
+        found = pairs.select(F.struct("root", "doc", "row").alias("x"), "text", "lead").mapInArrow(compare, "x struct<root:bigint,doc:bigint,row:bigint>, text string, close boolean")
+        now = written(found.select("x.root", "x.doc", "x.row", F.when(~F.col("close"), F.col("text")).alias("text"), "close"), "near")
+        gone.append(now.where("close").select("doc", "row"))
+        left = now.where("NOT close").select("root", "doc", "row", "text")
+    out = gone[0]
+    for part in gone[1:]:
+        out = out.unionByName(part)
+    return out.distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without all but one row of each group: the one with the smallest id, of a repeated row the first."""
-    groups = near_groups(docs, id_col=id_col, text_col=text_col, **options)
-    stays = groups.where("doc <=> component").groupBy("doc", "component").agg(F.min("row").alias("row"))
+    """``docs`` without the near copies of rows that stay; of rows that share id and text, one stays."""
+    gone = near_copies(docs, id_col=id_col, text_col=text_col, **options).select(F.col("doc").alias("__doc"), F.col("row").alias("__gone"))
     left = docs.withColumn("__row", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    keys = stays.select(F.col("doc").alias("__doc"), F.col("row").alias("__kept"))
-    found = left.join(keys, left[id_col].eqNullSafe(keys["__doc"]) & (left["__row"] == keys["__kept"]), "left_semi")
-    return found.dropDuplicates([id_col, "__row"]).select(*docs.columns)
+    kept = left.join(gone, left[id_col].cast("bigint").eqNullSafe(gone["__doc"]) & (left["__row"] == gone["__gone"]), "left_anti")
+    again = left.groupBy(F.col(id_col).alias("__id"), F.col("__row").alias("__again")).count().where("count > 1").select("__id", "__again")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    twice = kept[id_col].eqNullSafe(again["__id"]) & (kept["__row"] == again["__again"])
+    return kept.join(again, twice, "left_anti").unionByName(kept.join(again, twice, "left_semi").dropDuplicates([id_col, "__row"])).select(*docs.columns)
 
 
 def group_report(docs: DataFrame) -> DataFrame:

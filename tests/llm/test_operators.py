@@ -220,13 +220,43 @@ def test_groups_by_hand(docs, edge):
         assert sorted((str(r[0]), r[1], r[2]) for r in simhash_dedup.group_report(frame).collect()) == by_hand(rows, 2)
 
 
-@pytest.mark.parametrize("radius,most", [(2, 8), (6, 1 << 16), (6, 8)])
+@pytest.mark.parametrize("radius,most", [(2, 8), (6, 1 << 16), (6, 8), (8, 4)])
 def test_oversize_buckets_lose_nothing(docs, radius, most):
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     found = simhash_dedup.near_groups(docs, radius=radius, most=most).collect()
     assert sorted((r.doc, r.component) for r in found) == sorted((int(a), c) for a, _, c in by_hand(rows, radius))
 
 
+def test_near_copies_are_verified_on_texts(spark):
+    """Edits of one word in about 45 leave a similarity of 0.8; unrelated texts and chains stay."""
+    rng = np.random.default_rng(11)
+    vocabulary = np.array([f"w{k}" for k in range(4000)])
+    rows, truth = [], {}
+    for k in range(150):
+        base = vocabulary[rng.integers(0, 4000, rng.integers(60, 400))]
+        rows.append((10 * k, " ".join(base)))
+        for j in range(1, 4):
+            copy = base.copy()
+            at = rng.choice(len(copy), max(1, int(len(copy) * (0.005, 0.012, 0.02)[j - 1])), replace=False)
+            copy[at] = vocabulary[rng.integers(0, 4000, len(at))]
+            rows.append((10 * k + j, " ".join(copy)))
+    sets = {i: set(simhash_dedup.shingles(t, 5)) for i, t in rows}
+    truth = {i for i, _ in rows if any(simhash_dedup.similarity(sets[i], sets[10 * (i // 10) + j]) >= 0.8 for j in range(i % 10))}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = {r.doc_id for r in simhash_dedup.drop_near_duplicates(docs).collect()}
+    gone = {i for i, _ in rows} - kept
+    assert gone <= truth and len(gone) >= 0.95 * len(truth) > 200
+    for i in gone:
+        assert any(simhash_dedup.similarity(sets[i], sets[j]) >= 0.8 for j in kept if j // 10 == i // 10)
+
+
+def test_near_copies_at_the_edges(edge, empty):
+    kept = simhash_dedup.drop_near_duplicates(edge)
+    assert kept.columns == edge.columns and simhash_dedup.drop_near_duplicates(empty).count() == 0
+    found = collections.Counter((r.doc_id, r.text) for r in kept.collect())
+    assert max(found.values()) == 1 and (1, None) in found and (2, "") not in found and (7, WORDS) in found and (15, WORDS) not in found and (11, " ".join(["same"] * 3000)) not in found
+
+
 def test_bit_slices_count_differences():
     rng = np.random.default_rng(0)
     values = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
