@@ -1,6 +1,11 @@
 """From raw documents to packed training sequences: five stages, each one of the corpus operators.
 
 Every stage reads what its predecessor wrote. All but the last return the columns of ``documents``.
+
+Null and empty texts, and texts without letters, have no language and go in the first stage. Rows that share an id are
+rows of their own; of rows that share id and text, the third stage leaves one. A null id comes after all others. Ties
+go to the smallest id. An empty table gives an empty result; other columns than the id, the text, the language and the
+number of characters are handed on as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -10,11 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from diurna.llm import decontamination, langid, line_dedup, packing, simhash_dedup
 from diurna.llm.common import table, written
 
-#: Differing bits of fingerprints up to which the pipeline takes documents for near copies. Texts that share
-#: four fifths of their five-word shingles differ in six bits in the median.
-NEAR = 6
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or of no language with calibrated confidence, go."""
     model = langid.train(docs.where(langid.learned_from("doc_id", 4, 2)))
@@ -27,8 +27,8 @@ def line_dedup_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash_dedup.drop_near_duplicates(docs, radius=NEAR)
+    """Of documents that have four fifths of their five-word shingles in common, one stays."""
+    return simhash_dedup.drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
