@@ -1,9 +1,10 @@
 """Benchmark decontamination by template windows.
 
-Numbers, names and units become typed placeholders, so that a question asked again with other values keeps
-its template. Windows of templates are joined by hash; what joins counts only where the values behind the
-placeholders change consistently: one value of the item for one of the document, and the other way round.
-A second hash depends neither on case nor on sentences: names are plain words in it, and where numbers and
+Numbers, names and units become typed placeholders (a name or a number of several words is one), so that a question
+asked again with other values keeps its template. Windows of templates are joined by hash; what joins counts only
+where the values behind the placeholders change consistently: a name or unit of the item stands for one of the
+document and the other way round, and a number that is said again of the same thing stays one number.
+A second form depends neither on case nor on sentences: names are plain words in it, and where numbers and
 units fill too much of a window, so are they.
 """
 
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -18,14 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Tokens of a window; an item of fewer is one window, and of fewer than LEAST tokens it is no evidence.
+#: Tokens of a window; an item of fewer is one window. One of fewer than LEAST counts only word by word, as whole lines.
 WINDOW, LEAST = 10, 5
 #: Tokens that consistent windows must cover to count: this many, or all of a shorter item.
 COVERED = 13
 #: Share of a window that placeholders may fill; a fuller one counts only where its tokens are the same.
 SLOTS = 0.5
-#: Distinct window hashes that are sent to the tasks (8 bytes each). Beyond, all windows go into the join.
-SENT = 500_000
+#: Tasks get a bit for each window hash of the items, in a table of 64 bits a hash between these sizes (powers of two).
+TABLE = (22, 27)
 #: Words a worker remembers.
 REMEMBERED = 500_000
 
@@ -35,7 +37,7 @@ UNITS = frozenset("mm cm m km in inch inches ft foot feet yd yard yards mile mil
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:%|st|nd|rd|th)?")
 _EDGE = re.compile(r"^[^\w+$€£-]+|[^\w%]+$|^[_-]+(?!\d)|_+$")
 WORD, NUMBER, UNIT, NAME = 0, 1, 2, 4
-ENDS, BARE = 8, 16  # the word ends a sentence; nothing of it is left
+ENDS, BARE, STOPS, SPELT = 8, 16, 32, 64  # the word ends a sentence; nothing of it is left; a sign ends it; a number in letters
 _KIND = {NUMBER: 0x9E3779B97F4A7C15, UNIT: 0xC2B2AE3D27D4EB4F, NAME: 0x165667B19E3779F9}
 _FACTOR = 0x100000001B3
 #: Sets hashes of tokens apart from those of templates.
@@ -59,12 +61,16 @@ class Words(dict):
         low = text.casefold()
         if not low.strip("_-+$€£"):
             flags |= BARE
-        elif _NUMBER.fullmatch(low) or low in NUMBERS:
+        elif _NUMBER.fullmatch(low):
             flags |= NUMBER
+        elif low in NUMBERS or "-" in low and NUMBERS.issuperset(low.split("-")):
+            flags |= NUMBER | SPELT
         elif low in UNITS:
             flags |= UNIT
         elif text[:1].isupper() and text[1:].islower():
             flags |= NAME
+        if not raw[-1:].isalnum():
+            flags |= STOPS
         k = len(self.texts)
         if k == len(self.hashes):
             self.hashes, self.flags = np.resize(self.hashes, 2 * k), np.resize(self.flags, 2 * k)
@@ -74,10 +80,33 @@ class Words(dict):
         return k
 
 
-def template(text: str | None, words: Words) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Numbers of the words and their kinds (0 for a plain word); bare punctuation is left out.
+class Form(NamedTuple):
+    """One reading of a text: words as numbers in ``Words``, some of them joined to tokens of one kind each."""
 
-    Kinds come twice where they differ: with line breaks as starts of sentences, and as mere blanks.
+    hashes: np.ndarray  # of each token's own words
+    kinds: np.ndarray
+    first: np.ndarray  # word that each token starts at
+    ends: np.ndarray  # and the one after it
+    words: np.ndarray
+
+    def text(self, words: Words, j: int) -> str:
+        return " ".join(words.texts[k] for k in self.words[self.first[j] : self.ends[j]])
+
+
+def _form(k: np.ndarray, kinds: np.ndarray, joins: np.ndarray, words: Words) -> Form:
+    first = np.flatnonzero(~joins)
+    ends = np.append(first[1:], len(k))
+    raw = words.hashes[k]
+    if len(first) == len(k):
+        return Form(raw, kinds, first, ends, k)
+    inside = np.arange(len(k)) - np.repeat(first, ends - first)
+    return Form(np.bitwise_xor.reduceat(raw * (2 * inside.astype(np.uint64) + np.uint64(1)), first), kinds[first], first, ends, k)
+
+
+def template(text: str | None, words: Words) -> tuple[list[Form], np.ndarray, np.ndarray]:
+    """The forms of a text, the one without names first, and whether a word starts or ends a line. Bare punctuation is left out.
+
+    There are two forms with names where they differ: with line breaks as starts of sentences, and as mere blanks.
     """
     if len(words) > REMEMBERED:
         words.clear()
@@ -91,16 +120,26 @@ def template(text: str | None, words: Words) -> tuple[np.ndarray, list[np.ndarra
     opens = np.concatenate(([True], ends[:-1])) if len(k) else ends
     broken = opens.copy()
     broken[[i for i in first if i < len(k)]] = True
-    here = (flags & BARE) == 0
-    k, flags, opens, broken = k[here], flags[here], opens[here], broken[here]
+    line = np.searchsorted(np.array(first, np.int64), np.arange(len(k)), "right")
+    here = np.flatnonzero((flags & BARE) == 0)
+    k, flags, opens, broken, line = k[here], flags[here], opens[here], broken[here], line[here]
+    starts = np.concatenate(([True], line[1:] != line[:-1])) if len(k) else opens
+    stops = np.concatenate((starts[1:], [True])) if len(k) else opens
     number = (flags & NUMBER) > 0
     unit = ((flags & UNIT) > 0) & (np.concatenate(([False], number[:-1])) if len(k) else number)
     fixed = np.where(number, NUMBER, np.where(unit, UNIT, WORD)).astype(np.uint8)
     name = ((flags & NAME) > 0) & (fixed == WORD)
-    both = [np.where(name & ~broken, np.uint8(NAME), fixed)]
+    # A word goes on with the token before it if nothing stands between them.
+    touches = np.concatenate(([False], (here[1:] - here[:-1] == 1) & ((flags[:-1] & STOPS) == 0))) if len(k) else number
+    spelt = touches & number & ((flags & SPELT) > 0) & np.roll(number, 1)
+    forms = [_form(k, fixed, spelt, words)]
+    readings = [name & ~broken]
     if (name & broken & ~opens).any():
-        both.append(np.where(name & ~opens, np.uint8(NAME), fixed))
-    return k, both
+        readings.append(name & ~opens)
+    for named in readings:
+        if named.any():
+            forms.append(_form(k, np.where(named, np.uint8(NAME), fixed), spelt | touches & named & np.roll(named, 1), words))
+    return forms, starts, stops
 
 
 def rolling(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -127,106 +166,138 @@ def _full(kinds: np.ndarray, n: int) -> np.ndarray:
     return slots[n:] - slots[:-n] > SLOTS * n
 
 
-def windows(text: str | None, words: Words, lengths: list[int], wanted: np.ndarray | None) -> Iterator[tuple[int, int, str, list[str], list[int], int]]:
-    """(hash, position, template, slot values, slot places, tokens in all) of windows; only ``wanted`` hashes where given.
+class Table(NamedTuple):
+    """A bit for each hash that is wanted, by its leading bits; others may share it."""
+
+    bits: np.ndarray
+    shift: int
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        at = h >> np.uint64(self.shift)
+        return (self.bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)) == 1
+
+
+_SCHEMA = "hash bigint, template string, size int, start int, stop int, slots array<string>, kinds array<int>, roles array<string>, tokens int"
 
-    Each window comes without placeholders of names (by its tokens, where numbers and units fill too much of it),
-    and with them, where it has some and they do not fill too much.
+
+def windows(text: str | None, words: Words, lengths: list[int] | None, wanted: Table | None) -> Iterator[tuple]:
+    """The columns of _SCHEMA of windows of ``lengths`` tokens whose hash is ``wanted`` (items: None, all of them, a short item whole).
+
+    Windows of the first form leave names alone, and are exact where numbers and units fill too much of them; the
+    others have names. Windows of fewer than LEAST tokens are exact and whole lines.
     """
-    k, both = template(text, words)
-    raw = words.hashes[k]
-    plain = np.where(both[0] == NAME, np.uint8(WORD), both[0])
-    for n in lengths:
-        if len(k) < n:
-            continue
-        h, exact = rolling(_placed(raw, plain), n), _full(plain, n)
-        if exact.any():
-            h = np.where(exact, rolling(raw, n) ^ _EXACT, h)
-        forms = [(h, np.ones(len(h), bool), plain, exact)]
-        for kinds in both:
-            named = np.concatenate(([0], np.cumsum(kinds == NAME)))
-            use = (named[n:] > named[:-n]) & ~_full(kinds, n)
-            if use.any():
-                forms.append((rolling(_placed(raw, kinds), n), use, kinds, None))
-        for h, ok, kinds, exact in forms:
+    forms, starts, stops = template(text, words)
+    for f, form in enumerate(forms):
+        m = len(form.kinds)
+        for n in lengths if lengths is not None else [min(m, WINDOW)]:
+            if not 0 < n <= m or f and n < LEAST:
+                continue
+            here = slice(0, m - n + 1)
+            if n < LEAST:
+                if lengths is None and m > n:
+                    continue
+                ok = starts[form.first[here]] & stops[form.ends[n - 1 :] - 1]
+                exact = np.ones(m - n + 1, bool)
+            else:
+                exact = _full(form.kinds, n)
+                named = np.concatenate(([0], np.cumsum(form.kinds == NAME)))
+                ok = (named[n:] > named[:-n]) & ~exact if f else np.ones(len(exact), bool)
+            if not ok.any():
+                continue
+            h = rolling(_placed(form.hashes, form.kinds), n)
+            if not f and exact.any():
+                h = np.where(exact, rolling(form.hashes, n) ^ _EXACT, h)
             if wanted is not None:
-                at = np.minimum(np.searchsorted(wanted, h), max(len(wanted) - 1, 0))
-                ok = ok & (wanted[at] == h) if len(wanted) else np.zeros(len(h), bool)
+                ok = ok & wanted.has(h)
             for i in np.flatnonzero(ok).tolist():
-                places = [j for j in range(i, i + n) if kinds[j]]
-                as_is = exact is not None and exact[i]
-                parts = [words.texts[k[j]] if as_is or not kinds[j] else {NUMBER: "<number>", UNIT: "<unit>", NAME: "<name>"}[int(kinds[j])] for j in range(i, i + n)]
-                yield int(h[i].view(np.int64)), i, " ".join(parts), [words.texts[k[j]] for j in places], places, len(k)
+                places = [j for j in range(i, i + n) if form.kinds[j]]
+                as_is = not f and bool(exact[i])
+                parts = [form.text(words, j) if as_is or not form.kinds[j] else {NUMBER: "<number>", UNIT: "<unit>", NAME: "<name>"}[int(form.kinds[j])] for j in range(i, i + n)]
+                roles = [form.text(words, j + 1) if j + 1 < m and form.kinds[j + 1] in (WORD, UNIT) else "" for j in places]
+                yield int(h[i].view(np.int64)), " ".join(parts), n, int(form.first[i]), int(form.ends[i + n - 1]), [form.text(words, j) for j in places], [int(form.kinds[j]) for j in places], roles, len(form.words)
 
 
-_SCHEMA = "hash bigint, pos int, template string, slots array<string>, places array<int>, tokens int"
-
-
-def template_windows(rows: DataFrame, keys: list[str], lengths: list[int], wanted: np.ndarray | None, whole: bool) -> DataFrame:
-    """The windows of ``rows`` (``keys`` and ``text``). ``whole``: rows are items, of which a short one is a window."""
+def template_windows(rows: DataFrame, keys: list[str], lengths: list[int] | None, wanted: Table | None) -> DataFrame:
+    """The windows of ``rows`` (``keys`` and ``text``); items where ``lengths`` is None."""
     packed = rows.select(F.struct(*keys).alias("key"), "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        kinds = (pa.int64(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.int32())
+        kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.int32())
         for batch in batches:
             where, out = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                sizes = lengths
-                if whole:
-                    n = len(template(text, words)[0])
-                    sizes = [min(n, WINDOW)] if n >= LEAST else []
-                found = list(windows(text, words, sizes, wanted))
+                found = list(windows(text, words, lengths, wanted))
                 where += [i] * len(found)
                 out += found
-            columns = [pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 6, kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(where, pa.int64())), *columns], ["key", "hash", "pos", "template", "slots", "places", "tokens"])
+            columns = [pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 9, kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(where, pa.int64())), *columns], ["key", *[c.split()[0] for c in _SCHEMA.split(", ")]])
 
     return packed.mapInArrow(work, f"key {packed.schema['key'].dataType.simpleString()}, {_SCHEMA}").select("key.*", *[c.split()[0] for c in _SCHEMA.split(", ")])
 
 
+def table_of(hashes: DataFrame) -> Table:
+    """The bits of all hashes, put together by Spark; at most 16 MB reach the driver, however many items there are."""
+    least, most = TABLE
+    size = min(max(least, (64 * hashes.count()).bit_length()), most)
+    at = F.shiftrightunsigned("hash", 64 - size)
+    words = hashes.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(hash, %d) & 63 AS int))" % (64 - size))).alias("bits"))
+    found, bits = words.toArrow(), np.zeros(1 << (size - 6), np.uint64)
+    bits[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return Table(bits, 64 - size)
+
+
+#: How many words apart windows of one alignment may lie, where names of more or fewer words stand between them.
+DRIFT = 3
+
+
+def _judged(aligned: list[dict]) -> tuple[int, bool]:
+    there: dict[tuple, set[str]] = {}
+    back: dict[tuple, set[str]] = {}
+    for kind, role, a, b in ((k, r, a, b) for m in aligned for k, r, a, b in zip(m["kinds"], m["roles"], m["item_slots"], m["slots"])):
+        there.setdefault((a, role if kind == NUMBER else kind), set()).add(b)
+        if kind != NUMBER:
+            back.setdefault((b, kind), set()).add(a)
+    consistent = all(len(x) == 1 for x in (*there.values(), *back.values()))
+    # Where one value stands for two, it is not the item asked again: only what is the same still counts.
+    taken = [m for m in aligned if consistent or m["item_slots"] == m["slots"]]
+    covered = {k for m in taken for k in range(m["item_start"], m["item_stop"])}
+    return len(covered), any(m["item_slots"] != m["slots"] for m in taken)
+
+
 def judge(matches: list[dict]) -> tuple[int, bool]:
-    """(tokens of the item covered by the best consistent alignment, whether values differ there)."""
-    best = (0, False)
+    """(words of the item covered by the best consistent alignment, whether values differ there)."""
     lines: dict[int, list[dict]] = {}
     for m in matches:
-        lines.setdefault(m["pos"] - m["item_pos"], []).append(m)
-    for aligned in lines.values():
-        aligned.sort(key=lambda m: m["pos"])
-        there: dict[str, set[str]] = {}
-        back: dict[str, set[str]] = {}
-        for a, b in ((a, b) for m in aligned for a, b in zip(m["item_slots"], m["slots"])):
-            there.setdefault(a, set()).add(b)
-            back.setdefault(b, set()).add(a)
-        consistent = all(len(x) == 1 for x in (*there.values(), *back.values()))
-        # Where one value stands for two, it is not the item asked again: only what is the same still counts.
-        taken = [m for m in aligned if consistent or m["item_slots"] == m["slots"]]
-        covered = {k for m in taken for k in range(m["item_pos"], m["item_pos"] + m["size"])}
-        changed = any(m["item_slots"] != m["slots"] for m in taken)
-        best = max(best, (len(covered), changed))
-    return best
+        lines.setdefault(m["start"] - m["item_start"], []).append(m)
+    best, group, last = max(map(_judged, lines.values()), default=(0, False)), [], None
+    for shift in sorted(lines):
+        if last is not None and shift - last > DRIFT:
+            best, group = max(best, _judged(group)), []
+        group += lines[shift]
+        last = shift
+    return max(best, _judged(group)) if len(lines) > 1 else best
 
 
 def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``doc, row, item, covered, tokens, changed``: documents that hold an item's template, with it.
 
     ``row`` is a hash of the document's text and tells apart rows that share an id; equal rows give one
-    result. ``covered`` of the item's ``tokens`` lie in windows with consistent values; ``changed`` says that
-    some value differs from the item's. Null and empty texts and items hold nothing, nor do items of fewer
-    than 5 tokens; equal items each give a result. Other columns are not read.
+    result. ``covered`` of the item's ``tokens`` (words) lie in windows with consistent values; ``changed`` says that
+    some value differs from the item's. Null and empty texts and items hold nothing; items of fewer than 5 words are
+    held by documents in which they are whole lines, word by word. Equal items each give a result. Other columns
+    are not read.
     """
     item_rows = items.select(F.col(item_col).cast("bigint").alias("item"), F.col(item_text_col).alias("text"))
-    known = template_windows(item_rows, ["item"], [], None, True)
-    known = known.select("item", "hash", "template", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), F.col("tokens").alias("item_tokens"))
-    distinct = known.select("hash").distinct().limit(SENT + 1)
-    hashes = [r["hash"] for r in distinct.collect()] if distinct.count() <= SENT else None
-    wanted = None if hashes is None else np.sort(np.array(hashes, np.int64).view(np.uint64))
-    short = [r["n"] for r in known.where(F.col("item_tokens") < WINDOW).select(F.col("item_tokens").alias("n")).distinct().orderBy("n").collect()]
+    known = template_windows(item_rows, ["item"], None, None)
+    known = known.select("item", "hash", "template", "size", "kinds", "roles", F.col("start").alias("item_start"), F.col("stop").alias("item_stop"), F.col("slots").alias("item_slots"), F.col("tokens").alias("item_tokens"))
+    wanted = table_of(known.select("hash").distinct())
+    short = [r["size"] for r in known.where(F.col("size") < WINDOW).select("size").distinct().orderBy("size").collect()]
     text = F.coalesce(F.col(text_col), F.lit(""))
     doc_rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.xxhash64(text).alias("row"), text.alias("text"))
-    found = template_windows(doc_rows, ["doc", "row"], [*short, WINDOW], wanted, False)
+    found = template_windows(doc_rows, ["doc", "row"], [*short, WINDOW], wanted).select("doc", "row", "hash", "template", "start", "slots")
     joined = found.join(known, ["hash", "template"])
-    match = F.struct("pos", "slots", "item_pos", "item_slots", F.size(F.split("template", " ")).alias("size"))
+    match = F.struct("start", "slots", "item_start", "item_stop", "item_slots", "kinds", "roles")
     pairs = joined.groupBy("doc", "row", "item").agg(F.collect_set(match).alias("matches"), F.first("item_tokens").alias("tokens"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

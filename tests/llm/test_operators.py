@@ -288,7 +288,7 @@ def test_leaks_by_brute_force(spark, monkeypatch):
     of = {r.item_id: grams(norm(r.text)) for r in items.collect()}
     wanted = {(r.doc_id, i) for r in docs.collect() for g in [grams(norm(r.text))] for i, own in of.items() if own & g}
     assert {(r.doc_id, r.item_id) for r in decontamination.contamination_report(docs, items).collect()} == wanted
-    monkeypatch.setattr(decontamination, "SENT", 1)  # beyond the bound, every window is joined
+    monkeypatch.setattr(decontamination, "TABLE", (8, 8))  # a table in which nearly all bits are set joins all the same
     assert {(r.doc_id, r.item_id) for r in decontamination.contamination_report(docs, items).collect()} == wanted
 
 
@@ -312,6 +312,29 @@ def test_copies_in_other_case_and_after_headings(spark):
     assert found == {(1, 1, 13, False), (2, 1, 13, False), (3, 2, 8, False), (4, 2, 8, False), (5, 3, 14, True), (6, 3, 14, True)}
 
 
+def test_planted_questions_with_other_values(spark):
+    """Items asked again with other names (of one or two words), numbers and units; plain texts of the same words stay clean."""
+    rng = np.random.default_rng(6)
+    stems = [f"{a} {b} {c}" for a in ("walked to the market of", "sold the old boat near", "wrote a long letter from", "counted the green birds above", "rented a small room in") for b in ("{p}",) for c in ("with {n} friends and paid {m} {u} for it before the evening meal was ready at home", "after {n} visits that took {m} {u} each while nobody else was looking at the clock", "because {n} guests had waited {m} {u} in front of the closed gate by the river")]
+    names, towns, units = ["Anna", "Peter", "Mary Ann", "Tom", "Eva Smith", "Otto"], ["Rome", "New York", "Oslo", "Saint John", "Bern"], ["minutes", "dollars", "hours", "miles", "euros"]
+    draw = lambda stem: f"{rng.choice(names)} and {rng.choice(names)} " + stem.format(p=rng.choice(towns), n=rng.choice(["3", "twelve", "27", "twenty five"]), m=int(rng.integers(2, 900)), u=rng.choice(units))
+    items = [(k, "It is told that " + draw(stem)) for k, stem in enumerate(stems)]
+    filler = " ".join(f"plain{k}" for k in range(40))
+    planted = [(100 + 10 * k + j, f"{filler}. It is told that {draw(stem)}. {filler}") for k, stem in enumerate(stems) for j in range(8)]
+    clean = [(9000 + j, " ".join(rng.permutation(" ".join(t for _, t in items).split())[:300])) for j in range(30)]
+    found = decontamination.contamination_report(spark.createDataFrame(planted + clean, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    held = {(r.doc_id, r.item_id) for r in found}
+    assert len({(d, (d - 100) // 10) for d, _ in planted} & held) >= 0.9 * len(planted) and not {d for d, _ in held if d >= 9000}
+
+
+def test_roles_and_short_items(spark):
+    ask = "A farmer who had {a} cows sold {b} of the goats and kept {a} cows in the old barn all winter long."
+    rows = [(1, ask.format(a=5, b=7)), (2, ask.format(a=5, b=5)), (3, ask.format(a=5, b=7).replace("kept 5", "kept 6")), (4, "intro\nWho is he?\nend"), (5, "They ask who is he in vain"), (6, "WHO IS HE")]
+    items = [(1, ask.format(a=3, b=3)), (2, "Who is he?"), (3, "?")]
+    found = {(r.doc_id, r.item_id, r.reparameterised) for r in decontamination.contamination_report(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert found == {(1, 1, True), (2, 1, True), (4, 2, False), (6, 2, False)}
+
+
 # Personal data
 
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
