@@ -116,9 +116,8 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     rows = rows.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     sizes = {r["lang"]: r["count"] for r in docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(sample).collect()}
     share = sample / max(1, len(sizes))
-    chance = F.lit(0.0)
-    for lang, n in sizes.items():
-        chance = F.when(F.col("lang") == lang, F.lit(share / n)).otherwise(chance)
+    # At most ``sample`` languages, so the table of their chances is small.
+    chances = docs.sparkSession.createDataFrame([(lang, share / n) for lang, n in sizes.items()], "known string, chance double")
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(1 << 30)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +129,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
             values = pa.array([c[w].astype("<u4").tobytes() for c, w in zip(found, where)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), buckets, values], ["lang", "buckets", "counts"])
 
-    chosen = rows.where(place < chance).select("lang", "text").limit(2 * sample)
+    chosen = rows.join(F.broadcast(chances), F.col("lang") == F.col("known")).where(place < F.col("chance")).select("lang", "text").limit(2 * sample)
     packed = sorted((r["lang"], bytes(r["buckets"]), bytes(r["counts"])) for r in chosen.mapInArrow(work, "lang string, buckets binary, counts binary").collect())
     x = np.zeros((len(packed), BUCKETS), np.float32)
     for row, (_, buckets, values) in zip(x, packed):

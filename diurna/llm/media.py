@@ -6,6 +6,7 @@ there and gives the length; what it does not confirm is not reported.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import struct
@@ -22,6 +23,10 @@ from pyspark.sql import functions as F
 from .common import written
 
 
+#: Bytes that a check of a compressed medium inflates at once.
+INFLATED = 1 << 20
+
+
 class Found(NamedTuple):
     offset: int
     length: int
@@ -127,32 +132,58 @@ def gzip(b: bytes, at: int) -> tuple[int, str] | None:
     """A member that inflates to its end, where zlib compares checksum and length."""
     if at + 18 > len(b) or b[at + 3] & 0xE0:
         return None
-    inflate, here = zlib.decompressobj(31), at
+    inflate, here, piece = zlib.decompressobj(31), at, b""
     try:
-        while here < len(b) and not inflate.eof:
-            piece = b[here : here + 65536]
-            inflate.decompress(piece)
-            here += len(piece)
+        while not inflate.eof and (piece or here < len(b)):
+            if not piece:
+                piece = b[here : here + 65536]
+                here += len(piece)
+            inflate.decompress(piece, INFLATED)  # what comes out is only checked, a bounded part at a time
+            piece = inflate.unconsumed_tail
+        while not inflate.eof and inflate.decompress(b"", INFLATED):
+            pass
     except zlib.error:
         return None
     return (here - len(inflate.unused_data) - at, "application/gzip") if inflate.eof else None
 
 
+@functools.lru_cache(maxsize=8)
+def places(b: bytes, mark: bytes) -> list[int]:
+    """Where ``mark`` stands; looked up once for all magic numbers of a text."""
+    out, at = [], b.find(mark)
+    while at >= 0:
+        out.append(at)
+        at = b.find(mark, at + 1)
+    return out
+
+
 def zipped(b: bytes, at: int) -> tuple[int, str] | None:
     """A central directory whose place and size lead back to this first entry."""
-    here = at
-    while (here := b.find(b"PK\x05\x06", here + 4)) >= 0 and here + 22 <= len(b):
-        size, start, note = *struct.unpack_from("<II", b, here + 12), int.from_bytes(b[here + 20 : here + 22], "little")
-        if start + size == here - at and here + 22 + note <= len(b) and b.startswith(b"PK\x01\x02", at + start):
+    for here in directories(b).get(at, ()):
+        note = int.from_bytes(b[here + 20 : here + 22], "little")
+        if here + 22 + note <= len(b) and b.startswith(b"PK\x01\x02", at + _u32le(b, here + 16)):
             return here + 22 + note - at, "application/zip"
     return None
 
 
+@functools.lru_cache(maxsize=2)
+def directories(b: bytes) -> dict[int, list[int]]:
+    """First entry that each end of a central directory leads back to -> those ends, in order."""
+    out: dict[int, list[int]] = {}
+    for here in places(b, b"PK\x05\x06"):
+        if here + 22 <= len(b):
+            out.setdefault(here - _u32le(b, here + 12) - _u32le(b, here + 16), []).append(here)
+    return out
+
+
 def pdf(b: bytes, at: int) -> tuple[int, str] | None:
-    """A version, and a cross-reference pointer before the end marker."""
-    end = b.find(b"%%EOF", at)
-    ok = b[at + 5 : at + 6].isdigit() and end >= 0 and b.find(b"startxref", at, end) >= 0
-    return (end + 5 - at, "application/pdf") if ok else None
+    """A version, and a cross-reference pointer before the first end marker."""
+    if not b[at + 5 : at + 6].isdigit():
+        return None
+    ends, marks = places(b, b"%%EOF"), places(b, b"startxref")
+    end, mark = bisect.bisect_left(ends, at), bisect.bisect_left(marks, at)
+    ok = end < len(ends) and mark < len(marks) and marks[mark] + 9 <= ends[end]
+    return (ends[end] + 5 - at, "application/pdf") if ok else None
 
 
 def ogg(b: bytes, at: int) -> tuple[int, str] | None:
@@ -300,7 +331,12 @@ def feature(data: bytes) -> str:
 
 
 def media_report(docs: DataFrame) -> DataFrame:
-    """What was stored for each document, read back through its sniffed type; see the README for the columns."""
+    """What was stored for each document, read back through its sniffed type.
+
+    ``n_bytes`` of the text, ``payload_bytes``, ``payload_sha256`` and ``tail_crc32`` of the samples read back,
+    ``media_bytes`` and ``media_sha256`` of the stored file, and ``feature``: type, statistics of the samples and the
+    number of media found inside. A null text is an empty one; rows that share an id each have their own.
+    """
     stored = sniff(store_texts(docs))
     schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
     names = ["doc", "n_bytes", "kind", "length", "media", "embedded"]

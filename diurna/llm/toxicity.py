@@ -1,14 +1,16 @@
 """Toxicity from a weighted lexicon.
 
-Texts are folded (lower case, letters that look alike, digits that stand for letters) and matched in one
-pass of Aho-Corasick. Weights come from a bounded sample of labelled rows: the log ratio of an entry's rate
+Texts are folded (letters that look alike, accents, full width, invisible signs, lower case, digits that stand for
+letters) and matched in one pass of Aho-Corasick. Weights come from a bounded sample of labelled rows: the log ratio of an entry's rate
 in toxic and in other texts. The sum of the weights is divided by the number of words and turned into a
-probability by a logistic curve fitted to the same sample. Words inside an exception phrase do not count.
+probability by a logistic curve fitted to the same sample. Words inside an exception phrase do not count; phrases
+of two words in which an entry is harmless are learned too.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
@@ -30,7 +32,10 @@ EXCEPTIONS = ["trash can", "trash bin", "trash bag", "trash collection", "recycl
 LOOKALIKES = dict(zip("аеорсухіјѕԁһӏпАВЕКМНОРСТУХαεικνορτυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsdhlnabekmhopctyxaeiknoptuxabezhikmnoptyx"))
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
 SIGNS = re.compile(r"(?<=\w)[@$](?=\w)")
-_TABLE = str.maketrans({**{c: " " for c in map(chr, range(128)) if not c.isalnum()}, **LOOKALIKES, **DIGITS})
+_TABLE = str.maketrans({**{c: " " for c in map(chr, range(128)) if not c.isalnum()}, **DIGITS})
+_ALIKE = str.maketrans(LOOKALIKES)
+#: Accents, and signs that are not seen.
+_MARKS = re.compile("[\u0300-\u036f\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe00-\ufe0f\ufeff]")
 #: Longest beginning of a word that is an entry; longer words are entries only as a whole.
 PREFIXES = range(4, 9)
 #: Least toxic texts with an entry, and least log ratio of its rates.
@@ -38,10 +43,15 @@ LEAST_TEXTS, LEAST_RATIO = 5, 2.0
 #: Least evidence for an entry, in nats: how far the toxic share of the texts with it is from that of all.
 LEAST_EVIDENCE = 8.0
 MOST_WEIGHT = 6.0
+#: Harmless texts, and no toxic one, that must hold a phrase of an entry and its neighbour for it to be an exception.
+HARMLESS = 5
 
 
 def fold(text: str) -> list[str]:
     """The words of a text after folding. Signs count as letters only inside a word."""
+    if not text.isascii():
+        # Look-alikes first, while capitals can be told from small letters.
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text.translate(_ALIKE))).translate(_ALIKE)
     if "@" in text or "$" in text:
         text = SIGNS.sub(lambda m: "a" if m[0] == "@" else "s", text)
     return text.lower().translate(_TABLE).split()
@@ -51,13 +61,14 @@ class Model(NamedTuple):
     weights: dict[str, float]  # " word " or " beginning" -> weight
     slope: float
     base: float
+    exceptions: tuple[str, ...] = ()
 
 
 def matcher(model: Model) -> ahocorasick.Automaton:
     out = ahocorasick.Automaton()
     for entry, weight in model.weights.items():
         out.add_word(entry, (len(entry), weight))
-    for phrase in EXCEPTIONS:
+    for phrase in {*EXCEPTIONS, *model.exceptions}:
         out.add_word(f" {phrase} ", (len(phrase) + 2, None))
     out.make_automaton()
     return out
@@ -99,6 +110,14 @@ def evidence(with_entry: int, toxic: int, share: float) -> float:
     return float(toxic * np.log(p / share) + harmless)
 
 
+def learned_exceptions(rows: list[tuple[bool, list[str]]], weights: dict[str, float]) -> tuple[str, ...]:
+    """Pairs of neighbours with a whole-word entry that HARMLESS texts hold and no toxic one, although toxic texts hold the entry."""
+    texts = {k: Counter() for k in (True, False)}
+    for toxic, words in rows:
+        texts[toxic].update({f"{a} {b}" for a, b in zip(words, words[1:]) if f" {a} " in weights or f" {b} " in weights})
+    return tuple(sorted(p for p, n in texts[False].items() if n >= HARMLESS and p not in texts[True]))
+
+
 def fit(rows: list[tuple[bool, list[str]]]) -> Model:
     """``rows``: (toxic, folded words). Without both kinds, the seed words alone decide."""
     total = {k: sum(len(w) for t, w in rows if t == k) + 1 for k in (True, False)}
@@ -116,7 +135,8 @@ def fit(rows: list[tuple[bool, list[str]]]) -> Model:
         shorter = max((weights.get(entry[:n], 0.0) for n in range(5, len(entry))), default=0.0)
         if ratio >= max(LEAST_RATIO, shorter + 0.5):
             weights[entry] = min(MOST_WEIGHT, ratio)
-    model = Model(weights, 60.0, -3.0)
+    exceptions = learned_exceptions(rows, weights)
+    model = Model(weights, 60.0, -3.0, exceptions)
     y = np.array([t for t, _ in rows], float)
     if not 0 < y.sum() < len(y):
         return model
@@ -132,15 +152,16 @@ def fit(rows: list[tuple[bool, list[str]]]) -> Model:
         slope = a.T @ (sides * (p - y)) + 0.02 * b
         curve = (a * (sides * p * (1 - p))[:, None]).T @ a + 0.02 * np.eye(2)
         b -= np.linalg.solve(curve, slope)
-    return Model(weights, float(b[0] / scale), float(b[1]))
+    return Model(weights, float(b[0] / scale), float(b[1]), exceptions)
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """A model of at most ``sample`` rows about, chosen by a hash of their id, toxic and others alike.
 
-    Callers filter rows that training may not see. Rows without text or label are not taken.
+    Callers filter rows that training may not see. Rows without text or label are not taken. An id that is labelled
+    more than once is one, and toxic if any of its labels says so; documents that share it each count.
     """
-    marks = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), (F.col(label_col) == 1).alias("toxic"))
+    marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col) == 1).alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
     place = F.pmod(F.xxhash64(F.col("__id").cast("string")), F.lit(1 << 30)) / F.lit(1 << 30)
     share = F.when(F.col("toxic"), F.lit(sample / 2 / max(1, sizes.get(True, 0)))).otherwise(F.lit(sample / 2 / max(1, sizes.get(False, 0))))

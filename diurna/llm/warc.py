@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import new_folder
 
 MAGIC = b"\x1f\x8b\x08"
+#: Bytes that a member inflates to at once.
+INFLATED = 1 << 22
 #: Payloads below this many bytes are never revisits.
 LEAST_REVISIT = 100
 #: A gzip member of nothing; its last byte is zero, as every row's has to be.
@@ -89,22 +91,34 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes] | None:
 
 
 class Member:
-    """A gzip member that is read piece by piece. ``state``: open, whole, or bad."""
+    """A gzip member that is read piece by piece. ``state``: open, whole, or bad.
+
+    What inflates to its end is a member, of a WARC or of anything else; of the latter only the length is kept.
+    """
 
     def __init__(self) -> None:
-        self.inflate, self.out, self.raw, self.state = zlib.decompressobj(31), [], [], "open"
+        self.inflate, self.out, self.size, self.raw, self.state = zlib.decompressobj(31), [], 0, [], "open"
 
     def add(self, piece: bytes) -> None:
         self.raw.append(piece)
         try:
-            self.out.append(self.inflate.decompress(piece))
+            while piece and not self.inflate.eof:
+                self.take(self.inflate.decompress(piece, INFLATED))
+                piece = self.inflate.unconsumed_tail
+            while self.inflate.eof is False and (rest := self.inflate.decompress(b"", INFLATED)):
+                self.take(rest)
         except zlib.error:
             self.state = "bad"
             return
         if self.inflate.eof:
             self.state = "whole"
-        elif len(b"".join(self.out[:2])[:5]) == 5 and not b"".join(self.out[:2]).startswith(b"WARC/"):
-            self.state = "bad"
+
+    def take(self, data: bytes) -> None:
+        if self.size < 5 or self.out:
+            self.out.append(data)
+        self.size += len(data)
+        if self.size >= 5 and self.out and not b"".join(self.out[:5])[:5] == b"WARC/":
+            self.out = []
 
     @property
     def data(self) -> bytes:
@@ -154,12 +168,51 @@ def fields(data: bytes) -> tuple | None:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """A row per record of the archives at ``path``, with the columns of RECORD.
 
-    Files may be split anywhere. Their names must not end in .gz: Spark's readers would inflate such files as
-    one stream, from the start, before this one sees them. Members that a false magic at the edge of a range tore apart are put
-    together by a second read that keeps only such pieces. Members that are no WARC record, and bytes
-    between members, are left out. No archive, no rows.
+    Files may be split anywhere. Spark's readers inflate files whose names end in .gz as one stream, from the start,
+    before this one sees them: such files are read whole, a task each (``read_streams``). Members that a false magic
+    at the edge of a range tore apart are put together by a second read that keeps only such pieces. Members that are
+    no WARC record, and bytes between members, are left out. No archive, no rows.
     """
-    cuts = spark.read.option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin-1")).text(path)
+    return _read_ranges(spark, path, {"pathGlobFilter": "{*[!z],*[!g]z,*[!.]gz}"}).unionByName(read_streams(spark, path))
+
+
+def read_streams(spark: SparkSession, path: str) -> DataFrame:
+    """The records of files that Spark inflates by their names (.gz): cut where a record may begin, and put together
+    again to the length that its header gives. A record is held in memory, not the file."""
+    begin = b"WARC/1."
+    cuts = spark.read.option("encoding", "ISO-8859-1").option("lineSep", begin.decode()).option("pathGlobFilter", "*.gz").text(path)
+    pieces = cuts.select(F.encode("value", "ISO-8859-1").alias("piece"), F.col("_metadata.file_path").alias("file"))
+
+    def records(rows: Iterator[tuple[str, bytes]]) -> Iterator[tuple | None]:
+        for _, group in itertools.groupby(rows, key=lambda r: r[0]):
+            next(group)  # what a file has before its first record
+            held: list[bytes] = []
+            for _, piece in group:
+                held.append(begin + piece)
+                data = b"".join(held)
+                if (found := fields(data)) is not None:
+                    yield found
+                    held = []
+                elif (size := declared(data)) is None or len(data) > size:
+                    held = []
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batches(records((file, piece.as_py()) for batch in batches for piece, file in zip(batch.column(0), batch.column(1).to_pylist())))
+
+    return pieces.mapInArrow(work, RECORD)
+
+
+def declared(data: bytes) -> int | None:
+    """Bytes that a record that begins here has by its header; as many as there are where the header goes on."""
+    head, found, _ = data.partition(b"\r\n\r\n")
+    if not found:
+        return len(data) if len(data) < 1 << 20 else None
+    size = re.search(rb"(?im)^content-length:\s*(\d+)", head)
+    return len(head) + 4 + int(size[1]) if size else None
+
+
+def _read_ranges(spark: SparkSession, path: str, options: dict[str, str]) -> DataFrame:
+    cuts = spark.read.options(**options).option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin-1")).text(path)
     pieces = cuts.select(F.col("value").cast("binary").alias("piece"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, Iterator[bytes]]]:

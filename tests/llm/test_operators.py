@@ -2,8 +2,12 @@
 
 import array
 import collections
+import gzip
 import hashlib
+import io
 import re
+import time
+import wave
 import zlib
 
 import duckdb
@@ -72,6 +76,28 @@ def test_media_round_trip(edge):
     for r, (i, text) in zip(sorted(media.media_report(edge).collect(), key=lambda r: (r.doc_id or 0, r.payload_sha256)), sorted(TEXTS, key=lambda x: (x[0] or 0, hashlib.sha256(padded(x[1])).hexdigest()))):
         data = padded(text)
         assert (r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (i, len((text or "").encode()), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]))
+        stored = io.BytesIO()
+        with wave.open(stored, "wb") as w:
+            w.setnchannels(1), w.setsampwidth(1), w.setframerate(8000), w.writeframes(data)
+        assert (r.media_bytes, r.media_sha256) == (len(stored.getvalue()), hashlib.sha256(stored.getvalue()).hexdigest())
+        crossings = sum((a >= 128) != (b >= 128) for a, b in zip(data, data[1:]))
+        assert r.feature == f"audio/wav;mean={sum(data) * 1000 // len(data)},power={sum(x * x for x in data) // len(data)},crossings={crossings},peak={max(data)};embedded=0"
+
+
+def test_media_reports_equal_brute_force_on_documents(docs):
+    wanted = {(i, hashlib.sha256(padded(t)).hexdigest()) for i, t in docs.select("doc_id", "text").collect()}
+    assert {(r.doc_id, r.payload_sha256) for r in media.media_report(docs).collect()} == wanted
+
+
+def test_validators_look_for_ends_once():
+    start = time.perf_counter()
+    assert media.carve(b"%PDF-1" * 100_000) == [] and media.carve(b"PK\x03\x04" * 100_000 + b"PK\x05\x06" * 50_000) == []
+    assert time.perf_counter() - start < 20
+    pdf = b"%PDF-1.4 body startxref 9 %%EOF"
+    assert [(m.offset, m.length) for m in media.carve(b"%PDF-x " + pdf + b" " + pdf)] == [(7, len(pdf)), (8 + len(pdf), len(pdf))]
+    large = zlib.compressobj(9, zlib.DEFLATED, 31)
+    gz = large.compress(bytes(1 << 24)) + large.flush()
+    assert [(m.offset, m.length) for m in media.carve(b"x" + gz + b"tail")] == [(1, len(gz))]
 
 
 def padded(text):
@@ -127,6 +153,23 @@ def test_archives_read_alike_however_they_are_split(spark, tmp_path, split):
             spark.conf.set(k, v)
 
 
+def test_archives_named_gz_and_other_members(spark, tmp_path):
+    wanted, plain = set(), []
+    for name in ("a.warc.gz", "b.warc.gz", "c.warc"):
+        with open(tmp_path / name, "wb") as f:
+            for i in range(20):
+                body = f"{name} {i} WARC/1.1 inside\r\n\r\nWARC/1.".encode() * (i % 4)
+                f.write(gzip.compress(warc.record(i, f"http://{name}", body, "d", None)))
+                f.write(gzip.compress(b"no record at all " * 1000))
+                wanted.add((f"http://{name}", body))
+                plain.append(len(body))
+    with open(tmp_path / "other.bin", "wb") as f:
+        for i in range(50):
+            f.write(gzip.compress(b"foreign " * 500))
+    found = warc.read_warc(spark, str(tmp_path)).collect()
+    assert {(r.target_uri, bytes(r.payload)) for r in found} == wanted and len(found) == len(plain)
+
+
 # Packing
 
 
@@ -177,6 +220,11 @@ def test_no_letters_no_language(edge, empty):
     assert np.array_equal(langid.counts("ab" * langid.PIECE), langid.counts("ab" * langid.PIECE)) and langid.counts("ab" * langid.PIECE).sum() == 3 * (2 * langid.PIECE + 2) - 6
 
 
+def test_many_languages(spark):
+    docs = spark.createDataFrame([(i, f"text number {i} of its own", f"l{i}") for i in range(1200)], "doc_id bigint, text string, lang string")
+    assert 0 < len(langid.train(docs).languages) <= 1200
+
+
 def test_toxicity(spark, edge, empty):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     found = toxicity.toxicity_report(docs, labels).join(labels, "doc_id").where("held_out").collect()
@@ -191,9 +239,21 @@ def test_folding_and_exceptions():
     automaton = toxicity.matcher(model)
     score = lambda text: toxicity.density(toxicity.fold(text), automaton)
     assert toxicity.fold("1D10T іdiоt st@pid!!") == ["idiot", "idiot", "stapid"]
+    assert toxicity.fold("ТRАSH ＴＲＡＳＨ tr\u200bash trásh ΒΙΤCΗ") == ["trash"] * 4 + ["bitch"]
     assert score("you 1d10t") > 0 and score("put it in the trash can") == 0 and score("this is trash") > 0 and score("") == 0
 
 
+def test_learned_exceptions_and_double_labels(spark):
+    rows = [(True, f"you total filth number {k} go".split()) for k in range(40)] + [(False, f"the filth pump of ship {k} works".split()) for k in range(40)]
+    model = toxicity.fit(rows)
+    assert "filth pump" in model.exceptions and "total filth" not in model.exceptions
+    automaton = toxicity.matcher(model)
+    assert toxicity.density("the filth pump".split(), automaton) == 0 < toxicity.density("what a filth".split(), automaton)
+    docs = spark.createDataFrame([(1, "a b"), (2, "c d"), (2, None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (1, 1), (2, None), (None, 1)], "doc_id bigint, toxic int")
+    assert toxicity.toxicity_report(docs, labels).count() == 3
+
+
 # Near duplicates
 
 
@@ -390,12 +450,50 @@ def test_rare_kinds_are_kept(spark):
 
 
 def test_rejected_spans_block_nothing(spark, monkeypatch):
-    frame = spark.createDataFrame([(1, 1, kind, a, b, base, *[0] * len(pii.FEATURES)) for kind, a, b, base in (("secret", 0, 30, False), ("local_phone", 20, 50, False), ("account", 40, 70, False), ("email", 80, 90, True), ("account", 85, 99, False), ("secret", 92, 120, False))], "doc bigint, row bigint, kind string, start int, stop int, base boolean, " + ", ".join(f"{f} int" for f in pii.FEATURES))
+    frame = spark.createDataFrame([(1, 1, kind, a, b, base, kind != "card", *[0] * len(pii.FEATURES)) for kind, a, b, base in (("secret", 0, 30, False), ("local_phone", 20, 50, False), ("account", 40, 70, False), ("email", 80, 90, True), ("account", 85, 99, False), ("secret", 92, 120, False), ("card", 130, 140, False))], "doc bigint, row bigint, kind string, start int, stop int, base boolean, valid boolean, " + ", ".join(f"{f} int" for f in pii.FEATURES))
     monkeypatch.setattr(pii, "candidates", lambda docs, **_: docs)
     found = pii.spans(frame, pii.Model(1.0, [], {k: 0.5 for k in pii.KINDS})).collect()
     assert sorted((r.start, r.stop) for r in found) == [(0, 30), (40, 70), (80, 90), (92, 120)]
 
 
+def test_planted_kinds(spark):
+    """Recall and precision of the added kinds, beside look-alikes that fail a check or that nothing announces."""
+    rng = np.random.default_rng(8)
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+
+    def account():
+        body = digits(18)
+        return f"DE{98 - int(body + '131400') % 97:02d}{body}"
+
+    def bad_account():
+        a = account()
+        return a[:2] + f"{(int(a[2:4]) + 1) % 90 + 5:02d}" + a[4:]
+
+    plant = {"account": lambda: account(), "national_id": lambda: f"{rng.integers(100, 660)}-{rng.integers(10, 99)}-{rng.integers(1000, 9999)}", "local_phone": lambda: f"({rng.integers(200, 999)}) {rng.integers(200, 999)}-{digits(4)}", "secret": lambda: "".join(rng.choice(list("0123456789abcdef"), 40))}
+    decoys = [bad_account, lambda: f"666-{rng.integers(10, 99)}-{digits(4)}", lambda: f"(1{digits(2)}) 055-{digits(4)}", lambda: "".join(rng.choice(list("aeioutrn"), 26)), lambda: "/".join("".join(rng.choice(list("abcdef"), 6)) for _ in range(5))]
+    rows, truth = [], set()
+    for i in range(1200):
+        kind = [*plant, None, None][i % 6]
+        before = f"word {rng.choice(['one', 'two', 'three'])} " + ('api_token = "' if kind == "secret" else "")
+        value = plant[kind]() if kind else decoys[i % len(decoys)]()
+        rows.append((i, f"{before}{value}{chr(34) if kind == 'secret' else ''} and more"))
+        if kind:
+            truth.add((i, f"{kind}:{len(before)}:{len(before) + len(value)}"))
+    found = {(r.doc_id, s) for r in pii.span_report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect() for s in r.spans.split(",") if s.split(":")[0] in plant}
+    for kind in plant:
+        own, got = ({x for x in xs if x[1].startswith(kind)} for xs in (truth, found))
+        assert len(own & got) >= 0.95 * len(own) and len(own & got) >= 0.95 * len(got), kind
+
+
+def test_the_better_of_overlapping_spans_is_taken(spark, monkeypatch):
+    tree = pii.Node(pii.FEATURES.index("digits"), 0.5, pii.Node(value=0.0), pii.Node(value=2.0))
+    columns = "doc bigint, row bigint, kind string, start int, stop int, base boolean, valid boolean, " + ", ".join(f"{f} int" for f in pii.FEATURES)
+    rows = [(1, 1, k, a, b, False, True, *[int(f == "digits" and d) for f in pii.FEATURES]) for k, a, b, d in (("secret", 0, 30, 0), ("account", 25, 60, 1), ("local_phone", 55, 70, 0), ("secret", 65, 90, 0))]
+    monkeypatch.setattr(pii, "candidates", lambda docs, **_: docs)
+    found = pii.spans(spark.createDataFrame(rows, columns), pii.Model(0.5, [tree], {k: 0.5 for k in pii.KINDS})).collect()
+    assert sorted((r.start, r.stop) for r in found) == [(25, 60), (65, 90)]
+
+
 def test_native_operators_run_no_python(spark, docs, capsys):
     for frame in (line_dedup.line_report(docs), pii.span_report(docs)):
         frame.explain()
@@ -480,6 +578,56 @@ def test_empty_tables_give_empty_results(empty, name, monkeypatch):
     assert queries.queries()[name](empty.sparkSession, "") .count() == 0
 
 
+def test_pipeline_at_the_edges(spark, edge, empty, monkeypatch):
+    more = edge.sparkSession.createDataFrame([(k, f"{WORDS} text number {k} of {k * k} words in all", "en", "s", 0, "r", k, 0.5, "x", "y") for k in range(100, 130)], SCHEMA)
+    docs = edge.union(more)
+    for frame in (docs, empty):
+        now = frame
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, SF)
+            assert now.columns == frame.columns
+        packed = corpus_pipeline.STAGES[-1][1](spark, now, SF).collect()
+        ids = [r.doc_id for r in now.collect()]
+        assert sorted(map(str, {r.doc_id for r in packed})) == sorted(map(str, set(ids)))
+    assert 1 not in ids and not ids
+    kept = [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()]
+    # One text of the list in several forms and under several ids: the smallest id keeps it, 15 has another one beside.
+    assert kept.count(15) == 1 and 7 in kept and not {8, 9, 11} & set(kept) and kept.count(None) == 1
+
+
+def test_pipeline_equals_its_operators_by_brute_force(spark):
+    """The final rows against plain Python on what the language stage keeps: lines, near copies, benchmark passages, tokens."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    kept = {r.doc_id: r.text for r in corpus_pipeline.language_id(spark, docs, SF).collect()}
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    holders = collections.defaultdict(set)
+    for i, t in kept.items():
+        for line in t.split("\n"):
+            holders[key(line)].add(i)
+    lost = {k: max(h) for k, h in holders.items() if len(k) >= 20 and len(h) >= 3}
+    lines = {i: "\n".join(x for x in t.split("\n") if i >= lost.get(key(x), i)) for i, t in kept.items()}
+    shingled, stay = {i: set(simhash_dedup.shingles(t, 5)) for i, t in lines.items()}, []
+    for i in sorted(lines):
+        if all(simhash_dedup.similarity(shingled[i], shingled[j]) < 0.8 for j in stay):
+            stay.append(i)
+    norm = lambda t: re.findall(r"[^\W_]+", t.lower())
+    grams = lambda w: {tuple(w[i : i + 13]) for i in range(len(w) - 12)}
+    bad = set().union(*[grams(norm(r.text)) for r in items.collect()])
+    stay = [i for i in stay if not grams(norm(lines[i])) & bad]
+    whole = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    wanted = collections.Counter()
+    for i in stay:
+        ids = whole.encode(lines[i], add_special_tokens=False).ids + [0]
+        for piece, at in enumerate(range(0, len(ids), 2048)):
+            wanted[i, piece, at, len(ids[at : at + 2048]), zlib.crc32(array.array("I", ids[at : at + 2048]).tobytes())] += 1
+    found = collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, SF).collect())
+    # Fingerprints may fail to nominate a near copy, about one in a hundred; nothing else may differ.
+    assert not wanted - found and len({x[0] for x in found - wanted}) <= 1 + 0.02 * (len(lines) - len(stay))
+
+
 def test_pipeline(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     now, sizes = docs, [docs.count()]
@@ -489,7 +637,7 @@ def test_pipeline(spark, tmp_path):
         sizes.append(now.count())
         if k < 4:
             assert now.columns == docs.columns
-    assert sizes[0] >= sizes[1] == sizes[2] > sizes[3] >= sizes[4]
+    assert sizes[0] >= sizes[1] == sizes[2] > sizes[3] >= sizes[4] > 0
     kept = {r[0] for r in spark.read.parquet(str(tmp_path / "3")).select("doc_id").collect()}
     assert {r.doc_id for r in now.select("doc_id").distinct().collect()} == kept
     key = lambda df: sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in df.collect())
