@@ -101,8 +101,9 @@ def lanes_of(mask: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(mask.view(np.uint8), bitorder="little")[:n])
 
 
-#: Buckets up to this many fingerprints share words with others; larger ones have planes of their own.
-SMALL = 24
+#: Buckets up to this many fingerprints share words with others; up to the second number, all pairs of a bucket fill
+#: words together; larger ones are searched one fingerprint at a time.
+SMALL, MIDDLE = 24, 512
 #: Pairs of small buckets that are compared at once.
 CHUNK = 1 << 18
 
@@ -167,6 +168,18 @@ def link_large(values: np.ndarray, radius: int, stars: _Stars, names: np.ndarray
             planes = bit_planes(values[rest])
 
 
+def link_middle(values: np.ndarray, radius: int, stars: _Stars, names: np.ndarray, check: Check | None = None) -> None:
+    """All pairs of one bucket, 64 to a word."""
+    a, b = np.triu_indices(len(values), 1)
+    hit = lanes_of(within(bit_planes(values[a] ^ values[b]), radius), len(a))
+    a, b = a[hit], b[hit]
+    if check is not None:
+        close = check.close(a, b)
+        a, b = a[close], b[close]
+    for x, y in zip(names[a].tolist(), names[b].tolist()):
+        stars.link(x, y)
+
+
 def link_small(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int, stars: _Stars, names: np.ndarray, check: Check | None = None) -> None:
     """Many small buckets: lane by lane against the lane ``step`` places on, 64 to a word."""
     for step in range(1, int(sizes.max(initial=0))):
@@ -236,7 +249,8 @@ def link_buckets(rows: DataFrame, *, radius: int, most: int | None, second: int
                 if most is not None and n > most:
                     beyond.append(names[at : at + n])
                 else:
-                    link_large(values[at : at + n], radius, stars, labels[at : at + n], None if other is None else Check(other[at : at + n], second))
+                    link = link_middle if n <= MIDDLE else link_large
+                    link(values[at : at + n], radius, stars, labels[at : at + n], None if other is None else Check(other[at : at + n], second))
             edges = np.array(stars.edges(), np.uint64).reshape(-1, 2).view(np.int64)
             rest = np.concatenate(beyond)
             a = pa.array(np.concatenate([edges[:, 0], rest]))
@@ -335,9 +349,11 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 #: Words of a shingle, and the share of shingles that near copies have in common (of all that either has).
 SHINGLE, SIMILAR = 5, 0.8
-#: How near copies are nominated: distinct words within 7 bits, five-word shingles within 18. Texts of similarity 0.8
+#: How near copies are nominated: distinct words within 7 bits, five-word shingles within 16. Texts of similarity 0.8
 #: differ in 4 and 10 bits in the mean.
-NOMINATED = {"words": 1, "distinct": True, "radius": 7, "second": (SHINGLE, 18)}
+NOMINATED = {"words": 1, "distinct": True, "radius": 7, "second": (SHINGLE, 16)}
+#: Texts and bytes up to which a nominated group is one task's work; larger groups lose a text and its copies a round.
+GROUP, GROUP_BYTES = 1000, 1 << 26
 #: Tasks that the comparisons with one document are dealt to.
 SALTS = 16
 
@@ -377,7 +393,31 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 out.append(similarity(set(shingles(here, SHINGLE)), known[1]) >= similar)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], ["x", "text", "close"])
 
-    while not left.isEmpty():
+    def resolve(batches):
+        now, last, stay = None, None, []
+        for batch in batches:
+            drop = []
+            for root, *own, text in zip(*[c.to_pylist() for c in batch.columns]):
+                if root != now:
+                    now, stay = root, []
+                if (root, *own) == last:  # rows that share id and text are one
+                    drop.append(False)
+                    continue
+                last, parts = (root, *own), set(shingles(text, SHINGLE))
+                drop.append(any(similarity(parts, other) >= similar for other in stay))
+                if not drop[-1]:
+                    stay.append(parts)
+            keep = pa.array(drop, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(1).filter(keep), batch.column(2).filter(keep)], ["doc", "row"])
+
+    order = ["root", F.col("doc").isNull(), "doc", "row"]
+    while True:
+        sizes = left.groupBy("root").agg((((F.count(F.lit(1)) <= GROUP) & (F.sum(F.octet_length("text")) <= GROUP_BYTES))).alias("small"))
+        marked = left.join(sizes, "root")
+        gone.append(cut(marked.where("small").select("root", "doc", "row", "text").repartition("root").sortWithinPartitions(*order).mapInArrow(resolve, "doc bigint, row bigint")))
+        left = marked.where("NOT small").select("root", "doc", "row", "text")
+        if left.isEmpty():
+            break
         # Rows that share id and text are one.
         heads = left.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "row")).alias("h"))
         lead = left.join(heads, "root").where(F.col("doc").eqNullSafe(F.col("h.doc")) & (F.col("row") == F.col("h.row")))

@@ -287,8 +287,10 @@ def test_oversize_buckets_lose_nothing(docs, radius, most):
     assert sorted((r.doc, r.component) for r in found) == sorted((int(a), c) for a, _, c in by_hand(rows, radius))
 
 
-def test_near_copies_are_verified_on_texts(spark):
+@pytest.mark.parametrize("group", [1000, 2])
+def test_near_copies_are_verified_on_texts(spark, group, monkeypatch):
     """Edits of one word in about 45 leave a similarity of 0.8; unrelated texts and chains stay."""
+    monkeypatch.setattr(simhash_dedup, "GROUP", group)
     rng = np.random.default_rng(11)
     vocabulary = np.array([f"w{k}" for k in range(4000)])
     rows, truth = [], {}
@@ -314,6 +316,8 @@ def test_near_copies_at_the_edges(edge, empty):
     kept = simhash_dedup.drop_near_duplicates(edge)
     assert kept.columns == edge.columns and simhash_dedup.drop_near_duplicates(empty).count() == 0
     found = collections.Counter((r.doc_id, r.text) for r in kept.collect())
+    twice = edge.sparkSession.createDataFrame([(1, WORDS), (1, WORDS), (2, WORDS + " more"), (2, WORDS + " more"), (3, "x")], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in simhash_dedup.drop_near_duplicates(twice).collect()) == [1, 3]
     assert max(found.values()) == 1 and (1, None) in found and (2, "") not in found and (7, WORDS) in found and (15, WORDS) not in found and (11, " ".join(["same"] * 3000)) not in found
 
 
