@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions import scalars as S
 from .operators import bins, curate, deprivation, groups, hmm, period, phase, phase_shift, runs, signal, sleep, states, stats
 from .params import Curation, Hmm, Period, Preprocess, Sleep
-from .sources import events, monitor
+from .sources import events, monitor, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -588,6 +588,204 @@ def holm_adjust(spark, d):
     return stats.holm_adjusted(tests, by=None).withColumn("p_holm", F.round("p_holm", 6))
 
 
+# The minute grid: the library's own bounds of sleep
+
+
+MINUTES = SLEEP.replace("// 60 * 60)::INT AS t", ")::INT AS t").replace("range(0, 43200, 60)", "range(0, 43200)").replace("size <= 2", "size <= 4").replace("end_t - start_t >= 30", "end_t - start_t >= 5").replace("< 120 THEN", "< 30 THEN").replace("< 360 THEN", "< 60 THEN")
+
+
+@query("SELECT id, count(*) FILTER (sleep = 1) AS sleep, count(*) FILTER (sleep = 1 AND state = 'short') AS short, count(*) FILTER (sleep = 1 AND state = 'intermediate') AS intermediate, count(*) FILTER (sleep = 1 AND state = 'long') AS long FROM minutes GROUP BY id", MINUTES)
+def minute_sleep(spark, d):
+    m = sleep.minutes(sleep.marked_minutes(curate.with_moving(events.readings(spark, d, 1))))
+    return rounded(bins.state_totals(m, ["sleep", "sleep_short", "sleep_intermediate", "sleep_long"])).toDF("id", "sleep", "short", "intermediate", "long")
+
+
+@query("SELECT grp, state, round(avg(value), 5) AS mean, round(CASE WHEN count(value) > 1 THEN stddev_samp(value) / sqrt(count(value)) ELSE 0 END, 5) AS sem, count(value) AS n FROM (SELECT m.id, s.state, count(*) FILTER (sleep = 1 AND (s.state = 'sleep' OR m.state = substr(s.state, 7))) AS value FROM minutes m CROSS JOIN (VALUES ('sleep'), ('sleep_short'), ('sleep_intermediate'), ('sleep_long')) s(state) GROUP BY ALL) JOIN subjects USING (id) GROUP BY grp, state", SLEEP)
+def state_bars(spark, d):
+    names = ["sleep", "sleep_short", "sleep_intermediate", "sleep_long"]
+    return rounded(bins.state_bars(bins.state_totals(sleep.minutes(_marked(spark, d)), names), _s(spark, d), names), 5)
+
+
+@query("SELECT id, CASE WHEN duration_min < 240 THEN 'short' WHEN duration_min < 600 THEN 'intermediate' ELSE 'long' END AS state, count(*) AS n FROM bouts GROUP BY ALL", SLEEP)
+def reclassified_bouts(spark, d):
+    other = Sleep(threshold_seconds=1800, short_max_minutes=240, intermediate_max_minutes=600)
+    return sleep.reclassified(_bouts(spark, d), other).groupBy("id", "state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT b.id, b.t::BIGINT AS t, b.state FROM minutes b WHERE b.sleep = 1", SLEEP)
+def minutes_of_bouts(spark, d):
+    marked = _marked(spark, d)
+    return rounded(sleep.minutes_of_bouts(sleep.bouts(marked), sleep.minutes(marked), STEP).select("id", "t", "state"))
+
+
+# Import and files
+
+
+@query("SELECT user_id AS monitor, CASE WHEN event_type = 'error' THEN 51 ELSE 1 END::BIGINT AS status, count(DISTINCT (date_trunc('minute', ts), value)) AS n, CASE WHEN event_type = 'error' THEN 'no data received' ELSE 'valid data' END AS label FROM events GROUP BY ALL", "")
+def status_counts(spark, d):
+    return rounded(monitor.status_counts(_monitor_rows(spark, d)).select("monitor", "status", "n", "label"))
+
+
+@query("SELECT id, (split_minute + id % 4 * 30)::BIGINT AS split_minute FROM subjects WHERE id % 4 <> 0")
+def off_grid_starts(spark, d):
+    return rounded(monitor.off_grid_starts(_s(spark, d).withColumn("split_minute", (F.col("split_minute") + F.col("id") % 4 * 30).cast("int"))))
+
+
+@query("SELECT DISTINCT id FROM readings WHERE id % 5 = 0")
+def silent_channels(spark, d):
+    return monitor.silent_channels(_r(spark, d).withColumn("activity", F.when(F.col("id") % 5 != 0, F.col("activity"))))
+
+
+WINDOWS = """WITH tubes AS (SELECT c_custkey AS monitor, TIMESTAMP '2024-01-01' + to_days((c_custkey % 5 * 9)::INT) AS start_ts, TIMESTAMP '2024-01-03' + to_days((c_custkey % 5 * 9)::INT) AS stop_ts, c_custkey % 3 AS most FROM customer),
+ seen AS (SELECT user_id AS monitor, date_trunc('hour', ts) AS h FROM events), spans AS (SELECT monitor, min(h) AS a, max(h) AS b FROM seen GROUP BY monitor)"""
+
+
+@query("""SELECT monitor, start_ts, reason FROM (SELECT monitor, start_ts, CASE WHEN a IS NULL THEN 'no_file' WHEN stop_ts < a OR start_ts > b THEN 'window_outside_file' WHEN n = 0 THEN 'no_rows_in_window' WHEN most > 1 THEN 'tubes_outside_file' END AS reason FROM tubes LEFT JOIN spans USING (monitor)
+ LEFT JOIN (SELECT monitor, count(*) FILTER (h BETWEEN start_ts AND stop_ts) AS n FROM tubes JOIN seen USING (monitor) GROUP BY monitor) USING (monitor)) WHERE reason IS NOT NULL""", WINDOWS)
+def window_checks(spark, d):
+    day = F.col("id") % 5 * 9
+    start = F.timestamp_add("DAY", day.cast("int"), F.lit("2024-01-01").cast("timestamp_ntz"))
+    tubes = _s(spark, d).select(F.col("id").alias("monitor"), start.alias("start_ts"), F.timestamp_add("DAY", day.cast("int"), F.lit("2024-01-03").cast("timestamp_ntz")).alias("stop_ts"), (F.col("id") % 3).alias("region"))
+    return monitor.check_windows(tubes, _monitor_rows(spark, d))
+
+
+@query("SELECT id, (t // 1800)::BIGINT AS block, CASE WHEN count(activity) = 30 THEN sum(activity)::BIGINT ELSE -1 END AS value FROM readings GROUP BY id, t // 1800")
+def encoded_blocks(spark, d):
+    return rounded(sinks.half_hours(_r(spark, d).withColumn("t", (F.col("t") / STEP).cast("int"))))
+
+
+@query("SELECT id, CASE id % 4 WHEN 0 THEN (id % 24)::DOUBLE WHEN 1 THEN id % 24 + 0.5 END AS hour, id % 4 = 3 AS unreadable FROM subjects")
+def pulse_cells(spark, d):
+    hour = (F.col("id") % 24).cast("string")
+    cell = F.when(F.col("id") % 4 == 0, F.concat(F.lit("zt "), hour)).when(F.col("id") % 4 == 1, F.concat(F.lit(" "), hour, F.lit(".5"))).when(F.col("id") % 4 == 3, "noon").otherwise(" ")
+    rows = _s(spark, d).select("id", cell.alias("cell"))
+    return rows.select("id", S.parse_zt_hour("cell").alias("hour"), F.coalesce(S.unreadable_zt("cell"), F.lit(False)).alias("unreadable"))
+
+
+@query("SELECT c_custkey AS id, round(((c_acctbal::DOUBLE / 100 + 12) % 24 + 24) % 24 - 12, 6) AS wrapped, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS stars, replace(c_name, '#', '_') AS name FROM (SELECT *, c_custkey % 997 / 9970.0 AS p FROM customer)", "")
+def labels_of_values(spark, d):
+    rows = events.table(spark, d, "customer")
+    p = F.col("c_custkey") % 997 / F.lit(9970.0)
+    return rounded(rows.select(F.col("c_custkey").alias("id"), S.wrap_hours(F.col("c_acctbal").cast("double") / 100).alias("wrapped"), S.stars(p).alias("stars"), S.safe_name("c_name").alias("name")))
+
+
+@query("SELECT v, row_number() OVER (ORDER BY n) AS ord FROM (SELECT DISTINCT 'ZT' || c_nationkey::VARCHAR AS v, c_nationkey AS n FROM customer)", "")
+def ordered_levels(spark, d):
+    levels = _s(spark, d).select(F.concat(F.lit("ZT"), F.col("nation").cast("string")).alias("v"))
+    return rounded(groups.order_levels(levels, "v"))
+
+
+# Calls of rhythm, from results as every method gives them
+
+
+CALLS = BASE + """, res AS (SELECT id, grp, ['ls', 'ac', 'mesa', 'cwt'][m + 1] AS method, 12.0::DOUBLE + (id + m) % 24 AS period, ((id * 7 + m) % 100) / 40.0::DOUBLE AS strength, ((id * 3 + m) % 100) / 100.0::DOUBLE AS rhythmic_power FROM subjects CROSS JOIN range(4) r(m)),
+ own AS (SELECT *, period BETWEEN 16 AND 32 AND CASE method WHEN 'ls' THEN strength > 0.006 WHEN 'ac' THEN rhythmic_power > 0.3 WHEN 'cwt' THEN strength > 2.0 ELSE false END AS mine FROM res),
+ calls AS (SELECT *, CASE WHEN method = 'mesa' THEN bool_or(mine AND method = 'ac') OVER (PARTITION BY id) ELSE mine END AS rhythmic FROM own)"""
+
+
+def _results(spark, d):
+    rows = _s(spark, d).select("id", F.posexplode(F.array(*map(F.lit, ("ls", "ac", "mesa", "cwt")))).alias("m", "method"))
+    return period.classify(rows.select("id", "method", (12.0 + (F.col("id") + F.col("m")) % 24).alias("period"), (((F.col("id") * 7 + F.col("m")) % 100) / F.lit(40.0)).alias("strength"), (((F.col("id") * 3 + F.col("m")) % 100) / F.lit(100.0)).alias("rhythmic_power")))
+
+
+@query("SELECT id, method, period, strength, rhythmic FROM calls", CALLS)
+def rhythm_calls(spark, d):
+    return _results(spark, d).select("id", "method", "period", "strength", "rhythmic")
+
+
+@query("SELECT id, max(period) FILTER (method = 'ls') AS ls_period, max(strength) FILTER (method = 'ls') AS ls_strength, bool_or(rhythmic) FILTER (method = 'ls') AS ls_rhythmic, max(period) FILTER (method = 'cwt') AS cwt_period, max(strength) FILTER (method = 'cwt') AS cwt_strength, bool_or(rhythmic) FILTER (method = 'cwt') AS cwt_rhythmic FROM calls GROUP BY id", CALLS)
+def period_table(spark, d):
+    return period.wide(_results(spark, d), ["ls", "cwt"])
+
+
+@query("SELECT s.id, s.grp FROM subjects s JOIN calls c ON s.id = c.id AND c.method = 'ls' AND c.rhythmic", CALLS)
+def rhythmic_subjects(spark, d):
+    return groups.rhythmic_only(_s(spark, d), _results(spark, d).where("method = 'ls'")).select("id", "grp")
+
+
+# Markers, responses and tests on few numbers
+
+
+@query("SELECT id, count(activity) FILTER (pulse_minute IS NULL OR t < pulse_minute OR t >= pulse_minute + 240) AS n FROM readings LEFT JOIN subjects USING (id) GROUP BY id")
+def masked_pulses(spark, d):
+    return phase_shift.mask_pulse(_r(spark, d), _s(spark, d), duration_minutes=240).groupBy("id").agg(F.count("activity").alias("n"))
+
+
+@query("SELECT id, coalesce(pulse_minute, split_minute - 1440 + (SELECT median(pulse_minute - split_minute + 1440) FROM subjects WHERE pulse_minute IS NOT NULL))::DOUBLE AS reference_minute FROM subjects")
+def reference_pulses(spark, d):
+    return phase_shift.reference_pulses(_s(spark, d))
+
+
+RESPONSES = BASE + """, sh AS (SELECT id, grp, id % 11 / 2.0::DOUBLE - 2 AS h FROM subjects), c AS (SELECT atan2(avg(sin(h * pi() / 12)), avg(cos(h * pi() / 12))) * 12 / pi() AS c FROM sh WHERE grp = 'BUILDING'),
+ resp AS (SELECT id, grp, ((c.c - h + 12) % 24 + 24) % 24 - 12 AS response_hours FROM sh, c WHERE grp <> 'BUILDING')"""
+
+
+def _responses(spark, d):
+    s = _s(spark, d)
+    shifted = s.select("id", F.lit("ok").alias("status"), (F.col("id") % 11 / F.lit(2.0) - 2).alias("phase_shift_hours"))
+    controls = s.select("grp").distinct().where("grp <> 'BUILDING'").withColumn("control_grp", F.lit("BUILDING"))
+    return phase_shift.responses(shifted, s, controls)
+
+
+@query("SELECT id, grp, round(response_hours, 6) AS response_hours FROM resp", RESPONSES)
+def phase_responses(spark, d):
+    return rounded(_responses(spark, d).select("id", "grp", "response_hours"))
+
+
+@query("SELECT grp, round(avg(response_hours), 6) AS mean, round(stddev_samp(response_hours), 6) AS sd, round(CASE WHEN count(*) > 1 THEN stddev_samp(response_hours) / sqrt(count(*)) END, 6) AS sem, count(*) AS n FROM resp GROUP BY grp", RESPONSES)
+def response_summary(spark, d):
+    return rounded(phase_shift.summarize(_responses(spark, d), "response_hours", ["grp"]))
+
+
+@query("SELECT grp, n, round(r, 6) AS r, round(greatest(0, least(1, exp(-n * r * r) * CASE WHEN n < 50 THEN 1 + (2 * z - z ** 2) / (4 * n) - (24 * z - 132 * z ** 2 + 76 * z ** 3 - 9 * z ** 4) / (288 * n ** 2) ELSE 1 END)), 6) AS p FROM (SELECT *, n * r * r AS z FROM (SELECT grp, count(*) AS n, sqrt(avg(cos(h * pi() / 12)) ** 2 + avg(sin(h * pi() / 12)) ** 2) AS r FROM (SELECT grp, minute % 1440 / 60 AS h FROM peaks JOIN subjects USING (id) WHERE day < 3) GROUP BY grp))", PEAKS)
+def rayleigh_tests(spark, d):
+    peaks = signal.daily_peaks(_r(spark, d)).where("day < 3").join(_s(spark, d).select("id", "grp"), "id")
+    return rounded(states.rayleigh(peaks.withColumn("mean_phase_h", F.pmod("minute", F.lit(1440.0)) / 60), ["grp"]).select("grp", "n", "r", "p"))
+
+
+HALVES = BASE + ", diffs AS (SELECT id, grp, avg(activity) FILTER (t >= split_minute) - avg(activity) FILTER (t < split_minute) AS v FROM readings JOIN subjects USING (id) GROUP BY ALL)"
+
+
+@query("SELECT grp, count(v) AS n, round(avg(v), 6) AS mean, round(CASE WHEN count(v) >= 3 AND var_samp(v) > 0 THEN avg(v) / sqrt(var_samp(v) / count(v)) END, 5) AS t, count(v) - 1 AS df FROM diffs WHERE v IS NOT NULL GROUP BY grp", HALVES)
+def paired_differences(spark, d):
+    rows, s = _r(spark, d), _s(spark, d).select("id", "grp", "split_minute")
+    half = lambda c: rows.join(s, "id").where(c).groupBy("id", "grp").agg(F.avg("activity").alias("v"))
+    out = stats.compare_paired(half("t < split_minute"), half("t >= split_minute"), "v")
+    return rounded(out).withColumn("t", F.round("t", 5) + 0.0)
+
+
+# Decoded states
+
+
+DECODED = BASE + ", dec AS (SELECT id, t, ((activity::BIGINT + t // 60 + id) % 4) AS state FROM readings WHERE activity IS NOT NULL)"
+SHARES = ", ".join(f"round(avg((state = {k})::INT), 6) AS state_{k}" for k in range(4))
+
+
+def _decoded(spark, d):
+    state = (F.col("activity").cast("bigint") + F.floor(F.col("t") / 60) + F.col("id")) % 4
+    return _r(spark, d).where("activity IS NOT NULL").select("id", "t", state.cast("tinyint").alias("state"), (state < 2).cast("tinyint").alias("hmm_sleep"))
+
+
+@query("SELECT id, " + ", ".join(f"round(100.0 * avg((state = {k})::INT), 6) AS state_{k}" for k in range(4)) + " FROM dec GROUP BY id", DECODED)
+def state_occupancy(spark, d):
+    return rounded(hmm.occupancy(_decoded(spark, d)))
+
+
+@query(f"SELECT id, (t % 1440 // 120 * 120)::BIGINT AS zt_bin_minute, {SHARES} FROM dec GROUP BY 1, 2", DECODED)
+def state_fractions(spark, d):
+    return rounded(hmm.zt_fractions(_decoded(spark, d), 4, 120))
+
+
+@query("SELECT grp, section::BIGINT AS section, " + ", ".join(f"round(avg(s{k}), 6) AS state_{k}" for k in range(4)) + " FROM (SELECT id, t % 1440 // 360 AS section, " + ", ".join(f"avg((state = {k})::INT) AS s{k}" for k in range(4)) + " FROM dec GROUP BY 1, 2) JOIN subjects USING (id) GROUP BY 1, 2", DECODED)
+def state_sections(spark, d):
+    return rounded(hmm.section_fractions(_decoded(spark, d), _s(spark, d)))
+
+
+@query("SELECT grp, round(avg(p), 6) AS sleep_percent, round(stddev_pop(p), 6) AS sleep_percent_sd FROM (SELECT id, 100.0 * avg((state < 2)::INT) AS p FROM dec GROUP BY id) JOIN subjects USING (id) GROUP BY grp", DECODED)
+def hidden_sleep_summary(spark, d):
+    return rounded(hmm.summary(_decoded(spark, d), _s(spark, d)).select("grp", "sleep_percent", "sleep_percent_sd"))
+
+
 # Estimators and models: held against known answers in the tests
 
 
