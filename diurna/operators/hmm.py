@@ -1,6 +1,8 @@
 """Hidden sleep states: constrained hidden Markov models with zero-inflated Poisson, Gaussian or two-symbol emissions.
 
-A fit is one group and one restart; the best restart of each group is an aggregate. Decoding is per subject.
+A fit alternates: every task runs forward-backward over its own subjects and sends sums, Spark adds them up by group
+and restart, and the few parameters follow from those sums on the driver. No group's readings meet in one task; the best
+restart of each group is an aggregate. Models of single subjects are fitted where the subject is. Decoding is per subject.
 """
 
 from __future__ import annotations
@@ -108,67 +110,132 @@ def viterbi(b: np.ndarray, start: np.ndarray, a: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(sequences: list[np.ndarray], settings: Hmm, restart: int) -> dict:
-    """Expectation maximisation from seed 42 + restart; states are sorted, the quietest first."""
-    rng = np.random.default_rng(42 + restart)
-    k, every = settings.n_states, np.concatenate(sequences)
+def start_of(levels: np.ndarray, var: float, settings: Hmm, restart: int) -> tuple[np.ndarray, np.ndarray, dict]:
+    """First probabilities, transitions and emissions of a restart, from seed 42 + restart."""
+    rng, k = np.random.default_rng(42 + restart), settings.n_states
     base = np.where(_allowed(k), 0.05, 0.01)
     np.fill_diagonal(base, 0.90)
     a = _constrained(np.array([rng.dirichlet(settings.concentration * r / r.sum()) for r in base]) + 1e-6, settings)
     start = np.where(np.arange(k) < k // 2, 2.0, 1.0)
     start /= start.sum()
-    active = every[every > 0]
-    levels = np.percentile(active, np.linspace(10, 90, k)) if len(active) else np.linspace(0.1, 1, k)
     levels = np.maximum(levels * rng.uniform(0.8, 1.25, k), 1e-2)
     quiet = np.clip(np.linspace(0.95, 0.05, k) * rng.uniform(0.9, 1.05, k), 0.01, 0.99)
-    p = {"zip": {"rate": np.sort(levels), "zero": quiet}, "gaussian": {"mean": np.sort(levels) - levels.min(), "var": np.full(k, max(float(every.var()), 1e-3))}, "categorical": {"still": quiet}}[settings.emission]
+    return start, a, {"zip": {"rate": np.sort(levels), "zero": quiet}, "gaussian": {"mean": np.sort(levels) - levels.min(), "var": np.full(k, max(var, 1e-3))}, "categorical": {"still": quiet}}[settings.emission]
+
+
+def sums_of(seq: np.ndarray, model: tuple, settings: Hmm) -> np.ndarray:
+    """Log-likelihood, first posteriors, transitions, and for each state the sums of weights, x, x squared and zeros."""
+    start, a, p = model
+    g, moves, ll = forward_backward(log_emission(seq, p, settings.emission), start, a)
+    return np.concatenate(([ll], g[0], moves.ravel(), g.sum(0), g.T @ seq, g.T @ seq**2, g.T @ (seq == 0)))
+
+
+def updated(sums: np.ndarray, model: tuple, settings: Hmm) -> tuple:
+    k, p = settings.n_states, model[2]
+    first, moves = sums[1 : k + 1], sums[k + 1 : k + 1 + k * k].reshape(k, k)
+    w, x, x2, z = sums[k + 1 + k * k :].reshape(4, k)
+    start = (first + 1e-6) / (first + 1e-6).sum()
+    a, w = _constrained(moves + 1e-6, settings), np.maximum(w, 1e-9)
+    if settings.emission == "zip":
+        zeros, mean = z / w, x / w
+        spare = np.clip((zeros - np.exp(-p["rate"])) / np.maximum(1 - np.exp(-p["rate"]), 1e-9), 0.0, 0.99)
+        return start, a, {"rate": np.maximum(mean / (1 - spare), 1e-3), "zero": np.clip(spare, 1e-6, 0.99)}
+    if settings.emission == "gaussian":
+        return start, a, {"mean": x / w, "var": np.maximum(x2 / w - (x / w) ** 2, 1e-3)}
+    return start, a, {"still": np.clip(z / w, 1e-4, 1 - 1e-4)}
+
+
+def in_order(ll: float, model: tuple, settings: Hmm) -> dict:
+    """A model's numbers, its states sorted, the quietest first."""
+    start, a, p = model
+    order = np.argsort({"zip": p.get("rate"), "gaussian": p.get("mean"), "categorical": -p.get("still", np.zeros(1))}[settings.emission], kind="stable")
+    return {"ll": float(ll), "start": start[order].tolist(), "trans": a[order][:, order].ravel().tolist(), "params": [q[order].tolist() for q in p.values()]}
+
+
+def _levels(active: np.ndarray, k: int) -> np.ndarray:
+    return np.percentile(active, np.linspace(10, 90, k)) if len(active) else np.linspace(0.1, 1, k)
+
+
+def fit(sequences: list[np.ndarray], settings: Hmm, restart: int) -> dict:
+    """Expectation maximisation over a few sequences in one place."""
+    every = np.concatenate(sequences)
+    model = start_of(_levels(every[every > 0], settings.n_states), float(every.var()), settings, restart)
     before = -np.inf
     for _ in range(settings.n_iter):
-        total, moves, first = 0.0, np.zeros((k, k)), np.zeros(k)
-        w, x, x2, z = (np.zeros(k) for _ in range(4))
-        for seq in sequences:
-            g, m, ll = forward_backward(log_emission(seq, p, settings.emission), start, a)
-            total, moves, first = total + ll, moves + m, first + g[0]
-            w, x, x2, z = w + g.sum(0), x + g.T @ seq, x2 + g.T @ seq**2, z + g.T @ (seq == 0)
-        start = (first + 1e-6) / (first + 1e-6).sum()
-        a = _constrained(moves + 1e-6, settings)
-        w = np.maximum(w, 1e-9)
-        if settings.emission == "zip":
-            zeros, mean = z / w, x / w
-            spare = np.clip((zeros - np.exp(-p["rate"])) / np.maximum(1 - np.exp(-p["rate"]), 1e-9), 0.0, 0.99)
-            p = {"rate": np.maximum(mean / (1 - spare), 1e-3), "zero": np.clip(spare, 1e-6, 0.99)}
-        elif settings.emission == "gaussian":
-            p = {"mean": x / w, "var": np.maximum(x2 / w - (x / w) ** 2, 1e-3)}
-        else:
-            p = {"still": np.clip(z / w, 1e-4, 1 - 1e-4)}
-        if total - before < settings.tol:
+        sums = sum(sums_of(seq, model, settings) for seq in sequences)
+        model = updated(sums, model, settings)
+        if sums[0] - before < settings.tol:
             break
-        before = total
-    order = np.argsort({"zip": p.get("rate"), "gaussian": p.get("mean"), "categorical": -p.get("still", np.zeros(1))}[settings.emission], kind="stable")
-    return {"ll": total, "start": start[order].tolist(), "trans": a[order][:, order].ravel().tolist(), "params": [v.tolist() if isinstance(v, np.ndarray) else v for v in (q[order] for q in p.values())]}
+        before = sums[0]
+    return in_order(sums[0], model, settings)
 
 
 PARAMS = "restart int, ll double, n_states int, start array<double>, trans array<double>, params array<array<double>>"
 NAMES = {"zip": ("rate", "zero"), "gaussian": ("mean", "var"), "categorical": ("still",)}
 
 
+def sequences(seen: DataFrame, groups: DataFrame) -> DataFrame:
+    """``grp, x``: a row for each subject of each group with its readings in order."""
+    rows = seen.join(groups.select("id", "grp"), "id").groupBy("grp", "id").agg(F.sort_array(F.collect_list(F.struct("t", "x"))).alias("s"))
+    return rows.select("grp", F.transform("s", lambda r: r["x"]).alias("x"))
+
+
 def train(seen: DataFrame, groups: DataFrame, settings: Hmm = Hmm()) -> DataFrame:
     """``grp`` and PARAMS of the best restart of each group (the first of equals).
 
-    Every (group, restart) pair is a task of its own; the sequences of a group are dealt to its restarts.
+    The driver holds the parameters and the sums of groups times restarts, some fifty numbers each, and a job for each
+    step adds them up; restarts that no longer gain by ``tol`` leave. For a model a subject, see ``train_subjects``.
     """
-    rows = seen.join(groups.select("id", "grp"), "id").select("grp", "id", "t", "x", F.explode(F.sequence(F.lit(0), F.lit(settings.n_restarts - 1))).alias("restart"))
+    k, key = settings.n_states, groups.schema["grp"].dataType.simpleString()
+    rows = sequences(seen, groups).persist()
+    joined = seen.join(groups.select("id", "grp"), "id")
+    active = F.percentile(F.when(F.col("x") > 0, F.col("x")), F.array(*[F.lit(float(q)) for q in np.linspace(0.1, 0.9, k)]))
+    first = joined.groupBy("grp").agg(active.alias("levels"), F.var_pop("x").alias("var")).collect()
+    models = {(r["grp"], n): start_of(np.array(r["levels"]) if r["levels"] else _levels(np.zeros(0), k), r["var"] or 0.0, settings, n) for r in first for n in range(settings.n_restarts)}
+    best, going = dict.fromkeys(models, -np.inf), set(models)
+    for _ in range(settings.n_iter):
+        if not going:
+            break
+        now = {m: models[m] for m in going}
+
+        def sums(batches):
+            found: dict[tuple, np.ndarray] = {}
+            for batch in batches:
+                for grp, x in zip(batch["grp"], batch["x"]):
+                    seq = np.asarray(x, float)
+                    for m in (m for m in now if m[0] == grp):
+                        found[m] = found.get(m, 0.0) + sums_of(seq, now[m], settings)
+            yield pd.DataFrame({"grp": [m[0] for m in found], "restart": [m[1] for m in found], "sums": [v.tolist() for v in found.values()]})
+
+        parts = rows.mapInPandas(sums, f"grp {key}, restart int, sums array<double>").select("grp", "restart", F.posexplode("sums").alias("at", "v"))
+        total = {m: np.zeros(1 + 5 * k + k * k) for m in going}
+        for r in parts.groupBy("grp", "restart", "at").agg(F.sum("v").alias("v")).collect():
+            total[r["grp"], r["restart"]][r["at"]] = r["v"]
+        for m, v in total.items():
+            models[m] = updated(v, models[m], settings)
+            if v[0] - best[m] < settings.tol:
+                going.discard(m)
+            best[m] = max(best[m], float(v[0]))
+    rows.unpersist()
+    out = []
+    for grp in dict.fromkeys(m[0] for m in models):
+        n = max((m[1] for m in models if m[0] == grp), key=lambda n: (best[grp, n], -n))
+        found = in_order(best[grp, n], models[grp, n], settings)
+        out.append((grp, n, found["ll"], k, found["start"], found["trans"], found["params"]))
+    return seen.sparkSession.createDataFrame(out, f"grp {key}, {PARAMS}")
+
+
+def train_subjects(seen: DataFrame, groups: DataFrame, settings: Hmm = Hmm()) -> DataFrame:
+    """The same where every group is one subject or one of its days: all restarts of a group in one task."""
+    key = groups.schema["grp"].dataType.simpleString()
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "t"])
-        parts = [g["x"].to_numpy(float) for _, g in pdf.groupby("id", sort=True)]
-        found = fit(parts, settings, int(pdf["restart"].iloc[0]))
-        return pd.DataFrame([{"grp": pdf["grp"].iloc[0], "restart": int(pdf["restart"].iloc[0]), "n_states": settings.n_states, **found}])[["grp", *[c.split()[0] for c in PARAMS.split(", ")]]]
+        parts = [g["x"].to_numpy(float) for _, g in pdf.sort_values(["id", "t"]).groupby("id", sort=True)]
+        fits = [{"restart": n, **fit(parts, settings, n)} for n in range(settings.n_restarts)]
+        found = max(fits, key=lambda f: (f["ll"], -f["restart"]))
+        return pd.DataFrame([{"grp": pdf["grp"].iloc[0], "n_states": settings.n_states, **found}])[["grp", *[c.split()[0] for c in PARAMS.split(", ")]]]
 
-    key = groups.schema["grp"].dataType.simpleString()
-    fits = rows.groupBy("grp", "restart").applyInPandas(one, f"grp {key}, {PARAMS}")
-    best = Window.partitionBy("grp").orderBy(F.desc("ll"), "restart")
-    return fits.withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n")
+    return seen.join(groups.select("id", "grp"), "id").select("grp", "id", "t", "x").groupBy("grp").applyInPandas(one, f"grp {key}, {PARAMS}")
 
 
 def decode(seen: DataFrame, groups: DataFrame, models: DataFrame, settings: Hmm = Hmm()) -> DataFrame:
@@ -224,23 +291,33 @@ def section_fractions(decoded: DataFrame, groups: DataFrame, n_states: int = 4,
 
 
 def select_states(seen: DataFrame, groups: DataFrame, candidates: list[int], settings: Hmm = Hmm(), folds: int = 5) -> DataFrame:
-    """``n_states, fold, ll_per_obs, n, aic, bic``: held-out likelihood over folds of subjects, each one task."""
-    fold = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(folds)).cast("int")
-    options = F.explode(F.array(*[F.struct(F.lit(k).alias("n_states"), F.lit(f).alias("fold")) for k in candidates for f in range(folds)])).alias("o")
-    rows = seen.join(groups.select("id"), "id").select("id", "t", "x", fold.alias("own"), options).select("id", "t", "x", "own", "o.*")
+    """``n_states, fold, ll_per_obs, n, aic, bic``: held-out likelihood over folds of subjects.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "t"])
-        k, f = int(pdf["n_states"].iloc[0]), int(pdf["fold"].iloc[0])
-        parts = {h: [g["x"].to_numpy(float) for _, g in d.groupby("id", sort=True)] for h, d in pdf.groupby(pdf["own"] == f)}
-        if True not in parts or False not in parts:
-            return pd.DataFrame([], columns=["n_states", "fold", "ll_per_obs", "n", "aic", "bic"])
-        own = Hmm(**{**settings.__dict__, "n_states": k})
-        best = max((fit(parts[False], own, r) for r in range(own.n_restarts)), key=lambda m: m["ll"])
-        p = {n: np.array(v, float) for n, v in zip(NAMES[own.emission], best["params"])}
-        ll = sum(forward_backward(log_emission(s, p, own.emission), np.array(best["start"]), np.array(best["trans"]).reshape(k, k))[2] for s in parts[True])
-        n, free = sum(map(len, parts[True])), k - 1 + k * (k - 1) + k * len(p)
-        m = sum(map(len, parts[False]))
-        return pd.DataFrame([{"n_states": k, "fold": f, "ll_per_obs": ll / n, "n": n, "aic": 2 * free - 2 * best["ll"], "bic": free * math.log(m) - 2 * best["ll"]}])
-
-    return rows.groupBy("n_states", "fold").applyInPandas(one, "n_states int, fold int, ll_per_obs double, n bigint, aic double, bic double")
+    Each fold is a group of its own in ``train``: the subjects outside it. A fold without subjects has no row.
+    """
+    own = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(folds)).cast("int")
+    dealt = groups.select("id", own.alias("own"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("grp")
+    fitted = dealt.select("id", "own", every).where("grp <> own").select("id", "grp")
+    held = sequences(seen, dealt.select("id", F.col("own").alias("grp")))
+    sizes = {r["grp"]: r["m"] for r in seen.join(fitted, "id").groupBy("grp").agg(F.count(F.lit(1)).alias("m")).collect()}
+    rows = []
+    for k in candidates:
+        some = Hmm(**{**settings.__dict__, "n_states": k})
+        models = {r["grp"]: r for r in train(seen, fitted, some).collect()}
+
+        def likelihood(batches):
+            for batch in batches:
+                out = []
+                for grp, x in zip(batch["grp"], batch["x"]):
+                    m, seq = models[grp], np.asarray(x, float)
+                    p = {n: np.array(v, float) for n, v in zip(NAMES[some.emission], m["params"])}
+                    out.append((grp, forward_backward(log_emission(seq, p, some.emission), np.array(m["start"]), np.array(m["trans"]).reshape(k, k))[2], len(seq)))
+                yield pd.DataFrame(out, columns=["fold", "ll", "n"])
+
+        scored = held.where(F.col("grp").isin(*models)).mapInPandas(likelihood, "fold int, ll double, n bigint").groupBy("fold").agg(F.sum("ll").alias("ll"), F.sum("n").alias("n"))
+        free = k - 1 + k * (k - 1) + k * len(NAMES[some.emission])
+        for r in scored.collect():
+            ll = models[r["fold"]]["ll"]
+            rows.append((k, r["fold"], r["ll"] / r["n"], r["n"], 2 * free - 2 * ll, free * math.log(sizes[r["fold"]]) - 2 * ll))
+    return seen.sparkSession.createDataFrame(rows, "n_states int, fold int, ll_per_obs double, n bigint, aic double, bic double")

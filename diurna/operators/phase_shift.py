@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import params
@@ -150,21 +150,27 @@ def group_difference(found: DataFrame, groups: DataFrame, controls: DataFrame) -
     return joined.select("grp", "control_grp", "day", "peak_hours", "control_peak_hours", S.wrap_hours(F.col("peak_hours") - F.col("control_peak_hours")).alias("phase_difference_hours"), "n")
 
 
-def bootstrap_mean(values: DataFrame, value: str, by: str, resamples: int = 200, seed: int = 0, ci: float = 95.0) -> DataFrame:
-    """``by, mean, sd, low, high, n``: resampled subjects within a group. One group is one task's numbers."""
-    key = values.schema[by].dataType.simpleString()
+def resample_weight(key, resample, seed: int = 0) -> Column:
+    """How often a row stands in a resample: a Poisson number with mean one, from a hash of the row's key."""
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), key.cast("string"), resample.cast("string"))), 1, 8), 16, 10).cast("bigint") / F.lit(float(1 << 32))
+    bounds = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+    return F.size(F.filter(F.array(*[F.lit(float(x)) for x in bounds]), lambda x: x <= u))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(pdf[value].dropna().to_numpy(float))
-        row = {by: pdf[by].iloc[0], "mean": None, "sd": None, "low": None, "high": None, "n": len(x)}
-        if len(x):
-            rng = np.random.default_rng(seed)
-            means = np.array([x[rng.integers(0, len(x), len(x))].mean() for _ in range(resamples)])
-            low, high = np.percentile(means, [(100 - ci) / 2, (100 + ci) / 2])
-            row |= {"mean": x.mean(), "sd": means.std(ddof=1), "low": low, "high": high}
-        return pd.DataFrame([row])
-
-    return values.select(by, F.col(value).cast("double").alias(value)).groupBy(by).applyInPandas(one, f"{by} {key}, mean double, sd double, low double, high double, n bigint")
+
+def bootstrap_mean(values: DataFrame, value: str, by: str, resamples: int = 200, seed: int = 0, ci: float = 95.0, key: str = "id") -> DataFrame:
+    """``by, mean, sd, low, high, n``: resampled subjects within a group.
+
+    Every row draws its own weight in every resample, so the sums of a resample are added up before they are shuffled
+    and no group meets in one task. A resample that draws nothing is left out.
+    """
+    rows = values.where(F.col(value).isNotNull()).select(by, F.col(key).alias("__key"), F.col(value).cast("double").alias("__x"))
+    drawn = rows.select(by, "__key", "__x", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("__r"))
+    drawn = drawn.withColumn("__w", resample_weight(F.col("__key"), F.col("__r"), seed)).groupBy(by, "__r").agg(F.sum(F.col("__w") * F.col("__x")).alias("__s"), F.sum("__w").alias("__n"))
+    means = drawn.where("__n > 0").select(by, (F.col("__s") / F.col("__n")).alias("__m"))
+    tail = (100 - ci) / 200
+    spread = means.groupBy(by).agg(F.stddev_samp("__m").alias("sd"), F.percentile("__m", F.lit(tail)).alias("low"), F.percentile("__m", F.lit(1 - tail)).alias("high"))
+    whole = rows.groupBy(by).agg(F.avg("__x").alias("mean"), F.count(F.lit(1)).alias("n"))
+    return whole.join(spread, by, "left").select(by, "mean", "sd", "low", "high", "n")
 
 
 def lines(found: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ readings, customers as subjects. Rounding happens here, never inside an operator
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -746,12 +747,11 @@ def rayleigh_tests(spark, d):
 HALVES = BASE + ", diffs AS (SELECT id, grp, avg(activity) FILTER (t >= split_minute) - avg(activity) FILTER (t < split_minute) AS v FROM readings JOIN subjects USING (id) GROUP BY ALL)"
 
 
-@query("SELECT grp, count(v) AS n, round(avg(v), 6) AS mean, round(CASE WHEN count(v) >= 3 AND var_samp(v) > 0 THEN avg(v) / sqrt(var_samp(v) / count(v)) END, 5) AS t, count(v) - 1 AS df FROM diffs WHERE v IS NOT NULL GROUP BY grp", HALVES)
+@query("SELECT grp, count(v) AS n, round(avg(v), 6) AS mean, round(CASE WHEN count(v) >= 3 AND var_samp(v) > 0 THEN avg(v) / sqrt(var_samp(v) / count(v)) END, 6) AS t, count(v) - 1 AS df FROM diffs WHERE v IS NOT NULL GROUP BY grp", HALVES)
 def paired_differences(spark, d):
     rows, s = _r(spark, d), _s(spark, d).select("id", "grp", "split_minute")
     half = lambda c: rows.join(s, "id").where(c).groupBy("id", "grp").agg(F.avg("activity").alias("v"))
-    out = stats.compare_paired(half("t < split_minute"), half("t >= split_minute"), "v")
-    return rounded(out).withColumn("t", F.round("t", 5) + 0.0)
+    return rounded(stats.compare_paired(half("t < split_minute"), half("t >= split_minute"), "v"))
 
 
 # Decoded states
@@ -812,17 +812,22 @@ def group_tests(spark, d):
 
 @query()
 def hidden_states(spark, d):
-    settings = Hmm(n_states=2, n_restarts=2, n_iter=8)
+    settings = Hmm(n_restarts=3, n_iter=10)
     seen, s = hmm.observations(_r(spark, d)), _s(spark, d)
-    some = s.where("grp = 'BUILDING'")
-    models = hmm.train(seen, some, settings)
-    return hmm.occupancy(hmm.decode(seen, some, models, settings), 2)
+    return hmm.occupancy(hmm.decode(seen, s, hmm.train(seen, s, settings), settings))
 
 
-@query()
+#: Cumulative probabilities of a Poisson number with mean one.
+POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
+
+
+@query("""SELECT grp, round(mean, 6) AS mean, round(sd, 6) AS sd, round(low, 6) AS low, round(high, 6) AS high, n FROM (SELECT grp, avg(v) AS mean, count(v) AS n FROM vals GROUP BY grp) JOIN (
+ SELECT grp, stddev_samp(m) AS sd, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM (SELECT grp, r, sum(w * v) / sum(w) AS m FROM (SELECT grp, r, v, """ + " + ".join(f"(u >= {x!r})::INT" for x in POISSON) + """ AS w FROM (
+ SELECT grp, r, v, ('0x' || substr(md5('0:' || id::VARCHAR || ':' || r::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM vals CROSS JOIN range(200) q(r))) GROUP BY grp, r HAVING sum(w) > 0) GROUP BY grp) USING (grp)""",
+ BASE + ", vals AS (SELECT id, grp, avg(activity) AS v FROM readings JOIN subjects USING (id) GROUP BY ALL)")
 def bootstrap_means(spark, d):
     values = _r(spark, d).groupBy("id").agg(F.avg("activity").alias("v")).join(_s(spark, d), "id")
-    return phase_shift.bootstrap_mean(values, "v", "grp")
+    return rounded(phase_shift.bootstrap_mean(values, "v", "grp"))
 
 
 @query()

@@ -114,6 +114,23 @@ def test_hidden_chain_is_recovered():
     assert (path == truth).mean() > 0.95 and p["rate"][1] == pytest.approx(12, rel=0.15)
 
 
+def test_fits_over_many_tasks_are_those_of_one_place(spark):
+    rng = np.random.default_rng(9)
+    series = {i: np.where(rng.random(120) < 0.5, 0, rng.poisson(6, 120)).astype(float) for i in range(6)}
+    rows = [(i, t, float(v)) for i, x in series.items() for t, v in enumerate(x)]
+    seen = spark.createDataFrame(rows, "id int, t int, x double").repartition(4)
+    who = spark.createDataFrame([(i, "g" if i < 5 else "h") for i in series], "id int, grp string")
+    settings = params.Hmm(n_states=2, n_restarts=2, n_iter=6)
+    found = {r.grp: r for r in hmm.train(seen, who, settings).collect()}
+    for grp, ids in (("g", range(5)), ("h", [5])):
+        wanted = max((hmm.fit([series[i] for i in ids], settings, n) for n in range(2)), key=lambda f: f["ll"])
+        assert found[grp].ll == pytest.approx(wanted["ll"], rel=1e-9) and found[grp].trans == pytest.approx(wanted["trans"], rel=1e-6)
+    alone = {r.grp: r for r in hmm.train_subjects(seen, who, settings).collect()}
+    assert alone["h"].ll == pytest.approx(found["h"].ll, rel=1e-9)
+    chosen = hmm.select_states(seen, who, [2], settings, folds=2).collect()
+    assert {r.n_states for r in chosen} == {2} and sum(r.n for r in chosen) == 720 and all(r.ll_per_obs < 0 for r in chosen)
+
+
 def test_group_tests(spark):
     rows = [(g, float(v)) for g, vs in {"a": [1, 2, 3, 4, 5], "b": [11, 12, 13, 14, 15], "c": [1, 2, 3, 5, 9], "d": [1]}.items() for v in vs]
     frame = spark.createDataFrame(rows, "grp string, v double")
