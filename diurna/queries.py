@@ -498,9 +498,10 @@ def zscore(spark, d):
     return rounded(signal.standardized(_r(spark, d), "activity", "z").select("id", "t", "z"), 5)
 
 
-LS_PERIODS = (18.0, 21.0, 24.0, 27.0, 30.0)
+#: The library's range of periods, closer together than a record of 30 days tells apart near a day.
+LS_PERIODS = tuple(16 + k / 2 for k in range(41))
 LS = BASE + """, y AS (SELECT id, t, activity - avg(activity) OVER (PARTITION BY id) AS y FROM readings WHERE activity IS NOT NULL),
- m AS (SELECT id, p AS period, y, cos(2 * pi() * t / (60.0 * p)) AS c, sin(2 * pi() * t / (60.0 * p)) AS s FROM y CROSS JOIN (VALUES (18.0::DOUBLE), (21.0), (24.0), (27.0), (30.0)) v(p)),
+ m AS (SELECT id, p AS period, y, cos(2 * pi() * t / (60.0 * p)) AS c, sin(2 * pi() * t / (60.0 * p)) AS s FROM y CROSS JOIN (SELECT 16 + k / 2.0::DOUBLE AS p FROM range(41) r(k)) v),
  q AS (SELECT id, period, sum(c * c) - sum(c) * sum(c) / count(*) AS cc, sum(s * s) - sum(s) * sum(s) / count(*) AS ss, sum(c * s) - sum(c) * sum(s) / count(*) AS cs, sum(y * c) AS yc, sum(y * s) AS ys, sum(y * y) AS yy FROM m GROUP BY ALL),
  ls AS (SELECT id, period, CASE WHEN yy > 0 THEN (yc * yc * ss + ys * ys * cc - 2 * yc * ys * cs) / ((cc * ss - cs * cs) * yy) END AS power FROM q)"""
 
@@ -517,7 +518,7 @@ def _calls(spark, d):
 
 
 @query("""SELECT method, coalesce(grp, 'ALL') AS grp, count(*) AS n_total, count(*) FILTER (r) AS n_rhythmic, count(*) FILTER (NOT r) AS n_arrhythmic, round(100.0 * count(*) FILTER (r) / count(*), 6)::DOUBLE AS percent_rhythmic
- FROM (SELECT 'ls' AS method, grp, coalesce(max(power) > 0.006, false) AS r FROM ls JOIN subjects USING (id) GROUP BY id, grp) GROUP BY GROUPING SETS ((method, grp), (method))""", LS)
+ FROM (SELECT 'ls' AS method, grp, coalesce(max(power) > 0.006 AND arg_max(period, (power, -period)) BETWEEN 16 AND 32, false) AS r FROM ls JOIN subjects USING (id) GROUP BY id, grp) GROUP BY GROUPING SETS ((method, grp), (method))""", LS)
 def rhythm_summary(spark, d):
     return rounded(period.rhythm_summary(_calls(spark, d), _s(spark, d)))
 
@@ -528,9 +529,9 @@ def threshold_sweep(spark, d):
 
 
 @query("""SELECT id, period, round(sum(c * (m - mean) ** 2) / first(var), 4) AS q, (count(*) - 1)::BIGINT AS dof FROM (SELECT id, p AS period, i % (p::BIGINT) AS k, avg(x) AS m, count(*) AS c, first(mean) AS mean, first(var) AS var FROM (
- SELECT id, activity AS x, row_number() OVER (PARTITION BY id ORDER BY t) - 1 AS i, avg(activity) OVER (PARTITION BY id) AS mean, var_pop(activity) OVER (PARTITION BY id) AS var FROM readings WHERE activity IS NOT NULL) CROSS JOIN (VALUES (20.0::DOUBLE), (24.0), (28.0)) v(p) WHERE var > 0 GROUP BY ALL) GROUP BY id, period""")
+ SELECT id, activity AS x, row_number() OVER (PARTITION BY id ORDER BY t) - 1 AS i, avg(activity) OVER (PARTITION BY id) AS mean, var_pop(activity) OVER (PARTITION BY id) AS var FROM readings WHERE activity IS NOT NULL) CROSS JOIN (SELECT k::DOUBLE AS p FROM range(16, 37) r(k)) v WHERE var > 0 GROUP BY ALL) GROUP BY id, period""")
 def chi_sq_periodogram(spark, d):
-    return rounded(period.chi_square(_r(spark, d), [20.0, 24.0, 28.0], step=STEP), 4)
+    return rounded(period.chi_square(_r(spark, d), [float(k) for k in range(16, 37)], step=STEP), 4)
 
 
 @query("""SELECT id, lag / 60.0::DOUBLE AS lag_hours, round(s / max(CASE WHEN lag = 0 THEN s END) OVER (PARTITION BY id), 5) AS r FROM (SELECT a.id, l.lag, sum(a.x * b.x) AS s FROM x a CROSS JOIN (SELECT unnest(range(0, 1441, 120)) AS lag) l JOIN x b ON b.id = a.id AND b.t = a.t + l.lag GROUP BY ALL) QUALIFY max(CASE WHEN lag = 0 THEN s END) OVER (PARTITION BY id) > 0""",
