@@ -12,13 +12,15 @@ Fingerprints only nominate near copies: ``drop_near_duplicates`` compares the fi
 from __future__ import annotations
 
 import itertools
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, written
@@ -352,10 +354,9 @@ SHINGLE, SIMILAR = 5, 0.8
 #: How near copies are nominated: distinct words within 7 bits, five-word shingles within 18. Texts of similarity 0.8
 #: differ in 4 and 10 bits in the mean.
 NOMINATED = {"words": 1, "distinct": True, "radius": 7, "second": (SHINGLE, 18)}
-#: Texts and bytes up to which a nominated group is one task's work; larger groups lose a text and its copies a round.
-GROUP, GROUP_BYTES = 1000, 1 << 26
-#: Tasks that the comparisons with one document are dealt to.
-SALTS = 16
+#: Texts and bytes up to which a nominated group is one task's work. Of a larger group so many are judged a round, and
+#: those of them that stay take their near copies among the rest with them.
+GROUP, GROUP_BYTES = 1000, 1 << 24
 
 
 def similarity(a: set[bytes], b: set[bytes]) -> float:
@@ -363,6 +364,26 @@ def similarity(a: set[bytes], b: set[bytes]) -> float:
     return len(a & b) / len(a | b) if a or b else 1.0
 
 
+class Stays:
+    """Shingle sets of the texts that stay, met through the shingles that a text shares with them."""
+
+    def __init__(self, similar: float):
+        self.similar, self.sizes, self.where = similar, array("q"), {}
+
+    def add(self, parts: set[bytes]) -> None:
+        for part in parts:
+            self.where.setdefault(part, array("i")).append(len(self.sizes))
+        self.sizes.append(len(parts))
+
+    def near(self, parts: set[bytes]) -> bool:
+        """Whether the ``similarity`` with one that stays is ``similar`` or more."""
+        if not parts:
+            return 0 in self.sizes
+        hits = np.frombuffer(b"".join(self.where[part] for part in parts if part in self.where), np.int32)
+        shared = np.bincount(hits, minlength=len(self.sizes))
+        return bool((shared / (np.frombuffer(self.sizes, np.int64) + len(parts) - shared) >= self.similar).any())
+
+
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, **options) -> DataFrame:
     """``doc, row`` of the rows that are near copies of one that stays.
 
@@ -383,50 +404,56 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     held = texts.join(own, texts["doc"].eqNullSafe(own["__doc"]) & (texts["row"] == own["__row"])).select("root", "doc", "row", "text")
     left, gone = written(held, "near"), [cut(same)]
 
-    def compare(batches):
-        known: tuple = (None, set())
-        for batch in batches:
-            out = []
-            for here, there in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if known[0] != there:
-                    known = (there, set(shingles(there, SHINGLE)))
-                out.append(similarity(set(shingles(here, SHINGLE)), known[1]) >= similar)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], ["x", "text", "close"])
-
-    def resolve(batches):
-        now, last, stay = None, None, []
+    def judge(batches, texts):
+        """Rows by ``root, part`` and in order; those marked ``stays`` are compared with none, all others with what stays."""
+        now, last, stay = None, None, Stays(similar)
         for batch in batches:
             drop = []
-            for root, *own, text in zip(*[c.to_pylist() for c in batch.columns]):
-                if root != now:
-                    now, stay = root, []
-                if (root, *own) == last:  # rows that share id and text are one
-                    drop.append(False)
+            for root, part, stays, *own, text in zip(*[c.to_pylist() for c in batch.columns]):
+                if (root, part) != now:
+                    now, last, stay = (root, part), None, Stays(similar)
+                if own == last:  # rows that share id and text are one
+                    drop.append(None)
                     continue
-                last, parts = (root, *own), set(shingles(text, SHINGLE))
-                drop.append(any(similarity(parts, other) >= similar for other in stay))
-                if not drop[-1]:
-                    stay.append(parts)
-            keep = pa.array(drop, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(1).filter(keep), batch.column(2).filter(keep)], ["doc", "row"])
-
-    order = ["root", F.col("doc").isNull(), "doc", "row"]
+                last, parts = own, set(shingles(text, SHINGLE))
+                drop.append(None if stays else stay.near(parts))
+                if stays or (not drop[-1] and stays is not None):
+                    stay.add(parts)
+            told = pa.array(drop, pa.bool_())
+            keep = pc.is_valid(told) if texts else pc.fill_null(told, False)
+            root, _, _, doc, row, text = (c.filter(keep) for c in batch.columns)
+            told = told.filter(keep)
+            yield pa.RecordBatch.from_arrays([root, doc, row, pc.if_else(told, None, text), told], ["root", "doc", "row", "text", "close"])
+
+    def judged(rows: DataFrame, texts: bool = True) -> DataFrame:
+        """``stays``: true for a text known to stay, false for one to tell from those before it, null for one to tell from
+        those known to stay. Those that go are ``close``; the others, with their texts, are only returned with ``texts``."""
+        dealt = rows.select("root", "part", "stays", "doc", "row", "text").repartition("root", "part")
+        order = ["root", "part", F.coalesce(~F.col("stays"), F.lit(True)), F.col("doc").isNull(), "doc", "row"]
+        return dealt.sortWithinPartitions(*order).mapInArrow(lambda batches: judge(batches, texts), "root bigint, doc bigint, row bigint, text string, close boolean")
+
+    at = F.struct(F.col("doc").isNull().alias("none"), "doc", "row")
     while True:
-        sizes = left.groupBy("root").agg((((F.count(F.lit(1)) <= GROUP) & (F.sum(F.octet_length("text")) <= GROUP_BYTES))).alias("small"))
-        marked = left.join(sizes, "root")
-        gone.append(cut(marked.where("small").select("root", "doc", "row", "text").repartition("root").sortWithinPartitions(*order).mapInArrow(resolve, "doc bigint, row bigint")))
-        left = marked.where("NOT small").select("root", "doc", "row", "text")
-        if left.isEmpty():
+        sizes = left.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+        marked = left.join(sizes.withColumn("small", (F.col("n") <= GROUP) & (F.col("bytes") <= GROUP_BYTES)), "root")
+        alone = marked.where("small").select("root", "doc", "row", "text", F.lit(0).alias("part"), F.lit(False).alias("stays"))
+        gone.append(cut(judged(alone, texts=False).select("doc", "row")))
+        large = marked.where("NOT small").select("root", "doc", "row", "text", "n", "bytes")
+        if large.isEmpty():
             break
-        # Rows that share id and text are one.
-        heads = left.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "row")).alias("h"))
-        lead = left.join(heads, "root").where(F.col("doc").eqNullSafe(F.col("h.doc")) & (F.col("row") == F.col("h.row")))
-        lead = lead.groupBy("root", "doc", "row").agg(F.min("text").alias("lead"))
-        spread = lead.select(F.col("root").alias("r"), F.col("doc").alias("d"), F.col("row").alias("w"), "lead", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
-        salted = left.withColumn("s", F.pmod("row", F.lit(SALTS)).cast("int"))
-        pairs = salted.join(spread, (salted["root"] == spread["r"]) & (salted["s"] == spread["s"])).where(~(F.col("doc").eqNullSafe(F.col("d")) & (F.col("row") == F.col("w"))))
-        found = pairs.select(F.struct("root", "doc", "row").alias("x"), "text", "lead").mapInArrow(compare, "x struct<root:bigint,doc:bigint,row:bigint>, text string, close boolean")
-        now = written(found.select("x.root", "x.doc", "x.row", F.when(~F.col("close"), F.col("text")).alias("text"), "close"), "near")
+        # The first of a group are told in one task; what stays of them meets the rest of the group part by part.
+        ranked = large.withColumn("rank", F.row_number().over(Window.partitionBy("root").orderBy(F.col("doc").isNull(), "doc", "row"))).where(F.col("rank") <= GROUP)
+        ahead = F.sum(F.octet_length("text")).over(Window.partitionBy("root").orderBy("rank"))
+        first = ranked.withColumn("ahead", ahead).where((F.col("rank") == 1) | (F.col("ahead") <= GROUP_BYTES))
+        told = written(judged(first.select("root", "doc", "row", "text", F.lit(0).alias("part"), F.lit(False).alias("stays"))), "near")
+        gone.append(told.where("close").select("doc", "row"))
+        ends = told.groupBy("root").agg(F.max(at).alias("end"))
+        rest = large.join(ends, "root").where(at > F.col("end"))
+        parts = F.greatest(F.ceil(F.col("n") / GROUP), F.ceil(F.col("bytes") / GROUP_BYTES)).cast("int")
+        rows = rest.select("root", "doc", "row", "text", F.pmod("row", parts).cast("int").alias("part"), F.lit(None).cast("boolean").alias("stays"))
+        dealt = large.select("root", parts.alias("parts")).distinct()
+        known = told.where("NOT close").join(dealt, "root").select("root", "doc", "row", "text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("stays"))
+        now = written(judged(rows.unionByName(known)), "near")
         gone.append(now.where("close").select("doc", "row"))
         left = now.where("NOT close").select("root", "doc", "row", "text")
     out = gone[0]
