@@ -321,3 +321,10 @@ def select_states(seen: DataFrame, groups: DataFrame, candidates: list[int], set
             ll = models[r["fold"]]["ll"]
             rows.append((k, r["fold"], r["ll"] / r["n"], r["n"], 2 * free - 2 * ll, free * math.log(sizes[r["fold"]]) - 2 * ll))
     return seen.sparkSession.createDataFrame(rows, "n_states int, fold int, ll_per_obs double, n bigint, aic double, bic double")
+
+
+def group_timecourse(decoded: DataFrame, groups: DataFrame, states: tuple[int, ...] = (0, 1), bin_minutes: int = 30) -> DataFrame:
+    """``grp, zt_bin_minute, mean, sem, n``: the share of minutes in ``states`` over the day, subjects first (one subject has no sem)."""
+    per = decoded.groupBy("id", S.zt_bin("t", bin_minutes).alias("zt_bin_minute")).agg(F.avg(F.col("state").isin(*states).cast("double")).alias("share"))
+    out = per.join(groups.select("id", "grp"), "id").groupBy("grp", "zt_bin_minute")
+    return out.agg(F.avg("share").alias("mean"), S.sem("share").alias("sem"), F.count("share").alias("n"))

@@ -161,3 +161,21 @@ def wide(calls: DataFrame, methods: list[str]) -> DataFrame:
 def skips(results: DataFrame) -> DataFrame:
     """``method, status, n`` of subjects without a result."""
     return results.where("status <> 'ok'").groupBy("method", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def running_median(spectra: DataFrame, share: float = 0.35, value: str = "power", order: str = "period", key: str = "id") -> DataFrame:
+    """``key, order, value, baseline``: the noise floor below each point of a spectrum.
+
+    The median of the points around it, ``share`` of the spectrum wide (odd, three or more) and cut at its ends. Missing
+    points are skipped; without any the baseline is null. A spectrum is one grid of periods, so it is one array.
+    """
+    number = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
+    held = spectra.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), number.alias("x")))).alias("points"))
+    half = F.floor(F.greatest(F.lit(3), F.bround(F.size("points") * F.lit(share)).cast("int")) / 2).cast("int")
+    held = held.withColumn("half", half).select(key, "points", "half", F.posexplode("points").alias("i", "p"))
+    start = F.greatest(F.lit(0), F.col("i") - F.col("half"))
+    near = F.slice("points", start + 1, F.col("i") + F.col("half") - start + 1)
+    near = F.array_sort(F.filter(F.transform(near, lambda p: p["x"]), lambda x: x.isNotNull()))
+    n = F.size("near")
+    middle = (F.get("near", F.floor((n - 1) / 2).cast("int")) + F.get("near", F.floor(n / 2).cast("int"))) / 2
+    return held.withColumn("near", near).select(key, F.col("p.at").alias(order), F.col("p.x").alias(value), F.when(n > 0, middle).alias("baseline"))

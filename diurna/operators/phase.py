@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,3 +79,23 @@ def record_days(readings: DataFrame, value: str = "activity", floor_days: float
 def onset_days(subjects: DataFrame) -> DataFrame:
     """Distinct release days; more than one means cohorts released apart."""
     return subjects.where("split_minute IS NOT NULL").select(F.round(F.col("split_minute") / 1440.0).cast("int").alias("onset_day")).distinct()
+
+
+def experiment_days(readings: DataFrame, subjects: DataFrame, phase: str = "LD", step: int = 1) -> DataFrame:
+    """``day, start_minute, end_minute`` of the whole days of a phase; the earliest boundary holds for all."""
+    if phase not in ("LD", "DD", "both"):
+        raise PhaseError(f"unknown phase {phase}")
+    length = readings.agg((F.max("t") - F.min("t") + step).cast("bigint").alias("length"))
+    split = subjects.agg(F.min("split_minute").cast("bigint").alias("split"))
+    bounds = F.broadcast(length).join(F.broadcast(split))
+    first = F.coalesce("split", F.lit(0)) if phase == "DD" else F.lit(0)
+    last = F.least("split", "length") if phase == "LD" else F.col("length")
+    days = bounds.select(first.cast("bigint").alias("first"), F.floor((last - first) / 1440).alias("n")).where("n > 0")
+    day = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("day")
+    return days.select("first", day).select("day", (F.col("first") + F.col("day") * 1440).alias("start_minute"), (F.col("first") + (F.col("day") + 1) * 1440).alias("end_minute"))
+
+
+def per_epoch(readings: DataFrame, subjects: DataFrame, values: list[str], make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The tables that ``make`` gives for either phase, one below the other, with ``phase`` first."""
+    tables = [make(select_phase(readings, subjects, phase, values)).select(F.lit(phase).alias("phase"), "*") for phase in ("LD", "DD")]
+    return tables[0].unionByName(tables[1])

@@ -157,22 +157,44 @@ def resample_weight(key, resample, seed: int = 0) -> Column:
     return F.size(F.filter(F.array(*[F.lit(float(x)) for x in bounds]), lambda x: x <= u))
 
 
-def bootstrap_mean(values: DataFrame, value: str, by: str, resamples: int = 200, seed: int = 0, ci: float = 95.0, key: str = "id") -> DataFrame:
+def bootstrap_mean(values: DataFrame, value: str, by: str | list[str], resamples: int = 200, seed: int = 0, ci: float = 95.0, key: str = "id") -> DataFrame:
     """``by, mean, sd, low, high, n``: resampled subjects within a group.
 
     Every row draws its own weight in every resample, so the sums of a resample are added up before they are shuffled
-    and no group meets in one task. A resample that draws nothing is left out.
+    and no group meets in one task. A resample that draws nothing is left out. A key draws the same weights
+    in all groups, so that curves are resampled whole where ``by`` also names a curve's points.
     """
-    rows = values.where(F.col(value).isNotNull()).select(by, F.col(key).alias("__key"), F.col(value).cast("double").alias("__x"))
-    drawn = rows.select(by, "__key", "__x", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("__r"))
-    drawn = drawn.withColumn("__w", resample_weight(F.col("__key"), F.col("__r"), seed)).groupBy(by, "__r").agg(F.sum(F.col("__w") * F.col("__x")).alias("__s"), F.sum("__w").alias("__n"))
-    means = drawn.where("__n > 0").select(by, (F.col("__s") / F.col("__n")).alias("__m"))
+    by = [by] if isinstance(by, str) else by
+    rows = values.where(F.col(value).isNotNull()).select(*by, F.col(key).alias("__key"), F.col(value).cast("double").alias("__x"))
+    drawn = rows.select(*by, "__key", "__x", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("__r"))
+    drawn = drawn.withColumn("__w", resample_weight(F.col("__key"), F.col("__r"), seed)).groupBy(*by, "__r").agg(F.sum(F.col("__w") * F.col("__x")).alias("__s"), F.sum("__w").alias("__n"))
+    means = drawn.where("__n > 0").select(*by, (F.col("__s") / F.col("__n")).alias("__m"))
     tail = (100 - ci) / 200
-    spread = means.groupBy(by).agg(F.stddev_samp("__m").alias("sd"), F.percentile("__m", F.lit(tail)).alias("low"), F.percentile("__m", F.lit(1 - tail)).alias("high"))
-    whole = rows.groupBy(by).agg(F.avg("__x").alias("mean"), F.count(F.lit(1)).alias("n"))
-    return whole.join(spread, by, "left").select(by, "mean", "sd", "low", "high", "n")
+    spread = means.groupBy(*by).agg(F.stddev_samp("__m").alias("sd"), F.percentile("__m", F.lit(tail)).alias("low"), F.percentile("__m", F.lit(1 - tail)).alias("high"))
+    whole = rows.groupBy(*by).agg(F.avg("__x").alias("mean"), F.count(F.lit(1)).alias("n"))
+    return whole.join(spread, by, "left").select(*by, "mean", "sd", "low", "high", "n")
 
 
 def lines(found: DataFrame) -> DataFrame:
     """``id, slope_hours, r2, n``: the drift of a subject's markers over all days, as a period."""
     return found.groupBy("id").agg((F.regr_slope("minute", "day") / 60).alias("slope_hours"), F.regr_r2("minute", "day").alias("r2"), F.count(F.lit(1)).alias("n"))
+
+
+def daily_responses(found: DataFrame, subjects: DataFrame, controls: DataFrame, response_days: tuple[int, ...] = (2, 3, 4), baseline_days: tuple[int, ...] = (-1,)) -> DataFrame:
+    """``id, grp, control_grp, response_hours, response_hours_raw, n_days_used, baseline_used``.
+
+    A subject's phase on a day is its marker's time within that day, days counted from its own pulse (the reference
+    pulse where it had none). Its response is the mean of the control group's phase less its own over the response
+    days, less the same over the baseline days where there are any. An advance is positive.
+    """
+    since = F.col("day") - F.floor(F.col("reference_minute") / 1440)
+    phases = found.join(reference_pulses(subjects), "id").join(subjects.select("id", "grp"), "id")
+    phases = phases.select("id", "grp", since.alias("offset"), ((F.col("minute") - F.col("day") * 1440) / 60).alias("hours"))
+    phases = phases.where(F.col("offset").isin(*response_days, *baseline_days))
+    expected = phases.groupBy("grp", "offset").agg(F.avg("hours").alias("expected")).withColumnRenamed("grp", "control_grp")
+    met = phases.join(controls.select("grp", "control_grp"), "grp").join(expected, ["control_grp", "offset"])
+    ahead = F.col("expected") - F.col("hours")
+    after, before = F.when(F.col("offset").isin(*response_days), ahead), F.when(F.col("offset").isin(*baseline_days), ahead)
+    out = met.groupBy("id", "grp", "control_grp").agg(F.avg(after).alias("response_hours_raw"), F.count(after).alias("n_days_used"), F.avg(before).alias("__before")).where("n_days_used > 0")
+    response = F.col("response_hours_raw") - F.coalesce("__before", F.lit(0.0))
+    return out.select("id", "grp", "control_grp", response.alias("response_hours"), "response_hours_raw", "n_days_used", F.col("__before").isNotNull().alias("baseline_used"))

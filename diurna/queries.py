@@ -831,6 +831,54 @@ def bootstrap_means(spark, d):
     return rounded(phase_shift.bootstrap_mean(values, "v", "grp"))
 
 
+DAILY = PEAKS + """, met AS (
+  SELECT id, grp, day - coalesce(pulse_minute, split_minute + 8040) // 1440 AS k, (minute - day * 1440) / 60 AS h FROM peaks JOIN subjects USING (id)
+), expected AS (
+  SELECT k, avg(h) AS e FROM met WHERE grp = 'BUILDING' GROUP BY k
+), ahead AS (
+  SELECT id, grp, avg(e - h) FILTER (k IN (2, 3, 4)) AS raw, count(*) FILTER (k IN (2, 3, 4)) AS n, avg(e - h) FILTER (k = -1) AS before FROM met JOIN expected USING (k) WHERE k IN (-1, 2, 3, 4) GROUP BY ALL
+)"""
+
+
+@query("SELECT id, grp, 'BUILDING' AS control_grp, round(raw - coalesce(before, 0), 6) AS response_hours, round(raw, 6) AS response_hours_raw, n AS n_days_used, before IS NOT NULL AS baseline_used FROM ahead WHERE n > 0", DAILY)
+def daily_responses(spark, d):
+    s = _s(spark, d)
+    controls = s.select("grp").distinct().withColumn("control_grp", F.lit("BUILDING"))
+    return rounded(phase_shift.daily_responses(signal.daily_peaks(_r(spark, d)), s, controls))
+
+
+@query("SELECT d AS day, 14400 + d * 1440 AS start_minute, 14400 + (d + 1) * 1440 AS end_minute FROM range((43200 - 14400) // 1440) q(d)", "")
+def experiment_days(spark, d):
+    return phase.experiment_days(_r(spark, d), _s(spark, d), "DD", STEP)
+
+
+@query("""SELECT 'LD' AS phase, id, count(activity) FILTER (split_minute IS NULL OR t < split_minute) AS n, round(sum(activity) FILTER (split_minute IS NULL OR t < split_minute), 6) AS total FROM readings LEFT JOIN subjects USING (id) GROUP BY id
+ UNION ALL SELECT 'DD', id, count(activity) FILTER (split_minute IS NULL OR t >= split_minute), round(sum(activity) FILTER (split_minute IS NULL OR t >= split_minute), 6) FROM readings LEFT JOIN subjects USING (id) GROUP BY id""")
+def epoch_totals(spark, d):
+    def totals(view):
+        return view.groupBy("id").agg(F.count("activity").alias("n"), F.sum("activity").alias("total"))
+
+    return rounded(phase.per_epoch(_r(spark, d), _s(spark, d), ["activity"], totals))
+
+
+@query("SELECT id, zt_bin_minute::BIGINT AS zt_bin_minute, round(value, 6) AS value, round(quantile_cont(value, 0.5) OVER (PARTITION BY id ORDER BY zt_bin_minute ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING), 6) AS baseline FROM zt")
+def running_median(spark, d):
+    return rounded(period.running_median(_zt(spark, d), value="value", order="zt_bin_minute"))
+
+
+@query("SELECT grp, zt_bin_minute::BIGINT AS zt_bin_minute, round(avg(p), 6) AS mean, round(CASE WHEN count(*) > 1 THEN stddev_samp(p) / sqrt(count(*)) END, 6) AS sem, count(*) AS n FROM (SELECT id, t % 1440 // 120 * 120 AS zt_bin_minute, avg((state < 2)::INT) AS p FROM dec GROUP BY 1, 2) JOIN subjects USING (id) GROUP BY 1, 2", DECODED)
+def state_timecourse(spark, d):
+    return rounded(hmm.group_timecourse(_decoded(spark, d), _s(spark, d), bin_minutes=120))
+
+
+@query("SELECT n_nationkey::BIGINT AS monitor, CASE n_nationkey % 4 WHEN 0 THEN 'in/Monitor' || n_nationkey || '.txt' WHEN 1 THEN 'in/Monitor' || lpad(n_nationkey::VARCHAR, 3, '0') || '.txt' WHEN 2 THEN 'in/monitor' || n_nationkey || '.TXT' END AS path FROM nation", "")
+def monitor_files(spark, d):
+    n = events.table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("monitor"))
+    text = F.col("monitor").cast("string")
+    spelled = F.when(F.col("monitor") % 4 == 0, F.concat(F.lit("in/Monitor"), text, F.lit(".txt"))).when(F.col("monitor") % 4 == 1, F.concat(F.lit("in/Monitor"), F.lpad(text, 3, "0"), F.lit(".txt"))).when(F.col("monitor") % 4 == 2, F.concat(F.lit("in/monitor"), text, F.lit(".TXT")))
+    return monitor.monitor_files(n.select(spelled.alias("path")).where("path IS NOT NULL"), n)
+
+
 @query()
 def bout_density(spark, d):
     return sleep.duration_density(_bouts(spark, d), 50)

@@ -134,3 +134,54 @@ def off_grid_starts(tubes: DataFrame) -> DataFrame:
 def silent_channels(readings: DataFrame) -> DataFrame:
     """Subjects without any measured minute: a caveat."""
     return readings.groupBy("id").agg(F.count("activity").alias("n")).where("n = 0").select("id")
+
+
+def monitor_files(files: DataFrame, monitors: DataFrame) -> DataFrame:
+    """``monitor, path`` of each monitor's file among ``files`` (``path``); null where there is none.
+
+    The number as it is written comes first, then with two and three digits; each in that spelling before any other
+    case, and of other cases the first in order.
+    """
+    plain = F.col("monitor").cast("string")
+    number = F.when(F.trim(plain).rlike("^[0-9]+$"), F.trim(plain).cast("bigint"))
+    padded = [F.when(F.length(number.cast("string")) <= width, F.lpad(number.cast("string"), width, "0")).otherwise(number.cast("string")) for width in (2, 3)]
+    spelled = monitors.select("monitor", F.posexplode(F.array(plain, *padded)).alias("at", "digits")).where("digits IS NOT NULL")
+    wanted = spelled.select("monitor", "at", F.concat(F.lit("Monitor"), "digits", F.lit(".txt")).alias("wanted"))
+    known = files.select("path", F.regexp_extract("path", "([^/]*)$", 1).alias("name"))
+    met = wanted.join(known, F.lower("wanted") == F.lower("name"))
+    best = met.groupBy("monitor").agg(F.min(F.struct(F.col("wanted") != F.col("name"), "at", "name", "path")).alias("best"))
+    return monitors.select("monitor").distinct().join(best, "monitor", "left").select("monitor", F.col("best.path").alias("path"))
+
+
+def pulse_columns(sheet: DataFrame, row: str = "row") -> DataFrame:
+    """``pulse_datetime`` and ``pulse_duration`` of a sheet as ``pulse_time`` and ``pulse_duration_min``; a fault names the sheet's rows.
+
+    A row without a pulse has a null time and lasts 0 minutes. A sheet with neither column is returned as it is.
+    """
+    has, lasts = "pulse_datetime" in sheet.columns, "pulse_duration" in sheet.columns
+    if not (has or lasts):
+        return sheet
+    for new, old in (("pulse_datetime", "pulse_time"), ("pulse_duration", "pulse_duration_min")):
+        if new in sheet.columns and old in sheet.columns:
+            raise MetadataError("both_pulse_columns", f"the sheet has {new} and {old}, which hold the same; keep {new}")
+    if not has:
+        raise MetadataError("no_pulse_datetime", "the sheet has pulse_duration but no pulse_datetime")
+    blank = F.coalesce(F.lower(F.trim(F.col("pulse_datetime").cast("string"))).isin("", "nat", "nan"), F.lit(True))
+    when = F.when(~blank, S.pulse_datetime("pulse_datetime"))
+    cell = F.trim(F.col("pulse_duration").cast("string")) if lasts else F.lit(None).cast("string")
+    minutes = cell.try_cast("double")
+    minutes = F.when(~F.isnan(minutes), minutes)
+    written = ~F.coalesce(F.lower(cell).isin("", "nan", "none"), F.lit(True))
+    checks = {
+        "pulse_datetime cannot be read as a date and time": ~blank & when.isNull(),
+        "pulse_duration is not a number of minutes": written & minutes.isNull(),
+        "a pulse has no duration above 0": ~blank & ~F.coalesce(minutes > 0, F.lit(False)),
+        "a duration has no pulse": blank & (F.coalesce(minutes, F.lit(0.0)) != 0),
+    }
+    bad = sheet.agg(*[F.count_if(wrong).alias(f"n{i}") for i, wrong in enumerate(checks.values())]).first()
+    for i, (said, wrong) in enumerate(checks.items()):
+        if bad[i]:
+            rows = [str(r[0]) for r in sheet.where(wrong).select(row).orderBy(row).limit(10).collect()]
+            raise MetadataError("pulse_rows", f"{said}: {bad[i]} row(s), {', '.join(rows)}{' ...' if bad[i] > len(rows) else ''}")
+    out = sheet.withColumns({"pulse_time": when, "pulse_duration_min": F.when(blank, F.coalesce(minutes, F.lit(0.0))).otherwise(minutes).cast("float")})
+    return out.drop("pulse_datetime", "pulse_duration")

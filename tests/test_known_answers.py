@@ -229,3 +229,16 @@ def test_holm_over_all_rows_is_no_single_task(spark):
         wanted[i] = top
     assert {r.id: r.p_holm for r in found.collect()} == wanted
     assert "SinglePartition" not in found._jdf.queryExecution().toString()
+
+
+def test_pulse_columns_name_the_rows_at_fault(spark):
+    shape = "row int, pulse_datetime string, pulse_duration string"
+    good = monitor.pulse_columns(spark.createDataFrame([(2, "2024-01-05 10:00", "30"), (3, None, None), (4, "", "0")], shape)).orderBy("row").collect()
+    assert [(r.pulse_time is not None, r.pulse_duration_min) for r in good] == [(True, 30.0), (False, 0.0), (False, 0.0)]
+    for cells, said in ((("soon", "30"), "cannot be read"), (("2024-01-05", "long"), "not a number"), (("2024-01-05", None), "no duration"), ((None, "5"), "no pulse")):
+        with pytest.raises(monitor.MetadataError, match=f"{said}.*: 1 row.s., 7"):
+            monitor.pulse_columns(spark.createDataFrame([(2, None, None), (7, *cells)], shape))
+    with pytest.raises(monitor.MetadataError, match="no pulse_datetime"):
+        monitor.pulse_columns(spark.createDataFrame([(2, "5")], "row int, pulse_duration string"))
+    plain = spark.createDataFrame([(2,)], "row int")
+    assert monitor.pulse_columns(plain) is plain
