@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, langid, line_dedup, media, packing, phrases, pii, simhash_dedup, substring_dedup, toxicity, warc
+from . import decontamination, jaccard_join, langid, line_dedup, media, packing, phrases, pii, simhash_dedup, substring_dedup, toxicity, warc
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeat_report(table(spark, sf_dir, "documents"))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_report(table(spark, sf_dir, "documents"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocation_report(table(spark, sf_dir, "documents"))
 
@@ -66,10 +70,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_decontamination,
         op9_pii,
         op10_substring_dedup,
+        op11_ngram_join,
         op13_collocations,
     )
     return {f.__name__: f for f in operators}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.REPORT_SQL, "op3_warc": warc.REPORT_SQL, "op13_collocations": phrases.REPORT_SQL}
+    return {"op1_line_dedup": line_dedup.REPORT_SQL, "op3_warc": warc.REPORT_SQL, "op11_ngram_join": jaccard_join.REPORT_SQL, "op13_collocations": phrases.REPORT_SQL}
