@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, langid, line_dedup, media, packing, phrases, pii, simhash_dedup, substring_dedup, toxicity, warc
+from . import alignment, decontamination, jaccard_join, langid, line_dedup, media, packing, phrases, pii, simhash_dedup, substring_dedup, toxicity, warc
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_report(table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_report(table(spark, sf_dir, "documents"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocation_report(table(spark, sf_dir, "documents"))
 
@@ -71,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_pii,
         op10_substring_dedup,
         op11_ngram_join,
+        op12_alignment,
         op13_collocations,
     )
     return {f.__name__: f for f in operators}
