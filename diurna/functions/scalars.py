@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,6 +43,11 @@ def wrap_hours(h) -> Column:
     return F.pmod(_c(h) + 12.0, F.lit(24.0)) - 12.0
 
 
+def circular_centre(sine, cosine) -> Column:
+    """Hours on the clock face from mean sine and cosine; null where the directions cancel out."""
+    return F.when(F.hypot(_c(sine), _c(cosine)) > 1e-9, F.pmod(F.atan2(_c(sine), _c(cosine)) * 12 / math.pi, F.lit(24.0)))
+
+
 def parse_zt_hour(cell) -> Column:
     """"ZT15", "zt 15", "15" and 15 are 15.0; blank and unreadable cells are null (see ``unreadable_zt``)."""
     text = F.upper(F.trim(_c(cell).cast("string")))

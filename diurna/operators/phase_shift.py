@@ -30,6 +30,24 @@ def reference_pulses(subjects: DataFrame) -> DataFrame:
     return rows.select("id", own.cast("double").alias("reference_minute"))
 
 
+def one_phase(found: DataFrame, subjects: DataFrame, skip: int = params.SKIP_DAYS) -> DataFrame:
+    """``found`` with ``pulse_day, side``: the markers before and after the pulse day (``skip`` days are left out after it).
+
+    A side keeps to the light phase of its day next to the pulse, for a line across the boundary would be one through a
+    kink; a day that the boundary falls in belongs to neither side. Without a boundary all days are of one phase.
+    """
+    split = F.col("split_minute") if "split_minute" in subjects.columns else F.lit(None).cast("int")
+    own = reference_pulses(subjects.withColumn("split_minute", split)).join(subjects.select("id", split.alias("__split")), "id")
+    own = own.where("reference_minute IS NOT NULL").select("id", "__split", F.floor(F.col("reference_minute") / 1440).cast("int").alias("pulse_day"))
+    phase = lambda day: S.day_phase(day, F.col("__split"))
+    first = F.col("pulse_day") + 1 + skip
+    pre = F.when(phase(F.col("pulse_day") - 1) != "mixed", phase(F.col("pulse_day") - 1)).otherwise(phase(F.col("pulse_day") - 2))
+    post = F.when(phase(first) != "mixed", phase(first)).otherwise(phase(first + 1))
+    rows = found.join(own.withColumns({"__pre": pre, "__post": post}), "id")
+    side = F.when((F.col("day") < F.col("pulse_day")) & (phase(F.col("day")) == F.col("__pre")), "pre").when((F.col("day") >= first) & (phase(F.col("day")) == F.col("__post")), "post")
+    return rows.withColumn("side", side).where("side IS NOT NULL").drop("__split", "__pre", "__post")
+
+
 def _peak(x: np.ndarray, step: int) -> int | None:
     ok = np.isfinite(x)
     if ok.sum() < 4 or np.ptp(x[ok]) == 0:
@@ -60,11 +78,12 @@ def _onset(x: np.ndarray, level: float, seed: bool) -> int | None:
 def markers(readings: DataFrame, subjects: DataFrame, method: str = "peak", value: str = "activity", step: int = 1, half_width_hours: float = params.HALF_WIDTH_HOURS) -> DataFrame:
     """``id, day, minute``: one marker a day, before and after the pulse each tracked on its own.
 
-    The first day of a side is searched whole, each later one around the marker before it, a day on; windows
+    A side keeps to one light phase. Its first day is searched whole, each later one around the marker before it, a day on; windows
     cross midnight. That makes the search sequential, so it is one grouped function per subject.
     """
     key = readings.schema["id"].dataType.simpleString()
-    rows = readings.select("id", "t", F.col(value).cast("double").alias("x")).join(reference_pulses(subjects), "id", "left")
+    boundary = subjects.select("id", (F.col("split_minute") if "split_minute" in subjects.columns else F.lit(None)).cast("double").alias("split"))
+    rows = readings.select("id", "t", F.col(value).cast("double").alias("x")).join(reference_pulses(subjects), "id", "left").join(boundary, "id", "left")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
@@ -79,7 +98,12 @@ def markers(readings: DataFrame, subjects: DataFrame, method: str = "peak", valu
         days = np.unique(t // 1440).astype(int)
         cut = pulse // 1440 if pulse == pulse and pulse is not None else math.inf
         out = []
-        for side in (days[days < cut], days[days > cut]):
+        split = pdf["split"].iloc[0]
+        for side, next_to in ((days[days < cut], -1), (days[days > cut], 0)):
+            if split == split and math.isfinite(cut) and len(side):  # a side keeps to the light phase of its day next to the pulse
+                phases = np.where((side + 1) * 1440 <= split, 0, np.where(side * 1440 >= split, 1, 2))
+                whole = phases[phases < 2]
+                side = side[phases == whole[next_to]] if len(whole) else side[:0]
             last = None
             for day in side:
                 lo, hi = day * 1440.0, day * 1440.0 + 1440
@@ -101,12 +125,10 @@ def markers(readings: DataFrame, subjects: DataFrame, method: str = "peak", valu
 def shifts(found: DataFrame, subjects: DataFrame, min_pre: int = params.MIN_PRE_DAYS, min_post: int = params.MIN_POST_DAYS, skip: int = params.SKIP_DAYS, periods: tuple[float, float] = params.PERIOD_RANGE) -> DataFrame:
     """``id, status, phase_shift_hours, n_pre_days, n_post_days, pre_period, post_period, pre_r2, post_r2``.
 
-    Lines through the markers before and after the pulse; the shift is their difference on the pulse day,
-    wrapped by the later period. A delay is positive.
+    Lines through the markers before and after the pulse, each side in one light phase; the shift is their difference on
+    the pulse day, wrapped by the later period. A delay is positive.
     """
-    rows = found.join(subjects.where("pulse_minute IS NOT NULL").select("id", "pulse_minute"), "id")
-    rel = F.col("day") - F.floor(F.col("pulse_minute") / 1440)
-    rows = rows.withColumns({"d": rel.cast("double"), "side": F.when(rel < 0, "pre").when(rel > skip, "post")}).where("side IS NOT NULL")
+    rows = one_phase(found, subjects.where("pulse_minute IS NOT NULL"), skip).withColumn("d", (F.col("day") - F.col("pulse_day")).cast("double"))
     agg = []
     for side in ("pre", "post"):
         x, y = F.when(F.col("side") == side, F.col("d")), F.when(F.col("side") == side, F.col("minute"))
@@ -133,23 +155,6 @@ def summarize(values: DataFrame, value: str, by: list[str]) -> DataFrame:
     return values.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), S.sem(value).alias("sem"), F.count(value).alias("n"))
 
 
-def group_difference(found: DataFrame, groups: DataFrame, controls: DataFrame) -> DataFrame:
-    """``grp, control_grp, day, peak_hours, control_peak_hours, phase_difference_hours, n``.
-
-    A group's phase on a day is the circular centre of its subjects' clock times plus the median of their
-    distances from it. Differences are wrapped to half a day.
-    """
-    hours = F.pmod(F.col("minute"), F.lit(1440.0)) / 60
-    rows = found.join(groups.select("id", "grp"), "id").select("grp", "day", hours.alias("h"))
-    a = F.col("h") * math.pi / 12
-    centre = rows.groupBy("grp", "day").agg((F.atan2(F.avg(F.sin(a)), F.avg(F.cos(a))) * 12 / math.pi).alias("c"))
-    spread = rows.join(centre, ["grp", "day"]).groupBy("grp", "day", "c").agg(F.percentile(S.wrap_hours(F.col("h") - F.col("c")), F.lit(0.5)).alias("m"), F.count(F.lit(1)).alias("n"))
-    peaks = spread.select("grp", "day", F.pmod(F.col("c") + F.col("m"), F.lit(24.0)).alias("peak_hours"), "n")
-    other = peaks.select(F.col("grp").alias("control_grp"), "day", F.col("peak_hours").alias("control_peak_hours"))
-    joined = peaks.join(controls, "grp").join(other, ["control_grp", "day"])
-    return joined.select("grp", "control_grp", "day", "peak_hours", "control_peak_hours", S.wrap_hours(F.col("peak_hours") - F.col("control_peak_hours")).alias("phase_difference_hours"), "n")
-
-
 def resample_weight(key, resample, seed: int = 0) -> Column:
     """How often a row stands in a resample: a Poisson number with mean one, from a hash of the row's key."""
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), key.cast("string"), resample.cast("string"))), 1, 8), 16, 10).cast("bigint") / F.lit(float(1 << 32))

@@ -555,18 +555,14 @@ def marker_lines(spark, d):
     return rounded(phase_shift.lines(signal.daily_peaks(_r(spark, d))))
 
 
-@query("""SELECT s.id, coalesce(CASE WHEN npre IS NULL THEN NULL WHEN npre < 3 THEN 'insufficient_pre' WHEN npost < 3 THEN 'insufficient_post' WHEN a BETWEEN 16 AND 36 AND b BETWEEN 16 AND 36 THEN 'ok' ELSE 'implausible_period' END, CASE WHEN pulse_minute IS NULL THEN 'no_pulse' ELSE 'pulse_outside_record' END) AS status,
- coalesce(npre, 0) AS n_pre_days, coalesce(npost, 0) AS n_post_days, round(a, 5) AS pre_period, round(b, 5) AS post_period FROM subjects s LEFT JOIN (SELECT id, count(*) FILTER (d < 0) AS npre, count(*) FILTER (d > 0) AS npost, regr_slope(minute, d) FILTER (d < 0) / 60 AS a, regr_slope(minute, d) FILTER (d > 0) / 60 AS b FROM (SELECT id, minute, day - pulse_minute // 1440 AS d FROM peaks JOIN subjects USING (id) WHERE pulse_minute IS NOT NULL) WHERE d <> 0 GROUP BY id) USING (id)""", PEAKS)
+@query("""SELECT s.id, coalesce(status, CASE WHEN pulse_minute IS NULL THEN 'no_pulse' ELSE 'pulse_outside_record' END) AS status, coalesce(npre, 0) AS n_pre_days, coalesce(npost, 0) AS n_post_days, round(a, 5) AS pre_period, round(b, 5) AS post_period,
+ round(CASE WHEN status = 'ok' THEN ((raw + b / 2) % b + b) % b - b / 2 END, 5) AS phase_shift_hours FROM subjects s LEFT JOIN (
+ SELECT *, CASE WHEN npre < 3 THEN 'insufficient_pre' WHEN npost < 3 THEN 'insufficient_post' WHEN a BETWEEN 16 AND 36 AND b BETWEEN 16 AND 36 THEN 'ok' ELSE 'implausible_period' END AS status FROM (
+  SELECT id, count(*) FILTER (d < 0) AS npre, count(*) FILTER (d > 0) AS npost, regr_slope(minute, d) FILTER (d < 0) / 60 AS a, regr_slope(minute, d) FILTER (d > 0) / 60 AS b, (regr_intercept(minute, d) FILTER (d > 0) - regr_intercept(minute, d) FILTER (d < 0)) / 60 AS raw
+  FROM (SELECT id, minute, day - pulse_minute // 1440 AS d FROM peaks JOIN subjects USING (id) WHERE pulse_minute IS NOT NULL AND day >= split_minute // 1440) WHERE d <> 0 GROUP BY id)) USING (id)""", PEAKS)
 def marker_shifts(spark, d):
     found = phase_shift.shifts(signal.daily_peaks(_r(spark, d)), _s(spark, d))
-    return rounded(found.select("id", "status", F.coalesce("n_pre_days", F.lit(0)).alias("n_pre_days"), F.coalesce("n_post_days", F.lit(0)).alias("n_post_days"), "pre_period", "post_period"), 5)
-
-
-@query("""SELECT a.grp, 'BUILDING' AS control_grp, a.day::BIGINT AS day, a.n FROM (SELECT grp, day, count(*) AS n FROM peaks JOIN subjects USING (id) GROUP BY ALL) a SEMI JOIN (SELECT day FROM peaks JOIN subjects USING (id) WHERE grp = 'BUILDING') b ON a.day = b.day WHERE a.grp <> 'BUILDING'""", PEAKS)
-def phase_difference_days(spark, d):
-    s = _s(spark, d)
-    controls = s.select("grp").distinct().where("grp <> 'BUILDING'").withColumn("control_grp", F.lit("BUILDING"))
-    return rounded(phase_shift.group_difference(signal.daily_peaks(_r(spark, d)), s, controls).select("grp", "control_grp", "day", "n"))
+    return rounded(found.select("id", "status", F.coalesce("n_pre_days", F.lit(0)).alias("n_pre_days"), F.coalesce("n_post_days", F.lit(0)).alias("n_post_days"), "pre_period", "post_period", "phase_shift_hours"), 5)
 
 
 # Statistics
@@ -885,8 +881,12 @@ def bout_density(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import queries_phase  # noqa: F401  it registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import queries_phase  # noqa: F401
+
     return dict(SQL)
