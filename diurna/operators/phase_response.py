@@ -66,7 +66,7 @@ def regression_phases(found: DataFrame, subjects: DataFrame, *, skip: int = para
         enough = F.col("n_post") >= 1
     period = F.col("slope") / 60.0
     status = F.when(~enough, "insufficient_post").when(F.col("n_pre") < 1, "insufficient_pre").when(period.between(*periods), "ok").otherwise("implausible_period")
-    free = (F.col("n_pre") >= 2) & (F.abs(F.col("pre_slope") - 1440.0) > ENTRAINED_MINUTES)
+    free = (F.col("n_pre") >= 2) & (F.round(F.abs(F.col("pre_slope") - 1440.0), PLACES) > ENTRAINED_MINUTES)
     before_hours = F.when(free, F.col("pre_at") / 60.0).otherwise(F.col("c") + F.col("m"))
     after_hours = (F.col("ym") - F.col("slope") * F.col("xm")) / 60.0
     fitted = out.select("id", status.alias("status"), before_hours.alias("pre"), after_hours.alias("post"), period.alias("period"), "n_post")

@@ -64,7 +64,7 @@ REGRESSION = PEAKS + f""", own AS (
 ), near AS (
   SELECT id, avg({_wrap('h - c')}) AS w FROM m JOIN centre USING (id) WHERE pre GROUP BY id
 ), phases AS (
-  SELECT id, grp, n_post, slope / 60 AS period, (round(CASE WHEN n_pre >= 2 AND abs(pre_slope - 1440) > 30 THEN pre_at ELSE c + w END, 9) % 24 + 24) % 24 AS pre, (round(post, 9) % 24 + 24) % 24 AS post
+  SELECT id, grp, n_post, slope / 60 AS period, (round(CASE WHEN n_pre >= 2 AND round(abs(pre_slope - 1440), 9) > 30 THEN pre_at ELSE c + w END, 9) % 24 + 24) % 24 AS pre, (round(post, 9) % 24 + 24) % 24 AS post
   FROM centre LEFT JOIN near USING (id) WHERE n_post >= 3 AND n_pre >= 1 AND slope / 60 BETWEEN 16 AND 36
 ), moved AS (
   SELECT *, {_wrap('post - pre')} AS change FROM phases
