@@ -160,14 +160,16 @@ def fit(sequences: list[np.ndarray], settings: Hmm, restart: int) -> dict:
     """Expectation maximisation over a few sequences in one place."""
     every = np.concatenate(sequences)
     model = start_of(_levels(every[every > 0], settings.n_states), float(every.var()), settings, restart)
-    before = -np.inf
+    best, kept = -np.inf, model
     for _ in range(settings.n_iter):
         sums = sum(sums_of(seq, model, settings) for seq in sequences)
-        model = updated(sums, model, settings)
-        if sums[0] - before < settings.tol:
+        gain = sums[0] - best
+        if gain > 0:
+            best, kept = sums[0], model
+        if gain < settings.tol:
             break
-        before = sums[0]
-    return in_order(sums[0], model, settings)
+        model = updated(sums, model, settings)
+    return in_order(best, kept, settings)
 
 
 PARAMS = "restart int, ll double, n_states int, start array<double>, trans array<double>, params array<array<double>>"
@@ -192,7 +194,7 @@ def train(seen: DataFrame, groups: DataFrame, settings: Hmm = Hmm()) -> DataFram
     active = F.percentile(F.when(F.col("x") > 0, F.col("x")), F.array(*[F.lit(float(q)) for q in np.linspace(0.1, 0.9, k)]))
     first = joined.groupBy("grp").agg(active.alias("levels"), F.var_pop("x").alias("var")).collect()
     models = {(r["grp"], n): start_of(np.array(r["levels"]) if r["levels"] else _levels(np.zeros(0), k), r["var"] or 0.0, settings, n) for r in first for n in range(settings.n_restarts)}
-    best, going = dict.fromkeys(models, -np.inf), set(models)
+    best, kept, going = dict.fromkeys(models, -np.inf), dict(models), set(models)
     for _ in range(settings.n_iter):
         if not going:
             break
@@ -205,26 +207,36 @@ def train(seen: DataFrame, groups: DataFrame, settings: Hmm = Hmm()) -> DataFram
                     seq = np.asarray(x, float)
                     for m in (m for m in now if m[0] == grp):
                         found[m] = found.get(m, 0.0) + sums_of(seq, now[m], settings)
-            yield pd.DataFrame({"grp": [m[0] for m in found], "restart": [m[1] for m in found], "sums": [v.tolist() for v in found.values()]})
+            if found:  # a frame without rows has no types
+                yield pd.DataFrame({"grp": [m[0] for m in found], "restart": [m[1] for m in found], "sums": [v.tolist() for v in found.values()]})
 
         parts = rows.mapInPandas(sums, f"grp {key}, restart int, sums array<double>").select("grp", "restart", F.posexplode("sums").alias("at", "v"))
         total = {m: np.zeros(1 + 5 * k + k * k) for m in going}
         for r in parts.groupBy("grp", "restart", "at").agg(F.sum("v").alias("v")).collect():
             total[r["grp"], r["restart"]][r["at"]] = r["v"]
         for m, v in total.items():
-            models[m] = updated(v, models[m], settings)
             if v[0] - best[m] < settings.tol:
                 going.discard(m)
-            best[m] = max(best[m], float(v[0]))
+            if v[0] > best[m]:
+                best[m], kept[m] = float(v[0]), models[m]  # the sums are those of the parameters before the step
+            models[m] = updated(v, models[m], settings)
     rows.unpersist()
     out = []
     for grp in dict.fromkeys(m[0] for m in models):
         n = max((m[1] for m in models if m[0] == grp), key=lambda n: (best[grp, n], -n))
-        found = in_order(best[grp, n], models[grp, n], settings)
+        found = in_order(best[grp, n], kept[grp, n], settings)
         out.append((grp, n, found["ll"], k, found["start"], found["trans"], found["params"]))
     return seen.sparkSession.createDataFrame(out, f"grp {key}, {PARAMS}")
 
 
+def fitted(seen: DataFrame, groups: DataFrame, settings: Hmm = Hmm()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The observations, their fitting groups and the models for the scope of the settings: one subject (or day) a
+    model is fitted where the subject is, larger groups by sums over all tasks."""
+    rows, parts = scoped(seen, groups, settings.scope, settings.samples_per_day)
+    make = train_subjects if settings.scope in ("subject", "subject_day") else train
+    return rows, parts, make(rows, parts, settings)
+
+
 def train_subjects(seen: DataFrame, groups: DataFrame, settings: Hmm = Hmm()) -> DataFrame:
     """The same where every group is one subject or one of its days: all restarts of a group in one task."""
     key = groups.schema["grp"].dataType.simpleString()
@@ -240,8 +252,8 @@ def train_subjects(seen: DataFrame, groups: DataFrame, settings: Hmm = Hmm()) ->
 
 def decode(seen: DataFrame, groups: DataFrame, models: DataFrame, settings: Hmm = Hmm()) -> DataFrame:
     """``id, t, state, hmm_sleep, confidence``; sleep is the quieter half of the states. Missing rows have no row."""
-    fitted = groups.select("id", "grp").join(F.broadcast(models.select("grp", "start", "trans", "params")), "grp")
-    rows = seen.join(fitted.drop("grp"), "id")
+    own = groups.select("id", "grp").join(models.select("grp", "start", "trans", "params"), "grp")
+    rows = seen.join(own.drop("grp"), "id")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
@@ -313,7 +325,8 @@ def select_states(seen: DataFrame, groups: DataFrame, candidates: list[int], set
                     m, seq = models[grp], np.asarray(x, float)
                     p = {n: np.array(v, float) for n, v in zip(NAMES[some.emission], m["params"])}
                     out.append((grp, forward_backward(log_emission(seq, p, some.emission), np.array(m["start"]), np.array(m["trans"]).reshape(k, k))[2], len(seq)))
-                yield pd.DataFrame(out, columns=["fold", "ll", "n"])
+                if out:
+                    yield pd.DataFrame(out, columns=["fold", "ll", "n"])
 
         scored = held.where(F.col("grp").isin(*models)).mapInPandas(likelihood, "fold int, ll double, n bigint").groupBy("fold").agg(F.sum("ll").alias("ll"), F.sum("n").alias("n"))
         free = k - 1 + k * (k - 1) + k * len(NAMES[some.emission])

@@ -9,17 +9,33 @@ from pyspark.sql import functions as F
 
 from . import runs
 
-#: What an analysis uses where the phase is "auto", and what it may be given.
-POLICY = {"period": ("DD", ("DD", "LD")), "sleep": ("both", ("LD", "DD", "both")), "hmm": ("both", ("LD", "DD", "both")), "deprivation": ("LD", ("LD",)), "default": ("DD", ("LD", "DD", "both"))}
+#: What an analysis uses where the phase is "auto", and what it may be given. Periods are read in one
+#: phase, for entrained and free runs differ; sleep and its hidden states are those of the entrained day.
+POLICY = {
+    "period": ("DD", ("LD", "DD")),
+    "ultradian": ("DD", ("LD", "DD")),
+    "sleep": ("LD", ("LD", "DD", "both")),
+    "hmm": ("LD", ("LD", "DD", "both")),
+    "deprivation": ("LD", ("LD",)),
+    "experiment_days": ("LD", ("LD", "DD", "both")),
+    "actogram": ("both", ("LD", "DD", "both")),
+}
+ONE = {"ld": "LD", "dd": "DD", "both": "both", "auto": "auto"}
 
 
 class PhaseError(ValueError):
     pass
 
 
-def resolve_phase(phase: str, analysis: str = "default", has_boundary: bool = True) -> str:
-    """"auto" is the analysis's own phase, and the whole record where there is no boundary."""
-    default, allowed = POLICY.get(analysis, POLICY["default"])
+def resolve_phase(phase: str, analysis: str, has_boundary: bool = True) -> str:
+    """"auto" is the analysis's own phase, and the whole record where there is no boundary. Case does not matter.
+
+    An analysis that is not named here raises: what it may be given has to be stated first.
+    """
+    if analysis not in POLICY:
+        raise PhaseError(f"no phases are stated for {analysis}; known are {', '.join(sorted(POLICY))}")
+    default, allowed = POLICY[analysis]
+    phase = ONE.get(str(phase).strip().lower(), phase)
     if phase == "auto":
         return default if has_boundary else "both"
     if phase not in allowed:

@@ -64,6 +64,7 @@ class Sleep(Settings):
     short_max_minutes: int = 30
     intermediate_max_minutes: int = 60
     bridge_minutes: int = 4
+    phase: str = "auto"
 
     def __post_init__(self) -> None:
         if not 60 <= self.threshold_seconds <= 1800:
@@ -112,6 +113,7 @@ class Hmm(Settings):
     soft_floor: float = 1e-3
     concentration: float = 10.0
     samples_per_day: int = MINUTES_PER_DAY
+    phase: str = "auto"
 
     @classmethod
     def wiggin(cls) -> "Hmm":

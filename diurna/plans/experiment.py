@@ -81,8 +81,9 @@ def check(config: dict, columns: list[str] | None = None) -> Plan:
         raise ConfigError("hidden states need sleep")
     if parts["sleep"] and curation is None:
         raise ConfigError("sleep needs curation")
-    if parts["period"]:
-        phase.resolve_phase(parts["period"].phase, "period")
+    for name, settings in parts.items():
+        if settings:
+            phase.resolve_phase(settings.phase, name)
     return Plan(config.get("name", "experiment"), by, (config.get("groups") or {}).get("keep"), curation, of(Split, config.get("split")), **parts, outputs=list(config.get("outputs") or []))
 
 
@@ -98,21 +99,24 @@ def run(readings: DataFrame, subjects: DataFrame, plan: Plan, step: int = 1, fol
         out["curation"] = curate.curation_counts(marked)
         rows = marked.where("is_alive = 1").drop("is_alive")
     out["profile"] = bins.zt_profile(bins.zt_bins(rows, "activity", max(30, step)), who, max(30, step))
+    split = "split_minute" in who.columns
+
+    def view(name: str, given: str, values: list[str]) -> DataFrame:
+        chosen = phase.resolve_phase(given, name, split)
+        return phase.select_phase(rows, who, chosen, values, bool(plan.split and plan.split.discard_first_dd_day)) if split else rows
+
     if plan.split:
         out["split"] = phase.split_report(rows, who)
     if plan.period:
-        late = bool(plan.split and plan.split.discard_first_dd_day)
-        view = phase.select_phase(rows, who, phase.resolve_phase(plan.period.phase, "period"), ["activity"], late)
-        calls = period.classify(period.run(view, plan.period))
+        calls = period.classify(period.run(view("period", plan.period.phase, ["activity"]), plan.period))
         out |= {"period": calls, "rhythm": period.rhythm_summary(calls, who)}
     if plan.sleep:
-        marked = sleep.marked_minutes(rows, plan.sleep, step)
+        marked = sleep.marked_minutes(view("sleep", plan.sleep.phase, ["activity", "moving"]), plan.sleep, step)
         bouts, minutes = sleep.bouts(marked), sleep.minutes(marked)
         out |= {"bouts": bouts, "bout_summary": sleep.bout_summary(bouts), "states": states.group_profiles(states.profiles(minutes, max(30, step)), who)}
     if plan.hmm:
-        seen = hmm.observations(rows, "binary" if plan.hmm.emission == "categorical" else "counts")
-        fitted, parts = hmm.scoped(seen, who, plan.hmm.scope, plan.hmm.samples_per_day)
-        models = hmm.train(fitted, parts, plan.hmm)
+        seen = hmm.observations(view("hmm", plan.hmm.phase, ["activity"]), "binary" if plan.hmm.emission == "categorical" else "counts")
+        fitted, parts, models = hmm.fitted(seen, who, plan.hmm)
         out |= {"hmm_models": models, "hmm_minutes": hmm.decode(fitted, parts, models, plan.hmm)}
     wanted = {k: v for k, v in out.items() if not plan.outputs or k in plan.outputs}
     if folder:

@@ -118,12 +118,21 @@ def align(rows: DataFrame, tubes: DataFrame) -> DataFrame:
 
 
 def split_minutes(tubes: DataFrame) -> DataFrame:
-    """``split_minute`` and ``pulse_minute`` from dates; a pulse known by ZT only falls on the last light day."""
-    minutes = lambda c: F.rint((F.unix_timestamp(F.col(c).cast("timestamp")) - F.unix_timestamp(F.col("start_ts").cast("timestamp"))) / 60)
-    out = tubes.withColumn("split_minute", minutes("first_dd_ts").cast("int"))
-    by_zt = F.col("split_minute") - 1440 + S.parse_zt_hour("pulse_time") * 60 if "pulse_time" in tubes.columns else F.lit(None).cast("double")
-    dated = minutes("pulse_ts") if "pulse_ts" in tubes.columns else F.lit(None).cast("double")
-    return out.withColumn("pulse_minute", F.coalesce(dated, by_zt).cast("float"))
+    """``split_minute`` and ``pulse_minute`` from dates.
+
+    A pulse has its date in ``pulse_ts`` or, as ``pulse_columns`` gives it, in ``pulse_time``. Where ``pulse_time`` is text,
+    a date in it counts as well, and one known by ZT only falls on the last light day.
+    """
+    minutes = lambda c: F.rint((F.unix_timestamp(c.cast("timestamp")) - F.unix_timestamp(F.col("start_ts").cast("timestamp"))) / 60)
+    out = tubes.withColumn("split_minute", minutes(F.col("first_dd_ts")).cast("int"))
+    kinds, found = dict(tubes.dtypes), []
+    if "pulse_ts" in kinds:
+        found.append(minutes(F.col("pulse_ts")))
+    if kinds.get("pulse_time", "").startswith("timestamp"):
+        found.append(minutes(F.col("pulse_time")))
+    elif "pulse_time" in kinds:
+        found += [minutes(S.pulse_datetime("pulse_time")), F.col("split_minute") - 1440 + S.parse_zt_hour("pulse_time") * 60]
+    return out.withColumn("pulse_minute", F.coalesce(*found, F.lit(None).cast("double")).cast("float"))
 
 
 def off_grid_starts(tubes: DataFrame) -> DataFrame:
@@ -163,9 +172,9 @@ def pulse_columns(sheet: DataFrame, row: str = "row") -> DataFrame:
         return sheet
     for new, old in (("pulse_datetime", "pulse_time"), ("pulse_duration", "pulse_duration_min")):
         if new in sheet.columns and old in sheet.columns:
-            raise MetadataError("both_pulse_columns", f"the sheet has {new} and {old}, which hold the same; keep {new}")
+            raise MetadataError("both_pulse_columns", f"{old} is what {new} becomes: a sheet with both has two answers")
     if not has:
-        raise MetadataError("no_pulse_datetime", "the sheet has pulse_duration but no pulse_datetime")
+        raise MetadataError("no_pulse_datetime", "durations of pulses are given without their times (pulse_datetime)")
     blank = F.coalesce(F.lower(F.trim(F.col("pulse_datetime").cast("string"))).isin("", "nat", "nan"), F.lit(True))
     when = F.when(~blank, S.pulse_datetime("pulse_datetime"))
     cell = F.trim(F.col("pulse_duration").cast("string")) if lasts else F.lit(None).cast("string")

@@ -238,7 +238,7 @@ def test_pulse_columns_name_the_rows_at_fault(spark):
     for cells, said in ((("soon", "30"), "cannot be read"), (("2024-01-05", "long"), "not a number"), (("2024-01-05", None), "no duration"), ((None, "5"), "no pulse")):
         with pytest.raises(monitor.MetadataError, match=f"{said}.*: 1 row.s., 7"):
             monitor.pulse_columns(spark.createDataFrame([(2, None, None), (7, *cells)], shape))
-    with pytest.raises(monitor.MetadataError, match="no pulse_datetime"):
+    with pytest.raises(monitor.MetadataError, match="no_pulse_datetime"):
         monitor.pulse_columns(spark.createDataFrame([(2, "5")], "row int, pulse_duration string"))
     plain = spark.createDataFrame([(2,)], "row int")
     assert monitor.pulse_columns(plain) is plain
