@@ -26,9 +26,11 @@ from .common import cut, written
 
 BYTES_VOCABULARY, PIECES_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text of the documents of a block.
-BLOCK = 1 << 24
+BLOCK = 1 << 23
 #: Most tokens of the alignments, and most linked pairs, that are sent to the tasks.
 KNOWN_TOKENS, KNOWN_PAIRS = 1 << 24, 1 << 23
+#: Stretches whose ids a Python worker remembers from block to block.
+REMEMBERED = 1 << 17
 #: Bytes of a text in which the tokens of one group look for each other.
 NEAR = 64
 
@@ -60,16 +62,23 @@ class Tokenizers:
         b = self.b
         self.b_bytes = [bytes([int(b.id_to_piece(k)[3:5], 16)]) if b.is_byte(k) else b.id_to_piece(k).replace("▁", " ").encode() for k in range(b.get_piece_size())]
         self.a_len, self.b_len = (np.array([*map(len, x)], np.int32) for x in (self.a_bytes, self.b_bytes))
+        self.known: dict[str, tuple[list[int], list[int], bool]] = {}
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
+    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int], bool]]:
         """Ids of each text, which begins with a space, by both; and whether their bytes are those of the text."""
+        new = [t for t in texts if t not in self.known]
+        found = dict(zip(new, zip(*self.encode_new(new)))) if new else {}
+        if len(self.known) < REMEMBERED:
+            self.known.update(found)
+        return [self.known[t] if t in self.known else found[t] for t in texts]
+
+    def encode_new(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
         a = [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
         b = self.b.encode([t[1:] for t in texts], num_threads=1)
-        ok = np.zeros(len(texts), bool)
-        at, bt = self.a_bytes.__getitem__, self.b_bytes.__getitem__
-        for k, text in enumerate(texts):
+        at, bt, ok = self.a_bytes.__getitem__, self.b_bytes.__getitem__, []
+        for text, x, y in zip(texts, a, b):
             raw = text.encode("utf-8", "surrogatepass")
-            ok[k] = b"".join(map(at, a[k])) == raw and b"".join(map(bt, b[k])) == raw
+            ok.append(b"".join(map(at, x)) == raw and b"".join(map(bt, y)) == raw)
         return a, b, ok
 
 
@@ -130,7 +139,9 @@ def aligned_shapes(shapes: DataFrame) -> DataFrame:
     return written(named.join(_listed(ga, "i", "grp", "ga"), "id").join(_listed(gb, "j", "grp", "gb"), "id").join(pairs, "id").select("a", "b", "ga", "gb", "li", "lj"), "shapes")
 
 
-_BLOCK = "block bigint, doc binary, known binary, n binary, stretch binary, ok binary, a binary, an binary, b binary, bn binary, shape binary, shapes array<struct<a:array<int>,b:array<int>>>"
+_FIELDS = ["doc", "known", "n", "stretch", "ok", "a", "an", "b", "bn", "shape"]
+#: A block: packed arrays, and its different shapes.
+_BLOCK = "block bigint, " + ", ".join(f"{f} binary" for f in _FIELDS) + ", shapes array<struct<a:array<int>,b:array<int>>>"
 
 
 def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -142,8 +153,19 @@ def _starts(sizes: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
 
 
-def _key(a: np.ndarray, b: np.ndarray) -> bytes:
-    return len(a).to_bytes(4, "little") + a.astype("<i4").tobytes() + b.astype("<i4").tobytes()
+def _keys(a: np.ndarray, an: np.ndarray, b: np.ndarray, bn: np.ndarray) -> np.ndarray:
+    """64 bits for each pair of length sequences; the aligned shapes are compared with the lengths themselves."""
+    out = np.zeros(len(an), np.uint64)
+    for flat, sizes, odd in ((a, an, np.uint64(0x9E3779B97F4A7C15)), (b, bn, np.uint64(0xC2B2AE3D27D4EB4F))):
+        x = (flat.astype(np.uint64) + np.uint64(1)) * odd
+        x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        starts = _starts(sizes)
+        place = np.arange(len(flat)) - np.repeat(starts[:-1], sizes)
+        power = np.cumprod(np.full(int(sizes.max(initial=0)) + 1, 0x94D049BB133111EB, np.uint64))
+        x = x * power[place]
+        total = np.concatenate(([np.uint64(0)], np.cumsum(x)))
+        out = (out ^ out >> np.uint64(31)) * odd + (total[starts[1:]] - total[starts[:-1]]) + sizes.astype(np.uint64) * np.uint64(0x165667B19E3779F9)
+    return out ^ out >> np.uint64(32)
 
 
 def blocks_of(docs: DataFrame, first: str, second: str) -> DataFrame:
@@ -154,31 +176,34 @@ def blocks_of(docs: DataFrame, first: str, second: str) -> DataFrame:
         own = tokenizers(first, second)
         texts = list(names)
         a_flat, an, b_flat, bn, oks = [], [], [], [], []
-        for at in range(0, len(texts), 8192):
-            a, b, ok = own.encode(texts[at : at + 8192])
+        for at in range(0, len(texts), 4096):
+            a, b, ok = zip(*own.encode(texts[at : at + 4096]))
             for flat, sizes, found in ((a_flat, an, a), (b_flat, bn, b)):
                 x, n = _flat(found)
                 flat.append(x)
                 sizes.append(n)
-            oks.append(ok)
+            oks.append(np.array(ok, bool))
         empty = np.zeros(0, np.int32)
         a, an, b, bn = (np.concatenate([empty, *x]) for x in (a_flat, an, b_flat, bn))
         ok = np.concatenate([np.zeros(0, bool), *oks])
         la, lb = own.a_len[a], own.b_len[b]
-        sa, sb = _starts(an), _starts(bn)
-        found: dict[bytes, int] = {}
+        good = np.flatnonzero(ok)
+        _, first_of, which = np.unique(_keys(la, an, lb, bn)[good], return_index=True, return_inverse=True)
         shape = np.full(len(ok), -1, np.int32)
-        for k in np.flatnonzero(ok).tolist():
-            shape[k] = found.setdefault(_key(la[sa[k] : sa[k + 1]], lb[sb[k] : sb[k + 1]]), len(found))
-        lens = [np.frombuffer(x, "<i4") for x in found]
-        shapes = [{"a": x[1 : 1 + x[0]], "b": x[1 + x[0] :]} for x in lens]
-        kind = pa.list_(pa.struct([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))]))
+        shape[good] = which
+        chosen = good[first_of]
+        lists = []
+        for flat, sizes in ((la, an), (lb, bn)):
+            some = sizes[chosen]
+            lists.append(pa.ListArray.from_arrays(_starts(some).astype(np.int32), flat[_gather(_starts(sizes)[chosen], some)]))
+        structs = pa.StructArray.from_arrays(lists, ["a", "b"])
+        shapes = pa.ListArray.from_arrays(pa.array([0, len(chosen)], pa.int32()), structs)
         buffers = [
             np.array([0 if d is None else d for d in ids], "<i8"), np.array([d is not None for d in ids], bool), np.fromiter(map(len, numbers), np.int32, len(numbers)),
             np.concatenate([empty, *numbers]), ok, a, an, b, bn, shape,
         ]
-        columns = [pa.array([block], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in buffers], pa.array([shapes], kind)]
-        return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in _BLOCK.split(", ")])
+        columns = [pa.array([block], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in buffers], shapes]
+        return pa.RecordBatch.from_arrays(columns, ["block", *_FIELDS, "shapes"])
 
     def work(batches):
         part, k = TaskContext.get().partitionId() << 32, 0
@@ -205,16 +230,33 @@ def blocks_of(docs: DataFrame, first: str, second: str) -> DataFrame:
 
 
 class Shapes:
-    """Alignments of shapes in flat arrays."""
-
-    def __init__(self, rows: pa.Table | list[dict]):
-        rows = rows.to_pylist() if isinstance(rows, pa.Table) else rows
-        self.at = {_key(np.array(r["a"], np.int32), np.array(r["b"], np.int32)): k for k, r in enumerate(rows)}
-        self.ga, self.gan = _flat([r["ga"] for r in rows])
-        self.gb, self.gbn = _flat([r["gb"] for r in rows])
-        self.li, self.n = _flat([r["li"] for r in rows])
-        self.lj, _ = _flat([r["lj"] for r in rows])
-        self.starts, self.ga0, self.gb0 = _starts(self.n), _starts(self.gan), _starts(self.gbn)
+    """Alignments of shapes in flat arrays, found by the lengths of their tokens."""
+
+    def __init__(self, rows: pa.Table | pa.StructArray):
+        def flat(name: str) -> tuple[np.ndarray, np.ndarray]:
+            lists = rows.column(name).combine_chunks() if isinstance(rows, pa.Table) else rows.field(name)
+            lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+            values = lists.flatten()
+            return values.to_numpy().astype(np.int32), np.diff(lists.offsets.to_numpy()).astype(np.int32)
+
+        self.a, self.an = flat("a")
+        self.b, self.bn = flat("b")
+        self.ga, _ = flat("ga")
+        self.gb, _ = flat("gb")
+        self.li, self.n = flat("li")
+        self.lj, _ = flat("lj")
+        self.starts, self.a0, self.b0 = _starts(self.n), _starts(self.an), _starts(self.bn)
+        keys = _keys(self.a, self.an, self.b, self.bn)
+        self.order = np.argsort(keys)
+        self.keys = keys[self.order]
+
+    def of(self, a: np.ndarray, an: np.ndarray, b: np.ndarray, bn: np.ndarray) -> np.ndarray:
+        """The place of each shape."""
+        at = self.order[np.searchsorted(self.keys, _keys(a, an, b, bn))] if len(an) else np.zeros(0, np.int64)
+        same = np.array_equal(self.an[at], an) and np.array_equal(self.bn[at], bn) and np.array_equal(self.a[_gather(self.a0[at], an)], a) and np.array_equal(self.b[_gather(self.b0[at], bn)], b)
+        if not same:
+            raise ValueError("two shapes have one name")
+        return at
 
 
 def _gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -226,18 +268,23 @@ def _gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class Block:
     """A block's arrays, and the linked pairs of its stretches: ``pairs`` (a << 32 | b), from ``starts`` on for each."""
 
-    def __init__(self, row: dict, shapes: Shapes):
-        read = lambda name, kind="<i4": np.frombuffer(row[name], kind)
-        self.known = read("known", bool)
-        self.doc = [d if k else None for d, k in zip(read("doc", "<i8").tolist(), self.known.tolist())]
+    def __init__(self, batch: pa.RecordBatch, k: int, shapes: Shapes, lengths: tuple[np.ndarray, np.ndarray]):
+        def read(name: str, kind="<i4") -> np.ndarray:
+            return np.frombuffer(batch.column(name)[k].as_buffer(), kind)
+
+        self.doc = pa.array(read("doc", "<i8"), mask=~read("known", bool))
         self.docs = _starts(read("n"))
         self.stretch, self.ok = read("stretch"), read("ok", bool)
         self.a, self.an, self.b, self.bn = read("a"), read("an"), read("b"), read("bn")
         self.a0, self.b0 = _starts(self.an), _starts(self.bn)
         self.shapes = shapes
-        own = np.array([shapes.at[_key(np.array(s["a"], np.int32), np.array(s["b"], np.int32))] for s in row["shapes"]] or [0], np.int64)
         local = read("shape")
-        self.shape = np.where(local >= 0, own[np.maximum(local, 0)], -1)
+        self.shape = np.full(len(local), -1, np.int64)
+        if len(local) and local.max() >= 0:  # the first stretch of each shape stands for it
+            chosen = np.unique(local, return_index=True)[1][-(local.max() + 1) :]
+            lens = [part for flat, starts, sizes, length in ((self.a, self.a0, self.an, lengths[0]), (self.b, self.b0, self.bn, lengths[1])) for part in (length[flat[_gather(starts[chosen], sizes[chosen])]], sizes[chosen])]
+            own = shapes.of(*lens)
+            self.shape = np.where(local >= 0, own[np.maximum(local, 0)], -1)
         good = np.flatnonzero(self.ok)
         sizes = np.zeros(len(self.ok), np.int64)
         sizes[good] = shapes.n[self.shape[good]]
@@ -246,11 +293,11 @@ class Block:
         a = self.a[np.repeat(self.a0[good], sizes[good]) + shapes.li[at]].astype(np.int64)
         self.pairs = a << 32 | self.b[np.repeat(self.b0[good], sizes[good]) + shapes.lj[at]]
         self.groups = np.zeros(len(self.ok), np.int64)
-        self.groups[good] = shapes.ga[shapes.ga0[self.shape[good] + 1] - 1] + 1
+        self.groups[good] = shapes.ga[shapes.a0[self.shape[good] + 1] - 1] + 1
 
     def documents(self):
         """Each document's place, and its stretches if it has any and all have their own bytes."""
-        for k in range(len(self.doc)):
+        for k in range(len(self.docs) - 1):
             own = self.stretch[self.docs[k] : self.docs[k + 1]]
             yield k, own if len(own) and self.ok[own].all() else own[:0]
 
@@ -267,7 +314,7 @@ class Block:
         """The groups of a stretch as ``a1,a2|b1;a3|b2``."""
         a, b = self.a[self.a0[k] : self.a0[k + 1]].tolist(), self.b[self.b0[k] : self.b0[k + 1]].tolist()
         s, x = self.shape[k], self.shapes
-        ga, gb = x.ga[x.ga0[s] : x.ga0[s + 1]].tolist(), x.gb[x.gb0[s] : x.gb0[s + 1]].tolist()
+        ga, gb = x.ga[x.a0[s] : x.a0[s + 1]].tolist(), x.gb[x.b0[s] : x.b0[s + 1]].tolist()
         left, right = [[] for _ in range(ga[-1] + 1)], [[] for _ in range(ga[-1] + 1)]
         for group, token in zip(ga, a):
             left[group].append(str(token))
@@ -294,7 +341,7 @@ class Block:
                 digest.update((";" * (at > 0) + ";".join([texts[s] for s in part])).encode())
             digests.append(digest.hexdigest() if len(own) else "")
         names = ["doc", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
-        return pa.RecordBatch.from_arrays([pa.array(self.doc, pa.int64()), *map(pa.array, total), pa.array(digests, pa.string())], names)
+        return pa.RecordBatch.from_arrays([self.doc, *map(pa.array, total), pa.array(digests, pa.string())], names)
 
 
 def alignment_of(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", first: str = BYTES_VOCABULARY, second: str = PIECES_VOCABULARY, known_tokens: int = KNOWN_TOKENS, known_pairs: int = KNOWN_PAIRS) -> tuple[DataFrame, DataFrame]:
@@ -316,23 +363,23 @@ def alignment_of(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     size = shapes.agg(F.sum(F.size("a") + F.size("b") + 2 * F.size("li"))).first()[0] or 0
     if size <= known_tokens:
         sent = spark.sparkContext.broadcast(Shapes(shapes.toArrow()))
-        with_shapes = blocks
+        with_shapes = blocks.drop("shapes")
     else:
         sent = None
         wanted = blocks.select("block", F.explode("shapes").alias("x")).select("block", "x.a", "x.b")
         own = wanted.join(shapes, ["a", "b"]).groupBy("block").agg(F.collect_list(F.struct("a", "b", "ga", "gb", "li", "lj")).alias("aligned"))
-        with_shapes = written(blocks.join(own, "block", "left"), "blocks")
+        with_shapes = written(blocks.drop("shapes").join(own, "block", "left"), "blocks")
 
     def opened(batch: pa.RecordBatch):
+        own = tokenizers(first, second)
         for k in range(batch.num_rows):
-            row = batch.slice(k, 1).to_pylist()[0]
-            yield row, Block(row, sent.value if sent else Shapes(row["aligned"] or []))
+            yield k, Block(batch, k, sent.value if sent else Shapes(batch.column("aligned").slice(k, 1).flatten()), (own.a_len, own.b_len))
 
     def count(batches):
         for batch in batches:
-            for row, block in opened(batch):
+            for k, block in opened(batch):
                 pairs, counts = block.pair_counts()
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), row["block"])), pa.array(pairs), pa.array(counts)], ["block", "pair", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), batch.column("block")[k].as_py())), pa.array(pairs), pa.array(counts)], ["block", "pair", "n"])
 
     held = with_shapes.mapInArrow(count, "block bigint, pair bigint, n bigint")
     if sent is None:
@@ -342,7 +389,7 @@ def alignment_of(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     pairs = counted.join(counted.groupBy("a").agg(F.max("n").alias("most")), "a").select("pair", "a", "b", "n", (F.col("n") == F.col("most")).alias("best"))
     if sent is not None and counted.count() <= known_pairs:
         found = pairs.select("pair", "n", "best").toArrow().sort_by("pair")
-        table = spark.sparkContext.broadcast(tuple(found.column(k).to_numpy() for k in range(3)))
+        table = spark.sparkContext.broadcast(tuple(found.column(k).to_numpy().astype(kind) for k, kind in enumerate((np.int64, np.int64, bool))))
         ready = with_shapes
     else:
         table = None
@@ -352,12 +399,9 @@ def alignment_of(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     def report(batches):
         for batch in batches:
-            for row, block in opened(batch):
-                if table is not None:
-                    yield block.report(*table.value)
-                    continue
-                own = row["pairs"] or []
-                yield block.report(*[np.array([p[c] for p in own], kind) for c, kind in (("pair", np.int64), ("n", np.int64), ("best", bool))])
+            for k, block in opened(batch):
+                own = None if table is not None else batch.column("pairs").slice(k, 1).flatten()
+                yield block.report(*(table.value if own is None else [own.field(c).to_numpy(zero_copy_only=False) for c in ("pair", "n", "best")]))
 
     rows = ready.mapInArrow(report, "doc bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string")
     return rows, pairs.drop("pair")
