@@ -128,33 +128,45 @@ def combined(found: np.ndarray, groups: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def entries(found: np.ndarray, classes: np.ndarray, similar: int = SIMILAR) -> np.ndarray:
-    """What a set is indexed by. ``classes``: 0 for tokens that no other document has, then 1, 2, 3 as they grow frequent."""
-    n, out = len(found), []
+def entries(found: np.ndarray, classes: np.ndarray, similar: int = SIMILAR) -> tuple[np.ndarray, np.ndarray]:
+    """What a set is indexed by, and for each entry how many of the set's tokens a partner lacks if it shares no earlier one.
+
+    ``classes``: 0 for tokens that no other document has, then 1, 2, 3 as they grow frequent. The tokens before a single
+    one are not shared by a partner whose first shared token it is; a partner that shares combinations only
+    shares no token of the two rare classes.
+    """
+    n, out, places = len(found), [], []
     need = missing(n, similar) + 1
     alone = int((classes == 0).sum())
+    empty = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if alone >= need:
-        return np.zeros(0, np.uint64)
+        return empty
     mine = found[classes == 1][: need - alone]
     for level in levels(n, similar):
         tag = np.uint64(level)
         if level <= 3:  # sets of up to seven: every token by itself
             rest = found[np.argsort(classes, kind="stable")][alone:need]
             out.append(mixed(rest + tag))
+            places.append(alone + np.arange(len(rest)))
             continue
         out.append(mixed(mine + tag))
+        places.append(alone + np.arange(len(mine)))
         left = need - alone - len(mine)
         for k in (2, 3):
             if left <= 0:
                 break
             some = found[classes == k]
-            groups = mixed(some + tag * _ODD[3]) % np.uint64(max(1, 2**level // 32))
+            groups = mixed(some + np.uint64(level * int(_ODD[3]) % (1 << 64))) % np.uint64(max(1, 2**level // 32))
             upto, credits = chosen(groups, k, left)
             out.append(mixed(combined(some[:upto], groups[:upto], k) + tag))
+            places.append(np.full(len(out[-1]), alone + len(mine)))
             left -= credits
         if left > 0:
             raise ValueError("the groups of a level leave too few credits")
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+    if not out:
+        return empty
+    values, first = np.unique(np.concatenate(out), return_index=True)
+    return values, np.concatenate(places)[first]
 
 
 class Classes:
@@ -245,28 +257,28 @@ def token_classes(texts: DataFrame, total: int, words: int) -> tuple[bytes, int]
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (entry, node, n), sorted, of entries that two nodes or more have, once each, with the bucket's first node."""
-    held = np.zeros((3, 0), np.int64)  # the last row, if it is all that its entry has so far
+    """Rows (entry, alone, node, n, place), sorted, of entries that two nodes or more have, once each, with what the bucket's
+    first row has: the set with the fewest tokens of its own, which is near most others of a group of near copies."""
+    names = ["entry", "alone", "node", "n", "place"]
+    held = np.zeros((5, 0), np.int64)  # the last row, if it is all that its entry has so far
     last = center = None  # else: the last row, and the first of its entry
     for batch in batches:
         rows = np.stack([c.to_numpy() for c in batch.columns])
         rows = np.concatenate([held, rows], axis=1)
         if not rows.shape[1]:
             continue
-        entry, node = rows[0], rows[1]
+        entry, node = rows[0], rows[2]
         new = np.concatenate(([True], (entry[1:] != entry[:-1]) | (node[1:] != node[:-1])))
-        if last is not None:
-            new[0] = not (entry[0] == last[0] and node[0] == last[1])
-            if not new[0]:  # and what repeats it
-                new[: int(np.argmax(new)) if new.any() else len(new)] = False
+        if last is not None and entry[0] == last[0] and node[0] == last[2]:  # and what repeats it
+            new[0] = False
         rows = rows[:, new]
         if not rows.shape[1]:
             held = held[:, :0]
             continue
-        entry, node = rows[0], rows[1]
+        entry = rows[0]
         starts = np.flatnonzero(np.concatenate(([True], entry[1:] != entry[:-1])))
         sizes = np.diff(np.append(starts, len(entry)))
-        first, size0 = rows[:, np.repeat(starts, sizes)][1:], np.repeat(sizes, sizes)
+        first, size0 = rows[:, np.repeat(starts, sizes)], np.repeat(sizes, sizes)
         if last is not None and entry[0] == last[0]:
             first[:, : sizes[0]] = np.array(center)[:, None]
             size0[: sizes[0]] += 1
@@ -279,11 +291,16 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last, center = rows[:, -1].tolist(), first[:, -1].tolist()
         out = rows[:, keep]
         if out.shape[1]:
-            yield pa.RecordBatch.from_arrays([*map(pa.array, out), *map(pa.array, first[:, keep])], ["entry", "node", "n", "center", "m"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, out), *map(pa.array, first[2:, keep])], [*names, "center", "m", "place0"])
 
 
-def _similar_sizes(a: str, b: str, similar: int) -> str:
-    return f"100 * least({a}, {b}) >= {similar} * greatest({a}, {b})"
+def _may_link(similar: int, a: tuple[str, str], b: tuple[str, str]) -> str:
+    """Whether sets of sizes ``n``, ``m`` with places ``p``, ``q`` of an entry may be similar where it is the first they share.
+
+    They need ``similar`` shared tokens of each hundred and ``similar`` of both sizes, and share at most what follows.
+    """
+    (n, p), (m, q) = a, b
+    return f"100 * least({n}, {m}) >= {similar} * greatest({n}, {m}) AND {100 + similar} * least({n} - {p}, {m} - {q}) >= {similar} * ({n} + {m})"
 
 
 def linked(pairs: DataFrame, texts: DataFrame, *, words: int, similar: int) -> DataFrame:
@@ -350,13 +367,17 @@ def similar_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                         continue
                     if len(seen) < REMEMBERED:
                         seen.add(name)
-                    mine = entries(found, classes.of(found), similar).view(np.int64)
-                    out.append((mine, np.full(len(mine), name), np.full(len(mine), len(found))))
+                    kinds = classes.of(found)
+                    mine, places = entries(found, kinds, similar)
+                    own = [np.full(len(mine), x) for x in (int((kinds == 0).sum()), name, len(found))]
+                    out.append((mine.view(np.int64), *own, places))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["entry", "node", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["entry", "alone", "node", "n", "place"])
 
-    indexed = rows.select("text").mapInArrow(index, "entry bigint, node bigint, n bigint")
-    buckets = written(indexed.repartition("entry").sortWithinPartitions("entry", "node").mapInArrow(_shared, "entry bigint, node bigint, n bigint, center bigint, m bigint"), "buckets")
+    row = "entry bigint, alone bigint, node bigint, n bigint, place bigint"
+    indexed = rows.select("text").mapInArrow(index, row)
+    dealt = indexed.repartition("entry").sortWithinPartitions("entry", "alone", "node")
+    buckets = written(dealt.mapInArrow(_shared, row + ", center bigint, m bigint, place0 bigint"), "buckets")
 
     rank = F.struct(F.col("doc").isNull().alias("none"), "doc", "row")
     wanted = sets.join(buckets.select("node").distinct(), "node").groupBy("node").agg(F.min(rank).alias("who")).select("node", F.col("who.doc").alias("__doc"), F.col("who.row").alias("__row"))
@@ -364,8 +385,9 @@ def similar_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     again = sets.groupBy("doc", "row").count().where("count > 1").limit(1)  # rows that are there twice
     texts = written(held if again.isEmpty() else held.dropDuplicates(["node"]), "texts")
 
-    pairs = buckets.where(f"node <> center AND {_similar_sizes('n', 'm', similar)}").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    left = buckets.where("node <> center").select("entry", "node", "n")  # a center has met all others
+    met = _may_link(similar, ("n", "place"), ("m", "place0"))
+    pairs = buckets.where(f"node <> center AND {met}").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
+    left = buckets.where("node <> center").select("entry", "alone", "node", "n", "place")  # a center has met all others
     links, checked, width = None, None, 4
     while True:
         pairs = cut(pairs)
@@ -380,14 +402,13 @@ def similar_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         open_rows = written(open_rows.join(largest.select("entry", F.col("top.root").alias("largest")), "entry"), "buckets")
         if open_rows.isEmpty():
             break
-        turn = F.row_number().over(Window.partitionBy("entry").orderBy("node"))
-        centers = cut(open_rows.where("root <> largest").withColumn("turn", turn).where(F.col("turn") <= min(width, 1000)).select("entry", F.col("node").alias("a"), F.col("n").alias("m"), F.col("root").alias("from")))
-        met = centers.join(open_rows, "entry").where(f"root <> from AND {_similar_sizes('n', 'm', similar)}")
-        pairs = met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        turn = F.row_number().over(Window.partitionBy("entry").orderBy("alone", "node"))
+        centers = cut(open_rows.where("root <> largest").withColumn("turn", turn).where(F.col("turn") <= width).select("entry", F.col("node").alias("a"), F.col("n").alias("m"), F.col("place").alias("place0"), F.col("root").alias("from")))
+        pairs = centers.join(open_rows, "entry").where(f"root <> from AND {met}").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         if checked is not None:
             before = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             pairs = pairs.join(before, ["a", "b"], "left_anti")
-        left = open_rows.join(centers.select("entry", F.col("a").alias("node")), ["entry", "node"], "left_anti").select("entry", "node", "n")
+        left = open_rows.join(centers.select("entry", F.col("a").alias("node")), ["entry", "node"], "left_anti").select("entry", "alone", "node", "n", "place")
         width *= 4
 
     firsts = sets.where("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("first"))
