@@ -4,8 +4,7 @@ Where tokens end follows from their lengths alone. So each distinct pair of leng
 windows: tokens are exploded with their positions, running sums of lengths are their ends, an equal join on sequence and end
 finds the common cuts, running counts of cuts number the groups, and a join on group and byte range links what overlaps.
 
-Texts are cut where both tokenizers certainly end a token: before a space that follows a sign other than white space (no
-entry of the word-wise vocabularies holds a space after one). Each task names the distinct stretches of a block of documents,
+Texts are cut where both tokenizers certainly end a token (see ``stretches``). Each task names the distinct stretches of a block of documents,
 so a document is a list of stretch numbers, and what it has is the sum over its stretches. Tables of alignments and of linked
 pairs are sent to the tasks while they are small, and joined to the blocks that need them beyond.
 """
@@ -14,8 +13,8 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import itertools
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from .common import cut, written
 
 BYTES_VOCABULARY, PIECES_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text of the documents of a block.
-BLOCK = 1 << 23
+BLOCK = 1 << 22
 #: Most tokens of the alignments, and most linked pairs, that are sent to the tasks.
 KNOWN_TOKENS, KNOWN_PAIRS = 1 << 24, 1 << 23
 #: Stretches whose ids a Python worker remembers from block to block.
@@ -34,12 +33,18 @@ REMEMBERED = 1 << 17
 #: Bytes of a text in which the tokens of one group look for each other.
 NEAR = 64
 
-_CUT = re.compile(r"(?<=[^\s▁])(?= .)", re.DOTALL)
+_CUT = re.compile(r"(?<=[^\s▁])(?= .)|(?<=[^\W\d_])(?=[,.;:!?])|(?<=\S\n)(?=[^\W\d_])", re.DOTALL)
+_COARSE = re.compile(r"(?<=[^\s▁])(?= .)", re.DOTALL)
 
 
-def stretches(text: str) -> list[str]:
-    """Space and text, cut before each space that follows neither white space nor U+2581 and that does not end it."""
-    return _CUT.split(" " + text)
+def stretches(text: str, cut: re.Pattern = _CUT) -> list[str]:
+    """Space and text, cut before each space that follows neither white space nor U+2581 and that does not end it, between
+    a letter and one of ``,.;:!?``, and between a line end after a sign and a letter.
+
+    The first tokenizer's words never run over these places, and begin there as they do at the start of a text. No entry of
+    the second one runs over them either (``Tokenizers`` looks, and keeps to spaces where one does).
+    """
+    return cut.split(" " + text)
 
 
 class Tokenizers:
@@ -62,24 +67,34 @@ class Tokenizers:
         b = self.b
         self.b_bytes = [bytes([int(b.id_to_piece(k)[3:5], 16)]) if b.is_byte(k) else b.id_to_piece(k).replace("▁", " ").encode() for k in range(b.get_piece_size())]
         self.a_len, self.b_len = (np.array([*map(len, x)], np.int32) for x in (self.a_bytes, self.b_bytes))
-        self.known: dict[str, tuple[list[int], list[int], bool]] = {}
-
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int], bool]]:
-        """Ids of each text, which begins with a space, by both; and whether their bytes are those of the text."""
+        self.known: dict[str, tuple[bytes, bytes, bool]] = {}
+        pieces = [b.id_to_piece(k) for k in range(b.get_piece_size()) if not (b.is_byte(k) or b.is_control(k) or b.is_unknown(k))]
+        if any("▁" in p.lstrip("▁") for p in pieces):
+            raise ValueError("the second vocabulary joins words")
+        over = re.compile(r"[^\W\d_][,.;:!?]|\n[^\W\d_]")
+        self.cut = _COARSE if any(over.search(p) for p in pieces) else _CUT
+        #: What stands before a stretch that does not begin with a space, so that the second tokenizer adds none to it.
+        self.before = {"a": len(b.encode("a")), "\n": len(b.encode("\n"))}
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes, bool]]:
+        """32-bit ids of each stretch by both; and whether their bytes are those of the stretch."""
         new = [t for t in texts if t not in self.known]
-        found = dict(zip(new, zip(*self.encode_new(new)))) if new else {}
+        found = dict(zip(new, self.encode_new(new))) if new else {}
+        out = [self.known[t] if t in self.known else found[t] for t in texts]
         if len(self.known) < REMEMBERED:
             self.known.update(found)
-        return [self.known[t] if t in self.known else found[t] for t in texts]
+        return out
 
-    def encode_new(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
-        a = [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-        b = self.b.encode([t[1:] for t in texts], num_threads=1)
-        at, bt, ok = self.a_bytes.__getitem__, self.b_bytes.__getitem__, []
-        for text, x, y in zip(texts, a, b):
-            raw = text.encode("utf-8", "surrogatepass")
-            ok.append(b"".join(map(at, x)) == raw and b"".join(map(bt, y)) == raw)
-        return a, b, ok
+    def encode_new(self, texts: list[str]) -> list[tuple[bytes, bytes, bool]]:
+        lead = ["" if t[0] == " " else "\n" if t[0].isalpha() else "a" for t in texts]
+        a = self.a.encode_batch_fast(texts, add_special_tokens=False)
+        b = self.b.encode([t[1:] if not x else x + t for t, x in zip(texts, lead)], num_threads=1)
+        at, bt, out = self.a_bytes.__getitem__, self.b_bytes.__getitem__, []
+        for text, x, y, z in zip(texts, a, b, lead):
+            raw, x, y = text.encode("utf-8", "surrogatepass"), x.ids, y[self.before[z] :] if z else y
+            ok = b"".join(map(at, x)) == raw and b"".join(map(bt, y)) == raw
+            out.append((array("i", x).tobytes(), array("i", y).tobytes(), ok))
+        return out
 
 
 @functools.cache
@@ -144,11 +159,6 @@ _FIELDS = ["doc", "known", "n", "stretch", "ok", "a", "an", "b", "bn", "shape"]
 _BLOCK = "block bigint, " + ", ".join(f"{f} binary" for f in _FIELDS) + ", shapes array<struct<a:array<int>,b:array<int>>>"
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.fromiter(map(len, lists), np.int32, len(lists))
-    return np.fromiter(itertools.chain.from_iterable(lists), np.int32, int(sizes.sum())), sizes
-
-
 def _starts(sizes: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
 
@@ -179,9 +189,8 @@ def blocks_of(docs: DataFrame, first: str, second: str) -> DataFrame:
         for at in range(0, len(texts), 4096):
             a, b, ok = zip(*own.encode(texts[at : at + 4096]))
             for flat, sizes, found in ((a_flat, an, a), (b_flat, bn, b)):
-                x, n = _flat(found)
-                flat.append(x)
-                sizes.append(n)
+                flat.append(np.frombuffer(b"".join(found), np.int32))
+                sizes.append(np.fromiter(map(len, found), np.int32, len(found)) // 4)
             oks.append(np.array(ok, bool))
         empty = np.zeros(0, np.int32)
         a, an, b, bn = (np.concatenate([empty, *x]) for x in (a_flat, an, b_flat, bn))
@@ -209,13 +218,15 @@ def blocks_of(docs: DataFrame, first: str, second: str) -> DataFrame:
         part, k = TaskContext.get().partitionId() << 32, 0
         ids, numbers, names, held = [], [], {}, 0
 
+        where = tokenizers(first, second).cut
+
         def name(stretch: str) -> int:
             return names.setdefault(stretch, len(names))
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 for doc, text in zip(*[c.to_pylist() for c in batch.slice(at, 256).columns]):
-                    found = stretches(text) if text else []
+                    found = stretches(text, where) if text else []
                     ids.append(doc)
                     numbers.append(np.fromiter(map(name, found), np.int32, len(found)))
                     held += len(text or "") + 64
@@ -372,6 +383,7 @@ def alignment_of(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     def opened(batch: pa.RecordBatch):
         own = tokenizers(first, second)
+        own.known.clear()
         for k in range(batch.num_rows):
             yield k, Block(batch, k, sent.value if sent else Shapes(batch.column("aligned").slice(k, 1).flatten()), (own.a_len, own.b_len))
 
