@@ -7,7 +7,7 @@ all its combinations of k and gives c - k + 1 credits, for so many have to miss
 grows until the credits suffice. Sets that share no index entry cannot be similar.
 
 Entries that one set alone has are credits that need no row. In each bucket of an entry the sets meet in rounds: one set (then
-four, sixteen and on) of those outside the bucket's largest component meets all sets of other components, the pairs are verified
+sixteen, 256 and on) of those outside the bucket's largest component meets all sets of other components, the pairs are verified
 on the texts, and components grow. A bucket is done when one component holds what is left of it, so groups of near copies cost
 their members, not their pairs, and no link is lost.
 """
@@ -388,14 +388,15 @@ def similar_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     met = _may_link(similar, ("n", "place"), ("m", "place0"))
     pairs = buckets.where(f"node <> center AND {met}").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
     left = buckets.where("node <> center").select("entry", "alone", "node", "n", "place")  # a center has met all others
-    links, checked, width = None, None, 4
+    links, checked, width, roots = None, None, 16, spark.createDataFrame([], "node bigint, root bigint")
     while True:
         pairs = cut(pairs)
         if not pairs.isEmpty():
             checked = pairs if checked is None else checked.unionByName(pairs)
             found = cut(linked(pairs, texts, words=words, similar=similar))
-            links = found if links is None else links.unionByName(found)
-        roots = cut(components(links)) if links is not None else spark.createDataFrame([], "node bigint, root bigint")
+            if not found.isEmpty():
+                links = found if links is None else links.unionByName(found)
+                roots = cut(components(links))
         open_rows = left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         shares = open_rows.groupBy("entry", "root").agg(F.count(F.lit(1)).alias("share"))
         largest = shares.groupBy("entry").agg(F.max(F.struct("share", "root")).alias("top"), F.count(F.lit(1)).alias("several")).where("several > 1")
@@ -409,7 +410,7 @@ def similar_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             before = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             pairs = pairs.join(before, ["a", "b"], "left_anti")
         left = open_rows.join(centers.select("entry", F.col("a").alias("node")), ["entry", "node"], "left_anti").select("entry", "alone", "node", "n", "place")
-        width *= 4
+        width *= 16
 
     firsts = sets.where("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("first"))
     tops = firsts.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
