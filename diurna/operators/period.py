@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..params import AC_STRENGTH, CLASSIFY_WINDOW, CWT_CUTOFF, LS_POWER, Period, Preprocess
 
+class FitError(RuntimeError):
+    """A method's fit threw for every subject that reached it."""
+
+
+#: How the status of a fit that threw begins; the error follows.
+THREW = "numerical: "
 RESULT = "id {id}, method string, period double, strength double, fap double, rhythmic_power double, status string"
 
 
@@ -36,6 +42,8 @@ def preprocess(readings: DataFrame, settings: Preprocess, value: str = "activity
 
 def estimate(readings: DataFrame, method: str, settings: Period = Period(), value: str = "activity") -> DataFrame:
     """``id, method, period, strength, fap, rhythmic_power, status`` of every subject; failed ones have nulls and a reason."""
+    if method not in ("ls", "ac", "mesa", "cwt"):
+        raise ValueError(f"unknown method {method}")
     step, lo, hi = settings.step_minutes, settings.min_period, settings.max_period
 
     def solve(t: np.ndarray, x: np.ndarray) -> tuple[str, dict]:
@@ -54,15 +62,16 @@ def estimate(readings: DataFrame, method: str, settings: Period = Period(), valu
                 k = max(1, settings.mesa_bin_minutes // step)
                 binned = y[: len(y) // k * k].reshape(-1, k).sum(axis=1)
                 found = N.mesa(binned, k * step / 60.0, lo, hi, settings.mesa_order)
-            elif method == "cwt":
-                found = N.wavelet_summary(y, step, lo, hi, settings.voices, settings.cwt_method)
             else:
-                raise ValueError(f"unknown method {method}")
+                found = N.wavelet_summary(y, step, lo, hi, settings.voices, settings.cwt_method)
         return ("ok", found) if found else ("too_short", {})
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
-        status, found = solve(pdf["t"].to_numpy(float), pdf[value].to_numpy(float))
+        try:
+            status, found = solve(pdf["t"].to_numpy(float), pdf[value].to_numpy(float))
+        except Exception as error:  # one subject's fit is its own affair; see ``judge`` for those of all
+            status, found = f"{THREW}{type(error).__name__}: {error}"[:300], {}
         row = {"id": pdf["id"].iloc[0], "method": method, "period": found.get("period"), "strength": found.get("strength"), "fap": found.get("fap"), "rhythmic_power": found.get("power"), "status": status}
         return pd.DataFrame([row])
 
@@ -79,6 +88,28 @@ def run(readings: DataFrame, settings: Period = Period(), value: str = "activity
     return out
 
 
+def watched(results: DataFrame, methods) -> tuple[DataFrame, tuple[Observation, tuple[str, ...]]]:
+    """``results`` that count, while they are made, each method's fits and those that threw; for ``judge``."""
+    seen, threw = Observation(), F.col("status").startswith(THREW)
+    counts = []
+    for m in methods:
+        own = F.col("method") == m
+        counts += [F.count(F.when(own & (F.col("status") == "ok"), 1)).alias(f"{m}_ok"), F.count(F.when(own & threw, 1)).alias(f"{m}_threw"), F.max(F.when(own & threw, F.col("status"))).alias(f"{m}_error")]
+    return results.observe(seen, *counts), (seen, tuple(methods))
+
+
+def judge(seen: tuple[Observation, tuple[str, ...]]) -> dict[str, tuple[int, int]]:
+    """Each method's fits that worked and that threw, once the results are made; raises where only some threw and none worked.
+
+    Subjects that were left out before the fit, for too little data, count neither way. Waits for the results' job.
+    """
+    found = seen[0].get
+    for m in seen[1]:
+        if found[f"{m}_threw"] and not found[f"{m}_ok"]:
+            raise FitError(f"{m}: the fit failed for every subject that reached it ({found[f'{m}_threw']}), so there is no period. {found[f'{m}_error'].removeprefix(THREW)}. A fit that fails for all is more likely broken than the data: look at the installed packages")
+    return {m: (found[f"{m}_ok"], found[f"{m}_threw"]) for m in seen[1]}
+
+
 def correlogram(readings: DataFrame, value: str = "activity", step: int = 60, max_hours: int = 72) -> DataFrame:
     """``id, lag_hours, r`` of dense records, as a join of a series with itself; missing samples count as the mean."""
     mean = Window.partitionBy("id")

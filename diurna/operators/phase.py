@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import runs
+from . import runs, state
+from .state import PhaseError
 
 #: What an analysis uses where the phase is "auto", and what it may be given. Periods are read in one
 #: phase, for entrained and free runs differ; sleep and its hidden states are those of the entrained day.
@@ -23,10 +24,6 @@ POLICY = {
 ONE = {"ld": "LD", "dd": "DD", "both": "both", "auto": "auto"}
 
 
-class PhaseError(ValueError):
-    pass
-
-
 def resolve_phase(phase: str, analysis: str, has_boundary: bool = True) -> str:
     """"auto" is the analysis's own phase, and the whole record where there is no boundary. Case does not matter.
 
@@ -44,30 +41,36 @@ def resolve_phase(phase: str, analysis: str, has_boundary: bool = True) -> str:
 
 
 def select_phase(readings: DataFrame, subjects: DataFrame, phase: str, values: list[str], discard_first_dd_day: bool = False) -> DataFrame:
-    """``readings`` with ``values`` null out of phase. Subjects without a boundary keep everything."""
-    if phase == "both":
-        return readings
-    if phase not in ("LD", "DD"):
+    """``readings`` with ``values`` null out of phase. Subjects without a boundary keep everything.
+
+    The columns carry their phase from then on, also through files: asked for it again they stay as they are, and
+    asked for another phase, or for both, they raise.
+    """
+    if phase not in ("LD", "DD", "both"):
         raise PhaseError(f"unknown phase {phase}")
+    if state.can_give(readings, phase, values) or phase == "both":
+        return readings
     joined = readings.join(subjects.select("id", F.col("split_minute").alias("__split")), "id", "left")
     inside = F.col("t") < F.col("__split") if phase == "LD" else F.col("t") >= F.col("__split") + (1440 if discard_first_dd_day else 0)
     inside = F.coalesce(inside, F.lit(True))
-    return joined.withColumns({v: F.when(inside, F.col(v)) for v in values}).drop("__split")
+    return state.stamp(joined.withColumns({v: F.when(inside, F.col(v)) for v in values}).drop("__split"), values, phase=phase, discard_first_dd_day=bool(discard_first_dd_day and phase == "DD"))
 
 
 def split_phase(readings: DataFrame, subjects: DataFrame, phase: str, discard_first_dd_day: bool = False) -> DataFrame:
     """Only the rows in phase, minutes from the phase's start. With differing boundaries the cautious one holds
     for all: the earliest for LD, the latest for DD."""
+    if phase not in ("LD", "DD"):
+        raise PhaseError(f"unknown phase {phase}")
+    values = [c for c in readings.columns if c not in ("id", "t")]
+    state.can_give(readings, phase, values)
     bounds = subjects.where("split_minute IS NOT NULL").agg(F.min("split_minute").alias("lo"), F.max("split_minute").alias("hi"))
     rows = readings.join(F.broadcast(bounds))
     if phase == "LD":
         out = rows.where("t < lo")
-    elif phase == "DD":
+    else:
         start = F.col("hi") + (1440 if discard_first_dd_day else 0)
         out = rows.where(F.col("t") >= start).withColumn("t", F.col("t") - start)
-    else:
-        raise PhaseError(f"unknown phase {phase}")
-    return out.drop("lo", "hi")
+    return state.stamp(out.drop("lo", "hi"), values, phase=phase)
 
 
 def keep_longest(readings: DataFrame, value: str, threshold: int = 60, step: int = 1) -> DataFrame:

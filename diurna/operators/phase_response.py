@@ -94,7 +94,7 @@ def regression_responses(found: DataFrame, subjects: DataFrame, controls: DataFr
     other = means.select(F.col("grp").alias("control_grp"), F.col("pre_mean").alias("c_pre"), F.col("post_mean").alias("c_post"), F.col("change_mean").alias("c_change"))
     rows = phases.join(controls.select("grp", "control_grp"), "grp").join(other, "control_grp").join(means.select("grp", "pre_mean"), "grp")
     raw = -wrap(F.col("post_phase_hours") - F.col("c_post"))
-    response = {"group": raw + wrap(F.col("pre_mean") - F.col("c_pre")), "fly": -(F.col("change") - F.col("c_change")), "none": raw}[baseline]
+    response = {"group": raw + wrap(F.col("pre_mean") - F.col("c_pre")), "fly": -wrap(F.col("change") - F.col("c_change")), "none": raw}[baseline]
     return rows.select("id", "grp", "control_grp", response.alias("response_hours"), raw.alias("response_hours_raw"), "n_days_used", F.lit(baseline != "none").alias("baseline_used"), "pre_phase_hours", "post_phase_hours", "period_hours")
 
 

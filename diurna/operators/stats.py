@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,22 +94,89 @@ def compare(values: DataFrame, value: str, family: str = "welch", group: str = "
     return spark.createDataFrame([tuple(None if isinstance(x, float) and math.isnan(x) else float(x) if isinstance(x, np.floating) else x for x in r) for r in rows], RESULT)
 
 
-def compare_shares(calls: DataFrame, flag: str = "rhythmic", group: str = "grp") -> DataFrame:
-    """Shares of a flag: Fisher's exact test for two groups, else chi-square; pairs by Fisher-Holm."""
-    m = calls.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(flag).cast("int")).alias("k")).orderBy(group).collect()
+def _log_factorial(n: np.ndarray) -> np.ndarray:
+    """By a table below 256, by Stirling's series above."""
+    small = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, 256)))))
+    x = np.maximum(n, 1).astype(float)
+    series = x * np.log(x) - x + 0.5 * np.log(2 * np.pi * x) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    return np.where(n < 256, small[np.minimum(n, 255).astype(int)], series)
+
+
+def tables_of_margins(table: np.ndarray, draws: int, rng: np.random.Generator) -> np.ndarray:
+    """(draws, rows, columns): tables with the margins of ``table`` as independence would deal them, cell by cell."""
+    r, c = table.shape
+    left = np.tile(table.sum(axis=0), (draws, 1))
+    out = np.zeros((draws, r, c), np.int64)
+    for i, total in enumerate(table.sum(axis=1)[:-1]):
+        todo = np.full(draws, total)
+        for j in range(c - 1):
+            out[:, i, j] = rng.hypergeometric(left[:, j], left[:, j + 1 :].sum(axis=1), todo)
+            todo = todo - out[:, i, j]
+        out[:, i, -1] = todo
+        left = left - out[:, i]
+    out[:, -1] = left
+    return out
+
+
+#: Tables of a Monte-Carlo test, those drawn at once, and its seed.
+TABLES, DRAWN, TABLE_SEED = 9999, 1024, 42
+
+
+def freeman_halton(spark, table, tables: int = TABLES, seed: int = TABLE_SEED) -> float:
+    """p of Fisher's exact test of a table of any size: the share of tables of its margins that are no more likely than it.
+
+    Tables are drawn in tasks, each from a seed of its own, and Spark counts; the observed table counts as one of them.
+    """
+    table = np.asarray(table, np.int64)
+    table = table[table.sum(axis=1) > 0][:, table.sum(axis=0) > 0]
+    if min(table.shape) < 2:
+        return 1.0
+    seen = _log_factorial(table).sum()
+
+    def count(batches):
+        for batch in batches:
+            rows = []
+            for k in batch["id"]:
+                drawn = tables_of_margins(table, min(DRAWN, tables - k * DRAWN), np.random.default_rng([seed, int(k)]))
+                rows.append(int((_log_factorial(drawn).sum(axis=(1, 2)) >= seen - 1e-7).sum()))
+            yield pd.DataFrame({"n": rows})
+
+    chunks = -(-tables // DRAWN)
+    n = spark.range(0, chunks, 1, chunks).mapInPandas(count, "n bigint").agg(F.sum("n")).first()[0]
+    return (n + 1) / (tables + 1)
+
+
+def compare_shares(calls: DataFrame, flag: str = "rhythmic", group: str = "grp", tables: int = TABLES, seed: int = TABLE_SEED) -> DataFrame:
+    """Shares of a flag: Fisher's exact test for two groups; for more, chi-square, or the Monte-Carlo exact test where a group's
+    expected count is below 5. Pairs by Fisher-Holm, and letters for four groups or more, where the whole differs.
+
+    Groups of fewer than three go; nothing is told of one group, or where all subjects are alike.
+    """
+    spark = calls.sparkSession
+    m = calls.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(flag).cast("int")).alias("k")).where(F.col("n") >= GROUP_MIN_N).orderBy(group).collect()
     names, rows = [str(r[group]) for r in m], []
     test = lambda a, b: M.fisher_exact(a["k"], a["n"] - a["k"], b["k"], b["n"] - b["k"])
+    n, k = np.array([r["n"] for r in m], float), np.array([r["k"] or 0 for r in m], float)
+    if len(m) < 2 or not 0 < k.sum() < n.sum():
+        return spark.createDataFrame([], RESULT)
     if len(m) == 2:
-        rows.append(("", flag, "Fisher", " vs ".join(names), None, None, test(*m), None))
-    elif len(m) > 2:
-        n, k = np.array([r["n"] for r in m], float), np.array([r["k"] for r in m], float)
-        p = k.sum() / n.sum()
-        if 0 < p < 1:
-            x = float(((k - n * p) ** 2 / (n * p * (1 - p))).sum())
-            rows.append(("", flag, "chi-square", "all", x, len(m) - 1.0, M.chi2_p(x, len(m) - 1), None))
-            pairs = [(i, j) for i in range(len(m)) for j in range(i + 1, len(m))]
-            rows += [("", flag, "Fisher-Holm", f"{names[i]} vs {names[j]}", None, None, q, None) for (i, j), q in zip(pairs, M.holm([test(m[i], m[j]) for i, j in pairs]))]
-    return calls.sparkSession.createDataFrame(rows, RESULT)
+        return spark.createDataFrame([("", flag, "Fisher", " vs ".join(names), None, None, test(*m), None)], RESULT)
+    share = k.sum() / n.sum()
+    if min((n * share).min(), (n * (1 - share)).min()) < 5:
+        p = freeman_halton(spark, np.stack([k, n - k], axis=1), tables, seed)
+        rows.append(("", flag, "Fisher-Freeman-Halton (Monte Carlo)", "all", None, None, p, None))
+    else:
+        x = float(((k - n * share) ** 2 / (n * share * (1 - share))).sum())
+        p = M.chi2_p(x, len(m) - 1)
+        rows.append(("", flag, "chi-square", "all", x, len(m) - 1.0, p, None))
+    if p < GROUP_ALPHA:
+        pairs = [(i, j) for i in range(len(m)) for j in range(i + 1, len(m))]
+        adjusted = M.holm([test(m[i], m[j]) for i, j in pairs])
+        rows += [("", flag, "Fisher-Holm", f"{names[i]} vs {names[j]}", None, None, q, None) for (i, j), q in zip(pairs, adjusted)]
+        if len(m) >= 4:
+            differ = {pair for pair, q in zip(pairs, adjusted) if q < GROUP_ALPHA}
+            rows += [("", flag, "letters", g, None, None, None, x) for g, x in zip(names, M.letters(len(m), differ))]
+    return spark.createDataFrame(rows, RESULT)
 
 
 def compare_to_zero(values: DataFrame, value: str, by: str = "grp") -> DataFrame:

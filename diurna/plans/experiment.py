@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from ..operators import bins, curate, groups, hmm, period, phase, sleep, states
+from ..operators import bins, curate, groups, hmm, period, phase, sleep, state, states
 from ..params import Curation, Hmm, Period, Settings, Sleep, Split
 from ..sources import sinks
 
@@ -87,11 +87,19 @@ def check(config: dict, columns: list[str] | None = None) -> Plan:
     return Plan(config.get("name", "experiment"), by, (config.get("groups") or {}).get("keep"), curation, of(Split, config.get("split")), **parts, outputs=list(config.get("outputs") or []))
 
 
-def run(readings: DataFrame, subjects: DataFrame, plan: Plan, step: int = 1, folder: str | None = None) -> dict[str, DataFrame]:
-    """The tables of a plan by name; written below ``folder`` where there is one."""
+def members(subjects: DataFrame, plan: Plan) -> DataFrame:
+    """The subjects of a plan, in its groups."""
     who = groups.subset(subjects, plan.keep) if plan.keep else subjects
-    if plan.group_by:
-        who = groups.regroup(who, plan.group_by)
+    return groups.regroup(who, plan.group_by) if plan.group_by else who
+
+
+def run(readings: DataFrame, subjects: DataFrame, plan: Plan, step: int = 1, folder: str | None = None, *, only: set[str] | None = None, given: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The tables of a plan by name; written below ``folder`` where there is one, with the settings that made them.
+
+    ``only`` names the tables that are wanted; ``given`` are tables that were made before and are used as they are. A
+    period method whose fit throws for every subject raises once its table is written, or when ``period.judge`` is called.
+    """
+    who, given = members(subjects, plan), given or {}
     rows = curate.with_moving(readings.join(who.select("id"), "id", "left_semi"))
     out: dict[str, DataFrame] = {"subjects": who}
     if plan.curation:
@@ -107,8 +115,13 @@ def run(readings: DataFrame, subjects: DataFrame, plan: Plan, step: int = 1, fol
 
     if plan.split:
         out["split"] = phase.split_report(rows, who)
+    watched = None
     if plan.period:
-        calls = period.classify(period.run(view("period", plan.period.phase, ["activity"]), plan.period))
+        if "period" in given:
+            calls = given["period"]
+        else:
+            results, watched = period.watched(period.run(view("period", plan.period.phase, ["activity"]), plan.period), plan.period.methods)
+            calls = period.classify(results)
         out |= {"period": calls, "rhythm": period.rhythm_summary(calls, who)}
     if plan.sleep:
         marked = sleep.marked_minutes(view("sleep", plan.sleep.phase, ["activity", "moving"]), plan.sleep, step)
@@ -118,8 +131,10 @@ def run(readings: DataFrame, subjects: DataFrame, plan: Plan, step: int = 1, fol
         seen = hmm.observations(view("hmm", plan.hmm.phase, ["activity"]), "binary" if plan.hmm.emission == "categorical" else "counts")
         fitted, parts, models = hmm.fitted(seen, who, plan.hmm)
         out |= {"hmm_models": models, "hmm_minutes": hmm.decode(fitted, parts, models, plan.hmm)}
-    wanted = {k: v for k, v in out.items() if not plan.outputs or k in plan.outputs}
+    wanted = {k: state.made_with(v, *plan.settings) for k, v in out.items() if (not plan.outputs or k in plan.outputs) and (only is None or k in only)}
     if folder:
         for name, table in wanted.items():
             sinks.save(table, f"{folder}/{plan.name}/{name}", *plan.settings)
+            if name == "period" and watched is not None:
+                period.judge(watched)
     return wanted

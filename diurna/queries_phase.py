@@ -90,7 +90,7 @@ def regression_responses(spark, d):
     return _regression(spark, d, "group")
 
 
-@query(RESPONSE.format("-(change - cc.mean)", "true"), REGRESSION)
+@query(RESPONSE.format(f"-({_wrap('change - cc.mean')})", "true"), REGRESSION)
 def regression_responses_own_baseline(spark, d):
     return _regression(spark, d, "fly")
 
