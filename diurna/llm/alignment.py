@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import pickle
 import re
 from array import array
 
@@ -27,24 +28,28 @@ BYTES_VOCABULARY, PIECES_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text of the documents of a block.
 BLOCK = 1 << 22
 #: Most tokens of the alignments, and most linked pairs, that are sent to the tasks.
-KNOWN_TOKENS, KNOWN_PAIRS = 1 << 24, 1 << 23
-#: Stretches whose ids a Python worker remembers from block to block.
-REMEMBERED = 1 << 17
+KNOWN_TOKENS, KNOWN_PAIRS = 1 << 26, 1 << 23
+#: Parts of stretches whose ids a Python worker remembers from block to block.
+REMEMBERED = 1 << 18
 #: Bytes of a text in which the tokens of one group look for each other.
 NEAR = 64
 
-_CUT = re.compile(r"(?<=[^\s▁])(?= .)|(?<=[^\W\d_])(?=[,.;:!?])|(?<=\S\n)(?=[^\W\d_])", re.DOTALL)
-_COARSE = re.compile(r"(?<=[^\s▁])(?= .)", re.DOTALL)
+_CUT = re.compile(r"(?<=[^\s▁])(?= .)", re.DOTALL)
+#: Where a space may stand that is no cut.
+_ODD = re.compile(r"[\s▁] ")
+#: Cuts inside a stretch, which only save work: a part is tokenized once for all stretches that hold it.
+_PARTS = re.compile(r"(?<=[^\W\d_])(?=[,.;:!?])|(?<=\S\n)(?=[^\W\d_])")
 
 
-def stretches(text: str, cut: re.Pattern = _CUT) -> list[str]:
-    """Space and text, cut before each space that follows neither white space nor U+2581 and that does not end it, between
-    a letter and one of ``,.;:!?``, and between a line end after a sign and a letter.
+def stretches(text: str) -> list[str]:
+    """Space and text, cut before each space that follows neither white space nor U+2581 and that does not end it.
 
-    The first tokenizer's words never run over these places, and begin there as they do at the start of a text. No entry of
-    the second one runs over them either (``Tokenizers`` looks, and keeps to spaces where one does).
+    The first tokenizer's words begin at such a space as they do at the start of a text, and no entry of the second one
+    holds a space after another sign (``Tokenizers`` looks).
     """
-    return cut.split(" " + text)
+    if _ODD.search(text) or text[0] == " " or text[-1] == " ":
+        return _CUT.split(" " + text)
+    return [" " + word for word in text.split(" ")]
 
 
 class Tokenizers:
@@ -71,18 +76,23 @@ class Tokenizers:
         pieces = [b.id_to_piece(k) for k in range(b.get_piece_size()) if not (b.is_byte(k) or b.is_control(k) or b.is_unknown(k))]
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("the second vocabulary joins words")
+        #: A letter and what stops it, and a line end and a letter, are words of their own to the first tokenizer.
         over = re.compile(r"[^\W\d_][,.;:!?]|\n[^\W\d_]")
-        self.cut = _COARSE if any(over.search(p) for p in pieces) else _CUT
-        #: What stands before a stretch that does not begin with a space, so that the second tokenizer adds none to it.
+        self.parts = (lambda t: [t]) if any(over.search(p) for p in pieces) else _PARTS.split
+        #: What stands before a part that does not begin with a space, so that the second tokenizer adds none to it.
         self.before = {"a": len(b.encode("a")), "\n": len(b.encode("\n"))}
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes, bool]]:
         """32-bit ids of each stretch by both; and whether their bytes are those of the stretch."""
-        new = [t for t in texts if t not in self.known]
+        cut = [self.parts(t) for t in texts]
+        new = list({p for parts in cut for p in parts if p not in self.known})
         found = dict(zip(new, self.encode_new(new))) if new else {}
-        out = [self.known[t] if t in self.known else found[t] for t in texts]
         if len(self.known) < REMEMBERED:
             self.known.update(found)
+        out = []
+        for parts in cut:
+            told = [self.known.get(p) or found[p] for p in parts]
+            out.append(told[0] if len(told) == 1 else (b"".join([x[0] for x in told]), b"".join([x[1] for x in told]), all([x[2] for x in told])))
         return out
 
     def encode_new(self, texts: list[str]) -> list[tuple[bytes, bytes, bool]]:
@@ -218,15 +228,13 @@ def blocks_of(docs: DataFrame, first: str, second: str) -> DataFrame:
         part, k = TaskContext.get().partitionId() << 32, 0
         ids, numbers, names, held = [], [], {}, 0
 
-        where = tokenizers(first, second).cut
-
         def name(stretch: str) -> int:
             return names.setdefault(stretch, len(names))
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 for doc, text in zip(*[c.to_pylist() for c in batch.slice(at, 256).columns]):
-                    found = stretches(text, where) if text else []
+                    found = stretches(text) if text else []
                     ids.append(doc)
                     numbers.append(np.fromiter(map(name, found), np.int32, len(found)))
                     held += len(text or "") + 64
@@ -240,25 +248,32 @@ def blocks_of(docs: DataFrame, first: str, second: str) -> DataFrame:
     return written(docs.mapInArrow(work, _BLOCK), "blocks")
 
 
+def _small(x: np.ndarray) -> np.ndarray:
+    """In as few bytes a number as the largest needs."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
+def flat_shapes(rows: pa.RecordBatch | pa.StructArray) -> dict[str, np.ndarray]:
+    """The numbers of aligned shapes, one after the other, and how many each has of a, b and links."""
+    out = {}
+    for name, size in (("a", "an"), ("b", "bn"), ("ga", None), ("gb", None), ("li", "n"), ("lj", None)):
+        lists = rows.column(name) if isinstance(rows, pa.RecordBatch) else rows.field(name)
+        out[name] = _small(lists.flatten().to_numpy())
+        if size:
+            out[size] = _small(np.diff(lists.offsets.to_numpy()))
+    return out
+
+
 class Shapes:
     """Alignments of shapes in flat arrays, found by the lengths of their tokens."""
 
-    def __init__(self, rows: pa.Table | pa.StructArray):
-        def flat(name: str) -> tuple[np.ndarray, np.ndarray]:
-            lists = rows.column(name).combine_chunks() if isinstance(rows, pa.Table) else rows.field(name)
-            lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-            values = lists.flatten()
-            return values.to_numpy().astype(np.int32), np.diff(lists.offsets.to_numpy()).astype(np.int32)
-
-        self.a, self.an = flat("a")
-        self.b, self.bn = flat("b")
-        self.ga, _ = flat("ga")
-        self.gb, _ = flat("gb")
-        self.li, self.n = flat("li")
-        self.lj, _ = flat("lj")
+    def __init__(self, parts: list[dict[str, np.ndarray]]):
+        join = lambda k: np.concatenate([np.zeros(0, np.uint8), *[p[k] for p in parts]])
+        self.a, self.b, self.ga, self.gb, self.li, self.lj = (join(k) for k in ("a", "b", "ga", "gb", "li", "lj"))
+        self.an, self.bn, self.n = (join(k).astype(np.int32) for k in ("an", "bn", "n"))
         self.starts, self.a0, self.b0 = _starts(self.n), _starts(self.an), _starts(self.bn)
         keys = _keys(self.a, self.an, self.b, self.bn)
-        self.order = np.argsort(keys)
+        self.order = np.argsort(keys).astype(np.int32)
         self.keys = keys[self.order]
 
     def of(self, a: np.ndarray, an: np.ndarray, b: np.ndarray, bn: np.ndarray) -> np.ndarray:
@@ -304,7 +319,7 @@ class Block:
         a = self.a[np.repeat(self.a0[good], sizes[good]) + shapes.li[at]].astype(np.int64)
         self.pairs = a << 32 | self.b[np.repeat(self.b0[good], sizes[good]) + shapes.lj[at]]
         self.groups = np.zeros(len(self.ok), np.int64)
-        self.groups[good] = shapes.ga[shapes.a0[self.shape[good] + 1] - 1] + 1
+        self.groups[good] = shapes.ga[shapes.a0[self.shape[good] + 1] - 1].astype(np.int64) + 1
 
     def documents(self):
         """Each document's place, and its stretches if it has any and all have their own bytes."""
@@ -373,7 +388,12 @@ def alignment_of(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     shapes = aligned_shapes(distinct)
     size = shapes.agg(F.sum(F.size("a") + F.size("b") + 2 * F.size("li"))).first()[0] or 0
     if size <= known_tokens:
-        sent = spark.sparkContext.broadcast(Shapes(shapes.toArrow()))
+
+        def flat(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(flat_shapes(batch))], pa.binary())], ["flat"])
+
+        sent = spark.sparkContext.broadcast(Shapes([pickle.loads(r[0]) for r in shapes.mapInArrow(flat, "flat binary").collect()]))  # ``known_tokens`` small numbers
         with_shapes = blocks.drop("shapes")
     else:
         sent = None
@@ -385,7 +405,7 @@ def alignment_of(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         own = tokenizers(first, second)
         own.known.clear()
         for k in range(batch.num_rows):
-            yield k, Block(batch, k, sent.value if sent else Shapes(batch.column("aligned").slice(k, 1).flatten()), (own.a_len, own.b_len))
+            yield k, Block(batch, k, sent.value if sent else Shapes([flat_shapes(batch.column("aligned").slice(k, 1).flatten())]), (own.a_len, own.b_len))
 
     def count(batches):
         for batch in batches:
