@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import phase_response, scalograms, signal
+from .operators import curves, phase_response, scalograms, signal, stats
 from .params import Period
-from .queries import BASE, PEAKS, POISSON, STEP, _r, _s, query, rounded
+from .queries import BASE, PEAKS, POISSON, STEP, _r, _s, _zt, query, rounded
+from .sources import monitor
 
 WRAP = "((({0}) + 12) % 24 + 24) % 24 - 12"
 
@@ -132,3 +133,34 @@ def phase_difference_days(spark, d):
 def bootstrap_differences(spark, d):
     s = _s(spark, d)
     return rounded(phase_response.bootstrap_differences(signal.daily_peaks(_r(spark, d)), s, _controls(s, False), baseline_day=3))
+
+
+# Curves, shares and sheets
+
+
+@query("""SELECT grp, x AS zt_bin_minute, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high, n FROM (SELECT grp, zt_bin_minute::BIGINT AS x, avg(value) AS mean, count(value) AS n FROM zt JOIN subjects USING (id) WHERE value IS NOT NULL GROUP BY ALL) JOIN (
+ SELECT grp, x, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM (SELECT grp, x, r, sum(w * v) / sum(w) AS m FROM (SELECT grp, x, r, v, """ + " + ".join(f"(u >= {x!r})::INT" for x in POISSON) + """ AS w FROM (
+  SELECT grp, zt_bin_minute::BIGINT AS x, value AS v, r, ('0x' || substr(md5('0:' || id::VARCHAR || ':' || r::VARCHAR), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM zt JOIN subjects USING (id) CROSS JOIN range(200) q(r) WHERE value IS NOT NULL)) GROUP BY ALL HAVING sum(w) > 0) GROUP BY grp, x) USING (grp, x)""")
+def profile_bands(spark, d):
+    return rounded(curves.bands(_zt(spark, d), _s(spark, d), "zt_bin_minute", "value"))
+
+
+@query("""SELECT 'chi-square' AS test, round(sum(pow(k - n * p, 2) / (n * p * (1 - p))), 6) AS statistic, count(*) - 1.0::DOUBLE AS df FROM (SELECT *, sum(k) OVER () / sum(n) OVER () AS p FROM (
+ SELECT grp, count(*)::DOUBLE AS n, count(*) FILTER (active)::DOUBLE AS k FROM (SELECT id, grp, count(*) FILTER (activity > 0) * 16 > count(*) AS active FROM readings JOIN subjects USING (id) GROUP BY ALL) GROUP BY grp HAVING count(*) >= 3)) HAVING min(least(n * p, n * (1 - p))) >= 5""")
+def share_tests(spark, d):
+    active = F.count(F.when(F.col("activity") > 0, 1)) * 16 > F.count(F.lit(1))
+    calls = _r(spark, d).groupBy("id").agg(active.alias("rhythmic")).join(_s(spark, d), "id")
+    return rounded(stats.compare_shares(calls).where("test = 'chi-square'").select("test", "statistic", "df"))
+
+
+@query("""SELECT id, (epoch(first_dd - start_at) / 60)::BIGINT AS split_minute, CASE WHEN pulsed THEN (epoch(pulse - start_at) / 60)::DOUBLE END AS pulse_minute, CASE WHEN pulsed THEN (10 + id % 50)::DOUBLE ELSE 0 END AS pulse_duration_min FROM (
+ SELECT c_custkey AS id, c_custkey % 3 = 0 AS pulsed, TIMESTAMP '2024-01-01 09:00:00' AS start_at, TIMESTAMP '2024-01-01 09:00:00' + to_days((3 + c_custkey % 4)::INT) AS first_dd, TIMESTAMP '2024-01-01 09:00:00' + to_days((2 + c_custkey % 4)::INT) + to_minutes((c_custkey % 1440)::BIGINT) AS pulse FROM customer)""", "")
+def pulse_minutes(spark, d):
+    rows = _s(spark, d).select("id")
+    start = F.lit("2024-01-01 09:00:00").cast("timestamp_ntz")
+    day = lambda n: F.timestamp_add("DAY", n.cast("int"), start)
+    pulse = F.timestamp_add("MINUTE", (F.col("id") % 1440).cast("int"), day(2 + F.col("id") % 4))
+    has = F.col("id") % 3 == 0
+    sheet = rows.select("id", start.alias("start_ts"), day(3 + F.col("id") % 4).alias("first_dd_ts"), F.when(has, F.date_format(pulse, "yyyy-MM-dd HH:mm")).otherwise(" ").alias("pulse_datetime"), F.when(has, (10 + F.col("id") % 50).cast("string")).alias("pulse_duration"))
+    found = monitor.split_minutes(monitor.pulse_columns(sheet, "id"))
+    return rounded(found.select("id", "split_minute", "pulse_minute", "pulse_duration_min"))
