@@ -5,7 +5,8 @@ asked again with other values keeps its template. Windows of templates are joine
 where the values behind the placeholders change consistently: a name or unit of the item stands for one of the
 document and the other way round, and a number that is said again of the same thing stays one number.
 A second form depends neither on case nor on sentences: names are plain words in it, and where numbers and
-units fill too much of a window, so are they.
+units fill too much of a window, so are they. A third one keeps the signs between numbers as words, so that a calculation
+has a template of its own: the signs and their order hold where nearly all else is numbers.
 """
 
 from __future__ import annotations
@@ -37,11 +38,16 @@ UNITS = frozenset("mm cm m km in inch inches ft foot feet yd yard yards mile mil
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:%|st|nd|rd|th)?")
 _EDGE = re.compile(r"^[^\w+$€£-]+|[^\w%]+$|^[_-]+(?!\d)|_+$")
 WORD, NUMBER, UNIT, NAME = 0, 1, 2, 4
-ENDS, BARE, STOPS, SPELT = 8, 16, 32, 64  # the word ends a sentence; nothing of it is left; a sign ends it; a number in letters
+#: The word ends a sentence; nothing of it is left; a sign ends it; a number in letters; a sign of calculation.
+ENDS, BARE, STOPS, SPELT, SIGN = 8, 16, 32, 64, 128
+#: Signs of calculation that stand alone.
+SIGNS = frozenset("+ - − * × · / ÷ = ^ ** < > ≤ ≥ % ( )".split())
 _KIND = {NUMBER: 0x9E3779B97F4A7C15, UNIT: 0xC2B2AE3D27D4EB4F, NAME: 0x165667B19E3779F9}
 _FACTOR = 0x100000001B3
 #: Sets hashes of tokens apart from those of templates.
 _EXACT = np.uint64(0xD6E8FEB86659FD93)
+#: Marks calculations that go on before or after a window.
+_OPEN = np.array([0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
 class Words(dict):
@@ -59,7 +65,9 @@ class Words(dict):
         text = _EDGE.sub("", raw)
         flags = ENDS if raw.rstrip("\"')]}»”’*#%$&!")[-1:] in (".", "?", "!", ":", ";", "|", "") or raw.endswith(("!", "?")) else 0
         low = text.casefold()
-        if not low.strip("_-+$€£"):
+        if raw in SIGNS:
+            low, flags = raw, flags | BARE | SIGN
+        elif not low.strip("_-+$€£"):
             flags |= BARE
         elif _NUMBER.fullmatch(low):
             flags |= NUMBER
@@ -88,9 +96,34 @@ class Form(NamedTuple):
     first: np.ndarray  # word that each token starts at
     ends: np.ndarray  # and the one after it
     words: np.ndarray
+    #: Where each token starts and ends among ``words``, in a form that holds more words than are counted.
+    own: tuple[np.ndarray, np.ndarray] | None = None
+    signs: np.ndarray | None = None
 
     def text(self, words: Words, j: int) -> str:
-        return " ".join(words.texts[k] for k in self.words[self.first[j] : self.ends[j]])
+        first, ends = self.own or (self.first, self.ends)
+        return " ".join(words.texts[k] for k in self.words[first[j] : ends[j]])
+
+
+def _signed(k: np.ndarray, flags: np.ndarray, words: Words) -> Form | None:
+    """The form that keeps the signs next to a number or to such a sign; places count the other words only."""
+    here = np.flatnonzero((flags & BARE == 0) | (flags & SIGN > 0))
+    k, flags = k[here], flags[here]
+    sign, number = (flags & SIGN) > 0, (flags & NUMBER) > 0
+    if not sign.any() or not number.any():
+        return None
+    side = number | sign
+    beside = np.concatenate(([False], side[:-1])) | np.concatenate((side[1:], [False]))
+    run = np.cumsum(np.concatenate(([True], side[1:] != side[:-1])))
+    numbered = np.bincount(run, number)[run] > 0  # a run of numbers and signs has a number in it
+    keep = ~sign | beside & numbered
+    k, sign, number, flags = k[keep], sign[keep], number[keep], flags[keep]
+    if not sign.any():
+        return None
+    unit = ((flags & UNIT) > 0) & np.concatenate(([False], number[:-1]))
+    kinds = np.where(number, NUMBER, np.where(unit, UNIT, WORD)).astype(np.uint8)
+    before = np.concatenate(([0], np.cumsum(~sign)))
+    return Form(words.hashes[k], kinds, before[:-1], before[1:], k, (np.arange(len(k)), np.arange(1, len(k) + 1)), sign)
 
 
 def _form(k: np.ndarray, kinds: np.ndarray, joins: np.ndarray, words: Words) -> Form:
@@ -104,7 +137,8 @@ def _form(k: np.ndarray, kinds: np.ndarray, joins: np.ndarray, words: Words) ->
 
 
 def template(text: str | None, words: Words) -> tuple[list[Form], np.ndarray, np.ndarray]:
-    """The forms of a text, the one without names first, and whether a word starts or ends a line. Bare punctuation is left out.
+    """The forms of a text, the one without names first, and whether a word starts or ends a line. Bare punctuation is left out,
+    but for the form with signs of calculation, which is last where there is one.
 
     There are two forms with names where they differ: with line breaks as starts of sentences, and as mere blanks.
     """
@@ -121,6 +155,7 @@ def template(text: str | None, words: Words) -> tuple[list[Form], np.ndarray, np
     broken = opens.copy()
     broken[[i for i in first if i < len(k)]] = True
     line = np.searchsorted(np.array(first, np.int64), np.arange(len(k)), "right")
+    signed = _signed(k, flags, words) if (flags & SIGN).any() else None
     here = np.flatnonzero((flags & BARE) == 0)
     k, flags, opens, broken, line = k[here], flags[here], opens[here], broken[here], line[here]
     starts = np.concatenate(([True], line[1:] != line[:-1])) if len(k) else opens
@@ -139,7 +174,7 @@ def template(text: str | None, words: Words) -> tuple[list[Form], np.ndarray, np
     for named in readings:
         if named.any():
             forms.append(_form(k, np.where(named, np.uint8(NAME), fixed), spelt | touches & named & np.roll(named, 1), words))
-    return forms, starts, stops
+    return forms + ([signed] if signed else []), starts, stops
 
 
 def rolling(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -184,9 +219,12 @@ def windows(text: str | None, words: Words, lengths: list[int] | None, wanted: T
     """The columns of _SCHEMA of windows of ``lengths`` tokens whose hash is ``wanted`` (items: None, all of them, a short item whole).
 
     Windows of the first form leave names alone, and are exact where numbers and units fill too much of them; the
-    others have names. Windows of fewer than LEAST tokens are exact and whole lines.
+    others have names or signs of calculation. Windows of fewer than LEAST tokens are exact and whole lines.
     """
     forms, starts, stops = template(text, words)
+    signed = forms[-1] if forms[-1].signs is not None else None
+    # How many signs stand before each word and the words before it: windows with signs inside have their template in the last form.
+    signs = np.cumsum(np.bincount(signed.first[signed.signs], minlength=len(forms[0].words) + 1)) if signed else None
     for f, form in enumerate(forms):
         m = len(form.kinds)
         for n in lengths if lengths is not None else [min(m, WINDOW)]:
@@ -200,11 +238,18 @@ def windows(text: str | None, words: Words, lengths: list[int] | None, wanted: T
                 exact = np.ones(m - n + 1, bool)
             else:
                 exact = _full(form.kinds, n)
-                named = np.concatenate(([0], np.cumsum(form.kinds == NAME)))
+                if signed and form is not signed:
+                    exact = exact | (signs[form.ends[n - 1 :] - 1] > signs[form.first[here]])
+                named = np.concatenate(([0], np.cumsum(form.kinds == NAME if form.signs is None else form.signs)))
                 ok = (named[n:] > named[:-n]) & ~exact if f else np.ones(len(exact), bool)
             if not ok.any():
                 continue
-            h = rolling(_placed(form.hashes, form.kinds), n)
+            h, before, after = rolling(_placed(form.hashes, form.kinds), n), None, None
+            if form.signs is not None:  # a calculation that goes on is another one than one that ends
+                side = form.signs | (form.kinds == NUMBER)
+                goes_on = np.concatenate(([False], side[1:] & side[:-1], [False]))
+                before, after = goes_on[: m - n + 1], goes_on[n:]
+                h = h ^ np.where(before, _OPEN[0], np.uint64(0)) ^ np.where(after, _OPEN[1], np.uint64(0))
             if not f and exact.any():
                 h = np.where(exact, rolling(form.hashes, n) ^ _EXACT, h)
             if wanted is not None:
@@ -214,7 +259,11 @@ def windows(text: str | None, words: Words, lengths: list[int] | None, wanted: T
                 as_is = not f and bool(exact[i])
                 parts = [form.text(words, j) if as_is or not form.kinds[j] else {NUMBER: "<number>", UNIT: "<unit>", NAME: "<name>"}[int(form.kinds[j])] for j in range(i, i + n)]
                 roles = [form.text(words, j + 1) if j + 1 < m and form.kinds[j + 1] in (WORD, UNIT) else "" for j in places]
-                yield int(h[i].view(np.int64)), " ".join(parts), n, int(form.first[i]), int(form.ends[i + n - 1]), [form.text(words, j) for j in places], [int(form.kinds[j]) for j in places], roles, len(form.words)
+                if form.signs is not None:  # each number of a calculation is one of its own
+                    roles = [f"{r}@{form.first[j]}" for j, r in zip(places, roles)]
+                if before is not None:
+                    parts = ["…"] * bool(before[i]) + parts + ["…"] * bool(after[i])
+                yield int(h[i].view(np.int64)), " ".join(parts), n, int(form.first[i]), int(form.ends[i + n - 1]), [form.text(words, j) for j in places], [int(form.kinds[j]) for j in places], roles, len(forms[0].words)
 
 
 def template_windows(rows: DataFrame, keys: list[str], lengths: list[int] | None, wanted: Table | None) -> DataFrame:

@@ -186,17 +186,40 @@ def pdf(b: bytes, at: int) -> tuple[int, str] | None:
     return (ends[end] + 5 - at, "application/pdf") if ok else None
 
 
+@functools.cache
+def _page_table() -> list[int]:
+    """Of the checksum with the polynomial 0x04c11db7, high bits first."""
+    out = []
+    for k in range(256):
+        x = k << 24
+        for _ in range(8):
+            x = (x << 1) ^ (0x04C11DB7 if x & 0x80000000 else 0)
+        out.append(x & 0xFFFFFFFF)
+    return out
+
+
+def _page_sum(page: bytes) -> int:
+    table, x = _page_table(), 0
+    for c in page:
+        x = (x << 8 & 0xFFFFFFFF) ^ table[x >> 24 ^ c]
+    return x
+
+
 def ogg(b: bytes, at: int) -> tuple[int, str] | None:
-    """Pages of one stream, up to the last."""
-    here = at
+    """Pages of one stream from its first to its last, in sequence, each with its checksum. A later page starts no file."""
+    if at + 27 > len(b) or not b[at + 5] & 2:
+        return None
+    here, serial, number = at, b[at + 14 : at + 18], _u32le(b, at + 18)
     while b.startswith(b"OggS\0", here) and here + 27 <= len(b):
-        table = b[here + 27 : here + 27 + b[here + 26]]
-        last = b[here + 5] & 4
-        here += 27 + b[here + 26] + sum(table)
-        if here > len(b):
+        count = b[here + 26]
+        end = here + 27 + count + sum(b[here + 27 : here + 27 + count])
+        if end > len(b) or b[here + 14 : here + 18] != serial or _u32le(b, here + 18) != number:
+            return None
+        if _page_sum(b[here : here + 22] + bytes(4) + b[here + 26 : end]) != _u32le(b, here + 22):
             return None
-        if last:
-            return here - at, "application/ogg"
+        if b[here + 5] & 4:
+            return end - at, "application/ogg"
+        here, number = end, number + 1 & 0xFFFFFFFF
     return None
 
 

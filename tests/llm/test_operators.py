@@ -646,3 +646,51 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in now.select("doc_id").distinct().collect()} == kept
     key = lambda df: sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in df.collect())
     assert key(corpus_pipeline.run(spark, SF)) == key(now)
+
+
+def test_calculations_asked_again(spark):
+    """Arithmetic with other numbers: found where the words and the signs are the same, not where they differ."""
+    rng = np.random.default_rng(17)
+    number = lambda: str(int(rng.integers(2, 999)))
+    heads = ["Compute", "What is", "Evaluate the expression", "Find the value of", "Simplify"]
+
+    def asked(head, signs):
+        return f"{head} " + " ".join([number(), *[x for s in signs for x in (s, number())]]) + " ."
+
+    items, docs, truth = [], [], set()
+    for k in range(60):
+        head, signs = heads[k % 5], [str(x) for x in rng.choice(["+", "-", "*", "/"], int(rng.integers(3, 8)))]
+        if (head, tuple(signs)) in {(h, s) for h, s, _ in items}:
+            continue
+        items.append((head, tuple(signs), len(items)))
+        docs.append((k, f"Some words stand before the question of the day . {asked(head, signs)} Nobody knew what came after it ."))
+        truth.add((k, items[-1][2]))
+    wrong = [(1000 + k, "The shop sold " + " and ".join(f"{number()} boxes on day {number()}" for _ in range(4)) + f" - a record . It had {number()} / {number()} left .") for k in range(60)]
+    table = spark.createDataFrame([(i, asked(h, s)) for h, s, i in items], "item_id bigint, text string")
+    found = {(r.doc_id, r.item_id) for r in decontamination.contamination_report(spark.createDataFrame(docs + wrong, "doc_id bigint, text string"), table).collect()}
+    same = {(d, i) for d, j in truth for h, s, i in items if (h, s) == items[j][:2]}
+    assert len(found & truth) >= 0.9 * len(truth) and len(found & same) >= 0.9 * len(found) and not any(d >= 1000 for d, _ in found)
+    words = decontamination.Words()
+    short = {w[0] for w in decontamination.windows("What is 12 + 7 ?", words, None, None)}
+    assert short & {w[0] for w in decontamination.windows("He asked : What is 345 + 9 ? Then he left .", words, [5], None)}
+
+
+def _ogg(pages, serial=7, sizes=(40, 300)):
+    out = b""
+    for k in range(pages):
+        body = bytes((k * 31 + j) % 251 for j in range(sizes[k % 2]))
+        lacing = bytes([255] * (len(body) // 255) + [len(body) % 255])
+        page = b"OggS\0" + bytes([(2 if k == 0 else 0) | (4 if k == pages - 1 else 0)]) + bytes(8) + serial.to_bytes(4, "little") + k.to_bytes(4, "little") + bytes(4) + bytes([len(lacing)]) + lacing + body
+        out += page[:22] + media._page_sum(page).to_bytes(4, "little") + page[26:]
+    return out
+
+
+def test_pages_of_a_stream_are_one_medium():
+    five = _ogg(5)
+    found = [(f.offset, f.length) for f in media.carve(b"before" + five + b"after")]
+    assert found == [(6, len(five))]
+    broken = bytearray(five)
+    broken[len(five) // 2] ^= 1
+    assert media.carve(bytes(broken)) == [] and media.carve(five[:-1]) == [] and media.carve(_ogg(3)[60:]) == []
+    start = time.perf_counter()
+    assert len(media.carve(_ogg(2000))) == 1 and time.perf_counter() - start < 5
