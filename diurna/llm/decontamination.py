@@ -30,7 +30,7 @@ SLOTS = 0.5
 #: Tasks get a bit for each window hash of the items, in a table of 64 bits a hash between these sizes (powers of two).
 TABLE = (22, 27)
 #: Words a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 #: Words for numbers, and units (which count only after a number).
 NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half dozen".split())

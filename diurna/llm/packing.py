@@ -24,7 +24,7 @@ from .common import cut, written
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose ids a Python worker remembers; more are worked out each time.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 #: Pieces of one length that are ranked together, about.
 RANKED = 250_000
 
