@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Observation, Window
@@ -40,52 +42,66 @@ def preprocess(readings: DataFrame, settings: Preprocess, value: str = "activity
     return rows.groupBy("id").applyInPandas(one, f"id {_key_type(readings)}, t int, {value} double")
 
 
-def estimate(readings: DataFrame, method: str, settings: Period = Period(), value: str = "activity") -> DataFrame:
-    """``id, method, period, strength, fap, rhythmic_power, status`` of every subject; failed ones have nulls and a reason."""
-    if method not in ("ls", "ac", "mesa", "cwt"):
-        raise ValueError(f"unknown method {method}")
+METHODS = ("ac", "ls", "mesa", "cwt")
+
+
+def _solve(method: str, t: np.ndarray, x: np.ndarray, block, settings: Period) -> dict | None:
+    """A method's numbers for one series, from its samples or from its longest block."""
     step, lo, hi = settings.step_minutes, settings.min_period, settings.max_period
+    if method == "ls":
+        return N.lomb_scargle(t / 60.0, x, lo, hi, settings.oversampling)
+    y = block()
+    if method == "ac":
+        return N.autocorrelation_period(y, step, lo, hi, settings.ac_peak)
+    if method == "mesa":
+        k = max(1, settings.mesa_bin_minutes // step)
+        binned = y[: len(y) // k * k].reshape(-1, k).sum(axis=1)
+        return N.mesa(binned, k * step / 60.0, lo, hi, settings.mesa_order)
+    return N.wavelet_summary(y, step, lo, hi, settings.voices, settings.cwt_method)
 
-    def solve(t: np.ndarray, x: np.ndarray) -> tuple[str, dict]:
-        seen = t[np.isfinite(x)]
-        if len(seen) < 2:
-            return "no_data", {}
-        if (seen[-1] - seen[0]) / 1440 < settings.min_days:
-            return "below_floor", {}
-        if method == "ls":
-            found = N.lomb_scargle(t / 60.0, x, lo, hi, settings.oversampling)
-        else:
-            _, y = N.longest_block(t, x, step, settings.max_bridge_minutes)
-            if method == "ac":
-                found = N.autocorrelation_period(y, step, lo, hi, settings.ac_peak)
-            elif method == "mesa":
-                k = max(1, settings.mesa_bin_minutes // step)
-                binned = y[: len(y) // k * k].reshape(-1, k).sum(axis=1)
-                found = N.mesa(binned, k * step / 60.0, lo, hi, settings.mesa_order)
-            else:
-                found = N.wavelet_summary(y, step, lo, hi, settings.voices, settings.cwt_method)
-        return ("ok", found) if found else ("too_short", {})
+
+def run(readings: DataFrame, settings: Period = Period(), value: str = "activity") -> DataFrame:
+    """``id, method, period, strength, fap, rhythmic_power, status`` of every subject by all methods of the settings.
+
+    Subjects are dealt, sorted and bridged once for all methods. Failed fits have nulls and a reason; one that threw
+    says so with its error (see ``judge``).
+    """
+    methods = tuple(settings.methods)
+    if unknown := [m for m in methods if m not in METHODS]:
+        raise ValueError(f"unknown method {', '.join(unknown)}")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
-        try:
-            status, found = solve(pdf["t"].to_numpy(float), pdf[value].to_numpy(float))
-        except Exception as error:  # one subject's fit is its own affair; see ``judge`` for those of all
-            status, found = f"{THREW}{type(error).__name__}: {error}"[:300], {}
-        row = {"id": pdf["id"].iloc[0], "method": method, "period": found.get("period"), "strength": found.get("strength"), "fap": found.get("fap"), "rhythmic_power": found.get("power"), "status": status}
-        return pd.DataFrame([row])
+        t, x = pdf["t"].to_numpy(float), pdf[value].to_numpy(float)
+        seen = t[np.isfinite(x)]
+        short = "no_data" if len(seen) < 2 else "below_floor" if (seen[-1] - seen[0]) / 1440 < settings.min_days else None
+        held: list[np.ndarray] = []
+
+        def block() -> np.ndarray:
+            if not held:
+                held.append(N.longest_block(t, x, settings.step_minutes, settings.max_bridge_minutes)[1])
+            return held[0]
+
+        rows = []
+        for method in methods:
+            found, status = None, short
+            if not short:
+                try:
+                    found = _solve(method, t, x, block, settings)
+                    status = "ok" if found else "too_short"
+                except Exception as error:  # one subject's fit is its own affair; see ``judge`` for those of all
+                    status = f"{THREW}{type(error).__name__}: {error}"[:300]
+            found = found or {}
+            rows.append({"id": pdf["id"].iloc[0], "method": method, "period": found.get("period"), "strength": found.get("strength"), "fap": found.get("fap"), "rhythmic_power": found.get("power"), "status": status})
+        return pd.DataFrame(rows)
 
     rows = readings.select("id", F.col("t").cast("int").alias("t"), F.col(value).cast("double").alias(value))
     return rows.groupBy("id").applyInPandas(one, RESULT.format(id=_key_type(readings)))
 
 
-def run(readings: DataFrame, settings: Period = Period(), value: str = "activity") -> DataFrame:
-    """All methods of the settings, one under the other. The readings are dealt to subjects once for each."""
-    out = None
-    for method in settings.methods:
-        found = estimate(readings, method, settings, value)
-        out = found if out is None else out.unionByName(found)
-    return out
+def estimate(readings: DataFrame, method: str, settings: Period = Period(), value: str = "activity") -> DataFrame:
+    """``run`` by one method."""
+    return run(readings, dataclasses.replace(settings, methods=(method,)), value)
 
 
 def watched(results: DataFrame, methods) -> tuple[DataFrame, tuple[Observation, tuple[str, ...]]]:
