@@ -30,7 +30,7 @@ BLOCK = 1 << 22
 #: Most tokens of the alignments, and most linked pairs, that are sent to the tasks.
 KNOWN_TOKENS, KNOWN_PAIRS = 1 << 26, 1 << 23
 #: Parts of stretches whose ids a Python worker remembers from block to block.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 16
 #: Bytes of a text in which the tokens of one group look for each other.
 NEAR = 64
 
@@ -240,6 +240,7 @@ def blocks_of(docs: DataFrame, first: str, second: str) -> DataFrame:
                     held += len(text or "") + 64
                     if held >= BLOCK:
                         yield packed(part + k, ids, numbers, names)
+                        pa.default_memory_pool().release_unused()
                         k, ids, numbers, held = k + 1, [], [], 0
                         names.clear()
         if ids:
@@ -404,6 +405,7 @@ def alignment_of(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     def opened(batch: pa.RecordBatch):
         own = tokenizers(first, second)
         own.known.clear()
+        pa.default_memory_pool().release_unused()
         for k in range(batch.num_rows):
             yield k, Block(batch, k, sent.value if sent else Shapes([flat_shapes(batch.column("aligned").slice(k, 1).flatten())]), (own.a_len, own.b_len))
 
