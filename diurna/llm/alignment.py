@@ -13,9 +13,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import os
 import pickle
 import re
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +29,16 @@ BYTES_VOCABULARY, PIECES_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
 BLOCK = 1 << 22
 #: Most tokens of the alignments, and most linked pairs, that are sent to the tasks.
 KNOWN_TOKENS, KNOWN_PAIRS = 1 << 26, 1 << 23
-#: Parts of stretches whose ids a Python worker remembers from block to block.
-REMEMBERED = 1 << 16
+#: Characters of stretches that are tokenized in one go.
+CHUNK = 1 << 14
 #: Bytes of a text in which the tokens of one group look for each other.
 NEAR = 64
 
 _CUT = re.compile(r"(?<=[^\s▁])(?= .)", re.DOTALL)
 #: Where a space may stand that is no cut.
 _ODD = re.compile(r"[\s▁] ")
-#: Cuts inside a stretch, which only save work: a part is tokenized once for all stretches that hold it.
-_PARTS = re.compile(r"(?<=[^\W\d_])(?=[,.;:!?])|(?<=\S\n)(?=[^\W\d_])")
+#: What ends in these cannot be followed by a cut.
+_OPEN = re.compile(r"[\s▁]\Z")
 
 
 def stretches(text: str) -> list[str]:
@@ -59,6 +59,7 @@ class Tokenizers:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
         self.a = Tokenizer.from_file(first)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=second)
@@ -72,38 +73,53 @@ class Tokenizers:
         b = self.b
         self.b_bytes = [bytes([int(b.id_to_piece(k)[3:5], 16)]) if b.is_byte(k) else b.id_to_piece(k).replace("▁", " ").encode() for k in range(b.get_piece_size())]
         self.a_len, self.b_len = (np.array([*map(len, x)], np.int32) for x in (self.a_bytes, self.b_bytes))
-        self.known: dict[str, tuple[bytes, bytes, bool]] = {}
         pieces = [b.id_to_piece(k) for k in range(b.get_piece_size()) if not (b.is_byte(k) or b.is_control(k) or b.is_unknown(k))]
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("the second vocabulary joins words")
-        #: A letter and what stops it, and a line end and a letter, are words of their own to the first tokenizer.
-        over = re.compile(r"[^\W\d_][,.;:!?]|\n[^\W\d_]")
-        self.parts = (lambda t: [t]) if any(over.search(p) for p in pieces) else _PARTS.split
-        #: What stands before a part that does not begin with a space, so that the second tokenizer adds none to it.
-        self.before = {"a": len(b.encode("a")), "\n": len(b.encode("\n"))}
-
-    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes, bool]]:
-        """32-bit ids of each stretch by both; and whether their bytes are those of the stretch."""
-        cut = [self.parts(t) for t in texts]
-        new = list({p for parts in cut for p in parts if p not in self.known})
-        found = dict(zip(new, self.encode_new(new))) if new else {}
-        if len(self.known) < REMEMBERED:
-            self.known.update(found)
-        out = []
-        for parts in cut:
-            told = [self.known.get(p) or found[p] for p in parts]
-            out.append(told[0] if len(told) == 1 else (b"".join([x[0] for x in told]), b"".join([x[1] for x in told]), all([x[2] for x in told])))
-        return out
 
-    def encode_new(self, texts: list[str]) -> list[tuple[bytes, bytes, bool]]:
-        lead = ["" if t[0] == " " else "\n" if t[0].isalpha() else "a" for t in texts]
-        a = self.a.encode_batch_fast(texts, add_special_tokens=False)
-        b = self.b.encode([t[1:] if not x else x + t for t, x in zip(texts, lead)], num_threads=1)
-        at, bt, out = self.a_bytes.__getitem__, self.b_bytes.__getitem__, []
-        for text, x, y, z in zip(texts, a, b, lead):
-            raw, x, y = text.encode("utf-8", "surrogatepass"), x.ids, y[self.before[z] :] if z else y
-            ok = b"".join(map(at, x)) == raw and b"".join(map(bt, y)) == raw
-            out.append((array("i", x).tobytes(), array("i", y).tobytes(), ok))
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """Ids of all stretches by the first, how many each has, both by the second, and whether their bytes are those of the stretch.
+
+        Stretches are put together again to be tokenized in one go, where a cut between them would be certain; the ends of
+        tokens tell whose they are.
+        """
+        chunks, now, size = [], [], 0
+        for text in texts:
+            now.append(text)
+            size += len(text)
+            if size >= CHUNK or _OPEN.search(text):
+                chunks.append(now)
+                now, size = [], 0
+        if now:
+            chunks.append(now)
+        out = [(np.zeros(0, np.int32),) * 4 + (np.zeros(0, bool),)]
+        for at in range(0, len(chunks), 16):
+            out += self.encode_chunks(chunks[at : at + 16])
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def encode_chunks(self, chunks: list[list[str]]) -> list[tuple[np.ndarray, ...]]:
+        joined = ["".join(x) for x in chunks]
+        a = self.a.encode_batch_fast(joined, add_special_tokens=False)
+        b = self.b.encode([t[1:] for t in joined], num_threads=1)
+        out = []
+        for texts, text, x, y in zip(chunks, joined, a, b):
+            raw = text.encode("utf-8", "surrogatepass")
+            sizes = map(len, texts) if len(raw) == len(text) else (len(t.encode("utf-8", "surrogatepass")) for t in texts)
+            ends = np.cumsum(np.fromiter(sizes, np.int64, len(texts)))
+            found, whole = [], True
+            for ids, names, lengths in ((x.ids, self.a_bytes, self.a_len), (y, self.b_bytes, self.b_len)):
+                own = np.array(ids, np.int32)
+                stops = np.cumsum(lengths[own], dtype=np.int64)
+                places = np.searchsorted(stops, ends, "right")
+                whole &= b"".join(map(names.__getitem__, ids)) == raw and np.array_equal(stops[places - 1], ends)
+                found += [own, np.diff(places, prepend=0).astype(np.int32)]
+            if whole or len(texts) == 1:
+                if not whole:
+                    found = [found[0], np.array([len(found[0])], np.int32), found[2], np.array([len(found[2])], np.int32)]
+                out.append((*found, np.full(len(texts), whole)))
+            else:  # one of them is not spelled by its tokens: each for itself
+                half = len(texts) // 2
+                out += self.encode_chunks([texts[:half], texts[half:]])
         return out
 
 
@@ -195,16 +211,8 @@ def blocks_of(docs: DataFrame, first: str, second: str) -> DataFrame:
     def packed(block: int, ids: list, numbers: list[np.ndarray], names: dict[str, int]) -> pa.RecordBatch:
         own = tokenizers(first, second)
         texts = list(names)
-        a_flat, an, b_flat, bn, oks = [], [], [], [], []
-        for at in range(0, len(texts), 4096):
-            a, b, ok = zip(*own.encode(texts[at : at + 4096]))
-            for flat, sizes, found in ((a_flat, an, a), (b_flat, bn, b)):
-                flat.append(np.frombuffer(b"".join(found), np.int32))
-                sizes.append(np.fromiter(map(len, found), np.int32, len(found)) // 4)
-            oks.append(np.array(ok, bool))
+        a, an, b, bn, ok = own.encode(texts)
         empty = np.zeros(0, np.int32)
-        a, an, b, bn = (np.concatenate([empty, *x]) for x in (a_flat, an, b_flat, bn))
-        ok = np.concatenate([np.zeros(0, bool), *oks])
         la, lb = own.a_len[a], own.b_len[b]
         good = np.flatnonzero(ok)
         _, first_of, which = np.unique(_keys(la, an, lb, bn)[good], return_index=True, return_inverse=True)
@@ -404,7 +412,6 @@ def alignment_of(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     def opened(batch: pa.RecordBatch):
         own = tokenizers(first, second)
-        own.known.clear()
         pa.default_memory_pool().release_unused()
         for k in range(batch.num_rows):
             yield k, Block(batch, k, sent.value if sent else Shapes([flat_shapes(batch.column("aligned").slice(k, 1).flatten())]), (own.a_len, own.b_len))
@@ -413,6 +420,7 @@ def alignment_of(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             for k, block in opened(batch):
                 pairs, counts = block.pair_counts()
+                del block  # before the next one is opened
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), batch.column("block")[k].as_py())), pa.array(pairs), pa.array(counts)], ["block", "pair", "n"])
 
     held = with_shapes.mapInArrow(count, "block bigint, pair bigint, n bigint")
@@ -435,7 +443,9 @@ def alignment_of(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             for k, block in opened(batch):
                 own = None if table is not None else batch.column("pairs").slice(k, 1).flatten()
-                yield block.report(*(table.value if own is None else [own.field(c).to_numpy(zero_copy_only=False) for c in ("pair", "n", "best")]))
+                told = block.report(*(table.value if own is None else [own.field(c).to_numpy(zero_copy_only=False) for c in ("pair", "n", "best")]))
+                del block
+                yield told
 
     rows = ready.mapInArrow(report, "doc bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string")
     return rows, pairs.drop("pair")
