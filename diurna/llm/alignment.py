@@ -11,6 +11,7 @@ pairs are sent to the tasks while they are small, and joined to the blocks that
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import hashlib
 import os
@@ -26,7 +27,7 @@ from .common import cut, written
 
 BYTES_VOCABULARY, PIECES_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text of the documents of a block.
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 #: Most tokens of the alignments, and most linked pairs, that are sent to the tasks.
 KNOWN_TOKENS, KNOWN_PAIRS = 1 << 26, 1 << 23
 #: Characters of stretches that are tokenized in one go.
@@ -34,6 +35,8 @@ CHUNK = 1 << 14
 #: Bytes of a text in which the tokens of one group look for each other.
 NEAR = 64
 
+_C = ctypes.CDLL(None)
+
 _CUT = re.compile(r"(?<=[^\s▁])(?= .)", re.DOTALL)
 #: Where a space may stand that is no cut.
 _ODD = re.compile(r"[\s▁] ")
@@ -131,6 +134,20 @@ def tokenizers(first: str, second: str) -> Tokenizers:
     return Tokenizers(*[x if "/" in x else public_tokenizers.path(x) for x in (first, second)])
 
 
+@functools.cache
+def lengths_of(first: str, second: str) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of each id of both."""
+    own = tokenizers(first, second)
+    return own.a_len, own.b_len
+
+
+def give_back() -> None:
+    """What a worker has freed goes back to the machine, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_C, "malloc_trim"):
+        _C.malloc_trim(0)
+
+
 def token_alignment(sequences: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Groups and links of ``sequences``: ``id`` and the lengths in bytes of the tokens, ``a`` and ``b`` (arrays).
 
@@ -248,9 +265,9 @@ def blocks_of(docs: DataFrame, first: str, second: str) -> DataFrame:
                     held += len(text or "") + 64
                     if held >= BLOCK:
                         yield packed(part + k, ids, numbers, names)
-                        pa.default_memory_pool().release_unused()
                         k, ids, numbers, held = k + 1, [], [], 0
                         names.clear()
+                        give_back()
         if ids:
             yield packed(part + k, ids, numbers, names)
 
@@ -411,10 +428,11 @@ def alignment_of(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         with_shapes = written(blocks.drop("shapes").join(own, "block", "left"), "blocks")
 
     def opened(batch: pa.RecordBatch):
-        own = tokenizers(first, second)
-        pa.default_memory_pool().release_unused()
+        lengths = lengths_of(first, second)
+        tokenizers.cache_clear()  # from here on only lengths are read
         for k in range(batch.num_rows):
-            yield k, Block(batch, k, sent.value if sent else Shapes([flat_shapes(batch.column("aligned").slice(k, 1).flatten())]), (own.a_len, own.b_len))
+            give_back()
+            yield k, Block(batch, k, sent.value if sent else Shapes([flat_shapes(batch.column("aligned").slice(k, 1).flatten())]), lengths)
 
     def count(batches):
         for batch in batches:
