@@ -127,29 +127,47 @@ def judge(seen: tuple[Observation, tuple[str, ...]]) -> dict[str, tuple[int, int
 
 
 def correlogram(readings: DataFrame, value: str = "activity", step: int = 60, max_hours: int = 72) -> DataFrame:
-    """``id, lag_hours, r`` of dense records, as a join of a series with itself; missing samples count as the mean."""
-    mean = Window.partitionBy("id")
-    x = readings.select("id", "t", F.coalesce(F.col(value) - F.avg(value).over(mean), F.lit(0.0)).alias("x"))
-    lags = x.select("id", "t", "x", F.explode(F.sequence(F.lit(0), F.lit(max_hours * 60), F.lit(step))).alias("lag"))
-    pairs = lags.join(x.select("id", (F.col("t")).alias("t2"), F.col("x").alias("y")), (lags["id"] == x["id"]) & (F.col("t") + F.col("lag") == F.col("t2"))).select(lags["id"], "lag", (F.col("x") * F.col("y")).alias("p"))
-    sums = pairs.groupBy("id", "lag").agg(F.sum("p").alias("s"))
-    top = F.max(F.when(F.col("lag") == 0, F.col("s"))).over(Window.partitionBy("id"))
-    return sums.withColumn("__top", top).where("__top > 0").select("id", (F.col("lag") / 60.0).alias("lag_hours"), (F.col("s") / F.col("__top")).alias("r"))
+    """``id, lag_hours, r`` of dense records; missing samples count as the mean.
+
+    What stands a lag ahead is a window of that one minute, so a subject's rows stay where they are, one for each sample.
+    """
+    own = Window.partitionBy("id")
+    x = readings.select("id", "t", F.coalesce(F.col(value) - F.avg(value).over(own), F.lit(0.0)).alias("x"))
+    lags = range(0, max_hours * 60 + 1, step)
+    ahead = {f"__{lag}": F.col("x") * F.sum("x").over(own.orderBy("t").rangeBetween(lag, lag)) for lag in lags}
+    sums = x.select("id", *[c.alias(n) for n, c in ahead.items()]).groupBy("id").agg(*[F.sum(n).alias(n) for n in ahead])
+    rows = sums.where("__0 > 0").select("id", F.col("__0").alias("__top"), F.explode(F.array(*[F.struct((F.lit(lag) / 60.0).alias("lag_hours"), F.col(f"__{lag}").alias("s")) for lag in lags])).alias("l"))
+    return rows.where("l.s IS NOT NULL").select("id", "l.lag_hours", (F.col("l.s") / F.col("__top")).alias("r"))
 
 
 def spectrum(readings: DataFrame, periods: list[float], value: str = "activity") -> DataFrame:
-    """``id, period, power``: least-squares power of a constant and one sinusoid at given periods, as plain sums."""
-    centred = readings.where(F.col(value).isNotNull()).withColumn("y", F.col(value) - F.avg(value).over(Window.partitionBy("id")))
-    rows = centred.select("id", "t", "y", F.explode(F.array(*[F.lit(float(p)) for p in periods])).alias("period"))
-    a = 2 * np.pi * F.col("t") / (60.0 * F.col("period"))
-    rows = rows.select("id", "period", "y", F.cos(a).alias("c"), F.sin(a).alias("s"))
-    n, m = F.count(F.lit(1)), lambda x: F.sum(x)
-    sums = rows.groupBy("id", "period").agg(n.alias("n"), m("c").alias("sc"), m("s").alias("ss"), m(F.col("c") * F.col("c")).alias("cc0"), m(F.col("s") * F.col("s")).alias("ss0"), m(F.col("c") * F.col("s")).alias("cs0"), m(F.col("y") * F.col("c")).alias("yc"), m(F.col("y") * F.col("s")).alias("ys"), m(F.col("y") * F.col("y")).alias("yy"))
-    cc, ss, cs = (F.col(a) - F.col(b) * F.col(c) / F.col("n") for a, b, c in (("cc0", "sc", "sc"), ("ss0", "ss", "ss"), ("cs0", "sc", "ss")))
-    sums = sums.withColumns({"cc": cc, "sss": ss, "cs": cs})
-    det = F.col("cc") * F.col("sss") - F.col("cs") * F.col("cs")
-    p = (F.col("yc") ** 2 * F.col("sss") + F.col("ys") ** 2 * F.col("cc") - 2 * F.col("yc") * F.col("ys") * F.col("cs")) / (det * F.col("yy"))
-    return sums.select("id", "period", F.when(F.col("yy") > 0, p).alias("power"))
+    """``id, period, power``: least-squares power of a constant and one sinusoid at given periods.
+
+    A subject's record is one array, whose sums at all periods are products with those of cosines and sines; null where
+    nothing varies.
+    """
+    each = 2 * np.pi / (60.0 * np.array(periods, float))[:, None]
+    held = readings.where(F.col(value).isNotNull()).groupBy("id").agg(F.collect_list("t").alias("t"), F.collect_list(F.col(value).cast("double")).alias("x"))
+
+    def power(batches):
+        for batch in batches:
+            last, out = None, []
+            for t, x in zip(batch["t"], batch["x"]):
+                if last is None or not np.array_equal(t, last):
+                    last, a = t, each * t
+                    c, s = np.cos(a), np.sin(a)
+                    sc, ss = c.sum(1), s.sum(1)
+                    cc, sss, cs = ((p * q).sum(1) - u * v / len(t) for p, q, u, v in ((c, c, sc, sc), (s, s, ss, ss), (c, s, sc, ss)))
+                y = x - x.mean()
+                yc, ys, yy = c @ y, s @ y, y @ y
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    p = (yc**2 * sss + ys**2 * cc - 2 * yc * ys * cs) / ((cc * sss - cs * cs) * yy)
+                out.append(np.where(np.isfinite(p), p, np.nan) if yy > 0 else np.full(len(p), np.nan))
+            yield pd.DataFrame({"id": batch["id"], "p": [[None if v != v else v for v in p] for p in out]})
+
+    found = held.mapInPandas(power, f"id {_key_type(readings)}, p array<double>")
+    grid = F.array(*[F.lit(float(p)) for p in periods])
+    return found.select("id", F.posexplode("p").alias("at", "power")).select("id", F.get(grid, F.col("at")).alias("period"), "power")
 
 
 def chi_square(readings: DataFrame, periods_hours: list[float], value: str = "activity", step: int = 60) -> DataFrame:
