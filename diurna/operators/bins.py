@@ -49,8 +49,9 @@ def group_totals(totals: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def state_totals(minutes: DataFrame, states: list[str], percent: bool = False) -> DataFrame:
-    """Minutes of each subject in each 0/1 state, or their share of all of them."""
-    sums = minutes.groupBy("id").agg(*[F.sum(F.col(s).cast("bigint")).alias(s) for s in states])
+    """Minutes of each subject in each 0/1 state, or their share of all of them; a row counts ``n`` times where it has that."""
+    n = F.col("n") if "n" in minutes.columns else F.lit(1)
+    sums = minutes.groupBy("id").agg(*[F.sum(F.col(s).cast("bigint") * n).alias(s) for s in states])
     if not percent:
         return sums
     whole = sum((F.coalesce(F.col(s), F.lit(0)) for s in states[1:]), F.coalesce(F.col(states[0]), F.lit(0)))

@@ -47,14 +47,17 @@ def smoothed(df: DataFrame, value: str, window: int, out: str, **options) -> Dat
     return rolling_mean(df, value, window, out, least=-(-window // 2), **options)
 
 
-def fill_short_gaps(df: DataFrame, value: str, out: str, *, most: int = 4, key: str = "id", order: str = "t") -> DataFrame:
-    """Runs of up to ``most`` missing rows between equal values take that value; edges stay missing."""
+def fill_short_gaps(df: DataFrame, value: str, out: str, *, most: int = 4, size: Column | None = None, key: str = "id", order: str = "t") -> DataFrame:
+    """Runs of up to ``most`` missing rows between equal values take that value; edges stay missing.
+
+    ``size`` is how many samples a row stands for, where it is not one.
+    """
     w = by_subject(key, order)
     before, after = w.rowsBetween(Window.unboundedPreceding, 0), from_the_end(key, order)
     runs = run_ids(df, F.col(value).isNull() != F.lag(F.col(value).isNull()).over(w), "__run", key, order)
     left, right = F.last(value, ignorenulls=True).over(before), F.last(value, ignorenulls=True).over(after)
-    size = F.count(F.lit(1)).over(Window.partitionBy(key, "__run"))
-    return runs.withColumn(out, F.coalesce(value, F.when((size <= most) & (left == right), left))).drop("__run")
+    length = F.sum(F.lit(1) if size is None else size).over(Window.partitionBy(key, "__run"))
+    return runs.withColumn(out, F.coalesce(value, F.when((length <= most) & (left == right), left))).drop("__run")
 
 
 def interpolate(df: DataFrame, value: str, out: str, *, key: str = "id", order: str = "t", most_span: int | None = None) -> DataFrame:

@@ -23,11 +23,17 @@ def marked_minutes(readings: DataFrame, settings: Sleep = Sleep(), step: int = 1
 
     Short gaps between equal values are bridged; a run of immobility lasts from its first to its last minute
     (so N minutes last N - 1, unless ``inclusive_minutes``). ``sleep`` is null on missing minutes, bridged ones too.
+
+    With a column ``t_end`` each row is a stretch of equal minutes from ``t`` to there, and the result has ``t_end`` and
+    ``n``, their number, too.
     """
-    filled = runs.fill_short_gaps(readings.select("id", "t", "moving"), "moving", "filled", most=settings.bridge_minutes // step if step > 1 else settings.bridge_minutes)
+    long = "t_end" in readings.columns
+    size = ((F.col("t_end") - F.col("t")) / step + 1).cast("bigint")
+    rows = readings.select("id", "t", "moving", *(["t_end", size.alias("n")] if long else []))
+    filled = runs.fill_short_gaps(rows, "moving", "filled", most=settings.bridge_minutes // step if step > 1 else settings.bridge_minutes, size=F.col("n") if long else None)
     numbered = runs.value_runs(filled, "filled", "run")
     own = Window.partitionBy("id", "run")
-    spans = numbered.withColumns({"bout_start": F.min("t").over(own), "bout_end": F.max("t").over(own)})
+    spans = numbered.withColumns({"bout_start": F.min("t").over(own), "bout_end": F.max("t_end" if long else "t").over(own)})
     duration = (F.col("bout_end") - F.col("bout_start") + (step if inclusive_minutes else 0)).cast("double")
     spans = spans.withColumn("duration_min", duration)
     asleep = (F.col("filled") == 0) & (F.col("duration_min") * 60 >= settings.threshold_seconds)
@@ -36,9 +42,15 @@ def marked_minutes(readings: DataFrame, settings: Sleep = Sleep(), step: int = 1
 
 
 def minutes(marked: DataFrame) -> DataFrame:
-    """``id, t, sleep, sleep_short, sleep_intermediate, sleep_long``; missing minutes are null in all."""
+    """``id, t, sleep, sleep_short, sleep_intermediate, sleep_long``; missing minutes are null in all. Of stretches, ``t_end`` and ``n`` too."""
     masks = {f"sleep_{s}": F.when(F.col("sleep").isNotNull(), (F.coalesce(F.col("state") == s, F.lit(False))).cast("tinyint")) for s in STATES}
-    return marked.select("id", "t", "sleep", *[c.alias(n) for n, c in masks.items()])
+    return marked.select("id", "t", "sleep", *[c.alias(n) for n, c in masks.items()], *[c for c in ("t_end", "n") if c in marked.columns])
+
+
+def each_minute(stretches: DataFrame, step: int = 1) -> DataFrame:
+    """A row for each minute of stretches."""
+    rest = [c for c in stretches.columns if c not in ("t", "t_end", "n")]
+    return stretches.select(F.explode(F.sequence("t", "t_end", F.lit(step))).alias("t"), *rest)
 
 
 def bouts(marked: DataFrame) -> DataFrame:
@@ -63,9 +75,19 @@ def reclassified(found: DataFrame, settings: Sleep) -> DataFrame:
 
 
 def minutes_of_bouts(found: DataFrame, asleep: DataFrame, step: int = 1) -> DataFrame:
-    """States of minutes asleep from bouts: each bout's minutes are equal keys, so no range is scanned."""
-    inside = found.select("id", F.explode(F.sequence("start_t", "end_t", F.lit(step))).alias("t"), "state", "bout")
-    return asleep.where("sleep = 1").select("id", "t").join(inside, ["id", "t"], "left")
+    """States of minutes asleep from bouts: ``id, t, state, bout``, the last two null outside of bouts.
+
+    A subject's bouts do not overlap, so the bout of a minute is the last one that began, if it has not ended: one window
+    over the subject, and no minute is shuffled that already lies with its subject.
+    """
+    none = F.lit(None)
+    starts = found.select("id", F.col("start_t").alias("t"), F.struct("start_t", "end_t", "state", "bout").alias("b"))
+    kind = starts.schema["b"].dataType
+    both = asleep.where("sleep = 1").select("id", "t", none.cast(kind).alias("b")).unionByName(starts)
+    last = F.last("b", ignorenulls=True).over(Window.partitionBy("id").orderBy("t", F.col("b").isNull()).rowsBetween(Window.unboundedPreceding, 0))
+    rows = both.withColumn("last", last).where("b IS NULL")
+    inside = (F.col("t") <= F.col("last.end_t")) & ((F.col("t") - F.col("last.start_t")) % step == 0)
+    return rows.select("id", "t", F.when(inside, F.col("last.state")).alias("state"), F.when(inside, F.col("last.bout")).alias("bout"))
 
 
 def bout_summary(found: DataFrame) -> DataFrame:

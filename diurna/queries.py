@@ -93,8 +93,13 @@ def _marked(spark, d):
     return sleep.marked_minutes(curate.with_moving(_r(spark, d)), HOURLY, STEP)
 
 
+def _stretches(spark, d):
+    """The same from stretches of equal hours, which are as many as events and not as hours."""
+    return sleep.marked_minutes(curate.with_moving(events.reading_runs(spark, d, STEP)), HOURLY, STEP)
+
+
 def _bouts(spark, d):
-    return sleep.bouts(_marked(spark, d))
+    return sleep.bouts(_stretches(spark, d))
 
 
 # Profiles and totals
@@ -320,7 +325,7 @@ def immobility_bouts(spark, d):
 
 @query("SELECT id, count(*) FILTER (sleep = 1) AS sleep, count(*) FILTER (sleep = 1 AND state = 'short') AS short, count(*) FILTER (sleep = 1 AND state = 'intermediate') AS intermediate, count(*) FILTER (sleep = 1 AND state = 'long') AS long FROM minutes GROUP BY id", SLEEP)
 def sleep_minutes(spark, d):
-    m = sleep.minutes(_marked(spark, d))
+    m = sleep.minutes(_stretches(spark, d))
     return rounded(bins.state_totals(m, ["sleep", "sleep_short", "sleep_intermediate", "sleep_long"])).toDF("id", "sleep", "short", "intermediate", "long")
 
 
@@ -594,14 +599,14 @@ MINUTES = SLEEP.replace("// 60 * 60)::INT AS t", ")::INT AS t").replace("range(0
 
 @query("SELECT id, count(*) FILTER (sleep = 1) AS sleep, count(*) FILTER (sleep = 1 AND state = 'short') AS short, count(*) FILTER (sleep = 1 AND state = 'intermediate') AS intermediate, count(*) FILTER (sleep = 1 AND state = 'long') AS long FROM minutes GROUP BY id", MINUTES)
 def minute_sleep(spark, d):
-    m = sleep.minutes(sleep.marked_minutes(curate.with_moving(events.readings(spark, d, 1))))
+    m = sleep.minutes(sleep.marked_minutes(curate.with_moving(events.reading_runs(spark, d, 1))))
     return rounded(bins.state_totals(m, ["sleep", "sleep_short", "sleep_intermediate", "sleep_long"])).toDF("id", "sleep", "short", "intermediate", "long")
 
 
 @query("SELECT grp, state, round(avg(value), 5) AS mean, round(CASE WHEN count(value) > 1 THEN stddev_samp(value) / sqrt(count(value)) ELSE 0 END, 5) AS sem, count(value) AS n FROM (SELECT m.id, s.state, count(*) FILTER (sleep = 1 AND (s.state = 'sleep' OR m.state = substr(s.state, 7))) AS value FROM minutes m CROSS JOIN (VALUES ('sleep'), ('sleep_short'), ('sleep_intermediate'), ('sleep_long')) s(state) GROUP BY ALL) JOIN subjects USING (id) GROUP BY grp, state", SLEEP)
 def state_bars(spark, d):
     names = ["sleep", "sleep_short", "sleep_intermediate", "sleep_long"]
-    return rounded(bins.state_bars(bins.state_totals(sleep.minutes(_marked(spark, d)), names), _s(spark, d), names), 5)
+    return rounded(bins.state_bars(bins.state_totals(sleep.minutes(_stretches(spark, d)), names), _s(spark, d), names), 5)
 
 
 @query("SELECT id, CASE WHEN duration_min < 240 THEN 'short' WHEN duration_min < 600 THEN 'intermediate' ELSE 'long' END AS state, count(*) AS n FROM bouts GROUP BY ALL", SLEEP)
@@ -612,8 +617,8 @@ def reclassified_bouts(spark, d):
 
 @query("SELECT b.id, b.t::BIGINT AS t, b.state FROM minutes b WHERE b.sleep = 1", SLEEP)
 def minutes_of_bouts(spark, d):
-    marked = _marked(spark, d)
-    return rounded(sleep.minutes_of_bouts(sleep.bouts(marked), sleep.minutes(marked), STEP).select("id", "t", "state"))
+    marked = _stretches(spark, d)
+    return rounded(sleep.minutes_of_bouts(sleep.bouts(marked), sleep.each_minute(sleep.minutes(marked), STEP), STEP).select("id", "t", "state"))
 
 
 # Import and files
