@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import params
 from ..functions import scalars as S
-from .phase_shift import one_phase, reference_pulses, resample_weight
+from .curves import weights
+from .phase_shift import one_phase, reference_pulses
 
 #: Hours are rounded to this many places before they are wrapped, so that values half a day apart fall to one side.
 PLACES = 9
@@ -156,18 +159,56 @@ def phase_differences(found: DataFrame, groups: DataFrame, controls: DataFrame,
     return _differences(peaks, controls, ["day"], baseline_day).join(counts, ["grp", "day"]).select("grp", "control_grp", "day", "peak_hours", "control_peak_hours", "phase_difference_hours", "from_baseline_hours", "n")
 
 
+def _weighted(rows: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """``grp, day, h, r, w``: the weights that a clock time of a day draws in each resample, added up over its subjects; zeros go."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    key, schema = ["grp", "day", "h"], f"grp {kinds['grp']}, day {kinds['day']}, h double, ws array<bigint>"
+    held = rows.where("grp IS NOT NULL AND h IS NOT NULL").groupBy("grp", F.col("id").cast("string").alias("id")).agg(F.collect_list("day").alias("days"), F.collect_list("h").alias("hs"))
+
+    def out(sums: dict) -> pd.DataFrame:
+        return pd.DataFrame([(*k, w) for k, w in sums.items()], columns=[*key, "ws"])
+
+    def add(batches):
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for grp, subject, days, hs in zip(batch["grp"], batch["id"], batch["days"], batch["hs"]):
+                w = weights(subject, resamples, seed)
+                for day, h in zip(days, hs):
+                    at = grp, day, h
+                    sums[at] = sums[at] + w if at in sums else w
+                if len(sums) * resamples > 1 << 23:
+                    yield out(sums)
+                    sums = {}
+        if sums:
+            yield out(sums)
+
+    def merge(batches):
+        now, total = None, None
+        for batch in batches:
+            done = []
+            for *at, w in batch[[*key, "ws"]].itertuples(index=False):
+                if at != now and now is not None:
+                    done.append((*now, total))
+                now, total = at, (total + w if at == now else w)
+            if done:
+                yield pd.DataFrame(done, columns=[*key, "ws"])
+        if now is not None:
+            yield pd.DataFrame([(*now, total)], columns=[*key, "ws"])
+
+    parts = held.mapInPandas(add, schema).repartition(*key).sortWithinPartitions(*key).mapInPandas(merge, schema)
+    return parts.select(*key, F.posexplode("ws").alias("r", "w")).where("w > 0")
+
+
 def bootstrap_differences(found: DataFrame, groups: DataFrame, controls: DataFrame, *, resamples: int = 200, seed: int = 0, ci: float = 95.0, baseline_day: int | None = None, origins: DataFrame | None = None) -> DataFrame:
     """``grp, control_grp, day``, then ``_sd, _low, _high`` of the phase difference and of that from the baseline, and ``n_ok``.
 
     Every resample makes the whole statistic again: subjects draw Poisson weights, and centres, medians, differences and
-    the baseline follow from them, so that the control's uncertainty counts as well. Weights are added up by clock time
-    before they are shuffled. ``n_ok`` is the number of resamples in which both groups had a phase.
+    the baseline follow from them, so that the control's uncertainty counts as well. Tasks add weights up by clock time,
+    one packed array of all resamples for each, so no row of a subject and resample is made. ``n_ok`` is the number of resamples in which both groups had a phase.
     """
     if resamples < 2:
         raise ValueError("resamples must be two or more")
-    rows = _clock(found, groups, origins).select("*", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"))
-    rows = rows.withColumn("w", resample_weight(F.col("id"), F.col("r"), seed).cast("bigint")).where("w > 0")
-    hist = rows.groupBy("grp", "day", "r", "h").agg(F.sum("w").alias("w"))
+    hist = _weighted(_clock(found, groups, origins), resamples, seed)
     drawn = _differences(_phases(hist, ["grp", "day", "r"]), controls, ["day", "r"], baseline_day)
     tail, aggs = (100 - ci) / 200, []
     for c, name in (("phase_difference_hours", "phase_difference"), ("from_baseline_hours", "from_baseline")):
