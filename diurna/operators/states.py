@@ -80,7 +80,8 @@ def circular(profile: DataFrame, bin_minutes: int = 30, doubling: str = "auto")
     near = F.cos(F.col("a") - F.col("phase"))
     sides = marked.drop("doubled").join(centre, keys).groupBy(*keys, "doubled", "r", "phase").agg(F.sum(F.when(near > 0, F.col("w"))).alias("own"), F.sum(F.when(near < 0, F.col("w"))).alias("other"))
     flip = F.col("doubled") & (F.coalesce("other", F.lit(0.0)) > F.coalesce("own", F.lit(0.0)))
-    hours = F.pmod((F.col("phase") + F.when(flip, math.pi).otherwise(0.0)) * 12.0 / math.pi, F.lit(24.0))
+    # Rounded before it is wrapped: a centre at midnight is 0 whatever the order its weights were added in, never just under 24.
+    hours = F.pmod(F.round((F.col("phase") + F.when(flip, math.pi).otherwise(0.0)) * 12.0 / math.pi, 9), F.lit(24.0))
     spread = S.angular_deviation_deg("r") / 15.0 / F.when(F.col("doubled"), 2.0).otherwise(1.0)
     out = sides.select(*keys, hours.alias("mean_phase_h"), "r", spread.alias("angular_deviation_h"), "doubled")
     return out.withColumns({"onset_h": F.pmod(F.col("mean_phase_h") - F.col("angular_deviation_h"), F.lit(24.0)), "offset_h": F.pmod(F.col("mean_phase_h") + F.col("angular_deviation_h"), F.lit(24.0))})
