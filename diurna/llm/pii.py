@@ -1,20 +1,23 @@
 """Personal data in texts, with DataFrame functions only.
 
 Generators with high recall propose spans, overlapping ones too. Boosted trees score every candidate from
-its format and the characters around it; they are fitted on the driver to a bounded sample of candidates
-and become one SQL expression. What labels that sample is nothing that the trees see: check digits, ranges of
-numbers, and announcing words. A threshold for each kind, calibrated on candidates held back, selects the
-spans, of overlapping ones those with the higher score. Spans that the base rules confirm always stay.
+its format and the characters around it; they are fitted to all candidates, equal ones as one row with a weight; a level
+of a tree is one sum over nodes, features and values. They become one SQL expression. What labels the candidates is nothing that the trees see: check
+digits, ranges of numbers, and announcing words. A threshold for each kind, calibrated on candidates held back, selects
+the spans, of overlapping ones those with the higher score. Spans that the base rules confirm always stay.
 """
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: The base patterns. Runs are matched from their start or from the end of the match before,
 #: and never given back, which finds the leftmost matches in one pass.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -33,17 +36,25 @@ BASE = ("email", "ip", "card", "phone")
 KEYWORDS = r"(?i)(?:token|secret|passw|pwd|api.?key|access.?key|auth|credential|bearer|private.?key)"
 #: Characters before and after a span that features see.
 BEFORE, AFTER = 24, 8
-#: Documents and candidates that a fit takes to the driver, at most.
-SAMPLE_DOCS, SAMPLE = 4000, 20_000
 TREES, DEPTH, RATE = 20, 3, 0.3
-#: Precision on the candidates held back that a kind's threshold must reach.
-PRECISION = 0.98
-#: Candidates of each kind and label that a fit takes where the table has them, and its threshold for a kind with too few to hold any back.
-RARE, DEFAULT = 200, 0.5
-#: A kind of fewer rows is repeated to as many, so that trees can split it off.
-WEIGHED = 50
-
-FEATURES = ["n_chars", "digits", "letters", "capitals", "vowels", "blanks", "hyphens", "dots", "at_signs", "plus", "hex_only", "assigned", "quoted", "word_before", "word_after", *[f"is_{k}" for k in KINDS]]
+#: Candidates that a node needs to be split.
+SPLIT = 20
+#: Precision on the candidates held back that a kind's threshold must reach, and the parts of one in which scores are told apart there.
+PRECISION, STEPS = 0.98, 1 << 16
+#: A kind of at least so many candidates has every fifth of them held back; one of fewer has this threshold.
+HOLDS, DEFAULT = 25, 0.5
+#: A kind of fewer candidates weighs as much as so many; a kind and label of fewer than a hundredth weighs up to a hundredth, in
+#: proportion below so many rows.
+WEIGHED, RARE = 50, 200
+#: Slopes are added up as whole numbers of this part of one, so that their order does not matter.
+UNIT = 1 << 24
+#: Most different candidates whose sums are made on the driver.
+NEAR = 1 << 16
+#: Leading bits of a count by which trees tell values apart.
+BITS = 6
+
+COUNTS = ["n_chars", "digits", "letters", "capitals", "vowels", "blanks", "hyphens", "dots", "at_signs"]
+FEATURES = [*COUNTS, "plus", "hex_only", "assigned", "quoted", "word_before", "word_after", *[f"is_{k}" for k in KINDS]]
 
 
 def _count(column: str, pattern: str) -> Column:
@@ -127,119 +138,188 @@ class Model(NamedTuple):
     thresholds: dict[str, float]
 
 
-def grow(x: np.ndarray, slope: np.ndarray, curve: np.ndarray, depth: int) -> Node:
-    """A tree of Newton steps; each split is the one with the largest gain over all values of all features."""
-    leaf = Node(value=float(-slope.sum() / (curve.sum() + 1.0)))
-    if depth == 0 or len(x) < 20:
-        return leaf
-    whole, best = slope.sum() ** 2 / (curve.sum() + 1.0), (1e-6, -1, 0.0)
-    for f in range(x.shape[1]):
-        order = np.argsort(x[:, f], kind="stable")
-        v, g, h = x[order, f], np.cumsum(slope[order]), np.cumsum(curve[order])
-        ends = np.flatnonzero(v[1:] != v[:-1])
-        if not len(ends):
-            continue
-        gain = g[ends] ** 2 / (h[ends] + 1.0) + (g[-1] - g[ends]) ** 2 / (h[-1] - h[ends] + 1.0) - whole
-        k = int(np.argmax(gain))
-        if gain[k] > best[0]:
-            best = (float(gain[k]), f, float((v[ends[k]] + v[ends[k] + 1]) / 2))
-    if best[1] < 0:
-        return leaf
-    low = x[:, best[1]] <= best[2]
-    return Node(best[1], best[2], grow(x[low], slope[low], curve[low], depth - 1), grow(x[~low], slope[~low], curve[~low], depth - 1))
-
-
-def value(tree: Node, x: np.ndarray) -> np.ndarray:
-    if tree.feature < 0:
-        return np.full(len(x), tree.value)
-    return np.where(x[:, tree.feature] <= tree.limit, value(tree.low, x), value(tree.high, x))
-
-
 def as_sql(tree: Node) -> str:
     if tree.feature < 0:
         return repr(tree.value)
     return f"IF({FEATURES[tree.feature]} <= {tree.limit!r}D, {as_sql(tree.low)}D, {as_sql(tree.high)}D)".replace("DD", "D").replace(")D", ")")
 
 
-def score_sql(model: Model) -> str:
-    total = " + ".join([repr(model.start) + "D", *(s if (s := as_sql(t)).endswith(")") else s + "D" for t in model.trees)])
-    return f"1D / (1D + exp(-({total})))"
+def total_sql(model: Model) -> str:
+    return " + ".join([repr(model.start) + "D", *(s if (s := as_sql(t)).endswith(")") else s + "D" for t in model.trees)])
 
 
-def fit(x: np.ndarray, y: np.ndarray, kinds: list[str], valid: np.ndarray) -> Model:
-    """Boosted trees for the log-odds; every fifth row of a kind is held back for its threshold.
+def score_sql(model: Model) -> str:
+    return f"1D / (1D + exp(-({total_sql(model)})))"
+
+
+def _leading(name: str) -> Column:
+    """A count with all but its BITS leading bits cleared."""
+    lower = f"greatest(0, length(bin({name})) - {BITS})"
+    return F.expr(f"shiftleft(shiftright({name}, {lower}), {lower})").alias(name)
+
+
+Split = tuple[int, float, tuple[int, int], tuple[int, int]]
+#: Feature and value, and the sums of slope, curve and weight there.
+Cell = tuple[int, int, int, int, int]
+
+
+def best_split(cells: list[Cell]) -> Split | None:
+    """The feature and limit with the largest gain, and the sums of slope and curve on both sides."""
+    by_feature: dict[int, list] = {}
+    for f, v, g, h, _ in sorted(cells):
+        by_feature.setdefault(f, []).append((v, g, h))
+    best, found = 1e-6, None
+    for f, own in by_feature.items():
+        all_g, all_h = sum(g for _, g, _ in own), sum(h for *_, h in own)
+        low_g = low_h = 0
+        for (v, g, h), (after, *_) in zip(own, own[1:]):
+            low_g, low_h = low_g + g, low_h + h
+            low, high = (low_g, low_h), (all_g - low_g, all_h - low_h)
+            gain = sum((x / UNIT) ** 2 / (y / UNIT + 1.0) for x, y in (low, high)) - (all_g / UNIT) ** 2 / (all_h / UNIT + 1.0)
+            if gain > best:
+                last = v + (1 << max(0, v.bit_length() - BITS)) - 1  # of the values that are told as v
+                best, found = gain, (f, (last + after) / 2, low, high)
+    return found
+
+
+class Dealt:
+    """The sums of levels by Spark, over any number of rows (features, y, weight); only sums reach the driver."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+
+    def slopes(self, model: Model) -> None:
+        p = F.expr(score_sql(model))
+        slope = (F.round((p - F.col("y")) * UNIT) * F.col("weight")).cast("bigint")
+        curve = (F.round(p * (1 - p) * UNIT) * F.col("weight")).cast("bigint")
+        self.sloped = self.rows.select(*FEATURES, "weight", slope.alias("g"), curve.alias("h"))
+
+    def cells(self, splits: dict[int, Split], nodes: list[int]) -> dict[int, list[Cell]]:
+        def place(k: int) -> str:
+            return f"IF({FEATURES[splits[k][0]]} <= {splits[k][1]!r}D, {place(2 * k)}, {place(2 * k + 1)})" if k in splits else str(k)
+
+        here = self.sloped.withColumn("node", F.expr(place(1))).where(F.col("node").isin(nodes))
+        each = here.select("node", "weight", "g", "h", F.posexplode(F.array(*FEATURES)).alias("f", "v"))
+        out: dict[int, list[Cell]] = {}
+        for k, *cell in each.groupBy("node", "f", "v").agg(F.sum("g"), F.sum("h"), F.sum("weight")).collect():
+            out.setdefault(k, []).append(tuple(cell))
+        return out
+
+
+class Near:
+    """The same sums of all rows of a small table, without a job for each level."""
+
+    def __init__(self, rows: DataFrame):
+        held = rows.select(*FEATURES, "y", "weight").toArrow()
+        self.x = [held.column(f).to_numpy() for f in FEATURES]
+        self.values = [np.unique(x, return_inverse=True) for x in self.x]
+        self.y, self.weight = held.column("y").to_numpy(), held.column("weight").to_numpy()
+
+    def _value(self, tree: Node) -> np.ndarray | float:
+        return tree.value if tree.feature < 0 else np.where(self.x[tree.feature] <= tree.limit, self._value(tree.low), self._value(tree.high))
+
+    def slopes(self, model: Model) -> None:
+        p = 1 / (1 + np.exp(-(np.full(len(self.y), model.start) + sum(self._value(t) for t in model.trees))))
+        self.sums = [(np.round(x * UNIT) * self.weight).astype(np.int64) for x in (p - self.y, p * (1 - p))] + [self.weight]
+
+    def cells(self, splits: dict[int, Split], nodes: list[int]) -> dict[int, list[Cell]]:
+        place = np.ones(len(self.y), np.int64)
+        for k in sorted(splits):
+            place = np.where(place == k, 2 * k + (self.x[splits[k][0]] > splits[k][1]), place)
+        out: dict[int, list[Cell]] = {}
+        for k in nodes:
+            own = np.flatnonzero(place == k)
+            for f, (names, at) in enumerate(self.values):
+                totals = np.zeros((3, len(names)), np.int64)
+                for total, x in zip(totals, self.sums):
+                    np.add.at(total, at[own], x[own])
+                there = np.unique(at[own])
+                out.setdefault(k, []).extend(zip([f] * len(there), names[there].tolist(), *totals[:, there].tolist()))
+        return out
+
+
+def grow(rows: Dealt | Near, model: Model) -> Node:
+    """A tree of Newton steps on all rows; each split is the one with the largest gain over all values of all features.
+
+    A level is one sum over nodes, features and values, in whole numbers.
+    """
 
-    A threshold is the lowest score down to which the valid rows held back are right often enough; secrets, which
-    have no check, also need one half. A kind with rows held back of which no threshold is precise enough gets 2,
-    which no score reaches; one without has no entry, and ``spans`` takes DEFAULT.
+    def leaf(g: int, h: int) -> float:
+        return -RATE * (g / UNIT) / (h / UNIT + 1.0)
+
+    rows.slopes(model)
+    splits: dict[int, Split] = {}
+    values: dict[int, float] = {}
+    nodes = [1]  # the children of node k are 2 k and 2 k + 1
+    for _ in range(DEPTH):
+        following = []
+        for k, cells in sorted(rows.cells(splits, nodes).items()):
+            g, h, n = (sum(c[i] for c in cells if c[0] == 0) for i in (2, 3, 4))
+            values[k] = leaf(g, h)
+            split = best_split(cells) if n >= SPLIT else None
+            if split:
+                splits[k] = split
+                for child, sums in ((2 * k, split[2]), (2 * k + 1, split[3])):
+                    values[child] = leaf(*sums)
+                    following.append(child)
+        nodes = following
+        if not nodes:
+            break
+
+    def node(k: int) -> Node:
+        return Node(*splits[k][:2], node(2 * k), node(2 * k + 1)) if k in splits else Node(value=values[k])
+
+    return node(1)
+
+
+def fit(found: DataFrame, *, near: int = NEAR) -> Model:
+    """Boosted trees for the log-odds, fitted to all candidates ``found``; of a kind with HOLDS or more, every fifth by a hash is
+    held back for its threshold.
+
+    No row says what is personal, so checks that the features do not show label the candidates: one is personal if its kind's
+    check passes, and a secret if a word for one announces it. A threshold is the lowest score down to which the valid
+    rows held back are right often enough; secrets, which have no check, also need one half. A kind with rows held back
+    of which no threshold is precise enough gets 2, which no score reaches; one without has no entry, and ``spans``
+    takes DEFAULT.
     """
-    if not len(y):
+    truth = F.when(F.col("kind") == "secret", F.col("announced") & (F.col("digits") > 0)).otherwise(F.col("valid")).cast("int")
+    counts = {(r["kind"], r["y"]): r["n"] for r in found.groupBy("kind", truth.alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
         return Model(0.0, [], {})
-    if y.min() == y.max():
-        return Model(float(np.log((y[0] + 1e-3) / (1 - y[0] + 1e-3))), [], {})
-    names, held = np.array(kinds), np.zeros(len(y), bool)
-    copies = np.ones(len(y), int)
-    for kind in set(kinds):
-        own = np.flatnonzero(names == kind)
-        held[own[4::5]] = True
-        copies[own] = max(1, WEIGHED // len(own))
-    xt, yt = np.repeat(x[~held], copies[~held], axis=0), np.repeat(y[~held], copies[~held])
-    start = float(np.log((yt.mean() + 1e-3) / (1 - yt.mean() + 1e-3)))
-    total, trees = np.full(len(yt), start), []
+    labels = {y for _, y in counts}
+    if len(labels) == 1:
+        y = labels.pop()
+        return Model(math.log((y + 1e-3) / (1 - y + 1e-3)), [], {})
+    total, of_kind = sum(counts.values()), {k: counts.get((k, 0), 0) + counts.get((k, 1), 0) for k in KINDS}
+    weight = F.lit(1)
+    for (kind, y), n in sorted(counts.items()):
+        own = max(1, WEIGHED // of_kind[kind], total // (100 * max(n, RARE)))
+        weight = F.when((F.col("kind") == kind) & (F.col("y") == y), F.lit(own)).otherwise(weight)
+    many = [k for k in KINDS if of_kind[k] >= HOLDS]
+    held = F.col("kind").isin(many) & (F.pmod(F.xxhash64("doc", "row", "kind", "start"), F.lit(5)) == 4)
+    # Candidates that trees cannot tell apart are one row.
+    alike = ["kind", "valid", "y", "held", *FEATURES]
+    told = found.select("kind", "valid", truth.alias("y"), held.alias("held"), *[_leading(f) if f in COUNTS else F.col(f) for f in FEATURES])
+    rows = written(told.groupBy(*alike).agg(F.count(F.lit(1)).alias("n")).withColumn("weight", F.col("n") * weight), "vectors")
+    seen = rows.where("NOT held")
+    all_of, right_of, n = seen.agg(F.sum("weight"), F.sum(F.col("weight") * F.col("y")), F.count(F.lit(1))).first()
+    mean = right_of / all_of
+    model = Model(math.log((mean + 1e-3) / (1 - mean + 1e-3)), [], {})
+    summed = (Near if n <= near else Dealt)(seen)
     for _ in range(TREES):
-        p = 1 / (1 + np.exp(-total))
-        tree = grow(xt, p - yt, p * (1 - p), DEPTH)
-        tree = _scaled(tree)
-        trees.append(tree)
-        total += value(tree, xt)
-    p = 1 / (1 + np.exp(-(start + sum(value(t, x[held]) for t in trees))))
-    thresholds = {}
-    for kind in set(kinds):
-        own = (names[held] == kind) & valid[held]
-        if not own.any():
-            continue
-        order = np.argsort(-p[own])
-        right = np.cumsum(y[held][own][order]) / np.arange(1, own.sum() + 1)
-        good = np.flatnonzero(right >= PRECISION)
-        thresholds[kind] = max(DEFAULT if kind == "secret" else 0.0, float(p[own][order][good[-1]]) - 1e-9) if len(good) else 2.0
-    return Model(start, trees, thresholds)
-
-
-def _scaled(tree: Node) -> Node:
-    if tree.feature < 0:
-        return Node(value=RATE * tree.value)
-    return Node(tree.feature, tree.limit, _scaled(tree.low), _scaled(tree.high))
-
+        model.trees.append(grow(summed, model))
+    step = F.floor(F.expr(score_sql(model)) * STEPS)
+    steps = rows.where("held AND valid").groupBy("kind", step.alias("step")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("right"))
+    down = Window.partitionBy("kind").orderBy(F.desc("step"))  # at most STEPS rows of a kind
+    precise = F.sum("right").over(down) >= PRECISION * F.sum("n").over(down)
+    for r in steps.select("kind", "step", precise.alias("precise")).groupBy("kind").agg(F.min(F.when(F.col("precise"), F.col("step"))).alias("least")).collect():
+        model.thresholds[r["kind"]] = 2.0 if r["least"] is None else max(DEFAULT if r["kind"] == "secret" else 0.0, r["least"] / STEPS)
+    return model
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample: int = SAMPLE) -> Model:
-    """Trees fitted to candidates of at most about ``sample_docs`` documents, chosen by a hash of their id, and
-    to about RARE of each kind and label that has fewer there, from all documents.
 
-    No row says what is personal, so checks that the features do not show label the sample: a candidate is one if its
-    kind's check passes, and a secret if a word for one announces it.
-    """
-    total = docs.count()
-    place = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)) / F.lit(1 << 30)
-    truth = F.when(F.col("kind") == "secret", F.col("announced") & (F.col("digits") > 0)).otherwise(F.col("valid"))
-    everywhere = candidates(docs, id_col=id_col, text_col=text_col).withColumn("y", truth.cast("int"))
-    counts = everywhere.groupBy("kind", "y").agg(F.count(F.lit(1)).alias("n")).collect()
-    drawn = place < sample_docs / max(1, total)
-    some = candidates(docs.where(drawn), id_col=id_col, text_col=text_col).withColumn("y", truth.cast("int"))
-    rare = {(r["kind"], r["y"]): r["n"] for r in counts if r["n"] * sample_docs < RARE * total}
-    at, columns = F.xxhash64("doc", "row", "kind", "start").alias("at"), ["kind", "y", "valid", *FEATURES]
-    if rare:
-        share = F.lit(0.0)
-        for (kind, y), n in sorted(rare.items()):
-            share = F.when((F.col("kind") == kind) & (F.col("y") == y), F.lit(min(1.0, RARE / n))).otherwise(share)
-        own = F.pmod(F.xxhash64("doc", "row", "kind", "start"), F.lit(1 << 30)) / F.lit(1 << 30)
-        few = everywhere.where(own < share).select(F.lit(0).alias("first"), at, *columns)
-        usual = some.where(share == 0).select(F.lit(1).alias("first"), at, *columns)
-        drawn_rows = few.unionByName(usual)
-    else:
-        drawn_rows = some.select(F.lit(1).alias("first"), at, *columns)
-    rows = sorted(drawn_rows.orderBy("first", "at").limit(sample).collect(), key=lambda r: r["at"])
-    x = np.array([[float(r[f]) for f in FEATURES] for r in rows]).reshape(-1, len(FEATURES))
-    return fit(x, np.array([float(r["y"]) for r in rows]), [r["kind"] for r in rows], np.array([r["valid"] for r in rows], bool))
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """A model fitted to the candidates of all documents."""
+    return fit(written(candidates(docs, id_col=id_col, text_col=text_col), "candidates"))
 
 
 def spans(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,7 +329,13 @@ def spans(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     at their kind's threshold or above, unless they overlap a base span or a selected one with a higher score (or the
     same score and an earlier start).
     """
-    scored = candidates(docs, id_col=id_col, text_col=text_col).withColumn("score", F.expr(score_sql(model)))
+    return selected(written(candidates(docs, id_col=id_col, text_col=text_col), "candidates"), model)
+
+
+def selected(found: DataFrame, model: Model) -> DataFrame:
+    """The ``spans`` among candidates. These are a written table: over columns that are still expressions, the filter on the score
+    has the planner list all ways to write it with each of them, which fills the driver's heap."""
+    scored = found.withColumn("score", F.expr(score_sql(model)))
     limit = F.lit(DEFAULT)
     for kind, least in sorted(model.thresholds.items()):
         limit = F.when(F.col("kind") == kind, F.lit(least)).otherwise(limit)
@@ -280,7 +366,8 @@ def span_report(docs: DataFrame) -> DataFrame:
 
     A null or empty text has no spans. Rows that share an id have their own results.
     """
-    found = spans(docs, train(docs))
+    all_found = written(candidates(docs), "candidates")
+    found = selected(all_found, fit(all_found))
     line = F.concat_ws(":", "kind", "start", "stop")
     entry = F.struct("start", "rank", line.alias("line"))
     listed = {"base_list": F.col("base"), "all_list": F.lit(True)}
