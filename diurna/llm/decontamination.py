@@ -6,7 +6,8 @@ where the values behind the placeholders change consistently: a name or unit of
 document and the other way round, and a number that is said again of the same thing stays one number.
 A second form depends neither on case nor on sentences: names are plain words in it, and where numbers and
 units fill too much of a window, so are they. A third one keeps the signs between numbers as words, so that a calculation
-has a template of its own: the signs and their order hold where nearly all else is numbers.
+has a template of its own: the signs and their order hold where nearly all else is numbers. One that is written with its
+result counts only with the same numbers.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleve
 UNITS = frozenset("mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg t ton tons oz lb lbs pound pounds ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years c f k celsius fahrenheit kelvin percent dollar dollars cent cents euro euros v volt volts w watt watts j joule joules n newton newtons hz khz mhz mph kmh kph degrees degree".split())
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:%|st|nd|rd|th)?")
 _EDGE = re.compile(r"^[^\w+$€£-]+|[^\w%]+$|^[_-]+(?!\d)|_+$")
+#: Signs that may stand after a word of letters, and none or those of them that end a sentence.
+_AFTER, _ENDING = frozenset(["", *",.;:?!"]), frozenset(".;:?!")
 WORD, NUMBER, UNIT, NAME = 0, 1, 2, 4
 #: The word ends a sentence; nothing of it is left; a sign ends it; a number in letters; a sign of calculation.
 ENDS, BARE, STOPS, SPELT, SIGN = 8, 16, 32, 64, 128
@@ -62,6 +65,31 @@ class Words(dict):
         self.hashes, self.flags = np.zeros(1024, np.uint64), np.zeros(1024, np.uint8)
 
     def __missing__(self, raw: str) -> int:
+        # Most words are letters, and perhaps one sign after them: these need no patterns.
+        last = "" if raw.isalpha() else raw[-1]
+        text = raw[:-1] if last else raw
+        if last in _AFTER and text.isalpha():
+            low = text.casefold()
+            flags = (STOPS if last else 0) | (ENDS if last in _ENDING else 0)
+            if low in NUMBERS:
+                flags |= NUMBER | SPELT
+            elif low in UNITS:
+                flags |= UNIT
+            elif text[:1].isupper() and text[1:].islower():
+                flags |= NAME
+        else:
+            low, flags = self.read(raw)
+        k = len(self.texts)
+        if k == len(self.hashes):
+            self.hashes, self.flags = np.resize(self.hashes, 2 * k), np.resize(self.flags, 2 * k)
+        self.hashes[k], self.flags[k] = xxhash.xxh64_intdigest(low.encode("utf-8", "replace")), flags
+        self.texts.append(low)
+        self[raw] = k
+        return k
+
+    @staticmethod
+    def read(raw: str) -> tuple[str, int]:
+        """What is left of a word in small letters, and its flags."""
         text = _EDGE.sub("", raw)
         flags = ENDS if raw.rstrip("\"')]}»”’*#%$&!")[-1:] in (".", "?", "!", ":", ";", "|", "") or raw.endswith(("!", "?")) else 0
         low = text.casefold()
@@ -79,13 +107,7 @@ class Words(dict):
             flags |= NAME
         if not raw[-1:].isalnum():
             flags |= STOPS
-        k = len(self.texts)
-        if k == len(self.hashes):
-            self.hashes, self.flags = np.resize(self.hashes, 2 * k), np.resize(self.flags, 2 * k)
-        self.hashes[k], self.flags[k] = xxhash.xxh64_intdigest(low.encode("utf-8", "replace")), flags
-        self.texts.append(low)
-        self[raw] = k
-        return k
+        return low, flags
 
 
 class Form(NamedTuple):
@@ -99,6 +121,8 @@ class Form(NamedTuple):
     #: Where each token starts and ends among ``words``, in a form that holds more words than are counted.
     own: tuple[np.ndarray, np.ndarray] | None = None
     signs: np.ndarray | None = None
+    #: Signs that stand between a calculation and its result.
+    told: np.ndarray | None = None
 
     def text(self, words: Words, j: int) -> str:
         first, ends = self.own or (self.first, self.ends)
@@ -123,7 +147,8 @@ def _signed(k: np.ndarray, flags: np.ndarray, words: Words) -> Form | None:
     unit = ((flags & UNIT) > 0) & np.concatenate(([False], number[:-1]))
     kinds = np.where(number, NUMBER, np.where(unit, UNIT, WORD)).astype(np.uint8)
     before = np.concatenate(([0], np.cumsum(~sign)))
-    return Form(words.hashes[k], kinds, before[:-1], before[1:], k, (np.arange(len(k)), np.arange(1, len(k) + 1)), sign)
+    told = (k == words["="]) & np.concatenate(([False], number[:-1])) & np.concatenate((number[1:], [False]))
+    return Form(words.hashes[k], kinds, before[:-1], before[1:], k, (np.arange(len(k)), np.arange(1, len(k) + 1)), sign, told)
 
 
 def _form(k: np.ndarray, kinds: np.ndarray, joins: np.ndarray, words: Words) -> Form:
@@ -242,6 +267,9 @@ def windows(text: str | None, words: Words, lengths: list[int] | None, wanted: T
                     exact = exact | (signs[form.ends[n - 1 :] - 1] > signs[form.first[here]])
                 named = np.concatenate(([0], np.cumsum(form.kinds == NAME if form.signs is None else form.signs)))
                 ok = (named[n:] > named[:-n]) & ~exact if f else np.ones(len(exact), bool)
+                if form.told is not None and form.told.any():  # with its result it asks nothing: only the same numbers count
+                    results = np.concatenate(([0], np.cumsum(form.told)))
+                    ok = ok & (results[n:] == results[:-n])
             if not ok.any():
                 continue
             h, before, after = rolling(_placed(form.hashes, form.kinds), n), None, None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from diurna.llm import pii
+from diurna.llm import decontamination, pii
 
 
 def test_trees_see_every_document(spark):
@@ -40,3 +40,19 @@ def test_trees_are_the_same_by_jobs_and_on_the_driver(spark, monkeypatch):
     found = pii.written(pii.candidates(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")), "candidates")
     a, b = pii.fit(found), pii.fit(found, near=0)
     assert a.thresholds == b.thresholds and a.trees and repr(a.trees) == repr(b.trees)
+
+
+def test_words_of_letters_need_no_patterns(monkeypatch):
+    words, read, asked = decontamination.Words(), decontamination.Words.read, []
+    monkeypatch.setattr(decontamination.Words, "read", staticmethod(lambda raw: asked.append(raw) or read(raw)))
+    for raw in ["A", "a.", "ß,", "ﬁ!", "ten.", "Mm;", "x?", "É:", "ǅa.", "Anna,", "seven", "plain", "+", "-3", "12.", "ten-two", "(Anna)", "_", "…", "×", ".", "m|"]:
+        k = words[raw]
+        assert (words.texts[k], int(words.flags[k])) == read(raw), raw
+    assert asked == ["+", "-3", "12.", "ten-two", "(Anna)", "_", "…", "×", ".", "m|"]
+
+
+def test_a_calculation_with_its_result_asks_nothing():
+    words = decontamination.Words()
+    hashes = lambda text, n: {w[0] for w in decontamination.windows(text, words, n, None)}
+    assert not hashes("Note 12 + 7 = 19 and then", None) & hashes("Note 5 + 6 = 11 and then", [8])
+    assert hashes("Solve 12 + 7 = what is it", None) & hashes("Solve 5 + 6 = what is it", [8])
