@@ -34,6 +34,8 @@ SLOTS, FREQUENT = 26, 1 << 22
 SORTED = 1 << 21
 #: Members that meet one copy of a set's text.
 MEET = 64
+#: Entries of a set by which a pair that meets by one of them is known later.
+FIRST = 8
 #: Words that a Python worker remembers.
 REMEMBERED = 1 << 19
 
@@ -303,6 +305,27 @@ def _may_link(similar: int, a: tuple[str, str], b: tuple[str, str]) -> str:
     return f"100 * least({n}, {m}) >= {similar} * greatest({n}, {m}) AND {100 + similar} * least({n} - {p}, {m} - {q}) >= {similar} * ({n} + {m})"
 
 
+def _first_entries(rows: DataFrame, node: str, place: str, name: str) -> DataFrame:
+    """Each node and its FIRST smallest entries with their places."""
+    entry = F.struct("entry", F.col(place).alias("place"))
+    return rows.groupBy(node).agg(F.slice(F.array_sort(F.collect_list(entry)), 1, FIRST).alias(name))
+
+
+def meetings(centers: DataFrame, others: DataFrame, similar: int) -> DataFrame:
+    """The pairs (a, b; a < b) of ``centers`` (entry, a, m, place0, from) and ``others`` (entry, node, n, place, root) of other
+    components that may be similar by an entry that both have.
+
+    Near copies share most of their entries. A pair is left out where it meets by a smaller entry that is among the first ones
+    of both; so all pairs stay, and nearly all of them once.
+    """
+    mine, theirs = _first_entries(centers, "a", "place0", "firsts0"), _first_entries(others, "node", "place", "firsts")
+    met = _may_link(similar, ("n", "place"), ("m", "place0"))
+    before = f"exists(firsts0, x -> x.entry < entry AND exists(firsts, y -> y.entry = x.entry AND {_may_link(similar, ('n', 'y.place'), ('m', 'x.place'))}))"
+    known = centers.join(mine, "a").withColumnRenamed("entry", "entry0")
+    both = known.join(others.join(theirs, "node"), F.expr(f"entry0 = entry AND root <> from AND {met} AND NOT {before}"))
+    return both.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+
+
 def linked(pairs: DataFrame, texts: DataFrame, *, words: int, similar: int) -> DataFrame:
     """The ``pairs`` (a, b) of nodes whose texts are similar; the text of ``a`` meets ``MEET`` of its partners at once."""
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEET).cast("int").alias("parts"))
@@ -405,7 +428,7 @@ def similar_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             break
         turn = F.row_number().over(Window.partitionBy("entry").orderBy("alone", "node"))
         centers = cut(open_rows.where("root <> largest").withColumn("turn", turn).where(F.col("turn") <= width).select("entry", F.col("node").alias("a"), F.col("n").alias("m"), F.col("place").alias("place0"), F.col("root").alias("from")))
-        pairs = centers.join(open_rows, "entry").where(f"root <> from AND {met}").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        pairs = meetings(centers, open_rows, similar)
         if checked is not None:
             before = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             pairs = pairs.join(before, ["a", "b"], "left_anti")

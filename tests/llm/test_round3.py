@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from diurna.llm import decontamination, pii
+from diurna.llm import decontamination, jaccard_join, pii
 
 
 def test_trees_see_every_document(spark):
@@ -56,3 +56,19 @@ def test_a_calculation_with_its_result_asks_nothing():
     hashes = lambda text, n: {w[0] for w in decontamination.windows(text, words, n, None)}
     assert not hashes("Note 12 + 7 = 19 and then", None) & hashes("Note 5 + 6 = 11 and then", [8])
     assert hashes("Solve 12 + 7 = what is it", None) & hashes("Solve 5 + 6 = what is it", [8])
+
+
+def test_pairs_meet_once(spark, monkeypatch):
+    """Sets that share many entries: all pairs that an entry allows, few of them more than once, and those without first entries too."""
+    rows = [(e, k, 40, (e * k) % 12, k) for k in range(30) for e in range(40) if (e * 7 + k) % 5]
+    others = spark.createDataFrame(rows, "entry bigint, node bigint, n bigint, place bigint, root bigint")
+    centers = others.where("node < 6 AND entry % 3 > 0").selectExpr("entry", "node AS a", "n AS m", "place AS place0", "root AS from")
+    plain = centers.join(others, "entry").where("root <> from AND " + jaccard_join._may_link(85, ("n", "place"), ("m", "place0")))
+    wanted = {(min(r.a, r.node), max(r.a, r.node)) for r in plain.select("a", "node").collect()}
+    counted = []
+    distinct = type(others).distinct
+    monkeypatch.setattr(type(others), "distinct", lambda self: counted.append(self.count()) or distinct(self))
+    for first in (8, 1, 0):
+        monkeypatch.setattr(jaccard_join, "FIRST", first)
+        assert {tuple(r) for r in jaccard_join.meetings(centers, others, 85).collect()} == wanted
+    assert counted[0] <= 3 * len(wanted) < counted[2] == plain.count()
