@@ -20,14 +20,15 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, written
 
 BYTES_VOCABULARY, PIECES_VOCABULARY = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Bytes of text of the documents of a block.
-BLOCK = 1 << 21
+#: Characters of text of the documents of a block.
+BLOCK = 1 << 24
 #: Most tokens of the alignments, and most linked pairs, that are sent to the tasks.
 KNOWN_TOKENS, KNOWN_PAIRS = 1 << 26, 1 << 23
 #: Characters of stretches that are tokenized in one go.
@@ -50,9 +51,22 @@ def stretches(text: str) -> list[str]:
     The first tokenizer's words begin at such a space as they do at the start of a text, and no entry of the second one
     holds a space after another sign (``Tokenizers`` looks).
     """
+    return [" " + word for word in words_of(text)]
+
+
+def words_of(text: str) -> list[str]:
+    """The stretches of a text without the space that each begins with."""
     if _ODD.search(text) or text[0] == " " or text[-1] == " ":
-        return _CUT.split(" " + text)
-    return [" " + word for word in text.split(" ")]
+        return [stretch[1:] for stretch in _CUT.split(" " + text)]
+    return text.split(" ")
+
+
+class _Numbers(dict):
+    """Word -> its number, in the order in which words come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = k = len(self)
+        return k
 
 
 class Tokenizers:
@@ -225,16 +239,15 @@ def blocks_of(docs: DataFrame, first: str, second: str) -> DataFrame:
     """``docs`` (doc, text) as rows of about ``BLOCK`` bytes of text: numbers of stretches, and each stretch's tokens and shape."""
     from pyspark import TaskContext
 
-    def packed(block: int, ids: list, numbers: list[np.ndarray], names: dict[str, int]) -> pa.RecordBatch:
+    def packed(block: int, ids: list, numbers: list[np.ndarray], names: _Numbers) -> pa.RecordBatch:
         own = tokenizers(first, second)
-        texts = list(names)
-        a, an, b, bn, ok = own.encode(texts)
+        a, an, b, bn, ok = own.encode([" " + word for word in names])
         empty = np.zeros(0, np.int32)
         la, lb = own.a_len[a], own.b_len[b]
         good = np.flatnonzero(ok)
         _, first_of, which = np.unique(_keys(la, an, lb, bn)[good], return_index=True, return_inverse=True)
-        shape = np.full(len(ok), -1, np.int32)
-        shape[good] = which
+        shape = np.zeros(len(ok), np.int32)
+        shape[good] = which + 1
         chosen = good[first_of]
         lists = []
         for flat, sizes in ((la, an), (lb, bn)):
@@ -243,25 +256,21 @@ def blocks_of(docs: DataFrame, first: str, second: str) -> DataFrame:
         structs = pa.StructArray.from_arrays(lists, ["a", "b"])
         shapes = pa.ListArray.from_arrays(pa.array([0, len(chosen)], pa.int32()), structs)
         buffers = [
-            np.array([0 if d is None else d for d in ids], "<i8"), np.array([d is not None for d in ids], bool), np.fromiter(map(len, numbers), np.int32, len(numbers)),
-            np.concatenate([empty, *numbers]), ok, a, an, b, bn, shape,
+            np.array([0 if d is None else d for d in ids], "<i8"), np.array([d is not None for d in ids], bool), *map(_small, (
+            np.fromiter(map(len, numbers), np.int32, len(numbers)), np.concatenate([empty, *numbers]), ok, a, an, b, bn, shape)),
         ]
-        columns = [pa.array([block], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in buffers], shapes]
+        columns = [pa.array([block], pa.int64()), *[pa.array([_squeezed(x)], pa.binary()) for x in buffers], shapes]
         return pa.RecordBatch.from_arrays(columns, ["block", *_FIELDS, "shapes"])
 
     def work(batches):
         part, k = TaskContext.get().partitionId() << 32, 0
-        ids, numbers, names, held = [], [], {}, 0
-
-        def name(stretch: str) -> int:
-            return names.setdefault(stretch, len(names))
-
+        ids, numbers, names, held = [], [], _Numbers(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 for doc, text in zip(*[c.to_pylist() for c in batch.slice(at, 256).columns]):
-                    found = stretches(text) if text else []
+                    found = words_of(text) if text else []
                     ids.append(doc)
-                    numbers.append(np.fromiter(map(name, found), np.int32, len(found)))
+                    numbers.append(np.fromiter(map(names.__getitem__, found), np.int32, len(found)))
                     held += len(text or "") + 64
                     if held >= BLOCK:
                         yield packed(part + k, ids, numbers, names)
@@ -279,6 +288,23 @@ def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max(initial=0))))
 
 
+def _squeezed(x: np.ndarray) -> bytes:
+    """Compressed numbers: Spark hands a task's blocks to Python together, and holds them as they are."""
+    return pickle.dumps((x.dtype.str, x.nbytes, pa.compress(np.ascontiguousarray(x), "zstd", asbytes=True)))
+
+
+def _unsqueezed(blob: bytes) -> np.ndarray:
+    kind, size, data = pickle.loads(blob)
+    return np.frombuffer(pa.decompress(data, size, "zstd") if size else b"", kind)
+
+
+def _once(values: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Each value once; ``slot`` has a place for every value that there may be."""
+    order = np.arange(len(values))
+    slot[values] = order
+    return values[slot[values] == order]
+
+
 def flat_shapes(rows: pa.RecordBatch | pa.StructArray) -> dict[str, np.ndarray]:
     """The numbers of aligned shapes, one after the other, and how many each has of a, b and links."""
     out = {}
@@ -318,79 +344,92 @@ def _gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """A block's arrays, and the linked pairs of its stretches: ``pairs`` (a << 32 | b), from ``starts`` on for each."""
+    """A block's arrays, and the linked pairs of its stretches: ``names`` (a << 32 | b) at ``places``, from ``starts`` on for each."""
 
     def __init__(self, batch: pa.RecordBatch, k: int, shapes: Shapes, lengths: tuple[np.ndarray, np.ndarray]):
-        def read(name: str, kind="<i4") -> np.ndarray:
-            return np.frombuffer(batch.column(name)[k].as_buffer(), kind)
+        def read(name: str) -> np.ndarray:
+            return _unsqueezed(batch.column(name)[k].as_buffer())
 
-        self.doc = pa.array(read("doc", "<i8"), mask=~read("known", bool))
+        self.doc = pa.array(read("doc"), mask=~read("known"))
         self.docs = _starts(read("n"))
-        self.stretch, self.ok = read("stretch"), read("ok", bool)
-        self.a, self.an, self.b, self.bn = read("a"), read("an"), read("b"), read("bn")
+        self.stretch, self.ok = read("stretch"), read("ok").astype(bool)
+        self.a, self.an, self.b, self.bn = read("a"), read("an").astype(np.int32), read("b"), read("bn").astype(np.int32)
         self.a0, self.b0 = _starts(self.an), _starts(self.bn)
         self.shapes = shapes
-        local = read("shape")
+        local = read("shape").astype(np.int64) - 1
         self.shape = np.full(len(local), -1, np.int64)
         if len(local) and local.max() >= 0:  # the first stretch of each shape stands for it
             chosen = np.unique(local, return_index=True)[1][-(local.max() + 1) :]
             lens = [part for flat, starts, sizes, length in ((self.a, self.a0, self.an, lengths[0]), (self.b, self.b0, self.bn, lengths[1])) for part in (length[flat[_gather(starts[chosen], sizes[chosen])]], sizes[chosen])]
             own = shapes.of(*lens)
             self.shape = np.where(local >= 0, own[np.maximum(local, 0)], -1)
-        good = np.flatnonzero(self.ok)
+        self.good = good = np.flatnonzero(self.ok)
         sizes = np.zeros(len(self.ok), np.int64)
         sizes[good] = shapes.n[self.shape[good]]
         self.links, self.starts = sizes, _starts(sizes)
         at = _gather(shapes.starts[self.shape[good]], sizes[good])
-        a = self.a[np.repeat(self.a0[good], sizes[good]) + shapes.li[at]].astype(np.int64)
-        self.pairs = a << 32 | self.b[np.repeat(self.b0[good], sizes[good]) + shapes.lj[at]]
+        pairs = self.a[np.repeat(self.a0[good], sizes[good]) + shapes.li[at]].astype(np.int64) << 32
+        pairs |= self.b[np.repeat(self.b0[good], sizes[good]) + shapes.lj[at]].astype(np.int64)
+        self.names, places = np.unique(pairs, return_inverse=True)
+        self.places = places.astype(np.int32)
         self.groups = np.zeros(len(self.ok), np.int64)
         self.groups[good] = shapes.ga[shapes.a0[self.shape[good] + 1] - 1].astype(np.int64) + 1
+        wrong = _starts(~self.ok[self.stretch])
+        self.whole = (np.diff(self.docs) > 0) & (wrong[self.docs[1:]] == wrong[self.docs[:-1]])
 
     def documents(self):
-        """Each document's place, and its stretches if it has any and all have their own bytes."""
-        for k in range(len(self.docs) - 1):
-            own = self.stretch[self.docs[k] : self.docs[k + 1]]
-            yield k, own if len(own) and self.ok[own].all() else own[:0]
+        """The stretches of each document, if it has any and all have their own bytes."""
+        for k, whole in enumerate(self.whole.tolist()):
+            yield self.stretch[self.docs[k] : self.docs[k + 1]] if whole else self.stretch[:0]
 
     def pair_counts(self) -> tuple[np.ndarray, np.ndarray]:
         """Pairs, and how many documents hold each."""
-        names, places = np.unique(self.pairs, return_inverse=True)
-        counts = np.zeros(len(names), np.int64)
-        for _, own in self.documents():
-            own = np.unique(own)
-            counts[np.unique(places[_gather(self.starts[own], self.links[own])])] += 1
-        return names[counts > 0], counts[counts > 0]
-
-    def text_of(self, k: int) -> str:
-        """The groups of a stretch as ``a1,a2|b1;a3|b2``."""
-        a, b = self.a[self.a0[k] : self.a0[k + 1]].tolist(), self.b[self.b0[k] : self.b0[k + 1]].tolist()
-        s, x = self.shape[k], self.shapes
-        ga, gb = x.ga[x.a0[s] : x.a0[s + 1]].tolist(), x.gb[x.b0[s] : x.b0[s + 1]].tolist()
-        left, right = [[] for _ in range(ga[-1] + 1)], [[] for _ in range(ga[-1] + 1)]
-        for group, token in zip(ga, a):
-            left[group].append(str(token))
-        for group, token in zip(gb, b):
-            right[group].append(str(token))
-        return ";".join([f"{','.join(p)}|{','.join(q)}" for p, q in zip(left, right)])
+        counts = np.zeros(len(self.names), np.int64)
+        slots = np.zeros(len(self.ok), np.int64), np.zeros(len(self.names), np.int64)
+        for own in self.documents():
+            own = _once(own, slots[0])
+            counts[_once(self.places[_gather(self.starts[own], self.links[own])], slots[1])] += 1
+        return self.names[counts > 0], counts[counts > 0]
+
+    def texts(self) -> list[bytes]:
+        """The groups of each stretch as ``a1,a2|b1;a3|b2;``.
+
+        A group has tokens of both sides, for it ends where both end one. What is written stands in one array, a token with the
+        sign after it; tokens of a come before those of b of their group.
+        """
+        good, x, s = self.good, self.shapes, self.shape[self.good]
+        an, bn = self.an[good], self.bn[good]
+        base = _starts(self.groups[good])
+        ga = np.repeat(base[:-1], an) + x.ga[_gather(x.a0[s], an)]
+        gb = np.repeat(base[:-1], bn) + x.gb[_gather(x.b0[s], bn)]
+        in_a, in_b = _starts(np.bincount(ga, minlength=base[-1])), _starts(np.bincount(gb, minlength=base[-1]))
+        ids, signs = np.zeros(len(ga) + len(gb), np.int32), np.zeros(len(ga) + len(gb), np.int8)
+        at = np.arange(len(ga)) + in_b[ga]
+        ids[at] = self.a[_gather(self.a0[good], an)]
+        signs[at[in_a[1:] - 1]] = 1
+        at = np.arange(len(gb)) + in_a[gb + 1]
+        ids[at] = self.b[_gather(self.b0[good], bn)]
+        signs[at[in_b[1:] - 1]] = 2
+        told = pc.binary_join_element_wise(pa.array(ids).cast(pa.large_string()), pa.array([",", "|", ";"], pa.large_string()).take(pa.array(signs)), pa.scalar("", pa.large_string()))
+        told = told.combine_chunks() if isinstance(told, pa.ChunkedArray) else told
+        ends = np.frombuffer(told.buffers()[1], np.int64)[: len(told) + 1] if len(told) else np.zeros(1, np.int64)
+        sizes = np.zeros(len(self.ok), np.int64)
+        sizes[good] = an + bn
+        offsets = ends[_starts(sizes)]
+        return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), told.buffers()[2]]).to_pylist() if len(told) else [b""] * len(sizes)
 
     def report(self, pairs: np.ndarray, counts: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
-        at = np.searchsorted(pairs, self.pairs)
+        at = np.searchsorted(pairs, self.names)
         at = np.minimum(at, max(0, len(pairs) - 1))
-        hit = pairs[at] == self.pairs if len(pairs) else np.zeros(len(self.pairs), bool)  # others are in documents left out only
-        sums = [np.concatenate(([0], np.cumsum(x)))[self.starts] for x in (np.where(hit, counts[at], 0), np.where(hit, best[at], 0))] if len(pairs) else [np.zeros(len(self.starts), np.int64)] * 2
-        weights = np.stack([self.an, self.bn, self.groups, self.links, np.diff(sums[1]), np.diff(sums[0])]).astype(np.int64)
-        texts: dict[int, str] = {}
-        total, digests = np.zeros((6, len(self.doc)), np.int64), []
-        for k, own in self.documents():
-            total[:, k] = weights[:, own].sum(axis=1)
+        hit = pairs[at] == self.names if len(pairs) else np.zeros(len(self.names), bool)  # others are in documents left out only
+        sums = [np.diff(_starts(np.where(hit, x[at], 0)[self.places])[self.starts]) for x in (best, counts)] if len(pairs) else [np.zeros(len(self.ok), np.int64)] * 2
+        total = [np.where(self.whole, np.diff(_starts(x[self.stretch])[self.docs]), 0) for x in (self.an, self.bn, self.groups, self.links, *sums)]
+        texts, digests = self.texts(), []
+        for own in self.documents():
             digest = hashlib.sha256()
             for at in range(0, len(own), 4096):
-                part = own[at : at + 4096].tolist()
-                for s in part:
-                    if s not in texts:
-                        texts[s] = self.text_of(s)
-                digest.update((";" * (at > 0) + ";".join([texts[s] for s in part])).encode())
+                part = b"".join(map(texts.__getitem__, own[at : at + 4096].tolist()))
+                digest.update(part if at + 4096 < len(own) else part[:-1])
             digests.append(digest.hexdigest() if len(own) else "")
         names = ["doc", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
         return pa.RecordBatch.from_arrays([self.doc, *map(pa.array, total), pa.array(digests, pa.string())], names)

@@ -7,6 +7,7 @@ import itertools
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from diurna.llm import alignment, jaccard_join, phrases
 from tests.conftest import SF
@@ -222,6 +223,14 @@ def test_alignment_at_the_edges(edge, empty):
     assert alignment.alignment_report(empty).count() == 0
 
 
+def test_blocks_are_held_small(spark):
+    """Spark holds a task's blocks at once: they have fewer bytes than their texts, though each token of a stretch is in them."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("doc"), "text").coalesce(1)
+    blocks = alignment.blocks_of(docs, alignment.BYTES_VOCABULARY, alignment.PIECES_VOCABULARY)
+    held = blocks.select(sum(F.length(f) for f in alignment._FIELDS).alias("n")).agg(F.sum("n")).first()[0]
+    assert held < docs.agg(F.sum(F.length("text"))).first()[0]
+
+
 # Phrases
 
 
