@@ -30,8 +30,8 @@ COVERED = 13
 SLOTS = 0.5
 #: Tasks get a bit for each window hash of the items, in a table of 64 bits a hash between these sizes (powers of two).
 TABLE = (22, 27)
-#: Words a worker remembers.
-REMEMBERED = 250_000
+#: Words a task remembers.
+REMEMBERED = 400_000
 
 #: Words for numbers, and units (which count only after a number).
 NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half dozen".split())
@@ -39,10 +39,12 @@ UNITS = frozenset("mm cm m km in inch inches ft foot feet yd yard yards mile mil
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:%|st|nd|rd|th)?")
 _EDGE = re.compile(r"^[^\w+$€£-]+|[^\w%]+$|^[_-]+(?!\d)|_+$")
 #: Signs that may stand after a word of letters, and none or those of them that end a sentence.
-_AFTER, _ENDING = frozenset(["", *",.;:?!"]), frozenset(".;:?!")
+_AFTER, _ENDING = frozenset(",.;:?!"), frozenset(".;:?!")
 WORD, NUMBER, UNIT, NAME = 0, 1, 2, 4
 #: The word ends a sentence; nothing of it is left; a sign ends it; a number in letters; a sign of calculation.
 ENDS, BARE, STOPS, SPELT, SIGN = 8, 16, 32, 64, 128
+#: Flags of words of letters that stand for numbers or units.
+_KNOWN = {w: UNIT for w in UNITS} | {w: NUMBER | SPELT for w in NUMBERS}
 #: Signs of calculation that stand alone.
 SIGNS = frozenset("+ - − * × · / ÷ = ^ ** < > ≤ ≥ % ( )".split())
 _KIND = {NUMBER: 0x9E3779B97F4A7C15, UNIT: 0xC2B2AE3D27D4EB4F, NAME: 0x165667B19E3779F9}
@@ -62,31 +64,52 @@ class Words(dict):
     def clear(self) -> None:
         super().clear()
         self.texts: list[str] = []
-        self.hashes, self.flags = np.zeros(1024, np.uint64), np.zeros(1024, np.uint8)
+        self._hashes, self._flags = np.zeros(1024, np.uint64), np.zeros(1024, np.uint8)
+        #: Hashes and flags of words that are not in the arrays yet.
+        self.new: tuple[list[int], list[int]] = [], []
 
     def __missing__(self, raw: str) -> int:
         # Most words are letters, and perhaps one sign after them: these need no patterns.
-        last = "" if raw.isalpha() else raw[-1]
-        text = raw[:-1] if last else raw
-        if last in _AFTER and text.isalpha():
-            low = text.casefold()
-            flags = (STOPS if last else 0) | (ENDS if last in _ENDING else 0)
-            if low in NUMBERS:
-                flags |= NUMBER | SPELT
-            elif low in UNITS:
-                flags |= UNIT
-            elif text[:1].isupper() and text[1:].islower():
-                flags |= NAME
+        if raw.isalpha():
+            text, flags = raw, 0
+        elif raw[-1:] in _AFTER and raw[:-1].isalpha():
+            text, flags = raw[:-1], STOPS | ENDS if raw[-1] in _ENDING else STOPS
         else:
+            text = None
+        if text is None:
             low, flags = self.read(raw)
-        k = len(self.texts)
-        if k == len(self.hashes):
-            self.hashes, self.flags = np.resize(self.hashes, 2 * k), np.resize(self.flags, 2 * k)
-        self.hashes[k], self.flags[k] = xxhash.xxh64_intdigest(low.encode("utf-8", "replace")), flags
+        else:
+            small = text.islower()
+            low = text if small and text.isascii() else text.casefold()
+            if low in _KNOWN:
+                flags |= _KNOWN[low]
+            elif not small and text[:1].isupper() and text[1:].islower():
+                flags |= NAME
+        self[raw] = k = len(self.texts)
         self.texts.append(low)
-        self[raw] = k
+        self.new[0].append(xxhash.xxh64_intdigest(low.encode("utf-8", "replace")))
+        self.new[1].append(flags)
         return k
 
+    def _settle(self) -> None:
+        if self.new[0]:
+            n = len(self.texts)
+            if n > len(self._hashes):
+                self._hashes, self._flags = np.resize(self._hashes, 2 * n), np.resize(self._flags, 2 * n)
+            self._hashes[n - len(self.new[0]) : n] = np.array(self.new[0], np.uint64)
+            self._flags[n - len(self.new[1]) : n] = self.new[1]
+            self.new = [], []
+
+    @property
+    def hashes(self) -> np.ndarray:
+        self._settle()
+        return self._hashes
+
+    @property
+    def flags(self) -> np.ndarray:
+        self._settle()
+        return self._flags
+
     @staticmethod
     def read(raw: str) -> tuple[str, int]:
         """What is left of a word in small letters, and its flags."""
@@ -167,12 +190,20 @@ def template(text: str | None, words: Words) -> tuple[list[Form], np.ndarray, np
 
     There are two forms with names where they differ: with line breaks as starts of sentences, and as mere blanks.
     """
-    if len(words) > REMEMBERED:
-        words.clear()
     raw, first = [], []
+    _split(text, raw, first)
+    return _read(raw, first, words)
+
+
+def _split(text: str | None, raw: list[str], first: list[int]) -> None:
     for line in (text or "").splitlines():
         first.append(len(raw))
         raw += line.split()
+
+
+def _read(raw: list[str], first: list[int], words: Words) -> tuple[list[Form], np.ndarray, np.ndarray]:
+    if len(words) > REMEMBERED:
+        words.clear()
     k = np.fromiter(map(words.__getitem__, raw), np.int64, len(raw))
     flags = words.flags[k]
     ends = (flags & ENDS) > 0
@@ -191,7 +222,9 @@ def template(text: str | None, words: Words) -> tuple[list[Form], np.ndarray, np
     name = ((flags & NAME) > 0) & (fixed == WORD)
     # A word goes on with the token before it if nothing stands between them.
     touches = np.concatenate(([False], (here[1:] - here[:-1] == 1) & ((flags[:-1] & STOPS) == 0))) if len(k) else number
-    spelt = touches & number & ((flags & SPELT) > 0) & np.roll(number, 1)
+    spelt = (flags & SPELT) > 0
+    if spelt.any():
+        spelt &= touches & number & np.roll(number, 1)
     forms = [_form(k, fixed, spelt, words)]
     readings = [name & ~broken]
     if (name & broken & ~opens).any():
@@ -215,6 +248,8 @@ def rolling(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def _placed(raw: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    if not kinds.any():
+        return raw
     out = raw.copy()
     for kind, value in _KIND.items():
         out[kinds == kind] = np.uint64(value)
@@ -222,31 +257,44 @@ def _placed(raw: np.ndarray, kinds: np.ndarray) -> np.ndarray:
 
 
 def _full(kinds: np.ndarray, n: int) -> np.ndarray:
+    if not kinds.any():
+        return np.zeros(len(kinds) - n + 1, bool)
     slots = np.concatenate(([0], np.cumsum(kinds != WORD)))
     return slots[n:] - slots[:-n] > SLOTS * n
 
 
 class Table(NamedTuple):
-    """A bit for each hash that is wanted, by its leading bits; others may share it."""
+    """Two bits for each hash that is wanted, by its leading and its last bits; others may share them."""
 
     bits: np.ndarray
     shift: int
 
     def has(self, h: np.ndarray) -> np.ndarray:
-        at = h >> np.uint64(self.shift)
+        out = self._set(h >> np.uint64(self.shift))
+        here = np.flatnonzero(out)
+        out[here] = self._set(h[here] & np.uint64((1 << (64 - self.shift)) - 1))
+        return out
+
+    def _set(self, at: np.ndarray) -> np.ndarray:
         return (self.bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)) == 1
 
 
 _SCHEMA = "hash bigint, template string, size int, start int, stop int, slots array<string>, kinds array<int>, roles array<string>, tokens int"
 
 
-def windows(text: str | None, words: Words, lengths: list[int] | None, wanted: Table | None) -> Iterator[tuple]:
-    """The columns of _SCHEMA of windows of ``lengths`` tokens whose hash is ``wanted`` (items: None, all of them, a short item whole).
+class Found(NamedTuple):
+    """Windows of ``n`` tokens that start at the tokens ``at`` of a form: all hashes, which windows are exact, and where a calculation goes on."""
 
-    Windows of the first form leave names alone, and are exact where numbers and units fill too much of them; the
-    others have names or signs of calculation. Windows of fewer than LEAST tokens are exact and whole lines.
-    """
-    forms, starts, stops = template(text, words)
+    form: Form
+    n: int
+    at: np.ndarray
+    h: np.ndarray
+    exact: np.ndarray | None
+    before: np.ndarray | None
+    after: np.ndarray | None
+
+
+def _found(forms: list[Form], starts: np.ndarray, stops: np.ndarray, lengths: list[int] | None, wanted: Table | None) -> Iterator[Found]:
     signed = forms[-1] if forms[-1].signs is not None else None
     # How many signs stand before each word and the words before it: windows with signs inside have their template in the last form.
     signs = np.cumsum(np.bincount(signed.first[signed.signs], minlength=len(forms[0].words) + 1)) if signed else None
@@ -265,8 +313,10 @@ def windows(text: str | None, words: Words, lengths: list[int] | None, wanted: T
                 exact = _full(form.kinds, n)
                 if signed and form is not signed:
                     exact = exact | (signs[form.ends[n - 1 :] - 1] > signs[form.first[here]])
-                named = np.concatenate(([0], np.cumsum(form.kinds == NAME if form.signs is None else form.signs)))
-                ok = (named[n:] > named[:-n]) & ~exact if f else np.ones(len(exact), bool)
+                ok = np.ones(len(exact), bool)
+                if f:
+                    named = np.concatenate(([0], np.cumsum(form.kinds == NAME if form.signs is None else form.signs)))
+                    ok = (named[n:] > named[:-n]) & ~exact
                 if form.told is not None and form.told.any():  # with its result it asks nothing: only the same numbers count
                     results = np.concatenate(([0], np.cumsum(form.told)))
                     ok = ok & (results[n:] == results[:-n])
@@ -282,16 +332,64 @@ def windows(text: str | None, words: Words, lengths: list[int] | None, wanted: T
                 h = np.where(exact, rolling(form.hashes, n) ^ _EXACT, h)
             if wanted is not None:
                 ok = ok & wanted.has(h)
-            for i in np.flatnonzero(ok).tolist():
-                places = [j for j in range(i, i + n) if form.kinds[j]]
-                as_is = not f and bool(exact[i])
-                parts = [form.text(words, j) if as_is or not form.kinds[j] else {NUMBER: "<number>", UNIT: "<unit>", NAME: "<name>"}[int(form.kinds[j])] for j in range(i, i + n)]
-                roles = [form.text(words, j + 1) if j + 1 < m and form.kinds[j + 1] in (WORD, UNIT) else "" for j in places]
-                if form.signs is not None:  # each number of a calculation is one of its own
-                    roles = [f"{r}@{form.first[j]}" for j, r in zip(places, roles)]
-                if before is not None:
-                    parts = ["…"] * bool(before[i]) + parts + ["…"] * bool(after[i])
-                yield int(h[i].view(np.int64)), " ".join(parts), n, int(form.first[i]), int(form.ends[i + n - 1]), [form.text(words, j) for j in places], [int(form.kinds[j]) for j in places], roles, len(forms[0].words)
+            yield Found(form, n, np.flatnonzero(ok), h, None if f else exact, before, after)
+
+
+#: Stands between texts that are read together: a word of its own that no text has, after which a text starts as it does alone.
+_BREAK = "break of texts."
+
+
+def holding(texts: list[str | None], words: Words, lengths: list[int], wanted: Table) -> list[int]:
+    """The places of those of ``texts`` that have windows whose hash is ``wanted``, and perhaps of the few next to them."""
+    raw, first = [], []
+    for text in texts:
+        _split(text, raw, first)
+        first.append(len(raw))
+        raw.append(_BREAK)
+    forms, starts, stops = _read(raw, first, words)
+    breaks = np.flatnonzero(forms[0].words == words[_BREAK])
+    found = [np.searchsorted(breaks, x.form.first[x.at]) for x in _found(forms, starts, stops, lengths, wanted)]
+    return np.unique(np.concatenate(found)).tolist() if found else []
+
+
+def windows(text: str | None, words: Words, lengths: list[int] | None, wanted: Table | None) -> Iterator[tuple]:
+    """The columns of _SCHEMA of windows of ``lengths`` tokens whose hash is ``wanted`` (items: None, all of them, a short item whole).
+
+    Windows of the first form leave names alone, and are exact where numbers and units fill too much of them; the
+    others have names or signs of calculation. Windows of fewer than LEAST tokens are exact and whole lines.
+    """
+    forms, starts, stops = template(text, words)
+    for form, n, at, h, exact, before, after in _found(forms, starts, stops, lengths, wanted):
+        m = len(form.kinds)
+        for i in at.tolist():
+            places = [j for j in range(i, i + n) if form.kinds[j]]
+            as_is = exact is not None and bool(exact[i])
+            parts = [form.text(words, j) if as_is or not form.kinds[j] else {NUMBER: "<number>", UNIT: "<unit>", NAME: "<name>"}[int(form.kinds[j])] for j in range(i, i + n)]
+            roles = [form.text(words, j + 1) if j + 1 < m and form.kinds[j + 1] in (WORD, UNIT) else "" for j in places]
+            if form.signs is not None:  # each number of a calculation is one of its own
+                roles = [f"{r}@{form.first[j]}" for j, r in zip(places, roles)]
+            if before is not None:
+                parts = ["…"] * bool(before[i]) + parts + ["…"] * bool(after[i])
+            yield int(h[i].view(np.int64)), " ".join(parts), n, int(form.first[i]), int(form.ends[i + n - 1]), [form.text(words, j) for j in places], [int(form.kinds[j]) for j in places], roles, len(forms[0].words)
+
+
+#: Characters of texts that are read together.
+TOGETHER = 1 << 16
+
+
+def all_windows(texts: list[str | None], words: Words, lengths: list[int] | None, wanted: Table | None) -> Iterator[tuple[int, list[tuple]]]:
+    """The windows of each text that has any, and its place. Most texts hold nothing: texts are looked through together first."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size < TOGETHER):
+            size += len(texts[end] or "")
+            end += 1
+        some = range(end - at) if lengths is None or wanted is None else holding(texts[at:end], words, lengths, wanted)
+        for k in some:
+            if found := list(windows(texts[at + k], words, lengths, wanted)):
+                yield at + k, found
+        at = end
 
 
 def template_windows(rows: DataFrame, keys: list[str], lengths: list[int] | None, wanted: Table | None) -> DataFrame:
@@ -303,8 +401,7 @@ def template_windows(rows: DataFrame, keys: list[str], lengths: list[int] | None
         kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.int32())
         for batch in batches:
             where, out = [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                found = list(windows(text, words, lengths, wanted))
+            for i, found in all_windows(batch.column(1).to_pylist(), words, lengths, wanted):
                 where += [i] * len(found)
                 out += found
             columns = [pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 9, kinds)]
@@ -317,8 +414,8 @@ def table_of(hashes: DataFrame) -> Table:
     """The bits of all hashes, put together by Spark; at most 16 MB reach the driver, however many items there are."""
     least, most = TABLE
     size = min(max(least, (64 * hashes.count()).bit_length()), most)
-    at = F.shiftrightunsigned("hash", 64 - size)
-    words = hashes.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(hash, %d) & 63 AS int))" % (64 - size))).alias("bits"))
+    places = F.array(F.shiftrightunsigned("hash", 64 - size), F.col("hash").bitwiseAND((1 << size) - 1))
+    words = hashes.select(F.explode(places).alias("at")).groupBy(F.shiftright("at", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 AS int))")).alias("bits"))
     found, bits = words.toArrow(), np.zeros(1 << (size - 6), np.uint64)
     bits[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return Table(bits, 64 - size)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from diurna.llm import decontamination, jaccard_join, pii
@@ -72,3 +73,25 @@ def test_pairs_meet_once(spark, monkeypatch):
         monkeypatch.setattr(jaccard_join, "FIRST", first)
         assert {tuple(r) for r in jaccard_join.meetings(centers, others, 85).collect()} == wanted
     assert counted[0] <= 3 * len(wanted) < counted[2] == plain.count()
+
+
+def test_texts_looked_through_together(monkeypatch):
+    """Texts read together give the windows that each gives alone, whatever the next one starts with, and only those that may hold something are read again."""
+    base = "we saw how many of them there were in all of the old towns by the sea"
+    texts = [f"{base} and then twenty", f"one {base} by Mary", f"Jones {base} 12", f"+ 7 = 19 {base} 12 + 8", None, f"km {base} - 4 * 3", "", f"= 9 {base}\n\nAda Byron", f"Lovelace {base}!", "12 + 7", "= 19", "Ada", "Lovelace", f"(3 + 4) * 5 - 6 / 2 + 1 {base}"]
+    words = decontamination.Words()
+    alone = {k: found for k, t in enumerate(texts) if (found := list(decontamination.windows(t, words, [2, 5, 10], None)))}
+    hashes = np.unique(np.array([r[0] for found in alone.values() for r in found], np.int64)).view(np.uint64)
+    bits = np.zeros(1 << 16, np.uint64)
+    for at in (hashes >> np.uint64(42), hashes & np.uint64((1 << 22) - 1)):
+        np.bitwise_or.at(bits, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    table = decontamination.Table(bits, 42)
+    assert dict(decontamination.all_windows(texts, words, [2, 5, 10], table)) == alone
+    assert decontamination.holding(texts, words, [2, 5, 10], table) == sorted(alone)
+    read, asked = decontamination.windows, []
+    monkeypatch.setattr(decontamination, "windows", lambda text, *x: asked.append(text) or read(text, *x))
+    one = np.array([alone[3][0][0]], np.int64).view(np.uint64)
+    bits[:] = 0
+    for at in (one >> np.uint64(42), one & np.uint64((1 << 22) - 1)):
+        np.bitwise_or.at(bits, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    assert 3 in dict(decontamination.all_windows(texts, words, [2, 5, 10], table)) and len(asked) < 4
