@@ -326,6 +326,17 @@ def meetings(centers: DataFrame, others: DataFrame, similar: int) -> DataFrame:
     return both.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
 
 
+def outside_first(rows: DataFrame) -> DataFrame:
+    """The ``rows`` (entry, alone, node, n, place, root) of buckets with several components, and the ``turn`` of each that is outside the
+    bucket's largest one (null inside it). A bucket's rows are passed once, without a join of the rows with what is said of them."""
+    bucket = Window.partitionBy("entry")
+    shares = rows.withColumn("share", F.count(F.lit(1)).over(Window.partitionBy("entry", "root")))
+    top = shares.select("*", F.max(F.struct("share", "root")).over(bucket).alias("top"), F.min("root").over(bucket).alias("least"), F.max("root").over(bucket).alias("most"))
+    several = top.where("least <> most").select("entry", "alone", "node", "n", "place", "root", (F.col("root") != F.col("top.root")).alias("outside"))
+    turn = F.row_number().over(Window.partitionBy("entry", "outside").orderBy("alone", "node"))
+    return several.withColumn("turn", F.when(F.col("outside"), turn)).drop("outside")
+
+
 def linked(pairs: DataFrame, texts: DataFrame, *, words: int, similar: int) -> DataFrame:
     """The ``pairs`` (a, b) of nodes whose texts are similar; the text of ``a`` meets ``MEET`` of its partners at once."""
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEET).cast("int").alias("parts"))
@@ -420,19 +431,15 @@ def similar_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             if not found.isEmpty():
                 links = found if links is None else links.unionByName(found)
                 roots = cut(components(links))
-        open_rows = left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        shares = open_rows.groupBy("entry", "root").agg(F.count(F.lit(1)).alias("share"))
-        largest = shares.groupBy("entry").agg(F.max(F.struct("share", "root")).alias("top"), F.count(F.lit(1)).alias("several")).where("several > 1")
-        open_rows = written(open_rows.join(largest.select("entry", F.col("top.root").alias("largest")), "entry"), "buckets")
+        open_rows = written(outside_first(left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))), "buckets")
         if open_rows.isEmpty():
             break
-        turn = F.row_number().over(Window.partitionBy("entry").orderBy("alone", "node"))
-        centers = cut(open_rows.where("root <> largest").withColumn("turn", turn).where(F.col("turn") <= width).select("entry", F.col("node").alias("a"), F.col("n").alias("m"), F.col("place").alias("place0"), F.col("root").alias("from")))
+        centers = open_rows.where(F.col("turn") <= width).select("entry", F.col("node").alias("a"), F.col("n").alias("m"), F.col("place").alias("place0"), F.col("root").alias("from"))
         pairs = meetings(centers, open_rows, similar)
         if checked is not None:
             before = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             pairs = pairs.join(before, ["a", "b"], "left_anti")
-        left = open_rows.join(centers.select("entry", F.col("a").alias("node")), ["entry", "node"], "left_anti").select("entry", "alone", "node", "n", "place")
+        left = open_rows.where(F.col("turn").isNull() | (F.col("turn") > width)).select("entry", "alone", "node", "n", "place")
         width *= 16
 
     firsts = sets.where("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("first"))

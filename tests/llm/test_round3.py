@@ -95,3 +95,11 @@ def test_texts_looked_through_together(monkeypatch):
     for at in (one >> np.uint64(42), one & np.uint64((1 << 22) - 1)):
         np.bitwise_or.at(bits, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
     assert 3 in dict(decontamination.all_windows(texts, words, [2, 5, 10], table)) and len(asked) < 4
+
+
+def test_turns_of_a_bucket(spark):
+    """A bucket's largest component waits, the others take turns; a bucket of one component is done. No join makes the rows again."""
+    rows = [(1, a, n, 10, 0, r) for a, n, r in [(3, 5, 5), (1, 6, 6), (2, 7, 6), (0, 8, 8), (3, 4, 4)]] + [(2, 0, 5, 10, 0, 5), (2, 0, 9, 10, 0, 5)]
+    found = jaccard_join.outside_first(spark.createDataFrame(rows, "entry bigint, alone bigint, node bigint, n bigint, place bigint, root bigint"))
+    assert {(r.entry, r.node, r.turn) for r in found.collect()} == {(1, 6, None), (1, 7, None), (1, 8, 1), (1, 4, 2), (1, 5, 3)}
+    assert "Join" not in found._jdf.queryExecution().toString()
