@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, written
 
-#: Most rows of a table of frequent words or pairs that is sent to the tasks.
-KNOWN = 1 << 19
+#: Most rows of a table of frequent words and of one of frequent pairs that is sent to the tasks (some 120 and 12 bytes a row).
+KNOWN_WORDS, KNOWN = 1 << 21, 1 << 23
 #: Words that a task holds before it hands on what it has counted, and positions that it works on at once.
 HELD, CHUNK = 1 << 20, 1 << 21
 #: Groups in which the phrases of one language are ranked before they meet.
@@ -73,13 +73,12 @@ def numbered(df: DataFrame) -> DataFrame:
 
 
 class Pairs:
-    """Pairs of numbers below ``base`` -> the number of the pair, or -1."""
+    """Pairs of numbers below ``base``, as keys first * base + second -> the number of the pair, or -1."""
 
-    def __init__(self, a: np.ndarray, b: np.ndarray, names: np.ndarray, base: int):
+    def __init__(self, keys: np.ndarray, names: np.ndarray, base: int):
         self.base = base
-        keys = a.astype(np.int64) * base + b
         order = np.argsort(keys)
-        self.keys, self.names = keys[order], names[order].astype(np.int64)
+        self.keys, self.names = keys[order], names[order].astype(np.int32)
 
     def of(self, ids: np.ndarray) -> np.ndarray:
         out = np.full(len(ids), -1, np.int64)
@@ -154,12 +153,13 @@ def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "la
 
     @functools.cache
     def pairs_of(level: int) -> Pairs:
-        found = levels[level].select("a", "b", "id").toArrow()  # ``known`` rows or fewer
-        return Pairs(*[found.column(k).to_numpy() for k in range(3)], base=sizes[level])
+        key = F.col("a") * F.lit(sizes[level]).cast("bigint") + F.col("b")
+        found = levels[level].select(key.alias("key"), F.col("id").cast("int").alias("id")).toArrow()  # ``known`` rows or fewer
+        return Pairs(*[found.column(k).to_numpy() for k in range(2)], base=sizes[level])
 
     levels: list[DataFrame] = []  # of pairs: a, b (of the level before), n, id
     documents = positions = None
-    if sizes[0] <= known:
+    if sizes[0] <= min(known, KNOWN_WORDS):
         found = frequent.select("lang", "word", "id").toArrow()
         of: dict[str, dict[bytes, int]] = {}
         for lang, word, name in zip(*[c.to_pylist() for c in found.columns]):
@@ -180,7 +180,7 @@ def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "la
 
         documents = written(texts.mapInArrow(name_words, "ids binary"), "positions")
     for level in range(longest - 1):
-        if positions is None and max(sizes) > known:  # beyond what is sent: positions are rows, and numbers come by joins
+        if positions is None and (documents is None or max(sizes) > known):  # beyond what is sent: positions are rows, and numbers come by joins
             rows = written(texts.withColumn("row", F.monotonically_increasing_id()), "texts")
             positions = written(_positions(rows, frequent), "positions")
             for pairs in levels:
