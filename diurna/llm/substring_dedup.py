@@ -3,8 +3,9 @@
 A repeated window of words has the same anchor wherever it stands: the smallest hash of its five-word runs, those
 left aside that a sample shows to be common (a window of common runs only is anchored by its smallest and its
 largest one). Anchors found in one document only cannot be part of a repeat, and are dropped on that ground.
-Stretches of words around the others are collapsed to distinct ones, each with the smallest document that holds it,
-and dealt to shards by anchor. A shard indexes its stretches (Burrows-Wheeler transform in a wavelet matrix of packed
+Equal texts are one text with the smallest and the largest document that has it; all its stretches go to the index,
+and what is found there holds for each of its documents. Stretches of words around the others are collapsed to distinct
+ones, each with the smallest document that holds it, and dealt to shards by anchor. A shard indexes its stretches (Burrows-Wheeler transform in a wavelet matrix of packed
 bits) and streams them through backward search, which gives matching statistics: for every word, the longest match
 that ends there and stands in an earlier document. Matches of a window's length or more are the intervals reported.
 """
@@ -305,11 +306,12 @@ def frequent(rows: DataFrame) -> Common:
     return Common(np.array([r["hash"] for r in common.orderBy(F.desc("count"), "hash").limit(HOTTEST).collect()], np.int64).view(np.uint64))
 
 
-STRETCHES = "anchor bigint, digest bigint, salt int, key bigint, row bigint, start int, size int, content binary"
+STRETCHES = "anchor bigint, digest bigint, salt int, key bigint, high bigint, row bigint, start int, size int, content binary"
 
 
 def occurrences(texts: DataFrame, common: Common, spread: Common, frequent_ones: bool) -> DataFrame:
-    """STRETCHES around shared anchors, either around ``spread`` ones or around the others in each row's ``shared``.
+    """STRETCHES around shared anchors, either around ``spread`` ones or around the others in each row's ``shared``
+    (all others where a text has several documents, up to ``high``).
 
     ``content`` has the bytes from the first to the last word; ``digest`` hashes them, and together with the anchor
     stands for them. A task sends the bytes once, nulls for later occurrences. The salt is that of the row.
@@ -319,9 +321,10 @@ def occurrences(texts: DataFrame, common: Common, spread: Common, frequent_ones:
         sent: set[tuple] = set()
         for batch in batches:
             where, rows = [], []
+            several = docs_of(batch.column(0).to_pylist()) < batch.column(4).to_numpy()
             for i, (key, text, shared) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3))):
                 wanted = np.sort(shared.values.to_numpy(zero_copy_only=False))
-                if not frequent_ones and not len(wanted):
+                if not frequent_ones and not len(wanted) and not several[i]:
                     continue
                 data = (text or "").encode("utf-8", "surrogatepass")
                 begins, stops, h = hashed_words(data)
@@ -331,7 +334,7 @@ def occurrences(texts: DataFrame, common: Common, spread: Common, frequent_ones:
                 starts, sizes = stretches(found)
                 values = found[starts]
                 hot = full[starts] & spread.has(values)
-                ours = hot if frequent_ones else among(values.view(np.int64), wanted) & ~hot
+                ours = hot if frequent_ones else ~hot if several[i] else among(values.view(np.int64), wanted) & ~hot
                 starts, sizes, salt = starts[ours], sizes[ours], (key ^ key >> 32) % SALTS
                 places = (starts, sizes, begins[starts], stops[starts + sizes + WINDOW - 2], values[ours].view(np.int64))
                 for s, n, b, e, a in zip(*[x.tolist() for x in places]):
@@ -345,10 +348,15 @@ def occurrences(texts: DataFrame, common: Common, spread: Common, frequent_ones:
                     rows.append((*own, salt, s, n, content if fresh else None))
             at = pa.array(where, pa.int64())
             anchors_, digests, salts, starts_, sizes_, contents = zip(*rows) if rows else [[]] * 6
-            columns = [pa.array(anchors_, pa.int64()), pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(salts, pa.int32()), batch.column(0).take(at), batch.column(1).take(at), pa.array(starts_, pa.int32()), pa.array(sizes_, pa.int32()), pa.array(contents, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["anchor", "digest", "salt", "key", "row", "start", "size", "content"])
+            columns = [pa.array(anchors_, pa.int64()), pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(salts, pa.int32()), batch.column(0).take(at), batch.column(4).take(at), batch.column(1).take(at), pa.array(starts_, pa.int32()), pa.array(sizes_, pa.int32()), pa.array(contents, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["anchor", "digest", "salt", "key", "high", "row", "start", "size", "content"])
 
-    return texts.select("key", "row", "text", "shared").mapInArrow(work, STRETCHES)
+    return texts.select("key", "row", "text", "shared", "high").mapInArrow(slices(work), STRETCHES)
+
+
+def slices(work):
+    """``work`` on few rows at once: a row here becomes many."""
+    return lambda batches: work(b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512))
 
 
 def among(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
@@ -401,23 +409,29 @@ def docs_of(keys: list) -> np.ndarray:
     return out
 
 
+PLACE = "struct<row:bigint,first:int,last:int,own:boolean>"
+
+
 def repeats_in_shards(parts: DataFrame) -> DataFrame:
-    """``key, x``: (row, first, last) of the words in windows that start in an earlier document.
+    """``key, x``: (row, first, last, own) of the words in windows that start in an earlier document, or, ``own``, that
+    start in the text's first document, where it has others.
 
     Each shard is a task's share of the anchors: it indexes their distinct stretches and compares every occurrence.
     """
 
-    def solve(anchor, sizes, digests, contents, keys, rows, starts) -> pa.RecordBatch:
+    def solve(anchor, sizes, digests, contents, keys, highs, rows, starts) -> pa.RecordBatch:
         docs, sizes, starts = docs_of(keys), np.array(sizes, np.int64), np.array(starts, np.int64)
+        several = docs < np.array(highs, np.int64)
         which, offsets, first = earliest_of(anchor, sizes, digests, contents, docs)
         # The windows of every occurrence, those of a stretch side by side.
         inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        gone = first[np.repeat(offsets[which], sizes) + inner] < np.repeat(docs, sizes)
-        begins = gone & ~np.concatenate(([False], gone[:-1] & (inner[1:] > 0)))
-        ends = gone & ~np.concatenate((gone[1:] & (inner[1:] > 0), [False]))
+        gone = np.where(first[np.repeat(offsets[which], sizes) + inner] < np.repeat(docs, sizes), 1, np.repeat(2 * several, sizes))
+        same = (gone[1:] == gone[:-1]) & (inner[1:] > 0)
+        begins = (gone > 0) & ~np.concatenate(([False], same))
+        ends = (gone > 0) & ~np.concatenate((same, [False]))
         part = np.repeat(np.arange(len(sizes)), sizes)
         a, b = np.flatnonzero(begins), np.flatnonzero(ends)
-        x = pa.StructArray.from_arrays([pa.array(np.array(rows, np.int64)[part[a]]), pa.array((starts[part[a]] + inner[a]).astype(np.int32)), pa.array((starts[part[b]] + inner[b] + WINDOW).astype(np.int32))], ["row", "first", "last"])
+        x = pa.StructArray.from_arrays([pa.array(np.array(rows, np.int64)[part[a]]), pa.array((starts[part[a]] + inner[a]).astype(np.int32)), pa.array((starts[part[b]] + inner[b] + WINDOW).astype(np.int32)), pa.array(gone[a] == 2)], ["row", "first", "last", "own"])
         return pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.int64)[part[a]]), x], ["key", "x"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -425,7 +439,7 @@ def repeats_in_shards(parts: DataFrame) -> DataFrame:
             yield solve(*held)
 
     dealt = parts.repartition("anchor").sortWithinPartitions("anchor", "digest")
-    return dealt.select("anchor", "size", "digest", "content", "key", "row", "start").mapInArrow(work, "key bigint, x struct<row:bigint,first:int,last:int>")
+    return dealt.select("anchor", "size", "digest", "content", "key", "high", "row", "start").mapInArrow(work, f"key bigint, x {PLACE}")
 
 
 def repeats_of_common(parts: DataFrame) -> DataFrame:
@@ -455,13 +469,43 @@ def repeats_of_common(parts: DataFrame) -> DataFrame:
             yield solve(*held)
 
     # Both branches read every column of the same rows, so that they share one exchange and one pass over the texts.
-    dealt = parts.where(" AND ".join(f"{c} IS NOT NULL" for c in (*stretch, "key"))).repartition(*stretch)
-    distinct = dealt.groupBy(*stretch).agg(F.max("content").alias("content"), F.max("size").alias("size"), F.min(doc).alias("low"), F.max(doc).alias("high"), F.min("row").alias("row"), F.min("start").alias("start"))
+    dealt = parts.where(" AND ".join(f"{c} IS NOT NULL" for c in (*stretch, "key", "high"))).repartition(*stretch)
+    distinct = dealt.groupBy(*stretch).agg(F.max("content").alias("content"), F.max("size").alias("size"), F.min(doc).alias("low"), F.max("high").alias("high"), F.min("row").alias("row"), F.min("start").alias("start"))
     together = distinct.repartition("anchor").sortWithinPartitions("anchor", "digest")
     index = together.select("anchor", "size", "digest", "content", "salt", "low", "high", "row", "start").mapInArrow(work, "anchor bigint, digest bigint, salt int, runs array<struct<a:int,b:int,earliest:bigint>>")
-    ways = dealt.join(index, stretch).select("key", "row", "start", "size", "content", F.explode("runs").alias("x"))
-    ways = ways.where((F.col("x.earliest") < doc) & ((F.col("x.b") <= F.col("size")) | F.col("content").isNull()))
-    return ways.select("key", F.struct("row", (F.col("start") + F.col("x.a")).alias("first"), (F.col("start") + F.col("x.b") + WINDOW - 1).alias("last")).alias("x"))
+    ways = dealt.join(index, stretch).select("key", "high", "row", "start", "size", "content", F.explode("runs").alias("x"))
+    ways = ways.where((F.col("x.earliest") < F.col("high")) & ((F.col("x.b") <= F.col("size")) | F.col("content").isNull()))
+    return ways.select("key", F.struct("row", (F.col("start") + F.col("x.a")).alias("first"), (F.col("start") + F.col("x.b") + WINDOW - 1).alias("last"), (F.col("x.earliest") >= doc).alias("own")).alias("x"))
+
+
+def merged(ways: DataFrame) -> DataFrame:
+    """``first_key, row, gone, later``: the intervals of each text without overlap, for its first document and, where
+    they differ, for those after it."""
+    places = pa.list_(pa.struct([("row", pa.int64()), ("first", pa.int32()), ("last", pa.int32())]))
+
+    def union(row: int, first: np.ndarray, last: np.ndarray) -> list[dict]:
+        order = np.argsort(first, kind="stable")
+        first, end = first[order], np.maximum.accumulate(last[order])
+        begins = np.flatnonzero(np.concatenate(([True], first[1:] > end[:-1])))
+        return [{"row": row, "first": a, "last": b} for a, b in zip(first[begins].tolist(), end[np.append(begins[1:], len(first)) - 1].tolist())]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, rows, gone, later = [], [], [], []
+            for key, xs in zip(batch.column(0).to_pylist(), batch.column(1)):
+                row, first, last, own = (xs.values.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+                for r in np.unique(row).tolist():
+                    every = row == r
+                    before = every & ~own
+                    keys.append(key)
+                    rows.append(r)
+                    gone.append(union(r, first[before], last[before]) if before.any() else [])
+                    later.append(union(r, first[every], last[every]) if (every & own).any() else None)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(rows, pa.int64()), pa.array(gone, places), pa.array(later, places)], ["first_key", "row", "gone", "later"])
+
+    held = ways.groupBy("key").agg(F.collect_list("x").alias("xs"))
+    kind = "array<struct<row:bigint,first:int,last:int>>"
+    return held.mapInArrow(slices(work), f"first_key bigint, row bigint, gone {kind}, later {kind}")
 
 
 def repeated_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -470,7 +514,7 @@ def repeated_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     ``gone`` lists (row, first, last), the end exclusive, which may overlap; null for none.
 
     Every window of 13 words is compared word by word in an index, those of whole copies and of common passages
-    too; only stretches of equal words are one, by a 128-bit hash. Texts of fewer words repeat nothing. Rows that
+    too; only equal texts and stretches of equal words are one, by 128-bit hashes. Texts of fewer words repeat nothing. Rows that
     share an id do not repeat each other; a null id is smaller than any other. A null text has no words. Empty
     tables give empty results; other columns are not read. Ids below -2 ** 63 + 2 ** 40 count as null.
     """
@@ -492,17 +536,29 @@ def repeated_words(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         found, whole = anchors(h, common)
         return found[~(whole & spread.has(found))]
 
+    # Equal texts: each is looked at in the first document that has it.
+    names = base.select("key", "row", F.xxhash64(F.lit(1), "text").alias("also"))
+    equal = names.groupBy("row", "also").agg(F.min("key").alias("first_key"), F.max(doc_of("key")).alias("high"))
+    firsts = equal.groupBy(F.col("first_key").alias("key")).agg(F.collect_list(F.struct("row", "high")).alias("own"))
+    # Later copies stay as rows without text, for a join that drops them would shuffle the texts by itself.
+    one = F.get(F.filter("own", lambda x: x["row"] == F.col("row")), 0)["high"]
+    high = base.join(firsts, "key", "left").withColumn("high", one)
+    base1 = high.select("key", F.when(F.col("high").isNotNull(), F.col("text")).alias("text"), "row", F.coalesce("high", doc_of("key")).alias("high"))
+
     # Anchors that two documents share; those that a sample shows to be common are known to be, and are not shuffled.
-    found = hash_rows(base, rare).repartition("hash")
+    found = hash_rows(base1, rare).repartition("hash")
     group = Window.partitionBy("hash")
     shared = found.withColumns({"low": F.min(doc_of("key")).over(group), "high": F.max(doc_of("key")).over(group)}).where("low < high")
     marks = shared.groupBy("key").agg(F.collect_list("hash").alias("shared"))
-    # Both joins with texts are by key, so that the texts are shuffled once.
-    texts = base.join(marks, "key", "left").withColumn("shared", F.coalesce("shared", F.array().cast("array<bigint>")))
+    # All joins with texts are by key, so that the texts are shuffled once.
+    texts = base1.join(marks, "key", "left").withColumn("shared", F.coalesce("shared", F.array().cast("array<bigint>")))
     ways = repeats_in_shards(occurrences(texts, common, spread, False))
     if len(spread.values):
         ways = ways.union(repeats_of_common(occurrences(texts, common, spread, True)))
-    gone = ways.groupBy("key").agg(F.collect_list("x").alias("gone"))
+    places = names.join(equal.select("row", "also", "first_key"), ["row", "also"]).select("key", "first_key", "row")
+    found = places.distinct().join(merged(ways), ["first_key", "row"])
+    each = F.when(doc_of("key") > doc_of("first_key"), F.coalesce("later", "gone")).otherwise(F.col("gone"))
+    gone = found.groupBy("key").agg(F.flatten(F.collect_list(each)).alias("gone")).where(F.size("gone") > 0)
     own = F.filter("gone", lambda x: x["row"] == F.col("row"))
     return base.join(gone, "key", "left").select(F.nullif(doc_of("key"), F.lit(LOWEST).cast("bigint")).alias("doc"), "text", own.alias("gone"))
 
